@@ -126,10 +126,10 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         gram += np.frombuffer(r.gram).reshape(m, m)
         target += np.frombuffer(r.target).reshape(m, -1)
     shared.unpersist()
-    kernel = base.T.astype(np.float64) @ base
+    kernel = (base.T @ base).astype(np.float64)
     scale = np.trace(gram) / m
     weights = np.linalg.solve(gram + ridge * scale * kernel + 1e-8 * scale * np.eye(m), target)
-    return Model(languages, np.ascontiguousarray(base @ weights))
+    return Model(languages, base @ weights.astype(np.float32))
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
