@@ -1,7 +1,7 @@
 """Benchmark decontamination with SimHash over item-sized windows.
 
 A benchmark item of n words is held against every run of n words of a document. A window whose weighted five-word shingles
-are similar to the item's at 0.8 or more has at least 0.89 of them in common, so only windows with a shingle of some item can
+are similar to the item's at 0.8 or more has at least 0.89 of them in common, so only windows with that many shingles of items can
 qualify: these get a 128-bit SimHash. Fingerprints meet over blocks of bits (multi-index Hamming): if two differ in at most `radius`
 bits, some block differs in at most radius // blocks bits, and every value that near is looked up. What lies within the radius is
 then verified by the exact weighted similarity.
@@ -9,29 +9,33 @@ then verified by the exact weighted similarity.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable, Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, gram_hashes, mixed, slices, text_or_empty
+from .common import CharTable, gram_hashes, mixed, slices, text_or_empty
 
 SHINGLE, SIMILARITY = 5, 0.8
+#: Bytes of text that are hashed at a time: arrays of it have 8 bytes a character.
+SLICE = 1_000_000
 BITS, BLOCK = 128, 8
 #: Bits that fingerprints of windows at the similarity threshold may differ in. Two random +-1 projections of vectors with a
 #: cosine of 2 x 0.8 / 1.8 differ with a chance of acos(0.889) / pi = 0.151: 19.4 of 128 bits on average, deviation 4.06. 47 bits lie
 #: 6.8 deviations above; short items, whose sums are coarse, stay below it too (tests measure it).
 RADIUS = 47
-_WORDS = re.compile(r"\w+")
 
 
-def word_list(text: str) -> list[str]:
-    """Lower-case runs of letters, digits and underscores."""
-    return _WORDS.findall(text.lower())
+_table: list[CharTable] = []
+
+
+def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of texts, lower-case runs of letters, digits and underscores, and the number of words up to the end of each text."""
+    if not _table:
+        _table.append(CharTable(lambda c: c.isalnum() or c == "_"))
+    return _table[0].hashes([t.lower() for t in texts])
 
 
 def bit_rows(shingles: np.ndarray) -> np.ndarray:
@@ -61,11 +65,11 @@ class ItemIndex:
     """Items of a benchmark by length in words, with their SimHashes in multi-index blocks."""
 
     def __init__(self, items: list[tuple[int, str]], radius: int = RADIUS):
-        self.radius, self.words = radius, WordHashes()
+        self.radius = radius
         self.by_length: dict[int, list[int]] = {}
         self.ids, self.weights, prints = [], [], []
         for item, text in items:
-            words = self.words.of(word_list(text))
+            words = word_hashes([text])[0]
             if not len(words):
                 continue
             shingles = self.shingles(words)
@@ -85,32 +89,24 @@ class ItemIndex:
         """Hashes of all five-word runs; texts of fewer words have one shingle, all their words."""
         return gram_hashes(words, min(SHINGLE, len(words)))
 
-    def _blocks(self, own: np.ndarray) -> list[list[np.ndarray]]:
-        """For each block of 8 bits, and each of its 256 values, the items whose block is at most radius // blocks bits away."""
-        reach = self.radius // (BITS // BLOCK)
-        near = [sum(1 << i for i in flips) for n in range(reach + 1) for flips in combinations(range(BLOCK), n)]
-        tables = []
+    def _blocks(self, own: np.ndarray) -> np.ndarray:
+        """For each block of 8 bits, and each of its 256 values, which items have a block at most radius // blocks bits away."""
+        reach, values = self.radius // (BITS // BLOCK), np.arange(256, dtype=np.uint8)
+        return np.stack([np.bitwise_count(values[:, None] ^ self.prints[own, k][None, :]) <= reach for k in range(BITS // BLOCK)])
+
+    def candidates(self, length: int, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(rows, items) of fingerprints that meet an item of this length in some block and lie within the radius of it."""
+        tables, own = self.blocks[length], np.array(self.by_length[length])
+        met = np.zeros((len(prints), len(own)), bool)
         for k in range(BITS // BLOCK):
-            table: list[list[int]] = [[] for _ in range(256)]
-            for item in own.tolist():
-                for flip in near:
-                    table[int(self.prints[item, k]) ^ flip].append(item)
-            tables.append([np.array(x, np.int64) for x in table])
-        return tables
-
-    def candidates(self, length: int, prints: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        """(row, items) of fingerprints that meet an item of this length in some block and lie within the radius of it."""
-        tables = self.blocks[length]
-        for row, own in enumerate(prints):
-            met = np.unique(np.concatenate([tables[k][own[k]] for k in range(BITS // BLOCK)]))
-            if len(met):
-                far = np.bitwise_count(self.prints[met] ^ own).sum(axis=1)
-                if len(met := met[far <= self.radius]):
-                    yield row, met
+            met |= tables[k][prints[:, k]]
+        rows, items = np.nonzero(met)
+        near = np.bitwise_count(prints[rows] ^ self.prints[own[items]]).sum(axis=1) <= self.radius
+        return rows[near], own[items[near]]
 
     def matches(self, text: str) -> list[tuple[int, int, int, float]]:
         """(item, first word, words, similarity) of the best window for each item that the text contains."""
-        return self.in_words(self.words.of(word_list(text)))
+        return self.in_words(word_hashes([text])[0])
 
     def in_words(self, words: np.ndarray) -> list[tuple[int, int, int, float]]:
         best: dict[int, tuple[float, int, int]] = {}
@@ -123,19 +119,22 @@ class ItemIndex:
             if width not in hits or len(words) < length or not hits[width].any():
                 continue
             weight, hit = length - width + 1, np.concatenate(([0], np.cumsum(hits[width])))
-            starts = np.flatnonzero(hit[weight:] - hit[:-weight] > 0)  # windows with a shingle of an item
+            starts = np.flatnonzero(hit[weight:] - hit[:-weight] >= 2 * SIMILARITY / (1 + SIMILARITY) * weight - 1e-9)  # enough shingles of items
             if not len(starts):
                 continue
-            for a in range(0, len(starts), 4096):
-                part = starts[a : a + 4096]
+            cuts = np.flatnonzero((np.diff(starts) > weight) | (np.diff(np.arange(len(starts)) // 2048) > 0)) + 1
+            for part in np.split(starts, cuts):  # stretches of neighbouring windows
                 low, high = part[0], part[-1] + weight
                 ones = np.concatenate((np.zeros((1, BITS), np.int32), np.cumsum(bit_rows(grams[width][low:high]), axis=0, dtype=np.int32)))
                 prints = fingerprints(ones[part - low + weight] - ones[part - low], weight)
-                for row, items in self.candidates(length, prints):
-                    own = counted(grams[width][part[row] : part[row] + weight])
-                    for item in items.tolist():
-                        if (s := weighted_similarity(own, self.weights[item])) >= SIMILARITY and (s, -int(part[row])) > (best.get(item, (0, 0, 0))[0], -best.get(item, (0, 0, 0))[1]):
-                            best[item] = (s, int(part[row]), length)
+                counts: dict[int, dict[int, int]] = {}
+                for row, item in zip(*(x.tolist() for x in self.candidates(length, prints)), strict=True):
+                    at = int(part[row])
+                    if row not in counts:
+                        counts[row] = counted(grams[width][at : at + weight])
+                    s = weighted_similarity(counts[row], self.weights[item])
+                    if s >= SIMILARITY and (item not in best or (s, -at) > (best[item][0], -best[item][1])):
+                        best[item] = (s, at, length)
         return [(self.ids[i], at, n, s) for i, (s, at, n) in sorted(best.items())]
 
     def _known(self, width: int) -> np.ndarray:
@@ -152,15 +151,13 @@ class ItemIndex:
 
     def in_texts(self, texts: list[str]) -> Iterator[tuple[int, list[tuple[int, int, int, float]]]]:
         """(number of the text, its matches) of the texts that have some; texts without a shingle of an item cost one pass."""
-        lists = [word_list(t) for t in texts]
-        words = self.words.of([w for own in lists for w in own])
-        ends = np.cumsum([len(x) for x in lists])
+        words, ends = word_hashes(texts)
         touched: set[int] = set()
         for width in self.known:
             starts = np.flatnonzero(self.hits(gram_hashes(words, width), width))
             touched.update(np.searchsorted(ends, starts, "right").tolist())  # a run over the end of a text is sorted out below
         for i in sorted(touched):
-            if found := self.in_words(words[ends[i] - len(lists[i]) : ends[i]]):
+            if found := self.in_words(words[ends[i - 1] if i else 0 : ends[i]]):
                 yield i, found
 
 
@@ -201,7 +198,7 @@ def _matcher(block: list[tuple[int, str]], radius: int, docs: DataFrame, id_col:
 
     def match(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = ItemIndex(shared.value, radius)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE):
             out = [(i, *m) for i, found in index.in_texts(batch.column("text").to_pylist()) for m in found]
             if out:
                 row, *rest = map(list, zip(*out, strict=True))
@@ -217,7 +214,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", ra
 
         def clean(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = ItemIndex(shared.value, radius)
-            for batch in slices(batches, text_col):
+            for batch in slices(batches, text_col, SLICE):
                 keep = np.ones(batch.num_rows, bool)
                 keep[[i for i, _ in index.in_texts([t or "" for t in batch.column(text_col).to_pylist()])]] = False
                 yield batch.filter(pa.array(keep))

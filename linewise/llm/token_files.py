@@ -8,7 +8,9 @@ row per document: its id, its first id's place in the file, and its number of id
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -31,21 +33,25 @@ def default_tokenizer() -> str:
 
 
 class PieceIds(dict):
-    """piece of a text between ASCII blanks -> its ids as bytes. Holds at most `limit` pieces, then starts anew.
+    """piece of a text between blanks -> its ids as bytes. Two generations of at most `limit` pieces each are kept, so frequent ones stay.
 
     The tokenizer drops white space and no token spans it, so a text's ids are those of its pieces in turn. That is checked
     for the tokenizer's own parts when it is loaded: any other tokenizer encodes whole texts.
     """
 
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, path: str, limit: int = 350_000):
         super().__init__()
-        import json
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.limit = Tokenizer.from_file(path), limit
+        self.tokenizer, self.limit, self.older = Tokenizer.from_file(path), limit, {}
         self.by_piece = self._drops_blanks(json.loads(self.tokenizer.to_str()))
+        self.type = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        suffix = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix") or ""
+        self.word_end = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
+        if suffix:
+            self.word_end[[i for w, i in self.tokenizer.get_vocab().items() if w.endswith(suffix)]] = True
+        self.by_piece = self.by_piece and all(self._bytes(self.tokenizer.encode(p, add_special_tokens=False)) == self.of(p) for p in PROBES)
 
     @staticmethod
     def _drops_blanks(parts: dict) -> bool:
@@ -56,24 +62,68 @@ class PieceIds(dict):
         return dropped and {n.get("type") for n in norm.get("normalizers", [norm])} <= {"NFC", "Replace", "Lowercase"} and parts.get("post_processor") is None
 
     def _bytes(self, encoding) -> bytes:
-        return np.array(encoding.ids, "<u4").tobytes()
+        return np.array(encoding.ids, self.type).tobytes()
 
     def __missing__(self, piece: str) -> bytes:
+        value = self.older.get(piece)
+        if value is None:
+            parts = parts_of(piece)
+            value = self._bytes(self.tokenizer.encode(piece, add_special_tokens=False)) if parts == [piece] else b"".join(map(self.__getitem__, parts))
+        self._keep(piece, value)
+        return value
+
+    def _keep(self, piece: str, value: bytes) -> None:
         if len(self) >= self.limit:
+            self.older = dict(self)
             self.clear()
-        value = self._bytes(self.tokenizer.encode(piece, add_special_tokens=False))
         if len(piece) <= 64:
             self[piece] = value
-        return value
+
+    def learn(self, pieces: set[str]) -> None:
+        """Encode the words of pieces not yet known together: each is one pre-token, so an id that ends a word shows where it ends."""
+        words = {w for p in pieces if p not in self and p not in self.older for w in parts_of(p)}
+        new = [w for w in words if w.isalpha() and w not in self and w not in self.older and len(w) <= 64]
+        for a in range(0, len(new), 5000):
+            part = new[a : a + 5000]
+            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, self.type)
+            ends = np.flatnonzero(self.word_end[ids]) + 1
+            if len(ends) != len(part):
+                continue  # some word is more than one pre-token: each is encoded when it is met
+            raw, width, at = ids.tobytes(), ids.itemsize, 0
+            for piece, end in zip(part, ends.tolist(), strict=True):
+                self._keep(piece, raw[at * width : end * width])
+                at = end
 
     def of(self, text: str) -> bytes:
-        """The ids of a text, as little-endian unsigned 32-bit integers."""
+        """The ids of a text, as little-endian unsigned integers of the file's width."""
         if not self.by_piece:
             return self._bytes(self.tokenizer.encode(text, add_special_tokens=False))
-        return b"".join(map(self.__getitem__, text.translate(_BLANKS).split(" ")))
+        return self.of_pieces(pieces_of(text))
+
+    def of_pieces(self, pieces: list[str]) -> bytes:
+        return b"".join(map(self.__getitem__, pieces))
+
+
+def pieces_of(text: str) -> list[str]:
+    """The text cut at white space; the four separators that Python counts as such and the tokenizer does not stay in their pieces."""
+    if any(c in text for c in "\x1c\x1d\x1e\x1f"):
+        return _BLANKS.split(text)
+    return text.split()
+
+
+def parts_of(piece: str) -> list[str]:
+    """A piece cut where the tokenizer cuts in any case: ASCII between letters, digits and marks, in lower case; others before closing marks."""
+    if piece.isascii() and "'" not in piece and "<" not in piece:
+        return _ASCII_PARTS.findall(piece.lower())
+    core = piece.rstrip(MARKS)
+    return [core, piece[len(core) :]] if core.isalpha() and len(core) < len(piece) else [piece]
 
 
-_BLANKS = {9: " ", 10: " ", 11: " ", 12: " ", 13: " "}
+_ASCII_PARTS = re.compile("[a-z]+|[0-9]|[^a-z0-9]+")
+#: Marks that may follow a word, and texts on which the shortcut is compared with the tokenizer when it is loaded.
+MARKS = ".,;:!?"
+PROBES = ("Some words, some MORE words... x", "É déjà-vu: l'été 12.5 don't", "a_b c@d.e \u4e2d\u6587!?")
+_BLANKS = re.compile(r"[ \t-\r]+")
 _loaded: dict[str, PieceIds] = {}
 
 
@@ -85,11 +135,12 @@ def piece_ids(path: str) -> PieceIds:
 
 
 class SequenceWriter:
-    """Cuts a stream of ids into sequences and writes a batch whenever `batch_rows` of them are full."""
+    """Cuts a stream of ids into sequences and writes a batch whenever `batch_rows` of them are full. Ids of small vocabularies take two bytes."""
 
-    def __init__(self, fs, path: str, length: int, batch_rows: int):
-        self.length, self.batch_bytes = length, 4 * length * batch_rows
-        self.schema = pa.schema([("ids", pa.list_(pa.uint32(), length)), ("mask", pa.list_(pa.uint8(), length))], metadata={"end_id": str(END_ID)})
+    def __init__(self, fs, path: str, length: int, batch_rows: int, width: str):
+        self.length, self.batch_rows, self.type = length, batch_rows, np.dtype(width)
+        self.row_bytes = self.type.itemsize * length
+        self.schema = pa.schema([("ids", pa.list_(pa.from_numpy_dtype(self.type), length)), ("mask", pa.list_(pa.bool_(), length))], metadata={"end_id": str(END_ID)})
         self.out = fs.open_output_stream(path)
         self.file = pa.ipc.new_file(self.out, self.schema)
         self.parts: list[bytes] = []
@@ -98,25 +149,22 @@ class SequenceWriter:
     def add(self, ids: bytes) -> None:
         self.parts.append(ids)
         self.held += len(ids)
-        if self.held >= self.batch_bytes:
-            self._flush(self.held // (4 * self.length))
+        if self.held >= self.batch_rows * self.row_bytes:
+            self._flush(self.held // self.row_bytes)
 
     def _flush(self, rows: int) -> None:
         data = b"".join(self.parts)
-        take = min(len(data), rows * 4 * self.length)
-        ids = np.zeros(rows * self.length, "<u4")
-        ids[: take // 4] = np.frombuffer(data, "<u4", take // 4)
-        mask = np.zeros(rows * self.length, np.uint8)
-        mask[: take // 4] = 1
-        self.parts, self.held = [data[take:]], len(data) - take
-        for a in range(0, rows, max(1, self.batch_bytes // (4 * self.length))):
-            b = min(rows, a + max(1, self.batch_bytes // (4 * self.length)))
-            cut = slice(a * self.length, b * self.length)
+        n = min(len(data), rows * self.row_bytes) // self.type.itemsize
+        ids, mask = np.zeros(rows * self.length, self.type), np.zeros(rows * self.length, bool)
+        ids[:n], mask[:n] = np.frombuffer(data, self.type, n), True
+        self.parts, self.held = [data[n * self.type.itemsize :]], len(data) - n * self.type.itemsize
+        for a in range(0, rows, self.batch_rows):
+            cut = slice(a * self.length, min(rows, a + self.batch_rows) * self.length)
             self.file.write_batch(pa.record_batch([pa.FixedSizeListArray.from_arrays(pa.array(ids[cut]), self.length), pa.FixedSizeListArray.from_arrays(pa.array(mask[cut]), self.length)], schema=self.schema))
 
     def close(self) -> None:
         if self.held:
-            self._flush(-(-self.held // (4 * self.length)))
+            self._flush(-(-self.held // self.row_bytes))
         self.file.close()
         self.out.close()
 
@@ -149,14 +197,18 @@ def write_token_files(
         pieces, name, out, at = piece_ids(path), f"{base}/{uuid.uuid4().hex}.arrow", None, 0
         ids: list[int | None] = []
         lengths: list[int] = []
-        end = np.array([END_ID], "<u4").tobytes()
+        end = np.array([END_ID], pieces.type).tobytes()
         for batch in slices(batches, "text"):
-            out = out or SequenceWriter(fs, name, length, batch_rows)
-            for doc, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                data = pieces.of(text) + end
+            out = out or SequenceWriter(fs, name, length, batch_rows, pieces.type)
+            texts = batch.column("text").to_pylist()
+            lists = [pieces_of(t) for t in texts] if pieces.by_piece else None
+            if lists:
+                pieces.learn(set().union(*lists))
+            for i, (doc, text) in enumerate(zip(batch.column("id").to_pylist(), texts, strict=True)):
+                data = (pieces.of_pieces(lists[i]) if lists else pieces.of(text)) + end
                 out.add(data)
                 ids.append(doc)
-                lengths.append(len(data) // 4)
+                lengths.append(len(data) // len(end))
         if out:
             out.close()
             n = np.array(lengths, np.int64)
@@ -186,8 +238,7 @@ def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
                 doc = offset = 0
                 for k in range(sequences.num_record_batches):
                     batch = sequences.get_batch(k)
-                    ids, mask = batch.column("ids").values.to_numpy(), batch.column("mask").values.to_numpy()
-                    ids = np.ascontiguousarray(ids[mask == 1], "<u4")
+                    ids = batch.column("ids").values.to_numpy()[: batch.column("mask").values.true_count].astype("<u4")  # padding is at the end
                     while doc < len(starts) and starts[doc] < offset + len(ids):  # a document's ids may go on in the next batch
                         a, b = max(starts[doc], offset) - offset, min(starts[doc] + counts[doc] - offset, len(ids))
                         crcs[doc] = zlib.crc32(ids[a:b].tobytes(), int(crcs[doc]))
