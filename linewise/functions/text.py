@@ -107,9 +107,8 @@ def kind(text: Column) -> Column:
 
 def bigrams(text: Column) -> Column:
     """The distinct pairs of neighbouring characters, blanks aside."""
-    plain = sub(text, r"\s")
-    pairs = F.transform(F.sequence(F.lit(1), F.length(plain) - 1), lambda i: plain.substr(i, F.lit(2)))
-    return F.when(F.length(plain) > 1, F.array_distinct(pairs)).otherwise(F.array().cast("array<string>"))
+    plain, two = sub(text, r"\s"), F.lit("(?s)..")
+    return F.array_union(F.regexp_extract_all(plain, two, F.lit(0)), F.regexp_extract_all(F.substring(plain, 2, 1 << 30), two, F.lit(0)))
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -117,12 +116,17 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(union > 0, F.size(F.array_intersect(a, b)) / union).otherwise(F.lit(0.0))
 
 
-def collapse_repeats(text: Column, rounds: int = 4) -> Column:
-    """Runs of three or more copies of six characters or more become one, as often as `rounds`; a tail of one digit only where a run did."""
+def collapse_repeats(text: Column, rounds: int = 4, longest: int = 120) -> Column:
+    """Runs of three or more copies of six characters or more become one, as often as `rounds`; a tail of one digit only where a run did.
+
+    A copy has up to `longest` characters, as a line on a page has, so work on a text is linear in its length. Texts without a run are
+    searched once.
+    """
+    run = rf"(.{{6,{longest}}}?)\1{{2,}}"
     out = text
     for _ in range(rounds):
-        out = F.regexp_replace(out, r"(.{6,}?)\1{2,}", "$1")
-    return F.when(out == text, text).otherwise(F.regexp_replace(out, rx(r"(\d)\1{2,}\s*$"), "$1"))
+        out = F.regexp_replace(out, run, "$1")
+    return F.when(text.rlike(run), F.regexp_replace(out, rx(r"(\d)\1{2,}\s*$"), "$1")).otherwise(text)
 
 
 def round_half_up(value: Column) -> Column:

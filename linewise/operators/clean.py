@@ -98,8 +98,8 @@ def findings(lines: DataFrame) -> DataFrame:
     header = ~T.is_marker(F.col("t")) & T.is_header_shape(F.col("t"))
     rows = rows.withColumn("sig", F.when(header, T.signature(F.col("t"))))
     shapes = T.is_header_shape(F.col("t"))
-    often = frequent(rows.filter(F.length("sig") >= 2), F.col("sig"), HEADER_REPEATS).select("work", F.col("key").alias("often"))
-    rows = rows.withColumn("own_sig", F.when(shapes, T.signature(F.col("t")))).join(often, (F.col("own_sig") == F.col("often")) & (rows.work == often.work), "left").drop(often.work)
+    often = frequent(rows.filter(F.length("sig") >= 2), F.col("sig"), HEADER_REPEATS).select(F.col("work").alias("of_work"), F.col("key").alias("often"))
+    rows = rows.withColumn("own_sig", F.when(shapes, T.signature(F.col("t")))).join(often, (F.col("own_sig") == F.col("often")) & (F.col("work") == F.col("of_work")), "left").drop("of_work")
     meta = T.is_meta(F.col("t"))
     boiler = ~meta & (T.is_sure_boilerplate(F.col("t")) | F.col("often").isNotNull())
     plain = ~T.is_marker(F.col("t")) & T.is_untranslated(F.col("t"))

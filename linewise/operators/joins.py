@@ -138,22 +138,28 @@ def contained_lines(needles: DataFrame, texts: DataFrame, on: str = "work") -> D
     return rows.withColumn("covered", F.coalesce(covered, F.lit(False))).drop("needle", "hay")
 
 
-def texts_containing(items: DataFrame, texts: DataFrame, item: str, doc: str, gram: int = 24) -> DataFrame:
+def texts_containing(items: DataFrame, texts: DataFrame, item: str, doc: str, widest: int = 16) -> DataFrame:
     """(item, doc): which texts contain which items, blanks and marks aside.
 
-    Only texts that share the first characters of an item are searched: those and the item meet on a hash of the gram, so no
-    pair is formed without a reason. Items shorter than the gram meet with as many characters as they have.
+    Texts are cut into blocks of `width` characters side by side. An item of 2 x width - 1 characters or more, wherever it stands in a
+    text, covers a whole block, which is one of the item's own pieces at the first `width` offsets: item and text meet on
+    such a piece, and only pairs that do are searched. Work on a text is linear in its length.
     """
     small = items.select(F.col(item).alias("item"), T.comparable(F.col("text")).alias("needle")).filter(F.length("needle") > 0)
-    small = small.withColumn("g", F.least(F.length("needle"), F.lit(gram))).withColumn("key", F.xxhash64(F.substring("needle", F.lit(1), F.col("g"))))
-    lengths = [r.g for r in small.select("g").distinct().collect()]  # at most `gram` values
+    widths = [1 << k for k in range(widest.bit_length()) if 1 << k <= widest]
+    small = small.withColumn("width", F.greatest(*[F.when(F.length("needle") >= 2 * w - 1, w).otherwise(0) for w in widths], F.lit(1)))
     hay = texts.select(F.col(doc).alias("doc"), T.comparable(F.col("text")).alias("hay"))
     met = None
-    for g in lengths:
-        grams = hay.filter(F.length("hay") >= g).select("doc", "hay", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("hay") - g + 1), lambda i, g=g: F.xxhash64(F.col("hay").substr(i, F.lit(g)))))).alias("key"))
-        found = grams.join(small.filter(F.col("g") == g), "key").filter(F.contains("hay", "needle")).select("item", "doc")
+    for width in sorted(r.width for r in small.select("width").distinct().collect()):  # a few powers of two
+        pieces = F.array(*[F.substring("needle", k + 1, width) for k in range(width)])
+        own = small.filter(F.col("width") == width).select("item", F.explode(F.array_distinct(pieces)).alias("piece"))
+        cut = hay.select("doc", F.explode(F.array_distinct(F.regexp_extract_all("hay", F.lit(f".{{{width}}}"), F.lit(0)))).alias("piece"))
+        found = cut.join(own, "piece").select("item", "doc")
         met = found if met is None else met.union(found)
-    return met if met is not None else small.join(hay, F.lit(False)).select("item", "doc")
+    if met is None:
+        return small.join(hay, F.lit(False)).select("item", "doc")
+    pairs = met.distinct().join(small.select("item", "needle"), "item")
+    return pairs.join(hay, "doc").filter(F.contains("hay", "needle")).select("item", "doc")
 
 
 def fuzzy_lines(wanted: DataFrame, lines: DataFrame, least: float = 0.7, on: str = "work") -> DataFrame:

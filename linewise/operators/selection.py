@@ -66,9 +66,9 @@ def active_time(events: DataFrame, key: str, at: str, running: Column, *tie: str
     """(key, active_seconds): time from each running event to the next event of its key."""
     order = W.partitionBy(key).orderBy(at, *tie)
     rows = events.withColumn("__next", F.lead(at).over(order)).filter(running & F.col("__next").isNotNull())
-    # milliseconds as integers, so that sums do not depend on their order
-    ms = F.unix_millis(F.col("__next").cast("timestamp")) - F.unix_millis(F.col(at).cast("timestamp"))
-    return rows.groupBy(key).agg((F.sum(ms) / 1000).alias("active_seconds"))
+    # microseconds as integers, so that sums do not depend on their order
+    us = F.unix_micros(F.col("__next").cast("timestamp")) - F.unix_micros(F.col(at).cast("timestamp"))
+    return rows.groupBy(key).agg((F.sum(us) / 1000000).alias("active_seconds"))
 
 
 def error_class(message: Column) -> Column:

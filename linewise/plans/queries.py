@@ -500,8 +500,8 @@ def latest_per_key(spark, sf_dir):
     return selection.latest(table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "value", "ts"), "user_id", F.col("ts"), F.col("event_id")).drop("ts")
 
 
-@query("""SELECT user_id, sum(ms) / 1000 AS active_seconds FROM (SELECT user_id, event_type, epoch_ms(lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) - epoch_ms(ts) AS ms FROM events)
-WHERE event_type = 'click' AND ms IS NOT NULL GROUP BY user_id""")
+@query("""SELECT user_id, CAST(sum(us) AS BIGINT) / 1000000 AS active_seconds FROM (SELECT user_id, event_type, epoch_us(lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) - epoch_us(ts) AS us FROM events)
+WHERE event_type = 'click' AND us IS NOT NULL GROUP BY user_id""")
 def active_time(spark, sf_dir):
     return selection.active_time(table(spark, sf_dir, "events"), "user_id", "ts", F.col("event_type") == "click", "event_id")
 
