@@ -323,7 +323,7 @@ def is_furniture(text: Column) -> Column:
 
 def initial_consonant(text: Column) -> Column:
     """Number (0 to 18) of the first consonant of a Hangul syllable, else null."""
-    code = F.unicode(text)
+    code = F.ascii(text)
     return F.when(code.between(44032, 55203), F.floor((code - 44032) / 588).cast("int"))
 
 
