@@ -26,6 +26,10 @@ K, SIMILARITY = 5, 0.8
 DRAWN, SKETCHES = 3, 20
 #: Sketches whose buckets are looked at first. The other buckets matter only where these leave them in several components.
 FIRST = 6
+#: Members of a bucket that meet in one piece of work; larger buckets are cut into blocks, and each two blocks meet.
+BLOCK = 512
+#: Candidates a member that a block may give at once. A block with more gives the nearest of them, and the rest once these are linked.
+AT_ONCE = 8
 _MULTIPLIERS = mixed(np.arange(1, SKETCHES + 1, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -69,6 +73,16 @@ def sketches(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
+def parities(hashes: np.ndarray) -> bytes:
+    """A bit for each of at least 2 x k-mers cells (a power of two, 131072 at most): whether its number of labelled k-mers is odd.
+
+    Two texts differ in at least as many k-mers as bits, so texts whose bits differ in more places than near duplicates may are none.
+    """
+    cells = 1 << min(17, max(8, (2 * len(hashes) - 1).bit_length()))
+    odd = np.bincount((labelled(hashes) & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").tobytes()
+
+
 def aligned(a: np.ndarray, b: np.ndarray, least: int) -> int:
     """Length of the longest common subsequence of a and b if it is `least` or more, else some smaller number.
 
@@ -129,21 +143,26 @@ def _signed(values: np.ndarray) -> np.ndarray:
 
 
 def sketch_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, of_text, node, keys): the id of each row, hashes of its text and of its words, and its sketches. Equal sequences of words are one node."""
+    """(id, of_text, node, keys, n, odd): the id of each row, hashes of its text and of its words, its sketches, number of k-mers and parities.
+
+    Equal sequences of words are one node.
+    """
     rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).withColumn("of_text", F.xxhash64("text"))
 
     def sketch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in slices(batches, "text"):
-            nodes, keys = [], []
+            nodes, keys, numbers, odd = [], [], [], []
             for text in batch.column("text").to_pylist():
                 words = hashes.of(words_of(text))
                 own = kmers(words)
                 nodes.append(xxhash.xxh3_64_intdigest(words.tobytes()) - (1 << 63))
                 keys.append(_signed(sketches(own)) if len(own) else np.empty(0, np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("of_text"), pa.array(nodes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "of_text", "node", "keys"])
+                numbers.append(len(own))
+                odd.append(parities(own) if len(own) else b"")
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("of_text"), pa.array(nodes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(numbers, pa.int32()), pa.array(odd, pa.binary())], names=["id", "of_text", "node", "keys", "n", "odd"])
 
-    return rows.mapInArrow(sketch, f"id {docs.schema[id_col].dataType.simpleString()}, of_text long, node long, keys array<long>")
+    return rows.mapInArrow(sketch, f"id {docs.schema[id_col].dataType.simpleString()}, of_text long, node long, keys array<long>, n int, odd binary")
 
 
 def stars(members: DataFrame) -> DataFrame:
@@ -172,6 +191,95 @@ def split_buckets(members: DataFrame, linked: DataFrame) -> DataFrame:
     return named.join(split, "key", "left_semi")
 
 
+class Block:
+    """Members of a bucket in order of their numbers of k-mers, with their parities by size of these."""
+
+    def __init__(self, rows: list[tuple[int, int, int, bytes]]):
+        rows = sorted(rows, key=lambda r: (len(r[3]), r[0]))
+        self.node, self.component = (np.array([r[i] for r in rows], np.int64) for i in (0, 1))
+        self.n = np.array([r[2] for r in rows], np.int64)
+        widths = [len(r[3]) for r in rows]
+        self.parts = {}
+        for width in sorted(set(widths)):
+            first, end = widths.index(width), widths.index(width) + widths.count(width)
+            self.parts[width] = first, np.frombuffer(b"".join(r[3] for r in rows[first:end]), np.uint64).reshape(end - first, -1)
+
+    def near(self, other: Block, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(a, b, bits that differ) of all members of different components that may be similar; similar texts' parities differ by a factor of two at most in size."""
+        found = []
+        for width, (first_a, odd_a) in self.parts.items():
+            for other_width in (width // 2, width, 2 * width):
+                if other_width not in other.parts:
+                    continue
+                first_b, odd_b = other.parts[other_width]
+                fold_a, fold_b = (x if x.shape[1] == min(odd_a.shape[1], odd_b.shape[1]) else x[:, : x.shape[1] // 2] ^ x[:, x.shape[1] // 2 :] for x in (odd_a, odd_b))
+                step = max(1, 2_000_000 // fold_b.size)
+                for at in range(0, len(fold_a), step):
+                    apart = np.bitwise_count(fold_a[at : at + step, None] ^ fold_b[None]).sum(axis=2, dtype=np.int64)
+                    a, b = slice(first_a + at, first_a + at + len(apart)), slice(first_b, first_b + len(fold_b))
+                    total = self.n[a][:, None] + other.n[b][None]
+                    least = np.ceil(threshold * total / (1 + threshold) - 1e-9).astype(np.int64)
+                    may = (apart <= total - 2 * least) & (np.minimum(self.n[a][:, None], other.n[b][None]) >= least) & (self.component[a][:, None] != other.component[b][None])
+                    if other is self:
+                        may &= self.node[a][:, None] < other.node[b][None]
+                    i, j = np.nonzero(may)
+                    found.append((self.node[a][i], other.node[b][j], apart[i, j]))
+        if not found:
+            return (np.empty(0, np.int64),) * 3
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def block_pairs(members: DataFrame, threshold: float, every: bool) -> DataFrame:
+    """(a, b, more): all pairs of a bucket's members (key, node, size, component, n, odd) that may be similar and are in different components.
+
+    Where a block has over AT_ONCE pairs a member it gives the nearest of each, and says so by `more`; with `every` it gives all.
+    """
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("key", "node"), blocks).cast("int")
+    cut = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    cut = cut.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other"))
+    cut = cut.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high").select("key", "low", "high", "own", "node", "component", "n", "odd")
+
+    def meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, rows, out = None, [], []
+
+        def met() -> None:
+            low = Block([r[1:] for r in rows if r[0] == cell[1]])
+            high = low if cell[1] == cell[2] else Block([r[1:] for r in rows if r[0] == cell[2]])
+            a, b, apart = low.near(high, threshold)
+            more = not every and len(a) > AT_ONCE * len(rows)
+            if more:
+                kept = []
+                for side in (a, b):
+                    order = np.lexsort((b, a, apart, side))
+                    kept.append(order[np.concatenate(([True], side[order[1:]] != side[order[:-1]]))])
+                kept = np.unique(np.concatenate(kept))
+                a, b = a[kept], b[kept]
+            if len(a):
+                out.append((np.minimum(a, b), np.maximum(a, b), np.full(len(a), more)))
+
+        def given() -> pa.RecordBatch:
+            columns = [np.concatenate(x) for x in zip(*out, strict=True)]
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["a", "b", "more"])
+
+        for batch in batches:
+            for key, low, high, *row in zip(*(batch.column(c).to_pylist() for c in batch.schema.names), strict=True):
+                if (key, low, high) != cell:
+                    if len(rows) > 1:
+                        met()
+                    cell, rows = (key, low, high), []
+                    if len(out) >= 1000 or out and len(out[-1][0]) >= 10_000:
+                        yield given()
+                rows.append(tuple(row))
+        if len(rows) > 1:
+            met()
+        if out:
+            yield given()
+
+    return cut.mapInArrow(meet, "a long, b long, more boolean").groupBy("a", "b").agg(F.max("more").alias("more"))
+
+
 def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) whose texts are similar; texts has a row (node, text) for each node of a pair."""
     of_b = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
@@ -224,19 +332,19 @@ def grown(linked: DataFrame, edges: DataFrame) -> DataFrame:
     return components(linked.select(F.col("component").alias("a"), F.col("node").alias("b")).filter("a <> b").union(edges))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = SIMILARITY, all_pairs_up_to: int = 24) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = SIMILARITY) -> DataFrame:
     """One row per row of docs: id, class_id (the smallest id of its class), class_size and kept (whether it is that row's class).
 
     A class is a set of texts connected by pairs of similarity `threshold` or more. Equal sequences of words are one text from the start.
     Texts of a bucket are held against its hub: first in the buckets of a few sketches, then in those of all sketches that
-    still have several classes. What hubs leave apart meets again in buckets of two shared sketches: there, all texts of different classes
-    are compared, in groups beyond all_pairs_up_to again with a hub.
+    still have several classes. Hubs only save work: in the end all texts of a bucket that are still of different classes are compared,
+    however many these are, unless their parities already show that they differ in too many k-mers.
 
     Defined cases: no rows give no rows. Null and empty texts have no words and are one class. A text of under five words is one k-mer, and
     is near only to equal ones. A null id counts as larger than all others. Of rows that repeat the smallest id all are kept.
     """
     sketched = written(sketch_texts(docs, id_col, text_col), "near-sketches")
-    nodes = sketched.groupBy("node").agg(F.first("keys").alias("keys"), F.min(F.struct("id", "of_text")).alias("carrier"))
+    nodes = sketched.groupBy("node").agg(F.first("keys").alias("keys"), F.first("n").alias("n"), F.first("odd").alias("odd"), F.min(F.struct("id", "of_text")).alias("carrier"))
     nodes = written(nodes, "near-nodes")
     members = bucketed(nodes.select("node", F.posexplode("keys").alias("nth", "key")), "near-members")
     pairs = written(stars(members.filter(F.col("nth") < FIRST).withColumn("component", F.col("node"))), "near-pairs")
@@ -252,19 +360,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     more = written(stars(open_members).join(pairs, ["a", "b"], "left_anti"), "near-more-pairs")
     linked = grown(linked, written(verified(more, texts, threshold).select("a", "b"), "near-more-edges"))
 
-    # what is left: buckets whose nodes are in more than one component
-    open_keys = split_buckets(open_members.drop("component"), linked)
-    finer = open_keys.groupBy("node", "component").agg(F.sort_array(F.collect_list("key")).alias("keys")).filter("size(keys) > 1")  # at most SKETCHES keys
-    both = "flatten(transform(sequence(1, size(keys) - 1), i -> transform(slice(keys, i + 1, size(keys)), k -> xxhash64(keys[i - 1], k))))"
-    finer = finer.select("node", "component", F.explode(F.expr(both)).alias("key"))
-    sizes = finer.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key", "size")
-    finer = written(finer.join(sizes, "key"), "near-finer")
-    few = finer.filter(F.col("size") <= all_pairs_up_to)
-    other = few.select("key", F.col("node").alias("node_b"), F.col("component").alias("component_b"))
-    close = few.join(other, "key").filter("node < node_b and component <> component_b").select(F.col("node").alias("a"), F.col("node_b").alias("b"))
-    many = stars(finer.filter(F.col("size") > all_pairs_up_to))
-    last = close.union(many).distinct().join(pairs.union(more), ["a", "b"], "left_anti")
-    linked = grown(linked, written(verified(last, texts, threshold).select("a", "b"), "near-last-edges"))
+    # what hubs left apart: all pairs of different components in one bucket, the nearest first where these are many
+    seen, every = pairs.union(more), False
+    while True:
+        still_open = split_buckets(open_members.drop("component"), linked).join(nodes.select("node", "n", "odd"), "node")
+        close = written(block_pairs(still_open, threshold, every), "near-close")
+        new = written(close.select("a", "b").join(seen, ["a", "b"], "left_anti"), "near-last-pairs")
+        edges = written(verified(new, texts, threshold).select("a", "b"), "near-last-edges")
+        linked, seen, every = grown(linked, edges), seen.union(new), edges.isEmpty()
+        if close.filter("more").isEmpty():
+            break
 
     labels = nodes.join(linked, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
     labels = sketched.select("id", "node").join(labels, "node")

@@ -10,6 +10,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from linewise.llm import decontamination, exact_dedup, language_id, mixing, near_dedup, pii, sharding, substring_dedup, token_files, warc
 
@@ -274,6 +275,49 @@ def test_near_duplicates_are_brute_force(spark):
     assert near_dedup.near_duplicates(frame(spark, texts[:1]).limit(0)).count() == 0
 
 
+def shared_passage(r, hub=14, own=12, n=40):
+    """Texts that share 104 words and have own tails: two with tails of `own` words are near copies, none is one of a text with `hub` words of its own."""
+    passage = [f"s{i}" for i in range(104)]
+    tail = lambda k: [f"o{r.randrange(10**9)}" for _ in range(k)]
+    return [" ".join(passage + tail(own)) for _ in range(n)] + [" ".join(passage + tail(hub)) for _ in range(n)]
+
+
+@pytest.mark.parametrize(("hub", "own"), [(14, 12), (26, 12), (25, 25), (40, 13)])
+def test_every_pair_of_a_large_bucket_is_compared(spark, monkeypatch, hub, own):
+    monkeypatch.setattr(near_dedup, "BLOCK", 16)
+    monkeypatch.setattr(near_dedup, "AT_ONCE", 2)
+    # no hubs at all: what blocks compare must be enough, whichever hub is drawn
+    monkeypatch.setattr(near_dedup, "stars", lambda members: members.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0))
+    texts = shared_passage(random.Random(hub), hub, own) + rng_texts(2, 10)
+    got = {x.doc_id: x.class_id for x in near_dedup.near_duplicates(frame(spark, texts)).collect()}
+    assert got == dict(enumerate(brute_classes(texts)))
+
+
+def test_a_hub_unlike_all_hides_no_near_copies(spark, monkeypatch):
+    texts = shared_passage(random.Random(5), hub=14)
+    far = [near_dedup.xxhash.xxh3_64_intdigest(near_dedup.WordHashes().of(near_dedup.words_of(t)).tobytes()) - (1 << 63) for t in texts[40:]]
+
+    def worst(members):
+        """Stars around the largest node with a long tail in each bucket."""
+        hubs = members.filter(F.col("node").isin(far)).groupBy("key").agg(F.max("node").alias("hub"))
+        return members.join(hubs, "key").filter("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+
+    monkeypatch.setattr(near_dedup, "stars", worst)
+    got = {x.doc_id: x.class_id for x in near_dedup.near_duplicates(frame(spark, texts)).collect()}
+    assert got == dict(enumerate(brute_classes(texts)))
+    assert set(got[i] for i in range(40)) == {0}
+
+
+def test_parities_never_show_more_than_the_difference():
+    r, k = random.Random(7), lambda words: near_dedup.kmers(near_dedup.WordHashes().of(words))
+    for _ in range(200):
+        a = [f"w{r.randrange(r.choice([3, 50, 5000]))}" for _ in range(r.randint(5, 400))]
+        b = mutated(r, a, r.randint(0, 30))
+        one, two = k(a), k(b) if b else k(["x"])
+        blocks = [near_dedup.Block([(i, i, len(x), near_dedup.parities(x))]) for i, x in enumerate((one, two))]
+        assert len(blocks[0].near(blocks[1], 0.8)[0]) or near_dedup.similarity(one, two) < 0.8
+
+
 def test_components_of_a_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(300, 200)]
     got = {x.node: x.component for x in near_dedup.components(spark.createDataFrame(edges, "a long, b long")).collect()}
