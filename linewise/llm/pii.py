@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -128,17 +127,18 @@ def disclosing_terms(docs: DataFrame, text_col: str = "text", words: int = 8, su
 
     def occurring(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            counts: Counter[str] = Counter()
-            for text in batch.column("text").to_pylist():
-                found = set(_TERM.findall(text.lower()))
-                counts.update(found & wanted if wanted is not None else found)
-            yield pa.RecordBatch.from_pydict({"term": pa.array(list(counts), pa.string()), "texts": pa.array(list(counts.values()), pa.int64())})
-
-    term_docs = texts.mapInArrow(occurring, "term string, texts long")
+            found = [set(_TERM.findall(text.lower())) for text in batch.column("text").to_pylist()]
+            terms = ["\n".join(f & wanted if wanted is not None else f) for f in found]
+            yield pa.RecordBatch.from_arrays([batch.column("of_text"), pa.array(terms, pa.string())], names=["of_text", "terms"])
+
+    # copies of a text meet by its hash, as a row of the wanted terms in it: the text itself stays where it is
+    different = texts.withColumn("of_text", F.xxhash64("text")).mapInArrow(occurring, "of_text long, terms string").dropDuplicates(["of_text"])
+    different = written(different, "pii-texts")
+    term_docs = different.filter("terms <> ''").select(F.explode(F.split("terms", "\n")).alias("term"))
     if wanted is None:
         term_docs = term_docs.join(terms, "term", "left_semi")
-    term_docs = term_docs.groupBy("term").agg(F.sum("texts").alias("term_docs"))
-    n = max(1, texts.count())
+    term_docs = term_docs.groupBy("term").agg(F.count(F.lit(1)).alias("term_docs"))
+    n = max(1, different.count())
     information = F.log(F.lit(float(n)) / F.col("entity_docs"))
     shown = F.least(F.lit(1.0), F.col("together") / F.col("term_docs"))
     scored = pairs.join(term_docs, "term").withColumn("disclosure", F.lit(1.0) + F.log(shown) / F.greatest(information, F.lit(1e-9)))

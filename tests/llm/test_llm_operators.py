@@ -525,6 +525,15 @@ def test_pii_terms(spark):
     assert pii.find_pii(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("sent", [200_000, 0])
+def test_copies_of_a_text_keep_its_disclosing_terms(spark, monkeypatch, sent):
+    monkeypatch.setattr(pii, "BROADCAST_ROWS", sent)
+    texts = rng_texts(51, 200, 40, (20, 40)) + [f"{t} Zoltan wrote ann@corp.example {u}" for t, u in zip(rng_texts(52, 12, 40, (10, 20)), rng_texts(53, 12, 40, (10, 20)))]
+    once = {(x.entity, x.term): x.disclosure for x in pii.disclosing_terms(frame(spark, texts)).collect()}
+    copied = {(x.entity, x.term): x.disclosure for x in pii.disclosing_terms(frame(spark, texts + texts[-1:] * 300 + texts[:1] * 50)).collect()}
+    assert copied == pytest.approx(once) and "zoltan" in {t for _, t in once}
+
+
 def test_pii_terms_joined_rather_than_sent(spark, monkeypatch):
     texts = rng_texts(51, 100, 40, (20, 40)) + [f"{t} Zoltan wrote ann@corp.example {u}" for t, u in zip(rng_texts(52, 12, 40, (10, 20)), rng_texts(53, 12, 40, (10, 20)))]
     docs = frame(spark, texts)
