@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPLIT, WordHashes, gram_hashes, slices, text_or_empty
+from .common import BROADCAST_ROWS, SPLIT, WordHashes, gram_hashes, slices, text_or_empty
 
 WINDOW, MINIMISER = 20, 3
 _NO_ID = -(1 << 63)
@@ -45,10 +45,11 @@ def super_kmers(hashes: np.ndarray, window: int = WINDOW, k: int = MINIMISER) ->
     return least[first], first, np.diff(np.append(first, len(least)))
 
 
-def _pack(ids: list[int], starts: list[int], strings: list[str]) -> bytes:
-    """A compressed block of super-k-mers: their texts' ids, their first windows, and their words, a line each."""
+def _pack(ids: list[int], starts: list[int], strings: list[str], of_texts: list[int] | None = None) -> bytes:
+    """A compressed block of super-k-mers: their texts' ids and hashes, their first windows, and their words, a line each."""
     text = "\n".join(strings).encode("utf-8", "surrogatepass")
-    return zstandard.ZstdCompressor(level=3).compress(np.array([len(ids)], "<i8").tobytes() + np.array(ids, "<i8").tobytes() + np.array(starts, "<i8").tobytes() + text)
+    numbers = np.array([ids, of_texts or [0] * len(ids), starts], "<i8").tobytes()
+    return zstandard.ZstdCompressor(level=3).compress(np.array([len(ids)], "<i8").tobytes() + numbers + text)
 
 
 class _Numbers(dict):
@@ -59,10 +60,10 @@ class _Numbers(dict):
         return value
 
 
-def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, str]:
+def _unpack(blob: bytes) -> tuple[np.ndarray, str]:
     raw = zstandard.ZstdDecompressor().decompress(blob)
     n = int(np.frombuffer(raw, "<i8", 1)[0])
-    return np.frombuffer(raw, "<i8", n, 8), np.frombuffer(raw, "<i8", n, 8 + 8 * n), raw[8 + 16 * n :].decode("utf-8", "surrogatepass")
+    return np.frombuffer(raw, "<i8", 3 * n, 8).reshape(3, n), raw[8 + 24 * n :].decode("utf-8", "surrogatepass")
 
 
 class Chunk:
@@ -70,55 +71,61 @@ class Chunk:
 
     def __init__(self, buckets: int, window: int):
         self.buckets, self.window = buckets, window
-        self.first: dict[str, tuple[int, int, int]] = {}
-        self.later: list[tuple[int, int, int]] = []
+        self.first: dict[str, tuple[int, int, int, int]] = {}
+        self.later: list[tuple[int, int, int, int]] = []
         self.bytes = 0
 
-    def add(self, doc: int, words: list[str], hashes: np.ndarray) -> None:
+    def add(self, doc: int, of_text: int, words: list[str], hashes: np.ndarray) -> None:
         least, first, count = super_kmers(hashes, self.window)
         bucket = (least % np.uint64(self.buckets)).tolist()
         for b, at, n in zip(bucket, first.tolist(), count.tolist(), strict=True):
             string = " ".join(words[at : at + n + self.window - 1])
-            own, other = (doc, at, b), self.first.get(string)
+            own, other = (doc, of_text, at, b), self.first.get(string)
             if other is None or own < other:
                 self.first[string] = own
                 own, other = other, own
                 self.bytes += len(string) if own is None else 0
-            if own is not None and own[:2] != other[:2]:
-                self.later.append((own[0], own[1], own[1] + n + self.window - 1))
+            if own is not None and own[:3] != other[:3]:
+                self.later.append((*own[:3], own[2] + n + self.window - 1))
 
     def rows(self) -> pa.RecordBatch:
         """A row per bucket (bucket, packed)."""
-        by_bucket: dict[int, tuple[list, list, list]] = {}
-        for string, (doc, at, b) in self.first.items():
-            ids, starts, strings = by_bucket.setdefault(b, ([], [], []))
+        by_bucket: dict[int, tuple[list, list, list, list]] = {}
+        for string, (doc, of_text, at, b) in self.first.items():
+            ids, starts, strings, of_texts = by_bucket.setdefault(b, ([], [], [], []))
             ids.append(doc)
             starts.append(at)
             strings.append(string)
+            of_texts.append(of_text)
         packed = {b: _pack(*x) for b, x in by_bucket.items()}
         return pa.RecordBatch.from_pydict({"bucket": pa.array(list(packed), pa.int32()), "packed": pa.array(list(packed.values()), pa.binary())})
 
 
-RANGES = pa.schema([("id", pa.int64()), ("first", pa.int64()), ("end", pa.int64())])
+RANGES = pa.schema([("id", pa.int64()), ("of_text", pa.int64()), ("first", pa.int64()), ("end", pa.int64())])
 
 
 def repeats_of(blobs: Iterable[bytes], window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(id, first word, end) of runs of windows in a bucket that are not the first of their words.
+    """(id, first word, end) of what named_repeats_of finds, where ids alone name texts."""
+    doc, _, first, end = named_repeats_of(blobs, window)
+    return doc, first, end
+
+
+def named_repeats_of(blobs: Iterable[bytes], window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(id, hash of the text, first word, end) of runs of windows in a bucket that are not the first of their words.
 
     Windows are compared by the numbers of their words in the bucket's own vocabulary: hashes only tell which windows need no
     comparison.
     """
     vocabulary = _Numbers()
-    ids, starts, lengths, numbers = [], [], [], []
+    places, lengths, numbers = [], [], []
     for blob in blobs:
-        own_ids, own_starts, text = _unpack(blob)
-        ids.append(own_ids)
-        starts.append(own_starts)
+        own, text = _unpack(blob)
+        places.append(own)
         lengths += [line.count(" ") + 1 for line in text.split("\n")]
         words = text.replace("\n", " ").split(" ")
         numbers.append(np.fromiter(map(vocabulary.__getitem__, words), np.uint32, len(words)))
     if not lengths:
-        return (np.empty(0, np.int64),) * 3
+        return (np.empty(0, np.int64),) * 4
     n_words = np.array(lengths)
     word = np.concatenate(numbers)
     del numbers
@@ -127,51 +134,66 @@ def repeats_of(blobs: Iterable[bytes], window: int = WINDOW) -> tuple[np.ndarray
     owner = np.repeat(np.arange(len(n_words)), n_windows)
     within = np.arange(len(owner)) - np.repeat(np.cumsum(n_windows) - n_windows, n_windows)
     at = base[owner] + within  # a window's first word among all words of the bucket
-    doc, start = np.concatenate(ids)[owner], np.concatenate(starts)[owner] + within
+    ids, of_texts, starts = np.concatenate(places, axis=1)
+    doc, of_text, start = ids[owner], of_texts[owner], starts[owner] + within
     h = gram_hashes(word.astype(np.uint64) + np.uint64(1), window, seed=1)[at]
     order = np.argsort(h)
     again = h[order[1:]] == h[order[:-1]]
     order = order[np.append(again, False) | np.insert(again, 0, False)]  # only windows that share their hash with another
     if len(order) == 0:
-        return (np.empty(0, np.int64),) * 3
-    h, doc, start, at, owner = h[order], doc[order], start[order], at[order], owner[order]
+        return (np.empty(0, np.int64),) * 4
+    h, doc, of_text, start, at, owner = h[order], doc[order], of_text[order], start[order], at[order], owner[order]
     words_of = [word[at + j] for j in range(window)]
-    order = np.lexsort((start, doc, h))
+    order = np.lexsort((start, of_text, doc, h))
     if not all((w[order[1:]] == w[order[:-1]])[h[order[1:]] == h[order[:-1]]].all() for w in words_of):
-        order = np.lexsort((start, doc, *words_of))  # two different windows have one hash: sort by the words themselves
-    doc, start, owner = doc[order], start[order], owner[order]
+        order = np.lexsort((start, of_text, doc, *words_of))  # two different windows have one hash: sort by the words themselves
+    doc, of_text, start, owner = doc[order], of_text[order], start[order], owner[order]
     equal = np.ones(len(order) - 1, bool)
     for w in words_of:
         equal &= w[order[1:]] == w[order[:-1]]
     group = np.ones(len(order), np.int64)
     group[1:][equal] = 0
     first = np.flatnonzero(group)[np.cumsum(group) - 1]
-    late = (doc != doc[first]) | (start != start[first])  # rows that repeat an id share their places, neither is later
-    doc, start, owner = doc[late], start[late], owner[late]
+    late = (doc != doc[first]) | (of_text != of_text[first]) | (start != start[first])  # rows that repeat an id and a text share their places, neither is later
+    doc, of_text, start, owner = doc[late], of_text[late], start[late], owner[late]
     order = np.lexsort((start, owner))
-    doc, start, owner = doc[order], start[order], owner[order]
+    doc, of_text, start, owner = doc[order], of_text[order], start[order], owner[order]
     if not len(doc):
-        return doc, start, start
+        return doc, of_text, start, start
     new = np.concatenate(([True], (owner[1:] != owner[:-1]) | (start[1:] != start[:-1] + 1)))
     last = np.append(np.flatnonzero(new)[1:], len(new)) - 1
-    return doc[new], start[new], start[last] + window
+    return doc[new], of_text[new], start[new], start[last] + window
+
+
+def named_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, text, of_text): a row is named by its id and, where the id is null or not the only one, by a hash of its text too; of_text is 0 elsewhere."""
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
+    again = rows.filter("id is not null").groupBy("id").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("id", F.lit(True).alias("again"))
+    few = again.limit(BROADCAST_ROWS + 1).collect()
+    if len(few) > BROADCAST_ROWS:  # too many to send to every task: all rows are named by both
+        return rows.withColumn("of_text", F.xxhash64("text"))
+    named = F.col("id").isNull()
+    if few:
+        rows = rows.join(F.broadcast(docs.sparkSession.createDataFrame([tuple(r) for r in few], again.schema)), "id", "left")
+        named |= F.col("again").isNotNull()
+    return rows.select("id", "text", F.when(named, F.xxhash64("text")).otherwise(F.lit(0).cast("long")).alias("of_text"))
 
 
-def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, bucket_bytes: int = 24 << 20, chunk_bytes: int = 8_000_000) -> DataFrame:
-    """(id, first, end) ranges of words that are covered by windows whose words also start earlier; ranges may overlap.
+def repeated_ranges(rows: DataFrame, window: int = WINDOW, bucket_bytes: int = 24 << 20, chunk_bytes: int = 8_000_000) -> DataFrame:
+    """(id, of_text, first, end) ranges of words of named rows that are covered by windows whose words also start earlier; ranges may overlap.
 
     bucket_bytes is the packed text that a bucket should have: super-k-mers hold about three times the texts' words.
     """
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("id"), text_or_empty(text_col).alias("text"))
+    rows = rows.withColumn("id", F.coalesce("id", F.lit(_NO_ID)))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    spark = docs.sparkSession
+    spark = rows.sparkSession
     buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(3 * total / bucket_bytes))
 
     def scatter(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, turn = WordHashes(), 0
         chunk, held = Chunk(buckets, window), 0
 
-        def settled(later: list[tuple[int, int, int]]) -> pa.RecordBatch:
+        def settled(later: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
             """Ranges that need no bucket go to any: they pass through it."""
             nonlocal turn
             cuts = [later[a : a + 5000] for a in range(0, len(later), 5000)]
@@ -188,10 +210,10 @@ def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             chunk, held = Chunk(buckets, window), 0
 
         for batch in slices(batches, "text"):
-            for doc, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            for doc, of_text, text in zip(*(batch.column(c).to_pylist() for c in ("id", "of_text", "text")), strict=True):
                 words = SPLIT.findall(text)
                 if len(words) >= window:
-                    chunk.add(doc, words, hashes.of(words))
+                    chunk.add(doc, of_text, words, hashes.of(words))
                 held += len(text)
                 if held >= chunk_bytes:
                     yield from flush()
@@ -199,12 +221,12 @@ def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def resolve(bucket: pa.Table) -> pa.Table:
         blobs = bucket.column("packed").to_pylist()
-        passed = [np.frombuffer(b, "<i8", offset=1).reshape(-1, 3) for b in blobs if b[:1] == b"R"]
-        found = np.stack(repeats_of((b for b in blobs if b[:1] != b"R"), window), axis=1)
+        passed = [np.frombuffer(b, "<i8", offset=1).reshape(-1, 4) for b in blobs if b[:1] == b"R"]
+        found = np.stack(named_repeats_of((b for b in blobs if b[:1] != b"R"), window), axis=1)
         every = np.concatenate([found, *passed])
-        return pa.table([every[:, 0], every[:, 1], every[:, 2]], schema=RANGES)
+        return pa.table([every[:, i] for i in range(4)], schema=RANGES)
 
-    return rows.mapInArrow(scatter, "bucket int, packed binary").groupBy("bucket").applyInArrow(resolve, "id long, first long, end long")
+    return rows.mapInArrow(scatter, "bucket int, packed binary").groupBy("bucket").applyInArrow(resolve, "id long, of_text long, first long, end long")
 
 
 def kept_words(words: list[str], first: list[int], end: list[int]) -> list[str]:
@@ -222,13 +244,14 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     space between them.
 
     Defined cases: a null text has no words; texts of fewer words than a window keep all. No rows give no rows. A null id is
-    smaller than any other. The id names a text: rows that repeat an id and a text are judged alike, and rows that repeat an id with different
-    texts share what is removed by place. A text full of one word keeps its first window.
+    smaller than any other. Rows that repeat an id and a text are judged alike; of rows that repeat an id, or have none, with different texts
+    the one whose text has the smaller xxhash64 is earlier. A text full of one word keeps its first window.
     """
-    ranges = repeated_ranges(docs, id_col, text_col, window, **options)
-    spans = ranges.groupBy(F.col("id").alias("of_id")).agg(F.collect_list("first").alias("first"), F.collect_list("end").alias("end"))  # as long as the text at most
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
-    rows = rows.join(spans, F.coalesce("id", F.lit(_NO_ID)) == F.col("of_id"), "left").select("id", "text", "first", "end")
+    rows = named_rows(docs, id_col, text_col)
+    ranges = repeated_ranges(rows, window, **options)
+    spans = ranges.groupBy(F.col("id").alias("of_id"), F.col("of_text").alias("named")).agg(F.collect_set(F.struct("first", "end")).alias("spans"))  # as long as the text at most
+    rows = rows.join(spans, (F.coalesce("id", F.lit(_NO_ID)) == F.col("of_id")) & (F.col("of_text") == F.col("named")), "left")
+    rows = rows.select("id", "text", F.col("spans.first").alias("first"), F.col("spans.end").alias("end"))
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):

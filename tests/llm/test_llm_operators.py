@@ -360,6 +360,25 @@ def test_substring_dedup_is_brute_force(spark, chunk):
     assert substring_dedup.dedup_substrings(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("sent", [200_000, 0])
+@pytest.mark.parametrize("chunk", [300, 8_000_000])
+def test_substring_dedup_of_rows_without_an_id_of_their_own(spark, monkeypatch, chunk, sent):
+    monkeypatch.setattr(substring_dedup, "BROADCAST_ROWS", sent)
+    passage = " ".join(f"p{i}" for i in range(25))
+    texts = rng_texts(21, 40, 500, (15, 70)) + [f"{a} {passage} {b}" for a, b in zip(rng_texts(22, 30, 300, (5, 30)), rng_texts(23, 30, 300, (5, 30)))] + [passage] * 5 + [f"{passage} own end", f"{passage} other end"]
+    ids = [None if i % 3 == 0 else 7 if i % 3 == 1 else 100 + i for i in range(len(texts))]
+    docs = frame(spark, texts, ids=ids).repartition(3)
+    own = {x.text: x.h for x in docs.select("text", F.xxhash64("text").alias("h")).collect()}
+    names = sorted({(i is not None, i or 0, own[t]) for i, t in zip(ids, texts)})
+    rank = [names.index((i is not None, i or 0, own[t])) for i, t in zip(ids, texts)]
+    want = Counter()
+    for (doc, n, gone, sha), times in brute_substrings(list(zip(rank, texts)), 20).items():
+        flag, i, _ = names[doc]
+        want[i if flag else None, n, gone, sha] += times
+    got = substring_dedup.digests(substring_dedup.dedup_substrings(docs, chunk_bytes=chunk))
+    assert Counter(tuple(x) for x in got.collect()) == want
+
+
 def test_equal_hashes_of_different_windows_are_told_apart(monkeypatch):
     monkeypatch.setattr(substring_dedup, "gram_hashes", lambda words, n, seed=0: np.zeros(max(0, len(words) - n + 1), np.uint64))
     strings = [" ".join(w) for w in (["a"] * 22, list("bcdefghijklmnopqrstuv"), list("bcdefghijklmnopqrstuw"))]
