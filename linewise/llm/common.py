@@ -12,7 +12,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word of the contracts that count words: a run of anything but ASCII blanks.
@@ -71,6 +71,24 @@ def if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def without(docs: DataFrame, dropped: DataFrame, repeated: DataFrame, id_col: str, content: Column) -> DataFrame:
+    """docs without the rows named by dropped, and with one of the rows named by each row of repeated.
+
+    dropped and repeated have rows (id, of_text), each once; of_text is what `content` says of a row of docs. A row is named by both, as an
+    id may be null or repeated. Of several rows of one name that with the least hash of its columns stays.
+    """
+    names = lambda rows: rows.select(F.col("id").alias("__id"), F.col("of_text").alias("__of_text"))
+    named = docs.withColumn("__content", content)
+    same = named[id_col].eqNullSafe(F.col("__id")) & (F.col("__content") == F.col("__of_text"))
+    left = named.join(names(dropped), same, "left_anti")
+    if repeated.isEmpty():
+        return left.drop("__content")
+    same = left[id_col].eqNullSafe(F.col("__id")) & (F.col("__content") == F.col("__of_text"))
+    many = left.join(names(repeated), same, "left_semi").groupBy(F.col(id_col).alias("__id"), "__content")
+    one = many.agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.hash(*[F.col(f"`{c}`") for c in docs.columns if not docs.schema[c].dataType.simpleString().startswith("map")])).alias("__row"))
+    return left.join(names(repeated), same, "left_anti").drop("__content").unionByName(one.select("__row.*"))
+
+
 def text_or_empty(column: str):
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 

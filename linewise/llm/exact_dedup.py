@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import if_small, text_or_empty, written
+from .common import if_small, text_or_empty, without, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -68,9 +68,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs without the rows that exact_dedup drops; all columns stay."""
-    dropped = exact_dedup(docs, id_col, text_col, **options).filter("not kept").select(F.col(id_col).alias("__dropped")).distinct()
-    return docs.join(dropped, docs[id_col].eqNullSafe(F.col("__dropped")), "left_anti")
+    """docs with one row of each group of exact_dedup, one with the largest id; all columns stay. A row is named by its id and normalised text."""
+    judged = exact_dedup(docs, id_col, text_col, **options | {"digest_all": True})
+    named = judged.groupBy(F.col(id_col).alias("id"), F.col("text_sha256").alias("of_text"), "kept").agg(F.count(F.lit(1)).alias("rows"))
+    named = written(named, "exact-named")
+    digest = F.sha2(F.encode(ascii_lower(text_or_empty(text_col)), "UTF-8"), 256)
+    return without(docs, named.filter("not kept"), named.filter("kept and rows > 1"), id_col, digest)
 
 
 ORACLE_SQL = f"""

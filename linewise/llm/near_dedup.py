@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPLIT, WordHashes, gram_hashes, if_small, mixed, slices, text_or_empty, written
+from .common import SPLIT, WordHashes, gram_hashes, if_small, mixed, slices, text_or_empty, without, written
 
 K, SIMILARITY = 5, 0.8
 #: Order MinHash takes `DRAWN` k-mers a sketch, `SKETCHES` sketches a text. At similarity 0.8 two texts share one sketch with a
@@ -343,6 +343,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Defined cases: no rows give no rows. Null and empty texts have no words and are one class. A text of under five words is one k-mer, and
     is near only to equal ones. A null id counts as larger than all others. Of rows that repeat the smallest id all are kept.
     """
+    labels = classified(docs, id_col, text_col, threshold)
+    classes = labels.groupBy("component").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
+    return labels.join(classes, "component").select(
+        F.col("id").alias(id_col), "class_id", "class_size", F.col("id").eqNullSafe(F.col("class_id")).alias("kept"),
+    )
+
+
+def classified(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> DataFrame:
+    """(id, of_text, component): the class of each row of docs, with the hash of its text."""
     sketched = written(sketch_texts(docs, id_col, text_col), "near-sketches")
     nodes = sketched.groupBy("node").agg(F.first("keys").alias("keys"), F.first("n").alias("n"), F.first("odd").alias("odd"), F.min(F.struct("id", "of_text")).alias("carrier"))
     nodes = written(nodes, "near-nodes")
@@ -372,15 +381,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             break
 
     labels = nodes.join(linked, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
-    labels = sketched.select("id", "node").join(labels, "node")
-    labels = written(labels, "near-labels")
-    classes = labels.groupBy("component").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
-    return labels.join(classes, "component").select(
-        F.col("id").alias(id_col), "class_id", "class_size", F.col("id").eqNullSafe(F.col("class_id")).alias("kept"),
-    )
+    labels = sketched.select("id", "of_text", "node").join(labels, "node").select("id", "of_text", "component")
+    return written(labels, "near-labels")
+
 
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = SIMILARITY) -> DataFrame:
+    """docs with one document of each class, the one with the smallest id; all columns stay.
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs with one document of each class, the one with the smallest id; all columns stay."""
-    dropped = near_duplicates(docs, id_col, text_col, **options).filter("not kept").select(F.col(id_col).alias("__dropped")).distinct()
-    return docs.join(dropped, docs[id_col].eqNullSafe(F.col("__dropped")), "left_anti")
+    A row is named by its id and text, as an id may be null, which is larger than all others, or repeated: then the smaller hash of the text stays.
+    """
+    labels = classified(docs, id_col, text_col, threshold)
+    named = labels.groupBy("component", "id", "of_text").agg(F.count(F.lit(1)).alias("rows")).withColumn("place", F.struct(F.col("id").isNull().alias("none"), "id", "of_text"))
+    first = named.groupBy("component").agg(F.min("place").alias("first"))
+    named = written(named.join(first, "component").select("id", "of_text", "rows", (F.col("place") == F.col("first")).alias("kept")), "near-named")
+    return without(docs, named.filter("not kept"), named.filter("kept and rows > 1"), id_col, F.xxhash64(text_or_empty(text_col)))

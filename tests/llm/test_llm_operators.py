@@ -324,6 +324,25 @@ def test_components_of_a_path_and_a_star(spark):
     assert got == {**dict.fromkeys(range(41), 0), **dict.fromkeys(range(100, 130), 100), 200: 200, 300: 200}
 
 
+@pytest.mark.parametrize("near", [True, False])
+def test_rows_without_an_id_of_their_own_lose_only_copies(spark, near):
+    import corpus_pipeline
+
+    plain = rng_texts(71, 12, 900, (20, 40))
+    texts = plain + [plain[0], plain[1], plain[1], plain[2].upper(), plain[3], plain[3], plain[4]]
+    ids = [None, 5, None, 5, None, 5, 5, None, 1, 2, None, 5] + [None, 5, None, 5, 9, 9, 5]
+    docs = frame(spark, texts, ids=ids)
+    drop = (lambda d: corpus_pipeline.drop_near_copies(spark, d, SF)) if near else exact_dedup.drop_exact_copies
+    left = drop(docs)
+    assert left.columns == docs.columns
+    assert Counter(x.text.lower() for x in left.collect()) == Counter(plain)
+    best = {}
+    for i, t in zip(ids, texts):
+        best.setdefault(t.lower(), []).append(i)
+    keep = (lambda own: min((x for x in own if x is not None), default=None)) if near else (lambda own: max((x for x in own if x is not None), default=None))
+    assert {x.text.lower(): x.doc_id for x in left.collect()} == {t: keep(own) for t, own in best.items()}
+
+
 # 5 ----------------------------------------------------------------------------------------------------------------------
 
 
