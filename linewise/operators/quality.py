@@ -155,8 +155,8 @@ def dialogue_floor(lines: DataFrame) -> DataFrame:
 
 
 def duplicates_by_key(rows: DataFrame, key: Column, id_col: str) -> DataFrame:
-    """(key, n, ids): keys that more than one row has, with their ids in order."""
-    return rows.select(key.alias("key"), F.col(id_col).alias("id")).groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list("id")).alias("ids")).filter("n > 1")
+    """(key, n, first_id, last_id): keys that more than one row has, with the smallest and the largest of their ids."""
+    return rows.select(key.alias("key"), F.col(id_col).alias("id")).groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id")).filter("n > 1")
 
 
 def best_of_key(rows: DataFrame, key: str, *order: Column) -> DataFrame:

@@ -348,7 +348,7 @@ def number_set_difference(spark, sf_dir):
 SELECT md5(key) AS key, count(*) AS n, min(doc_id) AS first_id, max(doc_id) AS last_id FROM k GROUP BY key HAVING count(*) > 1""")
 def dedupe_by_normalized_key(spark, sf_dir):
     rows = quality.duplicates_by_key(table(spark, sf_dir, "documents"), T.comparable(F.col("text")), "doc_id")
-    return rows.select(F.md5("key").alias("key"), "n", F.element_at("ids", 1).alias("first_id"), F.element_at("ids", -1).alias("last_id"))
+    return rows.select(F.md5("key").alias("key"), "n", "first_id", "last_id")
 
 
 @query("""SELECT a.conv_id AS work, a.turn AS scene_no FROM (SELECT *, row_number() OVER (PARTITION BY a.conv_id ORDER BY a.turn) AS rn FROM conversations a JOIN conversations b
@@ -511,8 +511,7 @@ WHEN regexp_matches(props, '(?i)timeout|timed out|etimedout') THEN 'timeout' WHE
 count(*) AS n, min(event_id) AS first_id, max(event_id) AS last_id FROM events GROUP BY 1""")
 def error_class_groups(spark, sf_dir):
     """Events by the kind of failure that their properties would tell of."""
-    rows = selection.error_groups(table(spark, sf_dir, "events"), F.col("props"), "event_id")
-    return rows.select("class", "n", F.element_at("ids", 1).alias("first_id"), F.element_at("ids", -1).alias("last_id"))
+    return selection.error_groups(table(spark, sf_dir, "events"), F.col("props"), "event_id")
 
 
 @query("""SELECT event_type, count(*) AS n, CAST(sum(CASE WHEN value < 10 THEN 1 ELSE 0 END) AS BIGINT) AS failures, sum(CASE WHEN value < 10 THEN 1 ELSE 0 END) >= greatest(2.0, count(*) * 0.5) AS outage FROM events GROUP BY event_type""")

@@ -155,6 +155,13 @@ def test_selection(spark):
     assert value(spark, "HTTP 429", selection.error_class) == "rate_limit" and value(spark, "socket hang up", selection.error_class) == "transient"
 
 
+def test_groups_are_aggregated_without_lists_of_their_rows(spark):
+    from linewise.plans.queries import QUERIES
+
+    for name in ("error_class_groups", "dedupe_by_normalized_key"):
+        assert "collect_list" not in QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+
+
 def test_reuse(spark):
     scenes = spark.createDataFrame([("w", 0, "# A\n@X\n- hello there"), ("w", 1, "# B\nwind")], "work string, scene_no int, scene string")
     done = spark.createDataFrame([("w", 0, "# 가\n@엑스\n- 안녕하세요")], "work string, scene_no int, translated string")
