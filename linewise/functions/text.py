@@ -1,4 +1,4 @@
-"""Column expressions over lines of text. All are built-in functions, so plans that use them stay in generated code."""
+"""Column expressions over lines of text. All but collapse_repeats are built-in functions alone, so plans that use them stay in generated code."""
 
 from __future__ import annotations
 
@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import folding
+
 #: White space as the Unicode-aware engines see it; Java's \\s is ASCII alone.
 BLANK = r"\s\x{0B}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
 #: A word boundary between ASCII word characters and others; Java's \\b also sees accented letters as words.
@@ -116,17 +118,19 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(union > 0, F.size(F.array_intersect(a, b)) / union).otherwise(F.lit(0.0))
 
 
-def collapse_repeats(text: Column, rounds: int = 4, longest: int = 120) -> Column:
-    """Runs of three or more copies of six characters or more become one, as often as `rounds`; a tail of one digit only where a run did.
+def collapse_repeats(text: Column, rounds: int = 4, longest: int = folding.SHORT) -> Column:
+    """Runs of three or more copies of six characters or more become one, until nothing changes; a tail of one digit only where a run did.
 
-    A copy has up to `longest` characters, as a line on a page has, so work on a text is linear in its length. Texts without a run are
-    searched once.
+    The pattern folds copies of up to `longest` characters as often as `rounds`. Texts with lines that could hold longer ones, or with runs
+    left after that, go to folding.folded, which has no limit.
     """
     run = rf"(.{{6,{longest}}}?)\1{{2,}}"
     out = text
     for _ in range(rounds):
         out = F.regexp_replace(out, run, "$1")
-    return F.when(text.rlike(run), F.regexp_replace(out, rx(r"(\d)\1{2,}\s*$"), "$1")).otherwise(text)
+    rest = text.rlike(rf".{{{3 * folding.SHORT + 1},}}") | out.rlike(run)
+    out = F.coalesce(F.udf(folding.folded, "string")(F.when(rest, text), text.rlike(run)), out)
+    return F.when(out != text, F.regexp_replace(out, rx(r"(\d)\1{2,}\s*$"), "$1")).otherwise(text)
 
 
 def round_half_up(value: Column) -> Column:

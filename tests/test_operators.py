@@ -1,5 +1,7 @@
 """Operators on small literal rows: the cases that the given tables do not have."""
 
+import random
+import re
 import math
 
 from pyspark.sql import functions as F
@@ -41,6 +43,25 @@ def test_text_expressions(spark):
     assert year("film 1994", "x") == "1994" and year("film", "2001 copyright 1987") == "1987" and year("film", "none") is None
 
 
+def test_repeats_of_any_length_are_folded(spark):
+    r, run = random.Random(1), re.compile(r"(.{6,}?)\1{2,}")
+
+    def plain(text):
+        out, before = text, None
+        while out != before:
+            before, out = out, run.sub(r"\1", out)
+        return re.sub(r"(\d)\1{2,}\s*$", r"\1", out) if out != text else out
+
+    word = lambda n, letters="abcdefgh ": "".join(r.choice(letters) for _ in range(n))
+    texts = ["", "x" * 500, "abcdef" * 100, word(900), word(130) * 3, word(130) * 2, word(40) + word(200) * 5 + word(77) + "1111", f"short\n{word(150) * 3} and {word(9) * 4}\nlast"]
+    nested = word(7)
+    for _ in range(6):
+        nested = nested * 3 + word(1)
+    texts += [nested, word(3000, "ab"), *(word(r.randrange(9)) + (word(r.randint(5, 9)) * r.randint(2, 4) + word(r.randint(0, 150))) * r.randint(2, 4) for _ in range(40))]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", T.collapse_repeats(F.col("t")).alias("t")).collect()
+    assert {x.i: x.t for x in rows} == {i: plain(t) for i, t in enumerate(texts)}
+
+
 def test_blocks_scenes_and_chunks(spark):
     text = "# A\n\n@X\n- one\n- two\n\n\nout\n# B\n@Y\n(low)\n- three"
     rows = lines(spark, text)
