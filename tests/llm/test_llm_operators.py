@@ -382,7 +382,7 @@ def test_substring_dedup_is_brute_force(spark, chunk):
 @pytest.mark.parametrize("sent", [200_000, 0])
 @pytest.mark.parametrize("chunk", [300, 8_000_000])
 def test_substring_dedup_of_rows_without_an_id_of_their_own(spark, monkeypatch, chunk, sent):
-    monkeypatch.setattr(substring_dedup, "BROADCAST_ROWS", sent)
+    monkeypatch.setattr(substring_dedup, "BROADCAST_ROWS", sent, raising=False)
     passage = " ".join(f"p{i}" for i in range(25))
     texts = rng_texts(21, 40, 500, (15, 70)) + [f"{a} {passage} {b}" for a, b in zip(rng_texts(22, 30, 300, (5, 30)), rng_texts(23, 30, 300, (5, 30)))] + [passage] * 5 + [f"{passage} own end", f"{passage} other end"]
     ids = [None if i % 3 == 0 else 7 if i % 3 == 1 else 100 + i for i in range(len(texts))]
