@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import unicodedata
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -51,7 +52,8 @@ class PieceIds(dict):
         self.word_end = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
         if suffix:
             self.word_end[[i for w, i in self.tokenizer.get_vocab().items() if w.endswith(suffix)]] = True
-        self.by_piece = self.by_piece and all(self._bytes(self.tokenizer.encode(p, add_special_tokens=False)) == self.of(p) for p in PROBES)
+        whole = int(self.word_end.sum()) and sum(len(w) == 1 + len(suffix) for w in self.tokenizer.get_vocab() if w.endswith(suffix)) >= 256
+        self.by_piece = self.by_piece and bool(whole) and all(self._bytes(self.tokenizer.encode(p, add_special_tokens=False)) == self.of(p) for p in PROBES)
 
     @staticmethod
     def _drops_blanks(parts: dict) -> bool:
@@ -80,12 +82,16 @@ class PieceIds(dict):
             self[piece] = value
 
     def learn(self, pieces: set[str]) -> None:
-        """Encode the words of pieces not yet known together: each is one pre-token, so an id that ends a word shows where it ends."""
+        """Encode the words of pieces not yet known together, and cut the ids where words end.
+
+        Each word is one pre-token or more, and each pre-token's last id ends a word (all bytes have such a form, which is checked at load): as
+        many ends as words mean that each has one.
+        """
         words = {w for p in pieces if p not in self and p not in self.older for w in parts_of(p)}
         new = [w for w in words if w.isalpha() and w not in self and w not in self.older and len(w) <= 64]
-        for a in range(0, len(new), 5000):
-            part = new[a : a + 5000]
-            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, self.type)
+        for a in range(0, len(new), 1000):
+            part = new[a : a + 1000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, self.type)
             ends = np.flatnonzero(self.word_end[ids]) + 1
             if len(ends) != len(part):
                 continue  # some word is more than one pre-token: each is encoded when it is met
@@ -94,6 +100,11 @@ class PieceIds(dict):
                 self._keep(piece, raw[at * width : end * width])
                 at = end
 
+    def forget(self) -> None:
+        """Give the memory of the pieces back: the worker process that holds this goes on to other work."""
+        self.clear()
+        self.older = {}
+
     def of(self, text: str) -> bytes:
         """The ids of a text, as little-endian unsigned integers of the file's width."""
         if not self.by_piece:
@@ -112,13 +123,19 @@ def pieces_of(text: str) -> list[str]:
 
 
 def parts_of(piece: str) -> list[str]:
-    """A piece cut where the tokenizer cuts in any case: ASCII between letters, digits and marks, in lower case; others before closing marks."""
+    """A piece cut where the tokenizer cuts in any case: ASCII between letters, digits and marks, in lower case; others before closing marks.
+
+    What counts is the word in normal form and lower case: that of a dotted capital I ends in a combining dot, which the tokenizer joins with
+    the marks after it. So the cut is made only where the form ends in a letter of the alphabets below, which are old enough for all engines to agree on.
+    """
     if piece.isascii() and "'" not in piece and "<" not in piece:
         return _ASCII_PARTS.findall(piece.lower())
     core = piece.rstrip(MARKS)
-    return [core, piece[len(core) :]] if core.isalpha() and len(core) < len(piece) else [piece]
+    cut = len(core) < len(piece) and core.isalpha() and _SURE_LETTER.fullmatch(unicodedata.normalize("NFC", core[-8:]).lower()[-1:])
+    return [core, piece[len(core) :]] if cut else [piece]
 
 
+_SURE_LETTER = re.compile("[a-z\u00df-\u00f6\u00f8-\u017f\u03b1-\u03c9\u0430-\u045f]")
 _ASCII_PARTS = re.compile("[a-z]+|[0-9]|[^a-z0-9]+")
 #: Marks that may follow a word, and texts on which the shortcut is compared with the tokenizer when it is loaded.
 MARKS = ".,;:!?"

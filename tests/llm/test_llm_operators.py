@@ -515,6 +515,34 @@ def test_token_files(spark):
     assert token_files.token_files_round_trip(spark, docs.limit(0)).count() == 0
 
 
+def test_pieces_have_the_tokenizers_ids_for_letters_and_marks_of_all_scripts():
+    import unicodedata
+
+    pieces = token_files.PieceIds(token_files.default_tokenizer())
+    assert pieces.by_piece
+    for c in range(0x80, 0x30000):
+        kind = unicodedata.category(chr(c))
+        if kind[0] in "LMNZ" or kind in ("Cf", "Po") or (kind == "Cc"):
+            if kind == "Lo" and c > 0x3400 and c % 19:
+                continue  # ideographs and syllables differ in nothing that matters here
+            text = f"a{chr(c)}. {chr(c)}, x{chr(c)}!b \u00e9{chr(c)}? A{chr(c)}; W{chr(c)}:"
+            pieces.forget()
+            lists = token_files.pieces_of(text)
+            pieces.learn(set(lists))
+            assert pieces.of_pieces(lists) == pieces._bytes(pieces.tokenizer.encode(text, add_special_tokens=False)), ascii(text)
+
+
+def test_pieces_of_random_texts_have_the_tokenizers_ids():
+    r = random.Random(9)
+    pieces = token_files.PieceIds(token_files.default_tokenizer(), limit=40)
+    signs = list("abzAZ019 .,;:!?'<|>-_\t\n") + ["\u0130", "\u0307", "\u09dc", "\u0958", "\ufb2a", "\u00df", "\u1e9e", "\u03a3", "\u00e9", "e\u0301", "\u4e2d", "\U0001f600", "\x1c", "\x85", "\u2028", "'s", "n't", "<|endoftext|>"]
+    for _ in range(4000):
+        text = "".join(r.choice(signs) for _ in range(r.randint(0, 30)))
+        lists = token_files.pieces_of(text)
+        pieces.learn(set(lists))
+        assert pieces.of_pieces(lists) == pieces._bytes(pieces.tokenizer.encode(text, add_special_tokens=False)), ascii(text)
+
+
 # 9 ----------------------------------------------------------------------------------------------------------------------
 
 
