@@ -145,7 +145,7 @@ _loaded: dict[str, PieceIds] = {}
 
 
 def piece_ids(path: str) -> PieceIds:
-    """The tokenizer of this worker process, kept from task to task."""
+    """The tokenizer of this worker process, kept from task to task; the pieces it has met are not."""
     if path not in _loaded:
         _loaded[path] = PieceIds(path)
     return _loaded[path]
@@ -226,6 +226,7 @@ def write_token_files(
                 out.add(data)
                 ids.append(doc)
                 lengths.append(len(data) // len(end))
+        pieces.forget()
         if out:
             out.close()
             n = np.array(lengths, np.int64)
