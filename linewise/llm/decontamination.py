@@ -1,10 +1,9 @@
 """Benchmark decontamination with SimHash over item-sized windows.
 
-A benchmark item of n words is held against every run of n words of a document. A window whose weighted five-word shingles
-are similar to the item's at 0.8 or more has at least 0.89 of them in common, so only windows with that many shingles of items can
-qualify: these get a 128-bit SimHash. Fingerprints meet over blocks of bits (multi-index Hamming): if two differ in at most `radius`
-bits, some block differs in at most radius // blocks bits, and every value that near is looked up. What lies within the radius is
-then verified by the exact weighted similarity.
+A benchmark item of n words is held against every run of n words of a document. Windows that share a shingle (a run of five words) with any
+item get a 256-bit SimHash of their shingles; all others have nothing in common with an item. Fingerprints meet over four blocks of 64
+bits (multi-index Hamming): if two differ in at most `radius` bits, some block differs in at most radius // 4, which one in some 2,000
+pairs of unlike windows does. What lies within the radius is then verified by the exact similarity of the weighted shingles.
 """
 
 from __future__ import annotations
@@ -19,13 +18,15 @@ from pyspark.sql import functions as F
 from .common import CharTable, gram_hashes, mixed, slices, text_or_empty
 
 SHINGLE, SIMILARITY = 5, 0.8
-#: Bytes of text that are hashed at a time: arrays of it have 8 bytes a character.
+#: Bytes of text that are hashed at a time, and characters of a longer text: arrays of it have some 40 bytes a character.
 SLICE = 1_000_000
-BITS, BLOCK = 128, 8
+BITS, BLOCK = 256, 64
 #: Bits that fingerprints of windows at the similarity threshold may differ in. Two random +-1 projections of vectors with a
-#: cosine of 2 x 0.8 / 1.8 differ with a chance of acos(0.889) / pi = 0.151: 19.4 of 128 bits on average, deviation 4.06. 47 bits lie
-#: 6.8 deviations above; short items, whose sums are coarse, stay below it too (tests measure it).
-RADIUS = 47
+#: cosine of 2 x 0.8 / 1.8 differ with a chance of acos(0.889) / pi = 0.151: 38.6 of 256 bits on average, deviation 5.73. 71 bits lie
+#: 5.6 deviations above; short items, whose sums are coarse, stay below it too (tests measure it).
+RADIUS = 71
+#: Windows that are fingerprinted at a time, and pairs of fingerprints that are compared at a time.
+WINDOWS, PAIRS = 2048, 1_000_000
 
 
 _table: list[CharTable] = []
@@ -35,18 +36,36 @@ def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of texts, lower-case runs of letters, digits and underscores, and the number of words up to the end of each text."""
     if not _table:
         _table.append(CharTable(lambda c: c.isalnum() or c == "_"))
-    return _table[0].hashes([t.lower() for t in texts])
+    if all(len(t) <= SLICE for t in texts):
+        return _table[0].hashes([t.lower() for t in texts])
+    words, ends = [], []
+    for text in texts:  # a text that is too long for one array is hashed in parts that end where a word does
+        parts = [_table[0].hashes([part])[0] for part in whole_words(text.lower(), SLICE)]
+        words += parts
+        ends.append(sum(map(len, parts)))
+    return np.concatenate(words), np.cumsum(ends)
+
+
+def whole_words(text: str, size: int) -> Iterator[str]:
+    """The text in parts of at least `size` characters that cut no word."""
+    at = 0
+    while at < len(text) or not at:
+        end = at + size
+        while end < len(text) and (text[end] == "_" or text[end].isalnum()):
+            end += 1
+        yield text[at:end]
+        at = end
 
 
 def bit_rows(shingles: np.ndarray) -> np.ndarray:
-    """128 pseudo-random bits of each 64-bit shingle hash, as rows of 0 and 1."""
-    both = np.stack((mixed(shingles), mixed(shingles ^ np.uint64(0xA5A5A5A5A5A5A5A5))), axis=1)
-    return np.unpackbits(both.view(np.uint8).reshape(len(shingles), BITS // 8), axis=1)
+    """256 pseudo-random bits of each 64-bit shingle hash, as rows of 0 and 1."""
+    seeds = [np.uint64(0xA5A5A5A5A5A5A5A5 * k & (1 << 64) - 1) for k in range(BITS // 64)]
+    return np.unpackbits(np.stack([mixed(shingles ^ seed) for seed in seeds], axis=1).view(np.uint8).reshape(len(shingles), BITS // 8), axis=1)
 
 
 def fingerprints(ones: np.ndarray, weight: int) -> np.ndarray:
-    """Packed SimHashes from the weighted number of ones of each bit; a bit is 1 where ones are more than half of the weight."""
-    return np.packbits(2 * ones.astype(np.int32) > weight, axis=1)
+    """SimHashes, a row of four 64-bit blocks each, from the weighted number of ones of each bit; a bit is 1 where ones are more than half of the weight."""
+    return np.packbits(2 * ones.astype(np.int32) > weight, axis=1).view(np.uint64)
 
 
 def weighted_similarity(a: dict[int, int], b: dict[int, int]) -> float:
@@ -77,32 +96,30 @@ class ItemIndex:
             self.ids.append(item)
             self.weights.append(counted(shingles))
             prints.append(fingerprints(bit_rows(shingles).sum(axis=0, keepdims=True), len(shingles))[0])
-        self.prints = np.array(prints, np.uint8).reshape(len(prints), BITS // 8)
+        self.prints = np.array(prints, np.uint64).reshape(len(prints), BITS // BLOCK)
         self.known = {w: self._known(w) for w in {min(SHINGLE, n) for n in self.by_length}}
         self.table = {w: np.zeros(1 << 20, bool) for w in self.known}
         for w, known in self.known.items():
             self.table[w][known >> np.uint64(44)] = True
-        self.blocks = {n: self._blocks(np.array(own)) for n, own in self.by_length.items()}
+        self.by_length = {n: np.array(own) for n, own in self.by_length.items()}
 
     @staticmethod
     def shingles(words: np.ndarray) -> np.ndarray:
         """Hashes of all five-word runs; texts of fewer words have one shingle, all their words."""
         return gram_hashes(words, min(SHINGLE, len(words)))
 
-    def _blocks(self, own: np.ndarray) -> np.ndarray:
-        """For each block of 8 bits, and each of its 256 values, which items have a block at most radius // blocks bits away."""
-        reach, values = self.radius // (BITS // BLOCK), np.arange(256, dtype=np.uint8)
-        return np.stack([np.bitwise_count(values[:, None] ^ self.prints[own, k][None, :]) <= reach for k in range(BITS // BLOCK)])
-
     def candidates(self, length: int, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(rows, items) of fingerprints that meet an item of this length in some block and lie within the radius of it."""
-        tables, own = self.blocks[length], np.array(self.by_length[length])
-        met = np.zeros((len(prints), len(own)), bool)
-        for k in range(BITS // BLOCK):
-            met |= tables[k][prints[:, k]]
-        rows, items = np.nonzero(met)
-        near = np.bitwise_count(prints[rows] ^ self.prints[own[items]]).sum(axis=1) <= self.radius
-        return rows[near], own[items[near]]
+        own, reach, found = self.by_length[length], self.radius // (BITS // BLOCK), []
+        for a in range(0, len(own), PAIRS // WINDOWS):
+            part = own[a : a + PAIRS // WINDOWS]
+            met = np.zeros((len(prints), len(part)), bool)
+            for k in range(BITS // BLOCK):
+                met |= np.bitwise_count(prints[:, k, None] ^ self.prints[None, part, k]) <= reach
+            rows, items = np.nonzero(met)
+            near = np.bitwise_count(prints[rows] ^ self.prints[part[items]]).sum(axis=1, dtype=np.int64) <= self.radius
+            found.append((rows[near], part[items[near]]))
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
     def matches(self, text: str) -> list[tuple[int, int, int, float]]:
         """(item, first word, words, similarity) of the best window for each item that the text contains."""
@@ -110,33 +127,48 @@ class ItemIndex:
 
     def in_words(self, words: np.ndarray) -> list[tuple[int, int, int, float]]:
         best: dict[int, tuple[float, int, int]] = {}
-        if not len(words) or not self.ids:
-            return []
-        grams = {n: gram_hashes(words, n) for n in {min(SHINGLE, n) for n in self.by_length} if n <= len(words)}
-        hits = {n: self.hits(g, n) for n, g in grams.items()}
-        for length in self.by_length:
-            width = min(SHINGLE, length)
-            if width not in hits or len(words) < length or not hits[width].any():
+        for width in sorted(self.known):
+            if len(words) < width:
                 continue
-            weight, hit = length - width + 1, np.concatenate(([0], np.cumsum(hits[width])))
-            starts = np.flatnonzero(hit[weight:] - hit[:-weight] >= 2 * SIMILARITY / (1 + SIMILARITY) * weight - 1e-9)  # enough shingles of items
-            if not len(starts):
+            grams = gram_hashes(words, width)
+            hit = np.concatenate(([0], np.cumsum(self.hits(grams, width))))
+            lengths = [n for n in self.by_length if min(SHINGLE, n) == width and n <= len(words)]
+            if not lengths or not hit[-1]:
                 continue
-            cuts = np.flatnonzero((np.diff(starts) > weight) | (np.diff(np.arange(len(starts)) // 2048) > 0)) + 1
-            for part in np.split(starts, cuts):  # stretches of neighbouring windows
-                low, high = part[0], part[-1] + weight
-                ones = np.concatenate((np.zeros((1, BITS), np.int32), np.cumsum(bit_rows(grams[width][low:high]), axis=0, dtype=np.int32)))
-                prints = fingerprints(ones[part - low + weight] - ones[part - low], weight)
-                counts: dict[int, dict[int, int]] = {}
-                for row, item in zip(*(x.tolist() for x in self.candidates(length, prints)), strict=True):
-                    at = int(part[row])
-                    if row not in counts:
-                        counts[row] = counted(grams[width][at : at + weight])
-                    s = weighted_similarity(counts[row], self.weights[item])
-                    if s >= SIMILARITY and (item not in best or (s, -at) > (best[item][0], -best[item][1])):
-                        best[item] = (s, at, length)
+            most = max(lengths) - width + 1
+            near = hit[np.minimum(np.arange(len(grams)) + most, len(grams))] > hit[:-1]  # starts of windows that may hold a shingle of an item
+            starts = np.flatnonzero(near)
+            for low in self.stretches(starts):
+                high = min(len(grams), low + WINDOWS + most)
+                ones = np.concatenate((np.zeros((1, BITS), np.int32), np.cumsum(bit_rows(grams[low:high]), axis=0, dtype=np.int32)))
+                for length in lengths:
+                    weight = length - width + 1
+                    own = np.arange(low, min(low + WINDOWS, len(grams) - weight + 1))
+                    own = own[hit[own + weight] > hit[own]]
+                    if len(own):
+                        prints = fingerprints(ones[own - low + weight] - ones[own - low], weight)
+                        self._verify(grams, own, length, weight, prints, best)
         return [(self.ids[i], at, n, s) for i, (s, at, n) in sorted(best.items())]
 
+    @staticmethod
+    def stretches(starts: np.ndarray) -> Iterator[int]:
+        """First places of stretches of WINDOWS places that have all the starts."""
+        at = 0
+        while at < len(starts):
+            yield int(starts[at])
+            at = int(np.searchsorted(starts, starts[at] + WINDOWS))
+
+    def _verify(self, grams: np.ndarray, starts: np.ndarray, length: int, weight: int, prints: np.ndarray, best: dict) -> None:
+        """Note the best window of each item among those whose fingerprints meet the item's."""
+        counts: dict[int, dict[int, int]] = {}
+        for row, item in zip(*(x.tolist() for x in self.candidates(length, prints)), strict=True):
+            at = int(starts[row])
+            if row not in counts:
+                counts[row] = counted(grams[at : at + weight])
+            s = weighted_similarity(counts[row], self.weights[item])
+            if s >= SIMILARITY and (item not in best or (s, -at) > (best[item][0], -best[item][1])):
+                best[item] = (s, at, length)
+
     def _known(self, width: int) -> np.ndarray:
         """All shingles of items of `width` words: SHINGLE, or the whole of a shorter item."""
         own = [np.array(list(self.weights[i]), np.uint64) for n, items in self.by_length.items() if min(SHINGLE, n) == width for i in items]

@@ -92,16 +92,36 @@ def test_decontamination_is_brute_force(spark):
 
 def test_multi_index_blocks_miss_nothing_within_the_radius():
     index = decontamination.ItemIndex([(i, t) for i, t in enumerate(rng_texts(3, 60, 500, (30, 30)))])
-    prints = np.random.default_rng(0).integers(0, 256, (300, 16)).astype(np.uint8)
+    prints = np.random.default_rng(0).integers(0, 2**64, (300, 4), np.uint64)
     for i in range(200):  # flip up to the radius
         prints[i] = index.prints[i % 60]
-        for bit in np.random.default_rng(i).choice(128, i % 48, replace=False):
-            prints[i, bit // 8] ^= 1 << int(bit % 8)
+        for bit in np.random.default_rng(i).choice(256, i % 72, replace=False):
+            prints[i, bit // 64] ^= np.uint64(1 << int(bit % 64))
     got = set(zip(*(x.tolist() for x in index.candidates(30, prints))))
     want = {(a, b) for a in range(300) for b in range(60) if np.bitwise_count(prints[a] ^ index.prints[b]).sum() <= index.radius}
     assert got == want and len(want) >= 200
 
 
+def test_unlike_windows_meet_in_few_blocks():
+    prints = np.random.default_rng(1).integers(0, 2**64, (2000, 4), np.uint64)
+    met = np.zeros((1000, 1000), bool)
+    for k in range(4):
+        met |= np.bitwise_count(prints[:1000, k, None] ^ prints[None, 1000:, k]) <= decontamination.RADIUS // 4
+    assert met.mean() < 0.002
+
+
+def test_stretches_and_long_texts_hide_nothing(monkeypatch):
+    items = rng_texts(1, 12, 400, (3, 40))
+    texts = [" ".join(x) for x in zip(rng_texts(2, 12, 400, (60, 120)), items, rng_texts(3, 12, 400, (60, 120)))]
+    index = decontamination.ItemIndex(list(enumerate(items)))
+    want = list(index.in_texts(texts))
+    monkeypatch.setattr(decontamination, "WINDOWS", 7)
+    monkeypatch.setattr(decontamination, "PAIRS", 21)
+    monkeypatch.setattr(decontamination, "SLICE", 50)
+    assert list(decontamination.ItemIndex(list(enumerate(items))).in_texts(texts)) == want and len(want) == 12
+    assert ["".join(decontamination.whole_words(t, 10)) for t in texts] == texts
+
+
 def test_windows_at_the_threshold_lie_within_the_radius():
     r, worst = random.Random(1), 0
     shingles = lambda words: decontamination.ItemIndex.shingles(decontamination.word_hashes([" ".join(words)])[0])
@@ -116,7 +136,7 @@ def test_windows_at_the_threshold_lie_within_the_radius():
                 break
             other = trial
         a, b = (decontamination.bit_rows(shingles(x)).sum(axis=0, keepdims=True) for x in (words, other))
-        worst = max(worst, int(np.bitwise_count(decontamination.fingerprints(a, n - 4)[0] ^ decontamination.fingerprints(b, n - 4)[0]).sum()))
+        worst = max(worst, int(np.bitwise_count(decontamination.fingerprints(a, n - 4)[0] ^ decontamination.fingerprints(b, n - 4)[0]).sum(dtype=np.int64)))
     assert worst <= decontamination.RADIUS
 
 
