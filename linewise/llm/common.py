@@ -23,9 +23,11 @@ BROADCAST_ROWS = 200_000
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session, or (tests) a folder of our own."""
+    """The folder that driver and executors share: spark.checkpoint.dir of the session, or, where all run in one process, a folder of our own."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is not set: on a cluster it must name a folder that the driver and all executors share")
         root = getattr(spark.sparkContext, "_linewise_shared", None)
         if root is None:
             root = "file://" + tempfile.mkdtemp(prefix="linewise-shared-")
@@ -40,7 +42,7 @@ def new_folder(spark: SparkSession, name: str) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows of df as a table in the shared folder: lineage ends here, and a lost executor costs no recomputation.
 
-    A table is deleted by drop_written() or with the folder; a plan that still reads it is the reason not to do it here.
+    A table is deleted by drop_written(), by the operator that wrote it where nothing it returns reads it, or with the folder.
     """
     path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
@@ -49,14 +51,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop_written(spark: SparkSession) -> int:
-    """Delete the tables that written() has made in this session; returns how many."""
+def written_so_far(spark: SparkSession) -> int:
+    return len(getattr(spark.sparkContext, "_linewise_written", []))
+
+
+def drop_written(spark: SparkSession, since: int = 0, until: int | None = None) -> int:
+    """Delete the tables that written() has made in this session, all or those from the since-th on; returns how many."""
     paths = getattr(spark.sparkContext, "_linewise_written", [])
-    for path in paths:
+    gone = paths[since:until]
+    for path in gone:
         fs, at = file_system(path)
         fs.delete_dir(at)
-    spark.sparkContext._linewise_written = []
-    return len(paths)
+    spark.sparkContext._linewise_written = [p for p in paths if p not in set(gone)]
+    return len(gone)
 
 
 def file_system(uri: str) -> tuple[pafs.FileSystem, str]:

@@ -55,7 +55,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
         .filter("group_size > 1").withColumnRenamed("sha", "group_sha").withColumnRenamed("n", "gn").withColumnRenamed("p", "gp")
     )
-    # a group may hold a third of all rows: the join's own exchanges can be split by adaptive execution
+    # a group may hold a third of all rows: as a table of its own it is broadcast, or else adaptive execution can split the join's exchanges
+    groups = if_small(written(groups, "groups"))
     joined = refined.join(groups, (F.col("sha") == F.col("group_sha")) & (F.col("n") == F.col("gn")) & (F.col("p") == F.col("gp")), "left")
     in_group = F.col("group_size").isNotNull()
     return joined.select(
@@ -68,7 +69,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs with one row of each group of exact_dedup, one with the largest id; all columns stay. A row is named by its id and normalised text."""
+    """docs with one row of each group of exact_dedup, one with the largest id; all columns stay. A row is named by its id and normalised text.
+
+    Defined cases: no rows give no rows. A null text is equal to an empty one. A null id is smaller than any other. Of rows that repeat the id and the
+    text that stay, the one with the least hash of its columns stays.
+    """
     judged = exact_dedup(docs, id_col, text_col, **options | {"digest_all": True})
     named = judged.groupBy(F.col(id_col).alias("id"), F.col("text_sha256").alias("of_text"), "kept").agg(F.count(F.lit(1)).alias("rows"))
     named = written(named, "exact-named")

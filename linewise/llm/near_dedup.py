@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPLIT, WordHashes, gram_hashes, if_small, mixed, slices, text_or_empty, without, written
+from .common import SPLIT, WordHashes, drop_written, gram_hashes, if_small, mixed, slices, text_or_empty, without, written, written_so_far
 
 K, SIMILARITY = 5, 0.8
 #: Order MinHash takes `DRAWN` k-mers a sketch, `SKETCHES` sketches a text. At similarity 0.8 two texts share one sketch with a
@@ -87,7 +87,7 @@ def aligned(a: np.ndarray, b: np.ndarray, least: int) -> int:
     """Length of the longest common subsequence of a and b if it is `least` or more, else some smaller number.
 
     An alignment with `least` matches leaves len(a) + len(b) - 2 x least elements unmatched, so its path stays that near the
-    diagonal: only this band is computed, a row at a time, with the cells of the band as bits of one integer.
+    diagonal: only this band is computed and held, a row at a time, with its cells as the bits of one integer.
     """
     n = min(len(a), len(b))
     same = a[:n] == b[:n]
@@ -111,19 +111,25 @@ def aligned(a: np.ndarray, b: np.ndarray, least: int) -> int:
     for x, at in places.items():
         if len(at) > 8:  # as one integer with a bit for each place
             places[x] = int.from_bytes(np.packbits(np.bincount(at, minlength=len(a)).astype(bool), bitorder="little").tobytes(), "little")
-    # bit i of `row` is 0 where the alignment of a[: i + 1] with b[: j + 1] has one match more than that of a[:i]
-    row = everything = (1 << len(a)) - 1
+    # bit i - low of `row` is 0 where the alignment of a[: i + 1] with b[: j + 1] has one match more than that of a[:i]. Below the band nothing
+    # changes any more: those bits are counted and dropped. Above it all bits are still 1, and are added when the band gets there.
+    row = low = high = dropped = 0
     for j, x in enumerate(b.tolist()):
-        low, at = max(0, j - band), places[x]  # no match is left of the band: bits below it stay as they are
+        if j - band > low:
+            dropped += row & 1 ^ 1
+            row >>= 1
+            low += 1
+        if (top := min(len(a), j + band + 1)) > high:
+            row |= (1 << top - high) - 1 << high - low
+            high = top
+        at = places[x]
         if isinstance(at, list):
-            m = sum(1 << i - low for i in at if abs(i - j) <= band)
+            m = sum(1 << i - low for i in at if low <= i < high)
         else:
-            m = at >> low & (1 << j + band + 1 - low) - 1
-        if m:
-            part = row >> low
-            met = part & m
-            row = (((part + met) | (part - met)) << low | row & ((1 << low) - 1)) & everything
-    return found + len(a) - row.bit_count()
+            m = at >> low & (1 << high - low) - 1
+        if met := row & m:
+            row = ((row + met) | (row - met)) & (1 << high - low) - 1
+    return found + dropped + high - low - row.bit_count()
 
 
 def similarity(a: np.ndarray, b: np.ndarray, threshold: float = SIMILARITY) -> float:
@@ -344,14 +350,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     is near only to equal ones. A null id counts as larger than all others. Of rows that repeat the smallest id all are kept.
     """
     labels = classified(docs, id_col, text_col, threshold)
-    classes = labels.groupBy("component").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
-    return labels.join(classes, "component").select(
-        F.col("id").alias(id_col), "class_id", "class_size", F.col("id").eqNullSafe(F.col("class_id")).alias("kept"),
-    )
+    classes = labels.groupBy("component").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("size")).filter("size > 1")
+    # a class may hold a third of all rows: as a table of its own it is broadcast, or else adaptive execution can split the join's exchanges
+    rows = labels.join(if_small(written(classes, "near-classes")), "component", "left")
+    class_id = F.when(F.col("size").isNull(), F.col("id")).otherwise(F.col("least"))
+    return rows.select(F.col("id").alias(id_col), class_id.alias("class_id"), F.coalesce("size", F.lit(1).cast("long")).alias("class_size"), F.col("id").eqNullSafe(class_id).alias("kept"))
 
 
 def classified(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> DataFrame:
-    """(id, of_text, component): the class of each row of docs, with the hash of its text."""
+    """(id, of_text, component): the class of each row of docs, with the hash of its text. Tables made on the way are deleted."""
+    since = written_so_far(docs.sparkSession)
     sketched = written(sketch_texts(docs, id_col, text_col), "near-sketches")
     nodes = sketched.groupBy("node").agg(F.first("keys").alias("keys"), F.first("n").alias("n"), F.first("odd").alias("odd"), F.min(F.struct("id", "of_text")).alias("carrier"))
     nodes = written(nodes, "near-nodes")
@@ -382,16 +390,23 @@ def classified(docs: DataFrame, id_col: str, text_col: str, threshold: float) ->
 
     labels = nodes.join(linked, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
     labels = sketched.select("id", "of_text", "node").join(labels, "node").select("id", "of_text", "component")
-    return written(labels, "near-labels")
+    labels = written(labels, "near-labels")
+    drop_written(docs.sparkSession, since, -1)
+    return labels
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = SIMILARITY) -> DataFrame:
     """docs with one document of each class, the one with the smallest id; all columns stay.
 
     A row is named by its id and text, as an id may be null, which is larger than all others, or repeated: then the smaller hash of the text stays.
+
+    Defined cases: no rows give no rows. Null and empty texts are one class, of which one row stays. Of rows that repeat the id and the text that
+    stay, the one with the least hash of its columns stays.
     """
     labels = classified(docs, id_col, text_col, threshold)
     named = labels.groupBy("component", "id", "of_text").agg(F.count(F.lit(1)).alias("rows")).withColumn("place", F.struct(F.col("id").isNull().alias("none"), "id", "of_text"))
-    first = named.groupBy("component").agg(F.min("place").alias("first"))
-    named = written(named.join(first, "component").select("id", "of_text", "rows", (F.col("place") == F.col("first")).alias("kept")), "near-named")
+    named = written(named, "near-places")
+    first = named.groupBy("component").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("places")).filter("places > 1")
+    kept = F.col("first").isNull() | (F.col("place") == F.col("first"))
+    named = written(named.join(if_small(written(first, "near-first")), "component", "left").select("id", "of_text", "rows", kept.alias("kept")), "near-named")
     return without(docs, named.filter("not kept"), named.filter("kept and rows > 1"), id_col, F.xxhash64(text_or_empty(text_col)))
