@@ -4,8 +4,9 @@ The documents of each source are shuffled into a queue. A document's virtual fin
 up to and with it, divided by the source's target; the second round through a source continues where the first ended. All
 documents of all sources, ordered by that time, are taken until the budget is used up.
 
-Running totals never need a source, or all rows, in one task: each queue is cut into bins of its shuffle key, a bin's total is
-a small row, and only rows of one bin are ordered together. The same holds for the total over all sources in time order.
+Running totals never need a source, or all rows, in one task: each queue is cut into bins of its shuffle key, whose number grows with the
+rows; a bin's total is a small row, and only rows of one bin are ordered together. The total over all sources in time order is narrowed down
+by slots of time in the same way.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import WORD, if_small, text_or_empty, written
+from .common import WORD, text_or_empty, written
 
 #: Weights of the sources in code-point order, repeating, and the share of all words that the mix has.
 WEIGHTS, SHARE, REPEATS = (3, 1, 2), 1.5, 2
@@ -46,7 +47,7 @@ def source_targets(totals: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
 
 def mix_sources(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS,
-    share: float = SHARE, seed: int = 0, bins: int = 4096,
+    share: float = SHARE, seed: int = 0, rows_a_bin: int = 100_000, rows_in_order: int = 100_000,
 ) -> DataFrame:
     """One row per row of docs: id, size, source, source_size, target, copies (0, 1 or 2) and taken.
 
@@ -58,51 +59,81 @@ def mix_sources(
     together, which of them comes first makes no difference to any column but `copies`.
     """
     words = F.regexp_count(text_or_empty(text_col), F.lit(WORD)).cast("long")
-    base = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), words.alias("size"))
-    base = base.withColumn("key", shuffle_key(F.col("id"), seed)).withColumn("bin", F.shiftright("key", 48).cast("int") % bins)
+    base = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), words.alias("size")).withColumn("key", shuffle_key(F.col("id"), seed))
+    base = base.withColumns({"named": F.coalesce("source", F.lit("")), "none": F.col("source").isNull()})
     base = written(base, "mix-sizes")
-
-    bin_totals = written(base.groupBy("source", "bin").agg(F.sum("size").alias("words")), "mix-bins")
-    totals = bin_totals.groupBy("source").agg(F.sum("words").alias("source_size"))
-    targets = source_targets(totals, weights, share)
-    earlier = F.coalesce(F.sum("words").over(W.partitionBy("source").orderBy("bin").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    offsets = bin_totals.select(F.col("source").alias("o_source"), F.col("bin").alias("o_bin"), earlier.alias("before"))
-    targets = targets.select(F.col("source").alias("t_source"), "source_size", "target")
-    offsets = written(offsets.join(if_small(targets), F.col("o_source").eqNullSafe(F.col("t_source")), "left").drop("t_source"), "mix-offsets")
-
-    in_bin = W.partitionBy("source", "bin").orderBy("key", F.col("id").asc_nulls_first(), "size").rowsBetween(W.unboundedPreceding, 0)
-    queue = base.withColumn("in_bin", F.sum("size").over(in_bin))
-    queue = queue.join(if_small(offsets), queue.source.eqNullSafe(offsets.o_source) & (queue.bin == offsets.o_bin), "left")
+    bits = max(12, (base.count() // rows_a_bin).bit_length())  # bins of a queue: their number grows with the rows
+    base = base.withColumn("bin", F.shiftright("key", 60 - bits))
+
+    queue_keys = ["none", "named", "bin"]
+    bin_totals = written(base.groupBy(*queue_keys).agg(F.sum("size").alias("words")), "mix-bins")
+    totals = bin_totals.groupBy("none", "named").agg(F.sum("words").alias("source_size"))
+    targets = source_targets(totals.withColumn("source", F.when(~F.col("none"), F.col("named"))), weights, share).select(
+        F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("named"), "source_size", "target",
+    )
+    targets = written(targets, "mix-targets")  # a row per source
+    earlier = F.coalesce(F.sum("words").over(W.partitionBy("none", "named").orderBy("bin").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    offsets = written(bin_totals.select(*queue_keys, earlier.alias("before")).join(targets, ["none", "named"]), "mix-offsets")
+
+    # the window and the join deal rows out by the same keys: one exchange of small rows
+    in_bin = W.partitionBy(*queue_keys).orderBy("key", F.col("id").asc_nulls_first(), "size").rowsBetween(W.unboundedPreceding, 0)
+    queue = base.withColumn("in_bin", F.sum("size").over(in_bin)).join(offsets, queue_keys)
     reached = F.col("before") + F.col("in_bin")
     time = lambda words: F.when((F.col("target") > 0) & (F.col("size") > 0), words / F.col("target"))
     queue = written(queue.select("id", "source", "size", "key", "source_size", "target", time(reached).alias("time1"), time(F.col("source_size") + reached).alias("time2")), "mix-queue")
 
-    # the total over all sources in time order: whole bins of time first, then the order within the one bin where the budget ends
-    slot = lambda time: F.least(F.floor(time * (bins // 4)), F.lit(2 * bins)).cast("int")
-    each_time = queue.select("id", "size", "key", F.explode(F.array(F.struct(F.lit(1).alias("round"), F.col("time1").alias("time")), F.struct(F.lit(2).alias("round"), F.col("time2").alias("time")))).alias("t"))
-    each_time = each_time.select("id", "size", "key", "t.round", "t.time", slot(F.col("t.time")).alias("slot")).filter("time is not null")
-    budget = targets.agg(F.sum("target").alias("budget"))
-    slots = each_time.groupBy("slot").agg(F.sum("size").alias("words"))  # at most 2 x bins + 1 rows
-    running = F.sum("words").over(W.orderBy("slot"))
-    slots = slots.select("slot", (running - F.col("words")).alias("slot_before"), running.alias("slot_end")).crossJoin(F.broadcast(budget))
-    last = slots.filter("slot_end > budget").orderBy("slot").limit(1).select(F.col("slot").alias("last_slot"), "slot_before", "budget")
-    last = written(last, "mix-last").collect()  # one row
-    if last:
-        slot_n, before, words = last[0]
-        tail = each_time.filter(F.col("slot") == slot_n)
-        order = W.orderBy("time", "key", F.col("id").asc_nulls_first(), "size", "round").rowsBetween(W.unboundedPreceding, 0)
-        tail = tail.withColumn("total", F.sum("size").over(order) + before).filter(F.col("total") <= words)
-        end = tail.agg(F.max(F.struct("time", "key", F.coalesce(F.col("id").cast("string"), F.lit("")).alias("id")))).first()[0]
-        end = (end.time, end.key) if end else (slot_n / (bins // 4), -1)
-    else:
-        end = (float("inf"), 0)
+    end = budget_end(queue, float(targets.agg(F.sum("target")).first()[0] or 0), rows_in_order)
     until = lambda time: time.isNotNull() & ((time < end[0]) | ((time == end[0]) & (F.col("key") <= end[1])))
     copies = F.when(until(F.col("time1")), 1).otherwise(0) + F.when(until(F.col("time2")), 1).otherwise(0)
     return queue.select(F.col("id").alias(id_col), "size", "source", "source_size", "target", copies.cast("int").alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
 
 
+def budget_end(queue: DataFrame, budget: float, rows_in_order: int = 100_000, slots: int = 4096) -> tuple[float, int]:
+    """(time, key) of the last document, in order of time and key, with which the words of all are within the budget.
+
+    The range of times that holds the end is cut into slots, whose totals say in which of them it lies, and so on until that has no more than
+    rows_in_order rows or one time alone: only these are put in order, as a top-k of running totals. Each pass is one aggregation.
+    """
+    times = F.array(F.struct(F.lit(1).alias("round"), F.col("time1").alias("time")), F.struct(F.lit(2).alias("round"), F.col("time2").alias("time")))
+    rows = queue.select("id", "size", "key", F.explode(times).alias("t")).select("id", "size", "key", "t.round", "t.time").filter("time is not null")
+    low, high, n, words = rows.agg(F.min("time"), F.max("time"), F.count(F.lit(1)), F.sum("size")).first()
+    before = 0
+    if not n or words <= budget:
+        return float("inf"), 0
+    while n > rows_in_order and high > low:
+        at = F.least(F.floor((F.col("time") - F.lit(low)) / F.lit((high - low) / slots)), F.lit(slots - 1)).cast("int")
+        totals = rows.filter((F.col("time") >= low) & (F.col("time") <= high)).groupBy(at.alias("slot"))
+        totals = totals.agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("n"), F.min("time").alias("low"), F.max("time").alias("high"))
+        for slot in sorted(totals.collect(), key=lambda r: r.slot):  # as many rows as slots at most
+            if before + slot.words > budget:
+                low, high, n = slot.low, slot.high, slot.n
+                break
+            before += slot.words
+    within = rows.filter((F.col("time") >= low) & (F.col("time") <= high))
+    if n > rows_in_order:  # one time of very many rows: their keys in bins
+        width = 1 << 60
+        first = 0
+        while n > rows_in_order and width > 1:
+            width //= slots
+            keyed = within.filter((F.col("key") >= first) & (F.col("key") < first + width * slots)).groupBy(F.floor((F.col("key") - F.lit(first)) / F.lit(width)).alias("slot"))
+            for slot in sorted(keyed.agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("n")).collect(), key=lambda r: r.slot):
+                if before + slot.words > budget:
+                    first, n = first + int(slot.slot) * width, slot.n
+                    break
+                before += slot.words
+        within = within.filter((F.col("key") >= first) & (F.col("key") < first + width))
+        if n > rows_in_order:  # rows of one key: none of them goes without the others
+            return low, first - 1
+    order = W.orderBy("time", "key", F.col("id").asc_nulls_first(), "size", "round").rowsBetween(W.unboundedPreceding, 0)
+    last = within.withColumn("total", F.sum("size").over(order) + before).filter(F.col("total") <= budget).agg(F.max(F.struct("time", "key"))).first()[0]
+    return (last.time, last.key) if last else (low, -1)
+
+
 def take_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """docs with each row as often as the mix takes it; all columns stay. Rows that repeat an id, size and source are all taken as often as the least of them."""
+    """docs with each row as often as the mix takes it; all columns stay.
+
+    Defined cases: those of mix_sources. Rows that repeat an id, size and source are all taken as often as the least of them.
+    """
     mixed = mix_sources(docs, id_col, text_col, source_col, **options).filter("copies > 0")
     mixed = mixed.groupBy(F.col(id_col).alias("__id"), F.col("size").alias("__size"), F.col("source").alias("__source")).agg(F.min("copies").alias("__copies"))
     size = F.regexp_count(text_or_empty(text_col), F.lit(WORD)).cast("long")

@@ -467,6 +467,28 @@ def test_mixing(spark):
     assert mixing.mix_sources(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("in_order", [1, 5, 100_000])
+@pytest.mark.parametrize("budget", [0.0, 3.0, 40.5, 1000.0, 10**9])
+def test_end_of_the_budget(spark, in_order, budget):
+    r = random.Random(int(budget) + in_order)
+    rows = [(i, r.randint(1, 9), r.choice([5, 5, 7, r.randrange(1 << 60)]), r.choice([0.25, 0.25, 0.25, r.random()]), 1 + r.random()) for i in range(150)]
+    queue = spark.createDataFrame(rows, "id long, size long, key long, time1 double, time2 double")
+    got = mixing.budget_end(queue, budget, in_order, slots=4)
+    each = sorted([(t, k, i, n, nth) for i, n, k, t1, t2 in rows for nth, t in ((1, t1), (2, t2))])
+    total, last = 0, None
+    for t, k, _, n, _ in each:
+        total += n
+        if total > budget:
+            break
+        last = (t, k)
+    taken = [(t, k) for t, k, *_ in each if t < got[0] or (t == got[0] and k <= got[1])]
+    want = [(t, k) for t, k, *_ in each if last and (t, k) <= last]
+    if in_order > 60:
+        assert taken == want
+    else:  # rows of one key stay together
+        assert sum(n for t, k, _, n, _ in each if t < got[0] or (t == got[0] and k <= got[1])) <= budget and set(want) - set(taken) <= {last}
+
+
 # 7 ----------------------------------------------------------------------------------------------------------------------
 
 
