@@ -16,7 +16,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import file_system, new_folder, slices, written
+from .common import file_system, if_small, new_folder, slices, written
 
 #: Fixed values of the WARC and Zstandard formats.
 SKIPPABLE_MAGIC = 0x184D2A5D
@@ -126,12 +126,12 @@ def read_archive(stream, chunk: int = 1 << 20) -> Iterator[bytes]:
         yield b"".join(parts)
 
 
-def plan_records(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", min_revisit_bytes: int = 100) -> DataFrame:
-    """(page, sha, refers_to): the pages that are revisits, and the response they point to. Only ids and digests are shuffled."""
+def first_pages(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", min_revisit_bytes: int = 100) -> DataFrame:
+    """(of_sha, first_page): the smallest id of the pages of each payload that several have. Only ids and digests are shuffled, summed up before."""
     payload = F.encode(F.coalesce(F.col(html_col).cast("string"), F.lit("")), "UTF-8")
-    light = written(pages.select(F.col(id_col).alias("page"), F.octet_length(payload).alias("n"), F.sha2(payload, 256).alias("sha")).filter(F.col("n") >= min_revisit_bytes), "payloads")
-    first = light.groupBy("sha").agg(F.min("page").alias("refers_to"), F.count(F.lit(1)).alias("rows")).filter("rows > 1").drop("rows")
-    return light.join(first, "sha").filter(~F.col("page").eqNullSafe(F.col("refers_to"))).select("page", "sha", "refers_to")
+    light = pages.select(F.col(id_col).cast("long").alias("page"), F.octet_length(payload).alias("n"), F.sha2(payload, 256).alias("of_sha")).filter(F.col("n") >= min_revisit_bytes)
+    first = light.groupBy("of_sha").agg(F.min("page").alias("first_page"), F.count(F.lit(1)).alias("rows")).filter("rows > 1").drop("rows")
+    return written(first, "payloads")
 
 
 def write_warc(
@@ -140,6 +140,9 @@ def write_warc(
 ) -> DataFrame:
     """Write a record for each page to archives in folder; returns the manifest (path, records, bytes).
 
+    A dictionary is trained on the first 64 KB of each of an archive's first records, sample_bytes in all: it changes how small the archive is, not
+    what it holds.
+
     Of pages with equal payloads of at least min_revisit_bytes, the one with the smallest id is a response and others
     revisit it. Each task writes archives of its own and starts a new one beyond archive_bytes. A task that is run again
     writes new files; only files of the manifest count.
@@ -147,12 +150,12 @@ def write_warc(
     Defined cases: a null html is an empty payload; no pages give no archives and an empty manifest. A null id is larger
     than any other and is read back as null. Rows that repeat the smallest id and payload are all responses.
     """
-    plan = plan_records(pages, id_col, html_col, min_revisit_bytes).distinct()
+    first = if_small(first_pages(pages, id_col, html_col, min_revisit_bytes), 100_000)  # some 100 bytes a row
     rows = pages.select(F.col(id_col).cast("long").alias("page"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
-    rows = rows.withColumn("sha", F.sha2(F.encode("html", "UTF-8"), 256))
-    plan = plan.select(F.col("page").cast("long").alias("revisiting"), F.col("sha").alias("of_sha"), F.col("refers_to").cast("long"), F.lit(True).alias("again"))
-    no_id = F.lit(-(2**63)).cast("long")
-    rows = rows.join(plan, (F.coalesce("page", no_id) == F.coalesce("revisiting", no_id)) & (F.col("sha") == F.col("of_sha")), "left")
+    # broadcast, no page moves; else adaptive execution can split the pages of a payload that very many have
+    rows = rows.withColumn("sha", F.sha2(F.encode("html", "UTF-8"), 256)).join(first, F.col("sha") == F.col("of_sha"), "left")
+    again = F.col("first_page").isNotNull() & ~F.col("page").eqNullSafe(F.col("first_page"))
+    rows = rows.select("page", "url", "html", "sha", F.when(again, F.col("first_page")).alias("refers_to"), again.alias("again"))
 
     def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import uuid
@@ -191,6 +194,9 @@ def read_warc(manifest: DataFrame, folder: str) -> DataFrame:
 
     Lengths and digests of responses are those of the bytes read, and must agree with the header; a revisit has those of its header
     and no payload.
+
+    Defined cases: an empty manifest gives no rows. A record that was written without an id or address has a null id, and the address `urn:page:None`.
+    A file that is cut short or does not match its headers raises ValueError.
     """
     n = manifest.count()  # archives, not records
     paths = manifest.select("path").repartition(max(1, min(n, 10_000)), "path")
