@@ -39,56 +39,67 @@ def jump_hash(keys: np.ndarray, shards: int) -> np.ndarray:
 
 
 def shard_of(id_col: Column, shards: int, seed: int) -> Column:
-    """(shard, grown, spread) of an id: its shard, its shard when there is one more, and 31 bits that scatter within a shard."""
+    """(shard, grown) of an id: its shard, and its shard when there is one more."""
 
-    @F.pandas_udf("shard int, grown int, spread int")
+    @F.pandas_udf("shard int, grown int")
     def place(h: pd.Series) -> pd.DataFrame:
         keys = mixed(h.to_numpy(np.int64).view(np.uint64))
-        return pd.DataFrame({"shard": jump_hash(keys, shards), "grown": jump_hash(keys, shards + 1), "spread": (mixed(keys + np.uint64(1)) >> np.uint64(33)).astype(np.int32)})
+        return pd.DataFrame({"shard": jump_hash(keys, shards), "grown": jump_hash(keys, shards + 1)})
 
     return place(F.xxhash64(F.lit(seed), id_col))
 
 
 def shuffle_into_shards(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "text", seed: int = 0, bucket_bytes: int = 16 << 20, buckets_a_shard: int = 4) -> DataFrame:
-    """docs with the columns shard, grown_shard, slot and size in front, in shard and slot order within each bucket.
+    """docs with the columns shard, slot, grown_shard and size in front, in shard and slot order within each bucket.
 
     Slots of a shard count from 0 without gaps. A shard has buckets_a_shard buckets, or more where a bucket would
-    exceed bucket_bytes. A bucket is put in order of id and text before it is shuffled, so reruns agree.
+    exceed bucket_bytes. The bucket of a record follows from its id and text, so rows that repeat an id spread over their shard. A bucket is
+    put in order of id and text before it is shuffled, so reruns agree.
 
     Defined cases: no rows give no rows. A null id is a key like any other. Rows that repeat an id share a shard; rows
-    that are equal in id and text are told apart by nothing, and take neighbouring draws. A column of docs that is named like
-    one of the four new ones is dropped.
+    that are equal in id and text share a bucket, are told apart by nothing, and take neighbouring draws. A column of docs that is named like
+    one of the four new ones comes back with `_of_docs` at the end of its name.
     """
     size = (F.octet_length(text_or_empty(text_col)) + RECORD_BYTES).cast("long")
-    placed = docs.withColumns({"__place": shard_of(F.col(id_col), shards, seed), "__size": size})
-    light = placed.select("__place.shard", "__place.spread", "__size")
-    total = light.agg(F.sum("__size")).first()[0] or 0
+    spread = F.pmod(F.xxhash64(F.lit(seed + 1), F.col(id_col), F.xxhash64(text_col)), F.lit(1 << 31))
+    placed = docs.withColumns({"__place": shard_of(F.col(id_col), shards, seed), "__size": size, "__spread": spread})
+    light = placed.select("__place.shard", "__spread", "__size")
+    total = docs.agg(F.sum(size)).first()[0] or 0
     buckets = max(buckets_a_shard, math.ceil(total / (shards * bucket_bytes)))
-    counts = written(light.groupBy("shard", (F.col("spread") % buckets).alias("bucket")).agg(F.count(F.lit(1)).alias("rows")), "shard-buckets")
+    counts = written(light.groupBy("shard", (F.col("__spread") % buckets).alias("bucket")).agg(F.count(F.lit(1)).alias("rows")), "shard-buckets")
     start = F.coalesce(F.sum("rows").over(W.partitionBy("shard").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     starts = counts.select(F.col("shard").alias("__s"), F.col("bucket").alias("__b"), start.alias("__start"))
 
     own = {"shard", "grown_shard", "slot", "size"}
-    columns = [c for c in docs.columns if c not in own]
-    records = placed.select(F.col("__place.shard").alias("__shard"), (F.col("__place.spread") % buckets).alias("__bucket"), F.col("__place.grown").alias("grown_shard"), F.col("__size").alias("size"), *columns)
+    columns = {c: f"{c}_of_docs" if c in own else c for c in docs.columns}
+    records = placed.select(
+        F.col("__place.shard").alias("__shard"), (F.col("__spread") % buckets).alias("__bucket"), F.col("__place.grown").alias("grown_shard"), F.col("__size").alias("size"),
+        *[F.col(c).alias(name) for c, name in columns.items()],
+    )
     records = records.join(if_small(starts), (F.col("__shard") == F.col("__s")) & (F.col("__bucket") == F.col("__b"))).drop("__s", "__b")
-    schema = T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("slot", T.LongType()), T.StructField("grown_shard", T.IntegerType()), T.StructField("size", T.LongType()), *[docs.schema[c] for c in columns]])
+    # twice as many partitions as buckets: few tasks get several of them, and none gets many
+    records = records.repartition(max(2 * shards * buckets, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "__shard", "__bucket")
+    named = [T.StructField(name, docs.schema[c].dataType) for c, name in columns.items()]
+    schema = T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("slot", T.LongType()), T.StructField("grown_shard", T.IntegerType()), T.StructField("size", T.LongType()), *named])
 
     def fisher_yates(bucket: pa.Table) -> pa.Table:
         shard, number, first = (bucket.column(c)[0].as_py() for c in ("__shard", "__bucket", "__start"))
-        bucket = bucket.sort_by([(id_col, "ascending"), (text_col, "ascending")])
+        bucket = bucket.sort_by([(columns[id_col], "ascending"), (columns[text_col], "ascending")])
         order = np.arange(bucket.num_rows)
         np.random.Generator(np.random.PCG64([seed, shard, number])).shuffle(order)
         bucket = bucket.take(pa.array(order))
         n = bucket.num_rows
         fixed = [pa.array(np.full(n, shard, np.int32)), pa.array(first + np.arange(n, dtype=np.int64)), bucket.column("grown_shard"), bucket.column("size")]
-        return pa.table(fixed + [bucket.column(c) for c in columns], names=schema.names)
+        return pa.table(fixed + [bucket.column(c) for c in columns.values()], names=schema.names)
 
     return records.groupBy("__shard", "__bucket").applyInArrow(fisher_yates, schema)
 
 
 def write_shards(shuffled: DataFrame, folder: str) -> None:
-    """A folder per shard. A bucket is written by one task, in slot order; files of a shard are read in slot order by sorting on it."""
+    """A folder per shard. A bucket is written by one task, in slot order; files of a shard are read in slot order by sorting on it.
+
+    Defined cases: no rows give a folder without shards. Spark's committer takes the files of one attempt of each task only.
+    """
     shuffled.write.partitionBy("shard").parquet(folder)
 
 

@@ -526,6 +526,10 @@ def test_sharding(spark):
     order = [x.doc_id for x in sorted(rows, key=lambda x: (x.shard, x.slot)) if x.doc_id is not None]
     assert order != sorted(order)
     assert sharding.shuffle_into_shards(docs.limit(0), 6).count() == 0
+    assert {(x.size_of_docs, x.shard_of_docs) for x in rows} == {("x", "y")} and set(docs.columns) - {"size", "shard"} <= set(rows[0].asDict())
+    again = frame(spark, texts, ids=[7] * len(texts))  # one id in all rows: one shard, and all of its buckets
+    at = sharding.shuffle_into_shards(again, 3, buckets_a_shard=4).select("shard", "slot", F.spark_partition_id().alias("p")).collect()
+    assert len({x.shard for x in at}) == 1 and sorted(x.slot for x in at) == list(range(len(texts))) and len({x.p for x in at}) > 1
 
 
 # 8 ----------------------------------------------------------------------------------------------------------------------
