@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from .common import slices, written
 
@@ -58,8 +59,10 @@ class Model:
         out = np.zeros((len(slots), len(self.languages)))
         lengths = np.array([len(s) for s in slots])
         if full := np.flatnonzero(lengths).tolist():
-            edges = np.cumsum(lengths[full]) - lengths[full]
-            out[full] = np.add.reduceat(self.matrix[np.concatenate([slots[i] for i in full])], edges, axis=0) / np.sqrt(lengths[full])[:, None]
+            for part in np.array_split(full, -(-int(lengths.sum()) // 500_000)):  # a row of the matrix per n-gram present is gathered: so many at a time
+                if len(part):
+                    edges = np.cumsum(lengths[part]) - lengths[part]
+                    out[part] = np.add.reduceat(self.matrix[np.concatenate([slots[i] for i in part])], edges, axis=0) / np.sqrt(lengths[part])[:, None]
         return out
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
@@ -76,38 +79,38 @@ def is_held_out(id_col, part: int = 2, of: int = 4):
     return (F.crc32(F.encode(F.coalesce(id_col.cast("string"), F.lit("")), "UTF-8")) % of) == part
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows_a_language: int = 1500, landmarks_a_language: int = 64, max_languages: int = 256, ridge: float = 1e-3) -> Model:
-    """Fit on labelled, not held-out rows: about rows_a_language of each language, chosen by a hash of the text, whole texts.
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows_a_language: int = 1500, landmarks: int = 256, ridge: float = 1e-3) -> Model:
+    """Fit on labelled, not held-out rows: about rows_a_language different texts of each language, chosen by a hash of the text, whole texts.
 
-    That bound is the only one; a language with fewer rows is learned from all it has. The landmarks are the
-    sample's first landmarks_a_language texts of each language in order of that hash. Tasks turn sample texts into kernel rows and sums of
-    their products; the driver solves a system of as many unknowns as landmarks.
+    All languages are learned; one with fewer texts is learned from all it has. The landmarks are the sample's first texts of each language in
+    order of that hash, as many of each and `landmarks` in all, but four of each at least and 64 at most. These three numbers are the only bounds. Tasks
+    turn sample texts into kernel rows and sums of their products; the driver solves a system of as many unknowns as landmarks.
+
+    Defined cases: rows without text, label, or id not held out are as stated: a null text or label is not learned from, a null id is the empty
+    one. Copies of a text count once in each language that they are labelled with. No rows give a model without languages.
     """
     labelled = docs.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), F.col(id_col).alias("id"))
     labelled = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") > 0) & ~is_held_out(F.col("id")))
-    counts = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()}
-    languages = tuple(sorted(counts))
-    if not languages:
-        return Model((), np.zeros((SLOTS, 0)))
-    draw = F.pmod(F.xxhash64(F.lit("sample"), "text"), F.lit(1 << 40))
-    limit = F.create_map(*[F.lit(x) for lang in languages for x in (lang, int((1 << 40) * min(1.0, rows_a_language / counts[lang])))])
-    sample = labelled.withColumn("draw", draw).filter(F.col("draw") < limit[F.col("lang")])
+    labelled = labelled.select("lang", "text", F.pmod(F.xxhash64(F.lit("sample"), "text"), F.lit(1 << 40)).alias("draw"))
+    counts = written(labelled.select("lang", "draw").distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "language-counts")
+    limits = counts.select("lang", (F.least(F.lit(1.0), rows_a_language / F.col("n")) * (1 << 40)).cast("long").alias("limit"))
+    sample = labelled.join(F.broadcast(limits), "lang").filter("draw < limit")  # a row per language
+    sample = sample.groupBy("lang", "draw").agg(F.first("text").alias("text"))
 
     def present(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("draw"), pa.array([presence(t).astype(np.uint16).tobytes() for t in batch.column("text").to_pylist()], pa.binary())], names=["lang", "draw", "slots"])
 
     sample = written(sample.select("lang", "draw", "text").mapInArrow(present, "lang string, draw long, slots binary"), "language-sample")
-    nearest = {lang: (1 << 40) * min(1.0, 4 * landmarks_a_language / counts[lang]) for lang in languages}
-    narrow = F.create_map(*[F.lit(x) for lang in languages for x in (lang, int(nearest[lang]))])
-    picked: dict[str, list] = {}
-    for r in sample.filter(F.col("draw") < narrow[F.col("lang")]).orderBy("draw", "slots").limit(4 * landmarks_a_language * len(languages)).collect():
-        if len(picked.setdefault(r.lang, [])) < landmarks_a_language:
-            picked[r.lang].append(np.frombuffer(r.slots, np.uint16))
-    landmarks = [s for lang in languages for s in picked.get(lang, ())]
-    m, number = len(landmarks), {lang: i for i, lang in enumerate(languages)}
+    languages = tuple(r.lang for r in counts.select("lang").orderBy("lang").collect())
+    if not languages:
+        return Model((), np.zeros((SLOTS, 0)))
+    of_each = min(64, max(4, landmarks // len(languages)))
+    nth = F.row_number().over(W.partitionBy("lang").orderBy("draw"))  # some rows_a_language rows
+    chosen = [np.frombuffer(r.slots, np.uint16) for r in sample.withColumn("nth", nth).filter(F.col("nth") <= of_each).orderBy("lang", "nth").select("slots").collect()]
+    m, number = len(chosen), {lang: i for i, lang in enumerate(languages)}
     base = np.zeros((SLOTS, m), np.float32)
-    for j, slots in enumerate(landmarks):
+    for j, slots in enumerate(chosen):
         base[slots.astype(np.int64), j] = 1 / np.sqrt(max(1, len(slots)))
     shared = docs.sparkSession.sparkContext.broadcast(base)  # slots x landmarks: its size is fixed by the parameters
 
@@ -151,7 +154,10 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
 
 def drop_unidentified(docs: DataFrame, model: Model, text_col: str = "text", least_score: float = 0.0) -> DataFrame:
-    """docs without the rows that are `und` or score below least_score; all columns stay, nothing is shuffled."""
+    """docs without the rows that are `und` or score below least_score; all columns stay, nothing is shuffled.
+
+    Defined cases: null texts and those without a letter go; no rows give no rows; equal texts go or stay together.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def known(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

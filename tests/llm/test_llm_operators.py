@@ -659,7 +659,7 @@ def test_pii_terms_joined_rather_than_sent(spark, monkeypatch):
 
 def test_language_id(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    model = language_id.train(docs, rows_a_language=200, landmarks_a_language=32)
+    model = language_id.train(docs, rows_a_language=200, landmarks=128)
     lang = {x.doc_id: x.lang for x in docs.select("doc_id", "lang").collect()}
     rows = language_id.identify(docs, model).collect()
     held = [x for x in rows if x.held_out]
@@ -675,6 +675,34 @@ def test_language_id(spark):
     assert left.columns == frame(spark, ODD).columns
 
 
+def test_training_is_the_ridge_regression_of_the_kernel(spark):
+    r = random.Random(4)
+    alphabets = {"x": "abcde", "y": "defgh", "z": "ghijk"}
+    rows = [(lang, " ".join("".join(r.choice(letters) for _ in range(r.randint(2, 6))) for _ in range(r.randint(3, 15)))) for lang, letters in alphabets.items() for _ in range(12)]
+    rows += [("x", rows[0][1])] * 30 + [("y", None), (None, "abc"), ("z", "")]  # one text in many copies, and rows that teach nothing
+    docs = frame(spark, [t for _, t in rows], langs=[lang for lang, _ in rows])
+    model = language_id.train(docs, landmarks=12)
+    held = [zlib.crc32(str(i).encode()) % 4 == 2 for i in range(len(rows))]
+    own = sorted({(lang, t) for (lang, t), out in zip(rows, held) if lang and t and not out})
+    assert model.languages == ("x", "y", "z")
+    draw = {x.text: x.d for x in docs.filter("text is not null").select("text", F.pmod(F.xxhash64(F.lit("sample"), "text"), F.lit(1 << 40)).alias("d")).collect()}
+    marks = [t for lang in alphabets for t in sorted((t for k, t in own if k == lang), key=draw.get)[:4]]
+    sets = {t: set(language_id.presence(t).tolist()) for _, t in own}
+    kernel = lambda a, b: len(sets[a] & sets[b]) / np.sqrt(len(sets[a]) * len(sets[b]))
+    c = np.array([[kernel(t, m) for m in marks] for _, t in own])
+    k = np.array([[kernel(a, b) for b in marks] for a in marks])
+    target = np.array([[float(lang == name) for name in model.languages] for lang, _ in own])
+    scale = np.trace(c.T @ c) / len(marks)
+    weights = np.linalg.solve(c.T @ c + 1e-3 * scale * k + 1e-8 * scale * np.eye(len(marks)), c.T @ target)
+    assert np.allclose(model.scores([language_id.presence(t) for _, t in own]), c @ weights, atol=2e-3)
+
+
+def test_many_languages_are_all_learned(spark):
+    texts = [f"{chr(0x4E00 + 7 * k)}{chr(0x4E00 + 7 * k + 1)} {chr(0x4E00 + 7 * k + i % 3)}" for k in range(300) for i in range(3)]
+    model = language_id.train(frame(spark, texts, langs=[f"l{k:03}" for k in range(300) for _ in range(3)]))
+    assert len(model.languages) >= 290
+
+
 def test_scores_are_the_kernel_ridge_regression():
     texts = rng_texts(1, 8, 30, (5, 20))
     sets = [set(language_id.presence(t).tolist()) for t in texts]
