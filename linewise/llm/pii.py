@@ -2,22 +2,24 @@
 
 The patterns find e-mail addresses, IPv4 addresses, card and phone numbers. Each value found is a protected entity. A term
 discloses an entity to the degree that it carries the entity's information: with probabilities estimated from the whole
-corpus, PMI(term, entity) / IC(entity), which is 1 for a term that is seen only with the entity. A term near the entity that
-exceeds the disclosure threshold is generalised, and beyond a second threshold removed.
+corpus, PMI(term, entity) / IC(entity), which is 1 for a term that is seen only with the entity. A term that exceeds the disclosure threshold is
+generalised to a class of terms whose own disclosure, measured in the same way, does not exceed it: the terms with the same first three, two or
+one characters. Where no class is common enough, it is removed.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, slices, text_or_empty, written
+from .common import slices, text_or_empty, written
 
 KINDS = ("email", "ip", "card", "phone")
 ADDED = "term"
@@ -72,16 +74,15 @@ def entity_key(kind: str, value: str) -> int:
     return xxhash.xxh3_64_intdigest(f"{kind}:{plain}".encode()) - (1 << 63)
 
 
-def nearby_terms(text: str, span: tuple[int, int], words: int) -> list[tuple[str, int, int]]:
-    """The `words` terms before and after a span, as (lower-case term, start, end). Reads 64 characters a word at most."""
-    low = max(0, span[0] - 64 * words)
-    before = [m for m in _TERM.finditer(text, low, span[0]) if m.start() > low or low == 0][-words:]
-    after = []
-    for m in _TERM.finditer(text, span[1], min(len(text), span[1] + 64 * words)):
-        after.append(m)
-        if len(after) == words:
-            break
-    return [(m[0].lower(), *m.span()) for m in [*before, *after] if not m[0].isdigit()]
+def terms_of(text: str) -> list[tuple[str, int, int]]:
+    """The (lower-case term, start, end) of a text in order."""
+    return [(m[0].lower(), *m.span()) for m in _TERM.finditer(text)]
+
+
+def nearby_terms(terms: list[tuple[str, int, int]], span: tuple[int, int], words: int) -> list[tuple[str, int, int]]:
+    """The `words` terms of a text before and after a span, numbers aside; terms that the span cuts are neither."""
+    before, after = bisect.bisect_right(terms, span[0], key=lambda t: t[2]), bisect.bisect_left(terms, span[1], key=lambda t: t[1])
+    return [t for t in terms[max(0, before - words) : before] + terms[after : after + words] if not t[0].isdigit()]
 
 
 def _joined(spans: list[tuple[str, int, int]]) -> str:
@@ -90,12 +91,13 @@ def _joined(spans: list[tuple[str, int, int]]) -> str:
 
 
 def disclosing_terms(docs: DataFrame, text_col: str = "text", words: int = 8, support: int = 3, threshold: float = 0.75) -> DataFrame:
-    """(entity, term, disclosure): terms whose nearness gives an entity away, from counts over all texts.
+    """(entity, term, disclosure, instead): terms whose nearness gives an entity away, from counts over all texts, and the class that may stand for each.
 
     Contexts are the windows of `words` terms on each side of an entity; equal contexts, as in copies of a text, count once, so
     that copying a text proves nothing. A term needs `support` different contexts of the entity. Its disclosure is
     PMI / IC = 1 + ln p(entity | term) / IC(entity), where p(entity | term) is the number of those contexts over the number of different
-    texts with the term anywhere, and IC(entity) = ln(texts / texts with the entity).
+    texts with the term anywhere, and IC(entity) = ln(texts / texts with the entity). The disclosure of a class is that of a term that stands wherever
+    one of its terms does; `instead` is the narrowest class below the threshold, or null.
     """
     texts = docs.select(text_or_empty(text_col).alias("text"))
 
@@ -103,33 +105,38 @@ def disclosing_terms(docs: DataFrame, text_col: str = "text", words: int = 8, su
         for batch in slices(batches, "text"):
             out: list[tuple[int, str, int, int]] = []
             for text in batch.column("text").to_pylist():
-                doc = None
-                for kind, spans in base_spans(text).items():
-                    for a, b in spans:
-                        near = nearby_terms(text, (a, b), words)
-                        seen = xxhash.xxh3_64_intdigest("\n".join(t for t, _, _ in near).encode("utf-8", "surrogatepass")) - (1 << 63)
-                        doc = xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63) if doc is None else doc
-                        key = entity_key(kind, text[a:b])
-                        out += [(key, t, seen, doc) for t in {t for t, _, _ in near}]
+                base = [(kind, a, b) for kind, spans in base_spans(text).items() for a, b in spans]
+                if not base:
+                    continue
+                terms, doc = terms_of(text), xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
+                for kind, a, b in base:
+                    near = [t for t, _, _ in nearby_terms(terms, (a, b), words)]
+                    seen = xxhash.xxh3_64_intdigest("\n".join(near).encode("utf-8", "surrogatepass")) - (1 << 63)
+                    out += [(entity_key(kind, text[a:b]), t, seen, doc) for t in set(near)]
             yield pa.RecordBatch.from_pydict({"entity": [r[0] for r in out], "term": pa.array([r[1] for r in out], pa.string()), "context": [r[2] for r in out], "doc": [r[3] for r in out]}, schema=pa.schema([("entity", pa.int64()), ("term", pa.string()), ("context", pa.int64()), ("doc", pa.int64())]))
 
     seen = written(texts.mapInArrow(contexts, "entity long, term string, context long, doc long").distinct(), "pii-contexts")
-    pairs = seen.select("entity", "term", "context").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("together")).filter(F.col("together") >= support)
-    pairs = written(pairs, "pii-pairs")
+    together = lambda rows: rows.select("entity", "term", "context").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("together"))
+    pairs = written(together(seen).filter(F.col("together") >= support), "pii-pairs")
     of_entity = seen.select("entity", "doc").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("entity_docs"))
-    pairs = pairs.join(of_entity, "entity")
+    # a class takes part in the counts as one more term, for the entities of the pairs with one of its terms
+    prefixes = F.array_compact(F.array(*[F.when(F.length("term") > k, F.concat(F.substring("term", 1, k), F.lit("*"))) for k in (3, 2, 1)]))
+    classes = pairs.select("entity", F.explode(prefixes).alias("term")).distinct()
+    of_classes = together(seen.select("entity", F.explode(prefixes).alias("term"), "context").join(classes, ["entity", "term"]))
+    pairs = written(pairs.unionByName(of_classes).join(of_entity, "entity"), "pii-counted")
 
-    terms = pairs.select("term").distinct()
-    few = terms.limit(BROADCAST_ROWS + 1).collect()
-    if not few:
-        return pairs.select("entity", "term", F.lit(1.0).alias("disclosure"))
-    wanted = frozenset(r.term for r in few) if len(few) <= BROADCAST_ROWS else None
+    terms = written(pairs.select("term").distinct(), "pii-wanted")
+    few = sendable(terms, F.octet_length("term") + 64)
+    wanted = None if few is None else docs.sparkSession.sparkContext.broadcast(frozenset(r.term for r in few))
 
     def occurring(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            found = [set(_TERM.findall(text.lower())) for text in batch.column("text").to_pylist()]
-            terms = ["\n".join(f & wanted if wanted is not None else f) for f in found]
-            yield pa.RecordBatch.from_arrays([batch.column("of_text"), pa.array(terms, pa.string())], names=["of_text", "terms"])
+            out = []
+            for text in batch.column("text").to_pylist():
+                found = set(_TERM.findall(text.lower()))
+                found |= {t[:k] + "*" for t in found for k in (1, 2, 3) if len(t) > k}
+                out.append("\n".join(found if wanted is None else found & wanted.value))
+            yield pa.RecordBatch.from_arrays([batch.column("of_text"), pa.array(out, pa.string())], names=["of_text", "terms"])
 
     # copies of a text meet by its hash, as a row of the wanted terms in it: the text itself stays where it is
     different = texts.withColumn("of_text", F.xxhash64("text")).mapInArrow(occurring, "of_text long, terms string").dropDuplicates(["of_text"])
@@ -142,33 +149,43 @@ def disclosing_terms(docs: DataFrame, text_col: str = "text", words: int = 8, su
     information = F.log(F.lit(float(n)) / F.col("entity_docs"))
     shown = F.least(F.lit(1.0), F.col("together") / F.col("term_docs"))
     scored = pairs.join(term_docs, "term").withColumn("disclosure", F.lit(1.0) + F.log(shown) / F.greatest(information, F.lit(1e-9)))
-    return scored.filter(F.col("disclosure") >= threshold).select("entity", "term", "disclosure")
+    scored = written(scored.select("entity", "term", "disclosure"), "pii-scored")
+    flagged = scored.filter((F.col("disclosure") >= threshold) & ~F.col("term").endswith("*"))
+    wide = flagged.select("entity", F.col("term").alias("of_term"), F.explode(prefixes).alias("term")).join(scored.filter(F.col("disclosure") < threshold).select("entity", "term"), ["entity", "term"])
+    wide = wide.groupBy("entity", F.col("of_term").alias("term")).agg(F.max_by("term", F.length("term")).alias("instead"))
+    return flagged.join(wide, ["entity", "term"], "left").select("entity", "term", "disclosure", "instead")
+
+
+def sendable(rows: DataFrame, size: Column, most: int = 16 << 20) -> list | None:
+    """The rows, if they have no more than `most` bytes by the size of a row, else None; rows must be cheap to read."""
+    total = rows.agg(F.sum(size)).first()[0] or 0
+    return rows.collect() if total <= most else None
 
 
 def find_pii(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 8, support: int = 3, threshold: float = 0.75,
-    remove_at: float = 0.95, carry: tuple[str, ...] = (),
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 8, support: int = 3, threshold: float = 0.75, carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """One row per row of docs: id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_term, clean_text, and the columns in `carry`.
 
     spans lists kind:start:end of all spans by kind, then start (code points, end exclusive); base_sha256 is the digest of that list
     without the added kind `term`. A term is marked wherever it stands outside base spans in a text that holds the entity
-    it discloses. In clean_text a base span is replaced by its kind in brackets, a term by [TERM], and a term with
-    a disclosure of remove_at or more by nothing.
+    it discloses. In clean_text a base span is replaced by its kind in brackets, a term by the class it is generalised to,
+    as `[zol*]`, or by nothing where it has none; of several entities of a text the one that asks for the widest class decides.
 
     Defined cases: a null text is empty: no spans. No rows give no rows. Copies of a text neither add nor
     remove terms. Work on a text is linear in its length.
     """
     flagged = written(disclosing_terms(docs, text_col, words, support, threshold), "pii-terms")
     rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"), *[F.col(c).alias(f"carried_{c}") for c in carry])
-    few = flagged.limit(BROADCAST_ROWS + 1).collect()
-    if len(few) <= BROADCAST_ROWS:
-        known: dict[int, dict[str, float]] = {}
+    few = sendable(flagged, F.octet_length("term") + 160)
+    if few is not None:
+        by_entity: dict[int, list[tuple[str, str | None]]] = {}
         for r in few:
-            known.setdefault(r.entity, {})[r.term] = r.disclosure
-        rows = rows.withColumn("own", F.lit(None).cast("array<struct<entity:bigint,term:string,disclosure:double>>"))
+            by_entity.setdefault(r.entity, []).append((r.term, r.instead))
+        known = docs.sparkSession.sparkContext.broadcast(by_entity)  # 16 MB at most
+        rows = rows.withColumn("own", F.lit(None).cast("array<struct<entity:bigint,term:string,instead:string>>"))
     else:  # too many to send to every task: each text gets those of its own entities by a join
-        known = {}
+        known = None
         rows = rows.withColumn("row_key", F.xxhash64("id", "text"))
 
         def entities(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,7 +194,7 @@ def find_pii(
                 yield pa.RecordBatch.from_pydict({"row_key": pa.array([r[0] for r in out], pa.int64()), "entity": pa.array([r[1] for r in out], pa.int64())})
 
         own = rows.select("row_key", "text").mapInArrow(entities, "row_key long, entity long").distinct().join(flagged, "entity")
-        own = own.groupBy("row_key").agg(F.collect_list(F.struct("entity", "term", "disclosure")).alias("own"))
+        own = own.groupBy("row_key").agg(F.collect_list(F.struct("entity", "term", "instead")).alias("own"))
         rows = rows.join(own, "row_key", "left").drop("row_key")
 
     def mark(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,12 +203,12 @@ def find_pii(
             for text, own in zip(batch.column("text").to_pylist(), batch.column("own").to_pylist(), strict=True):
                 found = base_spans(text)
                 base = [(k, a, b) for k, spans in found.items() for a, b in spans]
-                terms: dict[str, float] = {}
+                asked = [(r["term"], r["instead"]) for r in own or ()]
                 for kind, a, b in base if known else ():
-                    for term, d in known.get(entity_key(kind, text[a:b]), {}).items():
-                        terms[term] = max(d, terms.get(term, 0))
-                for r in own or ():
-                    terms[r["term"]] = max(r["disclosure"], terms.get(r["term"], 0))
+                    asked += known.value.get(entity_key(kind, text[a:b]), ())
+                terms: dict[str, str] = {}
+                for term, instead in asked:
+                    terms[term] = min(terms.get(term, term), instead or "", key=len)
                 added = []
                 if terms:
                     covered, at = [], 0
@@ -213,7 +230,8 @@ def find_pii(
                 parts, at = [], 0
                 for kind, a, b in sorted(base + added, key=lambda s: (s[1], -s[2])):
                     if a >= at:
-                        parts += [text[at:a], f"[{kind.upper()}]" if kind != ADDED or terms[text[a:b].lower()] < remove_at else ""]
+                        instead = kind.upper() if kind != ADDED else terms[text[a:b].lower()]
+                        parts += [text[at:a], f"[{instead}]" if instead else ""]
                     at = max(at, b)
                 out["clean_text"].append("".join([*parts, text[at:]]))
             kept = {"id": batch.column("id")} | {f"carried_{c}": batch.column(f"carried_{c}") for c in carry}

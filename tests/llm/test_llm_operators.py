@@ -637,21 +637,63 @@ def test_pii_terms(spark):
     assert pii.find_pii(docs.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("sent", [200_000, 0])
+def brute_disclosure(texts, words=8, support=3):
+    """(entity, term or class) -> disclosure, with plain counting over different texts."""
+    from math import log
+
+    different = sorted({t or "" for t in texts})
+    wide = lambda t: {t, *(t[:k] + "*" for k in (1, 2, 3) if len(t) > k)}
+    contexts, entity_docs, occurs = {}, {}, Counter()
+    for text in different:
+        spans = [(kind, a, b) for kind, own in brute_pii(text).items() for a, b in own]
+        every = list(re.finditer(r"\w+", text))
+        occurs.update({c for t in re.findall(r"\w+", text.lower()) for c in wide(t)})
+        for kind, a, b in spans:
+            near = [m for m in every if m.end() <= a][-words:] + [m for m in every if m.start() >= b][:words]
+            near = [m[0].lower() for m in near if not m[0].isdigit()]
+            entity = pii.entity_key(kind, text[a:b])
+            entity_docs.setdefault(entity, set()).add(text)
+            for t in near:
+                for c in wide(t):
+                    contexts.setdefault((entity, c), set()).add(tuple(near))
+    terms = {(e, c) for (e, c), own in contexts.items() if len(own) >= support and not c.endswith("*")}
+    known = terms | {(e, t[:k] + "*") for e, t in terms for k in (1, 2, 3) if len(t) > k}
+    n = len(different)
+    return {(e, c): 1 + log(min(1, len(contexts[e, c]) / occurs[c])) / max(1e-9, log(n / len(entity_docs[e]))) for e, c in known}
+
+
+def secret_texts():
+    return rng_texts(51, 200, 40, (20, 40)) + [f"{t} Zoltan wrote {'long' * 40} ann@corp.example today w{i % 9} {u}" for i, (t, u) in enumerate(zip(rng_texts(52, 12, 40, (10, 20)), rng_texts(53, 12, 40, (10, 20))))] + ["zola zone zigzag"] * 3 + [f"zolpidem {i} zolder z{i}" for i in range(60)]
+
+
+@pytest.mark.parametrize("sent", [16 << 20, -1])
+def test_terms_and_classes_are_brute_force(spark, monkeypatch, sent):
+    send = pii.sendable
+    monkeypatch.setattr(pii, "sendable", lambda rows, size, most=0: send(rows, size, sent))
+    texts = secret_texts() + ODD
+    scores = brute_disclosure(texts)
+    want = {}
+    for (e, t), d in scores.items():
+        if d >= 0.75 and not t.endswith("*"):
+            classes = [t[:k] + "*" for k in (3, 2, 1) if len(t) > k and scores[e, t[:k] + "*"] < 0.75]
+            want[e, t] = (pytest.approx(d), classes[0] if classes else None)
+    got = {(x.entity, x.term): (x.disclosure, x.instead) for x in pii.disclosing_terms(frame(spark, texts)).collect()}
+    assert got == want
+    by_term = {t: instead for (_, t), (_, instead) in got.items()}
+    assert by_term["zoltan"] == "zol*" and "long" * 40 in by_term
+    rows = {x.doc_id: x for x in pii.find_pii(frame(spark, texts)).collect()}
+    assert "[zol*] [" in rows[200].clean_text and "Zoltan" not in rows[200].clean_text and "longlong" not in rows[200].clean_text
+
+
+@pytest.mark.parametrize("sent", [16 << 20, -1])
 def test_copies_of_a_text_keep_its_disclosing_terms(spark, monkeypatch, sent):
-    monkeypatch.setattr(pii, "BROADCAST_ROWS", sent)
-    texts = rng_texts(51, 200, 40, (20, 40)) + [f"{t} Zoltan wrote ann@corp.example {u}" for t, u in zip(rng_texts(52, 12, 40, (10, 20)), rng_texts(53, 12, 40, (10, 20)))]
-    once = {(x.entity, x.term): x.disclosure for x in pii.disclosing_terms(frame(spark, texts)).collect()}
-    copied = {(x.entity, x.term): x.disclosure for x in pii.disclosing_terms(frame(spark, texts + texts[-1:] * 300 + texts[:1] * 50)).collect()}
-    assert copied == pytest.approx(once) and "zoltan" in {t for _, t in once}
-
-
-def test_pii_terms_joined_rather_than_sent(spark, monkeypatch):
-    texts = rng_texts(51, 100, 40, (20, 40)) + [f"{t} Zoltan wrote ann@corp.example {u}" for t, u in zip(rng_texts(52, 12, 40, (10, 20)), rng_texts(53, 12, 40, (10, 20)))]
-    docs = frame(spark, texts)
-    sent = {x.doc_id: x.spans for x in pii.find_pii(docs).collect()}
-    monkeypatch.setattr(pii, "BROADCAST_ROWS", 0)
-    assert {x.doc_id: x.spans for x in pii.find_pii(docs).collect()} == sent
+    send = pii.sendable
+    monkeypatch.setattr(pii, "sendable", lambda rows, size, most=0: send(rows, size, sent))
+    texts = secret_texts()
+    own = lambda rows: {(x.entity, x.term): (pytest.approx(x.disclosure), x.instead) for x in rows}
+    once = own(pii.disclosing_terms(frame(spark, texts)).collect())
+    copied = own(pii.disclosing_terms(frame(spark, texts + texts[205:206] * 300 + texts[:1] * 50)).collect())
+    assert copied == once and "zoltan" in {t for _, t in once}
 
 
 # 10 ---------------------------------------------------------------------------------------------------------------------
