@@ -4,6 +4,10 @@ A window is a run of 20 words. Its minimiser is the smallest hash among its thre
 minimiser for about ten windows, and travel together as one packed string, a super-k-mer, to the bucket of that minimiser.
 Equal windows have equal minimisers, so each bucket finds its repeats alone: it sorts its windows and keeps the first of equal ones.
 
+A minimiser of very common words would make a bucket too large for a task. A part of the texts tells how full buckets will be, and the
+super-k-mers of full ones are divided by the second smallest hash of their windows, which equal windows share too. That changes where
+windows meet, never whether.
+
 What a task already knows is settled before the shuffle: of equal super-k-mers in a chunk of texts only the first travels, as
 the others start later and are removed whatever other chunks hold. A passage in a third of all texts thus reaches its
 bucket once for each chunk, not once for each text.
@@ -20,9 +24,11 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, SPLIT, WordHashes, gram_hashes, slices, text_or_empty
+from .common import BROADCAST_ROWS, SPLIT, WordHashes, gram_hashes, slices, text_or_empty, written
 
 WINDOW, MINIMISER = 20, 3
+#: One text in so many is looked at to find full buckets; a bucket is full beyond so many times the mean, and so many words in those texts.
+LOOKED_AT, FULL, LEAST_WORDS = 64, 4, 1000
 _NO_ID = -(1 << 63)
 
 
@@ -45,6 +51,14 @@ def super_kmers(hashes: np.ndarray, window: int = WINDOW, k: int = MINIMISER) ->
     return least[first], first, np.diff(np.append(first, len(least)))
 
 
+def divided(hashes: np.ndarray, first: int, count: int, window: int = WINDOW, k: int = MINIMISER) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(second minimiser, first window, number of windows) of the runs within a super-k-mer whose windows share their second smallest hash too."""
+    grams = np.lib.stride_tricks.sliding_window_view(gram_hashes(hashes[first : first + count + window - 1], k), window - k + 1)
+    second = np.where(grams == grams.min(axis=1, keepdims=True), np.uint64((1 << 64) - 1), grams).min(axis=1)
+    at = np.concatenate(([0], np.flatnonzero(second[1:] != second[:-1]) + 1))
+    return second[at], first + at, np.diff(np.append(at, len(second)))
+
+
 def _pack(ids: list[int], starts: list[int], strings: list[str], of_texts: list[int] | None = None) -> bytes:
     """A compressed block of super-k-mers: their texts' ids and hashes, their first windows, and their words, a line each."""
     text = "\n".join(strings).encode("utf-8", "surrogatepass")
@@ -69,8 +83,8 @@ def _unpack(blob: bytes) -> tuple[np.ndarray, str]:
 class Chunk:
     """Super-k-mers of some texts: the first of equal ones by bucket, and the ranges of words that later ones cover."""
 
-    def __init__(self, buckets: int, window: int):
-        self.buckets, self.window = buckets, window
+    def __init__(self, buckets: int, window: int, full: dict[int, int] | None = None):
+        self.buckets, self.window, self.full = buckets, window, full or {}
         self.first: dict[str, tuple[int, int, int, int]] = {}
         self.later: list[tuple[int, int, int, int]] = []
         self.bytes = 0
@@ -78,7 +92,10 @@ class Chunk:
     def add(self, doc: int, of_text: int, words: list[str], hashes: np.ndarray) -> None:
         least, first, count = super_kmers(hashes, self.window)
         bucket = (least % np.uint64(self.buckets)).tolist()
-        for b, at, n in zip(bucket, first.tolist(), count.tolist(), strict=True):
+        runs = list(zip(bucket, first.tolist(), count.tolist(), strict=True))
+        if self.full and not self.full.keys().isdisjoint(bucket):
+            runs = [run for whole in runs for run in self.parts(hashes, *whole)]
+        for b, at, n in runs:
             string = " ".join(words[at : at + n + self.window - 1])
             own, other = (doc, of_text, at, b), self.first.get(string)
             if other is None or own < other:
@@ -88,6 +105,14 @@ class Chunk:
             if own is not None and own[:3] != other[:3]:
                 self.later.append((*own[:3], own[2] + n + self.window - 1))
 
+    def parts(self, hashes: np.ndarray, bucket: int, first: int, count: int) -> list[tuple[int, int, int]]:
+        """The (bucket, first window, number of windows) that a super-k-mer is divided into, if its bucket is full."""
+        into = self.full.get(bucket)
+        if not into:
+            return [(bucket, first, count)]
+        second, at, n = divided(hashes, first, count, self.window)
+        return list(zip((bucket + self.buckets * (1 + second % np.uint64(into)).astype(np.int64)).tolist(), at.tolist(), n.tolist(), strict=True))
+
     def rows(self) -> pa.RecordBatch:
         """A row per bucket (bucket, packed)."""
         by_bucket: dict[int, tuple[list, list, list, list]] = {}
@@ -98,7 +123,7 @@ class Chunk:
             strings.append(string)
             of_texts.append(of_text)
         packed = {b: _pack(*x) for b, x in by_bucket.items()}
-        return pa.RecordBatch.from_pydict({"bucket": pa.array(list(packed), pa.int32()), "packed": pa.array(list(packed.values()), pa.binary())})
+        return pa.RecordBatch.from_pydict({"bucket": pa.array(list(packed), pa.int64()), "packed": pa.array(list(packed.values()), pa.binary())})
 
 
 RANGES = pa.schema([("id", pa.int64()), ("of_text", pa.int64()), ("first", pa.int64()), ("end", pa.int64())])
@@ -179,6 +204,31 @@ def named_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.select("id", "text", F.when(named, F.xxhash64("text")).otherwise(F.lit(0).cast("long")).alias("of_text"))
 
 
+def full_buckets(rows: DataFrame, buckets: int, window: int) -> dict[int, int]:
+    """bucket -> the number of parts it is divided into, of the buckets that have over FULL times the mean load.
+
+    Loads are those of one text in LOOKED_AT, a part that grows with the input. No result depends on them: the fullest 100,000 are enough to send.
+    """
+
+    def load(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in slices(batches, "text"):
+            least, size = [], []
+            for text in batch.column("text").to_pylist():
+                own, _, count = super_kmers(hashes.of(SPLIT.findall(text)), window)
+                least.append(own % np.uint64(buckets))
+                size.append(count + window - 1)
+            if least:
+                bucket, at = np.unique(np.concatenate(least), return_inverse=True)
+                yield pa.RecordBatch.from_pydict({"bucket": pa.array(bucket.astype(np.int64)), "words": pa.array(np.bincount(at, np.concatenate(size), len(bucket)).astype(np.int64))})
+
+    looked_at = rows.filter(F.pmod(F.xxhash64(F.lit("load"), "id", "of_text"), F.lit(LOOKED_AT)) == 0).select("text")
+    loads = written(looked_at.mapInArrow(load, "bucket long, words long").groupBy("bucket").agg(F.sum("words").alias("words")), "substring-loads")
+    mean = (loads.agg(F.sum("words")).first()[0] or 0) / buckets
+    full = loads.filter(F.col("words") > F.lit(FULL * mean)).filter(F.col("words") > LEAST_WORDS).orderBy(F.desc("words"), "bucket").limit(100_000).collect()
+    return {r.bucket: min(4096, math.ceil(r.words / mean)) for r in full}
+
+
 def repeated_ranges(rows: DataFrame, window: int = WINDOW, bucket_bytes: int = 24 << 20, chunk_bytes: int = 8_000_000) -> DataFrame:
     """(id, of_text, first, end) ranges of words of named rows that are covered by windows whose words also start earlier; ranges may overlap.
 
@@ -189,9 +239,11 @@ def repeated_ranges(rows: DataFrame, window: int = WINDOW, bucket_bytes: int = 2
     spark = rows.sparkSession
     buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(3 * total / bucket_bytes))
 
+    full = spark.sparkContext.broadcast(full_buckets(rows, buckets, window))  # 100,000 pairs of numbers at most
+
     def scatter(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, turn = WordHashes(), 0
-        chunk, held = Chunk(buckets, window), 0
+        chunk, held = Chunk(buckets, window, full.value), 0
 
         def settled(later: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
             """Ranges that need no bucket go to any: they pass through it."""
@@ -199,7 +251,7 @@ def repeated_ranges(rows: DataFrame, window: int = WINDOW, bucket_bytes: int = 2
             cuts = [later[a : a + 5000] for a in range(0, len(later), 5000)]
             packed = [b"R" + np.array(cut, "<i8").tobytes() for cut in cuts]
             turn += len(cuts)
-            return pa.RecordBatch.from_pydict({"bucket": pa.array([hash((later[0], turn, i)) % buckets for i in range(len(cuts))], pa.int32()), "packed": pa.array(packed, pa.binary())})
+            return pa.RecordBatch.from_pydict({"bucket": pa.array([hash((later[0], turn, i)) % buckets for i in range(len(cuts))], pa.int64()), "packed": pa.array(packed, pa.binary())})
 
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal chunk, held
@@ -207,7 +259,7 @@ def repeated_ranges(rows: DataFrame, window: int = WINDOW, bucket_bytes: int = 2
                 yield chunk.rows()
             if chunk.later:
                 yield settled(chunk.later)
-            chunk, held = Chunk(buckets, window), 0
+            chunk, held = Chunk(buckets, window, full.value), 0
 
         for batch in slices(batches, "text"):
             for doc, of_text, text in zip(*(batch.column(c).to_pylist() for c in ("id", "of_text", "text")), strict=True):
@@ -226,7 +278,7 @@ def repeated_ranges(rows: DataFrame, window: int = WINDOW, bucket_bytes: int = 2
         every = np.concatenate([found, *passed])
         return pa.table([every[:, i] for i in range(4)], schema=RANGES)
 
-    return rows.mapInArrow(scatter, "bucket int, packed binary").groupBy("bucket").applyInArrow(resolve, "id long, of_text long, first long, end long")
+    return rows.mapInArrow(scatter, "bucket long, packed binary").groupBy("bucket").applyInArrow(resolve, "id long, of_text long, first long, end long")
 
 
 def kept_words(words: list[str], first: list[int], end: list[int]) -> list[str]:

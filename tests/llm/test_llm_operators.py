@@ -384,8 +384,10 @@ def brute_substrings(rows, window):
     return Counter(out)
 
 
-@pytest.mark.parametrize("chunk", [300, 8_000_000])
-def test_substring_dedup_is_brute_force(spark, chunk):
+@pytest.mark.parametrize(("chunk", "divide"), [(300, False), (300, True), (8_000_000, True)])
+def test_substring_dedup_is_brute_force(spark, monkeypatch, chunk, divide):
+    if divide:
+        monkeypatch.setattr(substring_dedup, "full_buckets", lambda rows, buckets, window: {b: 2 + b % 3 for b in range(0, buckets, 2)})
     r = random.Random(8)
     texts = [t for t in ODD if len(t or "") < 60_000] + rng_texts(11, 60, 2, (0, 80)) + rng_texts(12, 40, 500, (15, 90))
     passage = " ".join(f"p{i}" for i in range(33))
@@ -418,6 +420,21 @@ def test_substring_dedup_of_rows_without_an_id_of_their_own(spark, monkeypatch,
     assert Counter(tuple(x) for x in got.collect()) == want
 
 
+def test_buckets_of_common_words_are_found_and_divided(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "LOOKED_AT", 2)
+    monkeypatch.setattr(substring_dedup, "LEAST_WORDS", 50)
+    texts = [f"{t} all the same words of one kind {u}" for t, u in zip(rng_texts(1, 120, 9000, (20, 20)), rng_texts(2, 120, 9000, (20, 20)))]
+    rows = substring_dedup.named_rows(frame(spark, texts), "doc_id", "text")
+    full = substring_dedup.full_buckets(rows, 400, 20)
+    assert full and all(n > substring_dedup.FULL for n in full.values()) and len(full) < 40
+    hashes = substring_dedup.WordHashes()
+    for text in texts[:20]:
+        own = hashes.of(text.split())
+        for _, first, count in zip(*(x.tolist() for x in substring_dedup.super_kmers(own))):
+            _, at, n = substring_dedup.divided(own, first, count)
+            assert [w for a, k in zip(at.tolist(), n.tolist()) for w in range(a, a + k)] == list(range(first, first + count))
+
+
 def test_equal_hashes_of_different_windows_are_told_apart(monkeypatch):
     monkeypatch.setattr(substring_dedup, "gram_hashes", lambda words, n, seed=0: np.zeros(max(0, len(words) - n + 1), np.uint64))
     strings = [" ".join(w) for w in (["a"] * 22, list("bcdefghijklmnopqrstuv"), list("bcdefghijklmnopqrstuw"))]
