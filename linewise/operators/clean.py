@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions import text as T
-from .lines import by_line, to_blocks, to_text, with_blocks
-from .windows import normal_spacing, reflow, repeated_blocks, repeated_neighbours, spacing_defects
+from .lines import by_line, to_blocks, to_text
+from .windows import normal_spacing, reflow, repeated_blocks
 
 #: Counts from which a repeated thing is boilerplate.
 HEADER_REPEATS, LINE_REPEATS, URL_REPEATS = 4, 3, 5
@@ -88,40 +88,56 @@ def bilingual_blocks(lines: DataFrame) -> DataFrame:
     return rows.filter(F.col("next_body").isNotNull() & foreign & ~other & same).select("work", "first_line", "last_line")
 
 
-def findings(lines: DataFrame) -> DataFrame:
-    """(work, category, line_no): all defects of texts, a row for each line and category.
+CATEGORIES = ("meta", "boiler", "dupe", "headNum", "dialog", "struct", "miscue", "glued", "repeat", "bilingual", "spacing")
 
-    meta, boiler (not both), dupe, headNum, dialog, struct, miscue, glued, repeat, bilingual, spacing.
+
+def findings(lines: DataFrame, categories: tuple[str, ...] = CATEGORIES) -> DataFrame:
+    """(work, category, line_no): the defects of texts of the wanted categories, a row for each line and category.
+
+    meta, boiler (not both), dupe, headNum, dialog, struct, miscue, glued, repeat, bilingual, spacing. What lines say of themselves and their
+    neighbours is one pass over the lines of a work; repeats and doubles of whole blocks are one over its blocks each.
     """
-    t = T.trim(F.col("text"))
-    rows = lines.withColumn("t", t).filter(F.col("t") != "")
-    header = ~T.is_marker(F.col("t")) & T.is_header_shape(F.col("t"))
-    rows = rows.withColumn("sig", F.when(header, T.signature(F.col("t"))))
-    shapes = T.is_header_shape(F.col("t"))
-    often = frequent(rows.filter(F.length("sig") >= 2), F.col("sig"), HEADER_REPEATS).select(F.col("work").alias("of_work"), F.col("key").alias("often"))
-    rows = rows.withColumn("own_sig", F.when(shapes, T.signature(F.col("t")))).join(often, (F.col("own_sig") == F.col("often")) & (F.col("work") == F.col("of_work")), "left").drop("of_work")
-    meta = T.is_meta(F.col("t"))
-    boiler = ~meta & (T.is_sure_boilerplate(F.col("t")) | F.col("often").isNotNull())
-    plain = ~T.is_marker(F.col("t")) & T.is_untranslated(F.col("t"))
-    found = F.array_compact(
-        F.array(
-            F.when(meta, "meta"), F.when(boiler, "boiler"), F.when(T.has_page_number(F.col("t")), "headNum"),
-            F.when(plain & T.is_structural(F.col("t")), "struct"), F.when(plain & ~T.is_structural(F.col("t")), "dialog"), F.when(T.is_suspicious_cue(F.col("t")), "miscue"),
-        )
-    )
-    out = rows.select("work", F.explode(found).alias("category"), "line_no")
-    named = lambda df, name: df.select("work", F.lit(name).alias("category"), "line_no")
-    spread = lambda df: df.select("work", F.explode(F.sequence("first_line", "last_line")).alias("line_no"))
-    out = out.union(named(repeated_neighbours(lines), "dupe")).union(named(spacing_defects(lines), "spacing")).union(named(glued_actions(lines), "glued"))
-    return out.union(named(spread(repeated_blocks(lines)), "repeat")).union(named(spread(bilingual_blocks(lines)), "bilingual"))
+    found = None
+    if set(categories) - {"repeat", "bilingual"}:
+        found = line_findings(lines, categories)
+    for name, spans in (("repeat", repeated_blocks), ("bilingual", bilingual_blocks)):
+        if name in categories:
+            part = spans(lines).select("work", F.lit(name).alias("category"), F.explode(F.sequence("first_line", "last_line")).alias("line_no"))
+            found = part if found is None else found.union(part)
+    return found
+
+
+def line_findings(lines: DataFrame, categories: tuple[str, ...] = CATEGORIES) -> DataFrame:
+    """The findings that a line, its neighbours and the first line of its block decide."""
+    t, order = F.col("t"), by_line()
+    rows = lines.select("work", "line_no", T.trim(F.col("text")).alias("t"))
+    rows = rows.withColumns({"prev": F.lag("t").over(order), "prev_blank": F.coalesce(F.lag(t == "").over(order), F.lit(True))})
+    if "glued" in categories:  # the first line of a block says whether a cue opens it
+        rows = rows.withColumn("block", F.sum((F.col("prev_blank") & (t != "")).cast("int")).over(order.rowsBetween(W.unboundedPreceding, 0)))
+        rows = rows.withColumn("head", F.last(F.when(F.col("prev_blank") & (t != ""), t), ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, 0)))
+    rows = rows.filter(t != "").withColumn("marker", T.is_marker(t))
+    if "boiler" in categories:
+        # a header's shape needs a digit or one of a few words: other lines are not looked at any closer
+        rows = rows.withColumn("sig", F.when(T.is_header_shape(t), T.signature(t)))
+        rows = rows.withColumn("often", F.count(F.when(~F.col("marker") & (F.length("sig") >= 2), 1)).over(W.partitionBy("work", "sig")))
+    else:
+        rows = rows.withColumns({"sig": F.lit(None).cast("string"), "often": F.lit(0)})
+    rows = rows.withColumn("meta", T.is_meta(t) if {"meta", "boiler"} & set(categories) else F.lit(False))
+    rows = rows.withColumn("left", ~F.col("marker") & T.is_untranslated(t))
+    head = F.col("head") if "glued" in categories else F.lit("")
+    tests = {
+        "meta": F.col("meta"), "boiler": ~F.col("meta") & (T.is_sure_boilerplate(t) | (F.col("sig").isNotNull() & (F.col("often") >= HEADER_REPEATS))),
+        "dupe": t == F.col("prev"), "headNum": T.has_page_number(t), "struct": F.col("left") & T.is_structural(t), "dialog": F.col("left") & ~T.is_structural(t),
+        "miscue": T.is_suspicious_cue(t), "glued": head.startswith("@") & ~F.col("prev_blank") & ~T.has(t, "^[#@]") & T.looks_like_action(t),
+        "spacing": T.has(t, "^[#@]") & (F.col("prev") != ""),
+    }
+    names = F.array_compact(F.array(*[F.when(test, name) for name, test in tests.items() if name in categories]))
+    return rows.select("work", "line_no", names.alias("names")).filter(F.size("names") > 0).select("work", F.explode("names").alias("category"), "line_no")
 
 
 def glued_actions(lines: DataFrame) -> DataFrame:
     """Lines after the first of a block that a cue opens which read like narration."""
-    rows = with_blocks(lines).withColumn("t", T.trim(F.col("text")))
-    block = W.partitionBy("work", "block_no").orderBy("line_no")
-    rows = rows.withColumn("head", F.first("t").over(block)).withColumn("nth", F.row_number().over(block))
-    return rows.filter(F.col("head").startswith("@") & (F.col("nth") > 1) & ~T.has(F.col("t"), "^[#@]") & T.looks_like_action(F.col("t"))).select("work", "line_no", "text")
+    return lines.join(line_findings(lines, ("glued",)), ["work", "line_no"], "left_semi").select("work", "line_no", "text")
 
 
 def split_glued(lines: DataFrame) -> DataFrame:
@@ -139,12 +155,12 @@ def _renumbered(rows: DataFrame) -> DataFrame:
 
 def summary(lines: DataFrame) -> DataFrame:
     """One row per work with a count per category; spacing counts only beyond 15 % of the lines; autofixable and review are totals."""
-    names = ["meta", "boiler", "dupe", "repeat", "headNum", "bilingual", "dialog", "struct", "miscue", "glued", "spacing"]
+    names = list(CATEGORIES)
     blocks = bilingual_blocks(lines).groupBy("work").agg(F.count(F.lit(1)).alias("pairs"))
-    counts = findings(lines).groupBy("work").pivot("category", names).agg(F.count(F.lit(1)))
+    counts = findings(lines, tuple(c for c in CATEGORIES if c != "bilingual")).groupBy("work").pivot("category", names).agg(F.count(F.lit(1)))
     total = lines.groupBy("work").agg(F.count(F.lit(1)).alias("lines"))
     rows = total.join(counts, "work", "left").join(blocks, "work", "left").fillna(0)
-    rows = rows.withColumn("bilingual", F.col("pairs")).withColumn("spacing", F.when(F.col("spacing") > F.col("lines") * 0.15, F.col("spacing")).otherwise(0))
+    rows = rows.withColumn("bilingual", F.coalesce("pairs", F.lit(0).cast("long"))).withColumn("spacing", F.when(F.col("spacing") > F.col("lines") * 0.15, F.col("spacing")).otherwise(0))
     fixable = F.col("meta") + F.col("boiler") + F.col("dupe") + F.col("repeat") + F.col("bilingual") + F.col("headNum")
     return rows.select("work", "lines", *names, fixable.alias("autofixable"), F.col("dialog").alias("review"))
 
@@ -164,7 +180,7 @@ def autofix(lines: DataFrame) -> DataFrame:
     Remarks, boilerplate, repeats, bilingual doubles and title pages go; headings lose repeats and page numbers; captions become marked lines
     between blank ones; spacing is made even; broken sentences are joined.
     """
-    safe = findings(lines).filter(F.col("category").isin("meta", "boiler", "dupe", "repeat", "bilingual")).select("work", "line_no")
+    safe = findings(lines, ("meta", "boiler", "dupe", "repeat", "bilingual")).select("work", "line_no")
     kept = lines.join(safe.union(head_junk(lines)).distinct(), ["work", "line_no"], "left_anti")
     korean = lines.groupBy("work").agg(F.max(T.has(F.col("text"), "[가-힣]").cast("int")).alias("korean"))
     t = T.trim(F.col("text"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions import text as T
+from ..functions.rules import PLACES
 from .lines import typed_blocks
 from .windows import close_repeated_cues, dialogue_measures, empty_cues, next_matching
 
@@ -80,7 +81,7 @@ def scene_warnings(scenes: DataFrame, raw: DataFrame) -> DataFrame:
 
     A low share of recognised headings is told only where none of single_scene, few_scenes and undercount is.
     """
-    place = r"(INT\.|EXT\.|INT\.\/EXT\.|EXT\.\/INT\.|I\/E\.)"
+    place = f"({PLACES})"
     numbered, nth = r"^[A-Z]?\d+\.?\s+" + place, r"^SCENE\s+\d+\s*[-–.]"
     is_raw = lambda t: T.has(t, "^" + place, True) | T.has(t, numbered, True) | T.has(t, nth, True)
     clean = lambda t: T.sub(t, r"^[A-Za-z0-9*'\"\\/|.\-]{1,3}\s{2,}")

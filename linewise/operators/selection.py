@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..functions import text as T
+
 
 def systematic_sample(rows: DataFrame, cap: int, *order: Column | str, by: str = "work") -> DataFrame:
     """At most `cap` rows of each work, evenly spread: those at floor(k x n / cap)."""
@@ -71,17 +73,9 @@ def active_time(events: DataFrame, key: str, at: str, running: Column, *tie: str
     return rows.groupBy(key).agg((F.sum(us) / 1000000).alias("active_seconds"))
 
 
-def error_class(message: Column) -> Column:
-    """What kind of failure a message tells of."""
-    return (
-        F.when(message.rlike("(?i)rate.?limit|429|usage limit|quota"), "rate_limit").when(message.rlike("(?i)auth|401|403|login|credential"), "auth")
-        .when(message.rlike("(?i)timeout|timed out|etimedout"), "timeout").when(message.rlike("(?i)network|econn|socket|fetch failed|50[0-9]|overloaded"), "transient").otherwise("other")
-    )
-
-
 def error_groups(rows: DataFrame, message: Column, id_col: str) -> DataFrame:
-    """(class, n, first_id, last_id): failures by kind; the class of each row is error_class."""
-    return rows.select(error_class(message).alias("class"), id_col).groupBy("class").agg(F.count(F.lit(1)).alias("n"), F.min(id_col).alias("first_id"), F.max(id_col).alias("last_id"))
+    """(class, n, first_id, last_id): failures by kind; the class of each row is text.error_class."""
+    return rows.select(T.error_class(message).alias("class"), id_col).groupBy("class").agg(F.count(F.lit(1)).alias("n"), F.min(id_col).alias("first_id"), F.max(id_col).alias("last_id"))
 
 
 def token_cost(scenes: DataFrame, price_in: float = 3.0, price_out: float = 15.0) -> DataFrame:

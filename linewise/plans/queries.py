@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.rules import ERRORS
 from ..operators import align, clean, incremental, joins, quality, selection, windows
 from ..operators import lines as L
 
@@ -161,12 +162,6 @@ _NEXT = """n AS (SELECT *, first_value(CASE WHEN tr <> '' AND tr NOT LIKE '(%' T
   OVER (PARTITION BY work ORDER BY line_no ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS nx FROM t)"""
 
 
-@query(f"""WITH {_script(where="text IS NOT NULL")}, {_T}, {_NEXT} SELECT work, count(*) AS n FROM n WHERE tr LIKE '@%' AND (nx IS NULL OR regexp_matches(nx, '^[@#]')) GROUP BY work""")
-def empty_cues(spark, sf_dir):
-    """Turns whose cue nothing follows."""
-    return windows.empty_cues(script_lines(spark, sf_dir, "text IS NOT NULL")).groupBy("work").agg(F.count(F.lit(1)).alias("n"))
-
-
 @query(f"""WITH {_script()}, {_T}, {_NEXT} SELECT work, line_no, {_trim("split_part(regexp_replace(tr, '^@', ''), '(', 1)")} AS cue, substr(nx, 1, 80) AS speech FROM n
 WHERE tr LIKE '@%' AND nx IS NOT NULL AND NOT regexp_matches(nx, '^[@#]')""")
 def first_speech(spark, sf_dir):
@@ -202,12 +197,6 @@ def repeat_block_runs(spark, sf_dir):
     return windows.repeated_blocks(L.to_lines(docs, "doc_id", "text"))
 
 
-@query(f"""WITH {_script()}, {_T}, c AS (SELECT *, lead(tr) OVER w AS nt, lead(line_no) OVER w AS next_line FROM t WHERE tr LIKE '@%' WINDOW w AS (PARTITION BY work ORDER BY line_no))
-SELECT work, line_no, next_line, tr AS cue FROM c WHERE tr = nt AND next_line - line_no <= 6""")
-def close_repeated_cues(spark, sf_dir):
-    return windows.close_repeated_cues(script_lines(spark, sf_dir))
-
-
 _SCENES = "c AS (SELECT conv_id AS work, turn AS scene_no, coalesce(text, '') AS scene FROM conversations)"
 
 
@@ -335,15 +324,6 @@ def fuzzy_line_match(spark, sf_dir):
     return joins.fuzzy_lines(wanted, script_lines(spark, sf_dir))
 
 
-@query(r"""WITH s AS (SELECT DISTINCT page_id AS work, unnest(regexp_extract_all(html, '[0-9]{2,}')) AS word FROM pages),
-r AS (SELECT DISTINCT page_id AS work, unnest(regexp_extract_all(regexp_replace(html, '<[^>]+>', ' ', 'g'), '[0-9]{2,}')) AS word FROM pages)
-SELECT * FROM s EXCEPT SELECT * FROM r""")
-def number_set_difference(spark, sf_dir):
-    """Numbers of pages that are lost with their markup."""
-    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("work"), F.col("html").alias("text"))
-    return joins.lost_numbers(pages, pages.withColumn("text", clean.strip_markup(F.col("text"))))
-
-
 @query("""WITH k AS (SELECT doc_id, regexp_replace(lower(text), '[^\\p{L}\\p{N}]', '', 'g') AS key FROM documents)
 SELECT md5(key) AS key, count(*) AS n, min(doc_id) AS first_id, max(doc_id) AS last_id FROM k GROUP BY key HAVING count(*) > 1""")
 def dedupe_by_normalized_key(spark, sf_dir):
@@ -506,8 +486,10 @@ def active_time(spark, sf_dir):
     return selection.active_time(table(spark, sf_dir, "events"), "user_id", "ts", F.col("event_type") == "click", "event_id")
 
 
-@query(r"""SELECT CASE WHEN regexp_matches(props, '(?i)rate.?limit|429|usage limit|quota') THEN 'rate_limit' WHEN regexp_matches(props, '(?i)auth|401|403|login|credential') THEN 'auth'
-WHEN regexp_matches(props, '(?i)timeout|timed out|etimedout') THEN 'timeout' WHEN regexp_matches(props, '(?i)network|econn|socket|fetch failed|50[0-9]|overloaded') THEN 'transient' ELSE 'other' END AS class,
+_CLASSES = " ".join(f"WHEN regexp_matches(lower(props), '{pattern}') THEN '{name}'" for name, pattern in ERRORS)
+
+
+@query(f"""SELECT CASE WHEN coalesce(props, '') = '' THEN 'unknown' {_CLASSES} ELSE 'other' END AS class,
 count(*) AS n, min(event_id) AS first_id, max(event_id) AS last_id FROM events GROUP BY 1""")
 def error_class_groups(spark, sf_dir):
     """Events by the kind of failure that their properties would tell of."""
@@ -572,3 +554,6 @@ def reuse_plan(spark, sf_dir):
     scenes = turn_scenes(spark, sf_dir)
     previous = scenes.select("work", (F.col("scene_no") - 1).alias("scene_no"), F.col("scene").alias("translated"))
     return incremental.plan_work(scenes, previous).select("work", "scene_no", "reusable")
+
+
+from . import screen_queries  # noqa: E402, F401  (registers the queries over rendered scripts)

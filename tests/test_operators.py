@@ -173,7 +173,9 @@ def test_selection(spark):
     assert sorted(r.line_no for r in selection.budget_sample(rows, F.lit(4), 10, 3, "line_no").collect()) == [0, 3]
     old, new = (spark.createDataFrame(x, "k int, at int, v string") for x in ([(1, 1, "a"), (2, 5, "b")], [(1, 2, "c"), (2, 4, "d")]))
     assert {(r.k, r.v) for r in selection.upsert(old, new, "k", F.col("at")).collect()} == {(1, "c"), (2, "b")}
-    assert value(spark, "HTTP 429", selection.error_class) == "rate_limit" and value(spark, "socket hang up", selection.error_class) == "transient"
+    assert value(spark, "Too many requests", T.error_class) == "rate" and value(spark, "socket hang up", T.error_class) == "network" and value(spark, "", T.error_class) == "unknown"
+    assert value(spark, "author unknown", T.error_class) == "other" and value(spark, "not logged in", T.error_class) == "auth" and value(spark, "spawn ENOENT", T.error_class) == "proc"
+    assert value(spark, "HTTP 529", T.is_transient) is True and value(spark, "syntax", T.is_transient) is False
 
 
 def test_groups_are_aggregated_without_lists_of_their_rows(spark):
