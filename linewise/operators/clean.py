@@ -184,8 +184,8 @@ def autofix(lines: DataFrame) -> DataFrame:
     kept = lines.join(safe.union(head_junk(lines)).distinct(), ["work", "line_no"], "left_anti")
     korean = lines.groupBy("work").agg(F.max(T.has(F.col("text"), "[가-힣]").cast("int")).alias("korean"))
     t = T.trim(F.col("text"))
-    folded = F.when(t.startswith("#"), T.collapse_repeats(t)).otherwise(F.col("text"))
-    kept = kept.join(korean, "work").withColumn("text", F.when(t.startswith("#") & (T.collapse_repeats(t) != t), folded).otherwise(F.col("text")))
+    kept = kept.join(korean, "work").withColumn("head", F.when(t.startswith("#"), t)).withColumn("folded", T.collapse_repeats(F.col("head")))
+    kept = kept.withColumn("text", F.when(F.col("folded") != F.col("head"), F.col("folded")).otherwise(F.col("text"))).drop("head", "folded")
     kept = kept.withColumn("text", F.when(T.has_page_number(T.trim(F.col("text"))), T.rtrim(T.sub(F.col("text"), r"\d{1,3}\s*$"))).otherwise(F.col("text")))
     caption = T.has(T.trim(F.col("text")), r"^(TITLE|SUPER|CHYRON)\s*[:：]", True)
     body = T.sub(T.trim(F.col("text")), r"^(TITLE|SUPER|CHYRON)\s*[:：]\s*", "", True)

@@ -416,7 +416,12 @@ def autofix(spark, sf_dir):
     return fixed.select("work", F.length("text").alias("chars"), F.sha2("text", 256).alias("sha256"))
 
 
-@query()
+@query(f"""WITH tb AS ({ORACLES['typed_blocks']}), ec AS ({ORACLES['first_speech'].split(', n AS')[0]}, {_NEXT}
+  SELECT work, count(*) AS n FROM n WHERE tr LIKE '@%' AND (nx IS NULL OR regexp_matches(nx, '^[@#]')) GROUP BY work), x AS (WITH {_script()}, {_T}
+  SELECT work, CAST(sum((tr LIKE '@%')::INT) AS BIGINT) AS cues, CAST(sum((tr LIKE '#%')::INT) AS BIGINT) AS scenes FROM t GROUP BY work),
+d AS (SELECT work, count(*) AS long_dialogue FROM tb WHERE type = 'dialogue' AND length(text) > 600 GROUP BY work),
+r AS (SELECT x.work, cues, scenes, coalesce(coalesce(n, 0) / nullif(cues, 0), 0.0) AS empty_ratio, coalesce(long_dialogue, 0) AS long_dialogue FROM x LEFT JOIN ec USING (work) LEFT JOIN d USING (work))
+SELECT *, CASE WHEN empty_ratio > 0.08 OR scenes = 0 OR cues = 0 THEN 'bad' WHEN empty_ratio > 0.03 OR long_dialogue > 0 THEN 'warn' ELSE 'pass' END AS level FROM r""")
 def source_verification(spark, sf_dir):
     return quality.verification(script_lines(spark, sf_dir))
 
@@ -426,12 +431,23 @@ def scene_warnings(spark, sf_dir):
     return quality.scene_warnings(turn_scenes(spark, sf_dir), scripts(spark, sf_dir))
 
 
-@query()
+@query(rf"""WITH tb AS ({ORACLES['typed_blocks']}), sx AS (WITH {_script()} SELECT work, text FROM s_l),
+g AS (SELECT work, floor(len(regexp_extract_all(text, '[^\x09\x0A\x0D\x20-\x7E가-힣\x{{A0}}-\x{{24F}}\x{{2010}}-\x{{2027}}\x{{2030}}-\x{{205E}}]')) / greatest(length(text), 1) * 1000 + 0.5) / 10 AS garbage_pct FROM sx),
+n AS (SELECT *, {_words('text')} AS w FROM tb), a AS (SELECT work, CAST(sum((type = 'action')::INT) AS BIGINT) AS actions, sum(CASE WHEN type = 'action' THEN w END) AS aw, sum((type = 'action' AND w > 60)::INT) AS la,
+  CAST(sum((type = 'dialogue')::INT) AS BIGINT) AS dialogues, sum((type = 'dialogue' AND w > 50)::INT) AS ld FROM n GROUP BY work),
+r AS (SELECT work, actions, CAST(floor(coalesce(aw / nullif(actions, 0), 0) + 0.5) AS BIGINT) AS avg_action_words, CAST(floor(coalesce(la / nullif(actions, 0), 0) * 100 + 0.5) AS BIGINT) AS long_action_pct, dialogues,
+  CAST(floor(coalesce(ld / nullif(dialogues, 0), 0) * 100 + 0.5) AS BIGINT) AS long_dialogue_pct, garbage_pct FROM a JOIN g USING (work))
+SELECT *, CASE WHEN garbage_pct > 1.5 THEN 'C' WHEN avg_action_words > 45 OR long_action_pct > 30 OR long_dialogue_pct > 25 THEN 'A' ELSE 'B' END AS cls FROM r""")
 def work_classes(spark, sf_dir):
     return quality.text_classes(script_lines(spark, sf_dir), scripts(spark, sf_dir))
 
 
-@query()
+@query(rf"""WITH m AS ({ORACLES['quality_metrics']}), k AS (WITH {_script()} SELECT work, sum(len(regexp_extract_all(text, '(?i)\b(sings?|singing|song)\b')) + len(regexp_extract_all(text, '노래(를|한다|해|하)'))) AS songs,
+  sum(len(regexp_extract_all(text, '(?i)\[(크레딧|credit|super|삽입)'))) AS credits FROM l GROUP BY work),
+p AS (SELECT CASE WHEN noise_ratio > 0.01 OR broken_cue_ratio > 0.03 THEN 'scan' ELSE 'digital' END AS source, CASE WHEN dialogue_ratio >= 0.65 THEN 'dialogue' WHEN dialogue_ratio <= 0.45 THEN 'description' ELSE 'mixed' END AS weight,
+  songs >= 4 AS sung, credits >= 8 AS credited FROM m JOIN k USING (work)),
+v AS (SELECT 'source' AS property, source AS value FROM p UNION ALL SELECT 'weight', weight FROM p UNION ALL SELECT 'flag', 'songs' FROM p WHERE sung UNION ALL SELECT 'flag', 'credits' FROM p WHERE credited)
+SELECT property, value, count(*) AS works FROM v GROUP BY 1, 2""")
 def library_distribution(spark, sf_dir):
     return quality.distribution(quality.profile(quality.metrics(script_lines(spark, sf_dir))))
 
@@ -486,14 +502,18 @@ def active_time(spark, sf_dir):
     return selection.active_time(table(spark, sf_dir, "events"), "user_id", "ts", F.col("event_type") == "click", "event_id")
 
 
-_CLASSES = " ".join(f"WHEN regexp_matches(lower(props), '{pattern}') THEN '{name}'" for name, pattern in ERRORS)
+#: What a failed call may say; events are dealt these messages in turn.
+MESSAGES = ("", "claude_not_found", "Please login first", "Failed to fetch", "ECONNREFUSED 127.0.0.1", "bad null byte", "Too many requests", "request timed out", "Unexpected token in JSON", "payload too large", "spawn ENOENT", "author unknown")
+_MESSAGE = "[" + ", ".join(f"'{m}'" for m in MESSAGES) + f"][event_id % {len(MESSAGES)} + 1]"
+_CLASSES = " ".join(f"WHEN regexp_matches(lower(m), '{pattern}') THEN '{name}'" for name, pattern in ERRORS)
 
 
-@query(f"""SELECT CASE WHEN coalesce(props, '') = '' THEN 'unknown' {_CLASSES} ELSE 'other' END AS class,
-count(*) AS n, min(event_id) AS first_id, max(event_id) AS last_id FROM events GROUP BY 1""")
+@query(f"""SELECT CASE WHEN coalesce(m, '') = '' THEN 'unknown' {_CLASSES} ELSE 'other' END AS class,
+count(*) AS n, min(event_id) AS first_id, max(event_id) AS last_id FROM (SELECT event_id, {_MESSAGE} AS m FROM events) GROUP BY 1""")
 def error_class_groups(spark, sf_dir):
-    """Events by the kind of failure that their properties would tell of."""
-    return selection.error_groups(table(spark, sf_dir, "events"), F.col("props"), "event_id")
+    """Events by the kind of failure that a message tells of."""
+    message = F.element_at(F.array(*map(F.lit, MESSAGES)), (F.col("event_id") % len(MESSAGES) + 1).cast("int"))
+    return selection.error_groups(table(spark, sf_dir, "events"), message, "event_id")
 
 
 @query("""SELECT event_type, count(*) AS n, CAST(sum(CASE WHEN value < 10 THEN 1 ELSE 0 END) AS BIGINT) AS failures, sum(CASE WHEN value < 10 THEN 1 ELSE 0 END) >= greatest(2.0, count(*) * 0.5) AS outage FROM events GROUP BY event_type""")
@@ -527,13 +547,21 @@ def length_alignment(spark, sf_dir):
     return align.align_lengths(scenes.filter("scene_no % 2 = 0"), scenes.filter("scene_no % 2 = 1"))
 
 
-@query()
+@query(r"""WITH RECURSIVE b AS (SELECT conv_id AS work, turn AS scene_no, len(string_split(coalesce(text, ''), chr(10))) AS lines, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM conversations),
+r AS (SELECT work, scene_no, rn, 0 AS batch, CASE WHEN lines <= 25 THEN 1 ELSE 0 END AS n, CASE WHEN lines <= 25 THEN lines ELSE 0 END AS held FROM b WHERE rn = 1
+UNION ALL SELECT b.work, b.scene_no, b.rn, CASE WHEN b.lines <= 25 AND r.n BETWEEN 1 AND 2 AND r.held + b.lines <= 60 THEN r.batch ELSE r.batch + 1 END,
+  CASE WHEN b.lines > 25 THEN 0 WHEN r.n BETWEEN 1 AND 2 AND r.held + b.lines <= 60 THEN r.n + 1 ELSE 1 END,
+  CASE WHEN b.lines > 25 THEN 0 WHEN r.n BETWEEN 1 AND 2 AND r.held + b.lines <= 60 THEN r.held + b.lines ELSE b.lines END FROM r JOIN b ON b.work = r.work AND b.rn = r.rn + 1)
+SELECT work, scene_no, batch FROM r""")
 def batch_pack(spark, sf_dir):
     sized = turn_scenes(spark, sf_dir).select("work", "scene_no", F.size(F.split("scene", "\n")).alias("lines"), F.lit(True).alias("heading"))
     return align.pack(sized)
 
 
-@query()
+@query("""WITH RECURSIVE l AS (SELECT doc_id AS work, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS block_no, length(unnest(string_split(text, chr(10)))) AS sz FROM documents),
+r AS (SELECT work, block_no, 0 AS chunk, sz AS size FROM l WHERE block_no = 0 UNION ALL SELECT l.work, l.block_no, CASE WHEN r.size > 0 AND r.size + l.sz >= 2000 THEN r.chunk + 1 ELSE r.chunk END,
+  CASE WHEN r.size > 0 AND r.size + l.sz >= 2000 THEN l.sz ELSE r.size + l.sz END FROM r JOIN l ON l.work = r.work AND l.block_no = r.block_no + 1)
+SELECT work, CAST(block_no AS BIGINT) AS block_no, chunk FROM r""")
 def size_chunks(spark, sf_dir):
     rows = document_lines(spark, sf_dir).withColumnRenamed("line_no", "block_no")
     return align.chunk_by_size(rows, 2000)

@@ -493,8 +493,8 @@ def replaced_words(spark, sf_dir):
     return screen_lines(spark, sf_dir).select("work", "line_no", S.replaced_words(F.col("text"), names).alias("text"))
 
 
-@query("""SELECT event_id, CASE WHEN s < 60 THEN s || 's' ELSE (s // 60) || 'm ' || (s % 60) || 's' END AS duration, CASE WHEN event_id < 1000 THEN CAST(event_id AS VARCHAR) ELSE printf('%.1f', event_id / 1000) || 'k' END AS tokens
-FROM (SELECT event_id, CAST(floor(value + 0.5) AS BIGINT) AS s FROM events WHERE value IS NOT NULL)""")
+@query("""SELECT event_id, CASE WHEN s < 60 THEN s || 's' ELSE (s // 60) || 'm ' || (s % 60) || 's' END AS duration, CASE WHEN event_id < 1000 THEN CAST(event_id AS VARCHAR) ELSE (tenths // 10) || '.' || (tenths % 10) || 'k' END AS tokens
+FROM (SELECT event_id, CAST(floor(value * 1000 / 1000 + 0.5) AS BIGINT) AS s, event_id // 100 + CASE WHEN event_id / 1000 - (event_id // 100) / 10 >= 0.05 THEN 1 ELSE 0 END AS tenths FROM events WHERE value IS NOT NULL)""")
 def report_texts(spark, sf_dir):
     """Values as seconds and ids as numbers of tokens, as a report writes them."""
     rows = table(spark, sf_dir, "events").filter("value IS NOT NULL")
@@ -577,3 +577,43 @@ def script_findings(spark, sf_dir):
     t = F.when(F.col("role").isin(7, 9), F.concat(F.lit("Blue Rev. 1/2/99 "), "line_no")).when((F.col("role") == 3) & (F.col("work") % 2 == 0), "영수가 문을 연다.")
     t = t.when((F.col("role") == 10) & (F.col("work") % 3 == 0), "Sure, here you go").when((F.col("role") == 0) & (F.col("work") % 2 == 1), "# 내부. 집 12").otherwise(F.col("text"))
     return clean.line_findings(screen_lines(spark, sf_dir).withColumn("text", t).select("work", "line_no", "text"))
+
+
+_BILINGUAL = f"""bl AS (SELECT work, block_no, min(line_no) AS first_line, max(line_no) AS last_line, list(tr ORDER BY line_no) AS ls FROM bn WHERE tr <> '' GROUP BY work, block_no),
+bb AS (SELECT *, array_to_string(list_filter(ls, lambda q: NOT starts_with(q, '@')), ' ') AS body, CASE WHEN starts_with(ls[1], '@') THEN regexp_replace(ls[1], '\\s', '', 'g') END AS cue FROM bl),
+bx AS (SELECT *, lead(body) OVER w AS nb, lead(cue) OVER w AS nc FROM bb WINDOW w AS (PARTITION BY work ORDER BY block_no)),
+bilingual AS (SELECT work, first_line, last_line FROM bx WHERE nb IS NOT NULL AND NOT {_has('body', '[가-힣]')} AND {_n('body', '[A-Za-z]')} >= 8 AND {_n('nb', '[가-힣]')} >= 2
+  AND {_n('nb', '[가-힣]')} / greatest(1, {_n('body', '[A-Za-z]')}) BETWEEN 0.4 AND 3 AND len(list_filter(ls, lambda q: {_follows('q', 'transition start')} OR {_follows('q', 'header')})) = 0
+  AND NOT {_follows('body', 'foreign')} AND NOT {_follows('body', 'title')} AND NOT starts_with(ls[1], '[')
+  AND (coalesce(cue = nc, false) OR (cue IS NULL AND nc IS NULL AND regexp_matches(body, '[a-z]') AND {_words('body')} >= 3))),
+bk AS (SELECT *, array_to_string(ls, chr(10)) AS key FROM bl), bs AS (SELECT * FROM bk WHERE len(ls) >= 2 OR length(regexp_replace(key, '\\s', '', 'g')) >= 20),
+bi AS (SELECT *, coalesce(key = lag(key) OVER w AND block_no - lag(block_no) OVER w = 1, false) AS same FROM bs WINDOW w AS (PARTITION BY work ORDER BY block_no)),
+bj AS (SELECT *, sum(CASE WHEN same THEN 0 ELSE 1 END) OVER (PARTITION BY work ORDER BY block_no) AS island FROM bi),
+br AS (SELECT *, count(*) OVER (PARTITION BY work, island) AS run, row_number() OVER (PARTITION BY work, island ORDER BY block_no) AS rn FROM bj)"""
+_NAMES = ("meta", "boiler", "dupe", "headNum", "dialog", "struct", "miscue", "glued", "repeat", "bilingual", "spacing")
+_SUMMED = "c AS (SELECT work, " + ", ".join(f"CAST(sum(CASE WHEN category = '{n}' THEN 1 ELSE 0 END) AS BIGINT) AS {n}" for n in _NAMES) + " FROM f GROUP BY work)"
+
+
+def summary_lines(spark, sf_dir) -> DataFrame:
+    """Rendered lines in which blocks of English stand before their Korean, and blocks repeat, in every fourth script each."""
+    doubled, repeated = F.col("work") % 4 == 1, F.col("work") % 4 == 2
+    t = F.when(doubled & F.col("role").isin(2, 3, 4, 5), F.concat(F.lit("and she said "), F.lower("text"))).when(doubled & ~F.col("role").isin(1, 6), "그는 집으로 걸어 들어가서 오래오래 앉아 있었고 아무 말도 하지 않았")
+    t = t.when(repeated & ~F.col("role").isin(1, 6), "The same words over and over again.").otherwise(F.col("text"))
+    return screen_lines(spark, sf_dir).withColumn("text", t).select("work", "line_no", "text")
+
+
+@query(f"""WITH {_SCREEN}, z AS (SELECT work, line_no, CASE WHEN work % 4 = 1 AND role IN (2, 3, 4, 5) THEN 'and she said ' || lower(text) WHEN work % 4 = 1 AND role NOT IN (1, 6) THEN '그는 집으로 걸어 들어가서 오래오래 앉아 있었고 아무 말도 하지 않았'
+  WHEN work % 4 = 2 AND role NOT IN (1, 6) THEN 'The same words over and over again.' ELSE text END AS text FROM l), t AS (SELECT *, {_trim('text')} AS tr FROM z),
+p AS (SELECT *, lag(tr) OVER w AS prev, coalesce(lag(tr = '') OVER w, true) AS pb FROM t WINDOW w AS (PARTITION BY work ORDER BY line_no)),
+bn AS (SELECT *, sum(CASE WHEN tr <> '' AND pb THEN 1 ELSE 0 END) OVER (PARTITION BY work ORDER BY line_no) - 1 AS block_no FROM p), {_BILINGUAL},
+h AS (SELECT *, last_value(CASE WHEN pb AND tr <> '' THEN tr END IGNORE NULLS) OVER (PARTITION BY work ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS head FROM p),
+g AS (SELECT *, {_follows('tr', 'marker')} AS marker, {_follows('tr', 'header')} AS shape, {_SIG} AS sig, {_follows('tr', 'meta')} AS meta FROM h WHERE tr <> ''),
+o AS (SELECT *, sum(CASE WHEN shape AND NOT marker AND length(sig) >= 2 THEN 1 ELSE 0 END) OVER (PARTITION BY work, CASE WHEN shape THEN sig END) AS often FROM g),
+f AS (""" + " UNION ALL ".join(f"SELECT work, '{name}' AS category, line_no FROM o WHERE {test}" for name, test in _LINT.items()) + f"""
+  UNION ALL SELECT work, 'repeat', unnest(range(first_line, last_line + 1)) FROM br WHERE run >= 3 AND rn > 1 UNION ALL SELECT work, 'bilingual', first_line FROM bilingual), {_SUMMED},
+n AS (SELECT work, count(*) AS lines FROM l GROUP BY work),
+s AS (SELECT work, lines, {', '.join(f'coalesce({x}, 0) AS {x}' for x in _NAMES if x != 'spacing')}, CASE WHEN spacing > lines * 0.15 THEN spacing ELSE 0 END AS spacing FROM n LEFT JOIN c USING (work))
+SELECT *, meta + boiler + dupe + repeat + bilingual + headNum AS autofixable, dialog AS review FROM s""")
+def script_summary(spark, sf_dir):
+    """The counts of all eleven categories of findings, a row per script; bilingual ones are counted by block."""
+    return clean.summary(summary_lines(spark, sf_dir))
