@@ -53,17 +53,21 @@ def sub(text: Column, pattern: str, to: str = "", ignore_case: bool = False) ->
     return F.regexp_replace(text, rx(pattern, ignore_case), to)
 
 
+#: The characters of BLANK: cutting them off the ends needs no pattern.
+BLANKS = " \t\n\x0b\f\r\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
+
+
 def trim(text: Column) -> Column:
     """Without Unicode blanks at either end."""
-    return sub(text, r"^\s+|\s+$")
+    return F.btrim(text, F.lit(BLANKS))
 
 
 def rtrim(text: Column) -> Column:
-    return sub(text, r"\s+$")
+    return F.rtrim(text, F.lit(BLANKS))
 
 
 def is_blank(text: Column) -> Column:
-    return ~has(text, r"\S")
+    return trim(text) == ""
 
 
 def indent(text: Column) -> Column:

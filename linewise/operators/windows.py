@@ -17,6 +17,15 @@ def repeated_neighbours(lines: DataFrame) -> DataFrame:
     return lines.withColumn("t", t).withColumn("prev", F.lag("t").over(by_line())).filter((F.col("t") != "") & (F.col("t") == F.col("prev"))).drop("t", "prev")
 
 
+def repeated_neighbours_in(texts: DataFrame, work: str, text: str, *keep: str) -> DataFrame:
+    """(work, keep, line_no, text): the lines of repeated_neighbours, from whole texts: the lines of a text meet where it lies, so nothing is shuffled."""
+    t = F.transform(F.split(F.col(text), "\n"), T.trim)
+    before = F.concat(F.array(F.lit("")), F.slice(t, F.lit(1), F.greatest(F.size(t) - 1, F.lit(0))))
+    again = F.zip_with(t, before, lambda a, b: F.when((a != "") & (a == b), a))
+    rows = texts.filter(F.contains(F.col(text), F.lit("\n"))).select(F.col(work).alias("work"), *keep, F.posexplode(again).alias("line_no", "text"))
+    return rows.filter(F.col("text").isNotNull())
+
+
 def spacing_defects(lines: DataFrame) -> DataFrame:
     """Headings and cues that no blank line precedes."""
     rows = lines.withColumn("prev", F.lag(T.trim(F.col("text"))).over(by_line()))

@@ -89,7 +89,7 @@ def _words(x: str) -> str:
 SELECT source, count(*) AS n FROM p WHERE tr <> '' AND tr = prev GROUP BY source""")
 def dup_adjacent_lines(spark, sf_dir):
     """How many lines of each source repeat the line before them."""
-    return windows.repeated_neighbours(document_lines(spark, sf_dir, "source")).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    return windows.repeated_neighbours_in(table(spark, sf_dir, "documents"), "doc_id", "text", "source").groupBy("source").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"WITH {_DOCS}, {_T} SELECT work, tr AS text, count(*) AS n FROM t WHERE tr <> '' GROUP BY work, tr HAVING count(*) >= 3")
