@@ -80,14 +80,15 @@ def aligned_cues(a: DataFrame, b: DataFrame) -> DataFrame:
 def merged_cues(lines: DataFrame) -> DataFrame:
     """(work, line_no, speech, cue): dialogue that ends in the name of a speaker of the work, after the end of a sentence; the longest name wins.
 
-    The last one to four words are looked up among the names: an equality join, not a search through all names.
+    Lines and names meet on their last word, however many words a name has.
     """
+    last = lambda c: F.element_at(F.split(c, " "), -1)
     t = T.trim(F.col("text"))
-    names = lines.filter(t.startswith("@")).select("work", T.cue_name(F.col("text")).alias("cue")).filter(F.length("cue") > 1).distinct()
-    said = lines.withColumn("t", t).filter(F.col("t").startswith("- ")).withColumn("w", F.split("t", " +"))
-    tails = F.transform(F.sequence(F.lit(1), F.least(F.lit(4), F.size("w") - 2)), lambda k: F.struct(F.array_join(F.slice("w", F.size("w") - k + 1, k), " ").alias("cue"), F.array_join(F.slice("w", F.lit(1), F.size("w") - k), " ").alias("speech")))
-    cut = said.filter(F.size("w") > 2).select("work", "line_no", F.explode(tails).alias("x")).select("work", "line_no", "x.cue", "x.speech").filter(T.has(F.col("speech"), "[.!?…\"”]$"))
-    best = cut.join(names, ["work", "cue"]).groupBy("work", "line_no").agg(F.max_by(F.struct("speech", "cue"), F.length("cue")).alias("b"))
+    names = lines.filter(t.startswith("@")).select("work", T.cue_name(F.col("text")).alias("cue")).filter(F.length("cue") > 1).distinct().withColumn("last", last(F.col("cue")))
+    said = lines.select("work", "line_no", T.sub(t, r"\s+", " ").alias("t")).filter(F.col("t").startswith("- ")).withColumn("last", last(F.col("t")))
+    met = said.join(names, ["work", "last"]).filter(F.endswith("t", F.concat(F.lit(" "), F.col("cue"))))
+    cut = met.withColumn("speech", T.trim(F.col("t").substr(F.lit(1), F.length("t") - F.length("cue")))).filter(T.has(F.col("speech"), "[.!?…\"”]$"))
+    best = cut.groupBy("work", "line_no").agg(F.max_by(F.struct("speech", "cue"), F.length("cue")).alias("b"))
     return best.select("work", "line_no", "b.speech", "b.cue")
 
 

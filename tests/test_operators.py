@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 from linewise.functions import text as T
 from linewise.operators import align, clean, incremental, joins, quality, selection, windows
 from linewise.operators import lines as L
-from linewise.sources import readers, writers
-from linewise.streaming import logs
+from linewise.sources import readers
 
 
 def lines(spark, text, work="w"):
@@ -96,6 +95,8 @@ def test_cues(spark):
     assert [r.line_no for r in windows.ghost_scenes(lines(spark, "# A\n\n# B\nx\n# C")).orderBy("line_no").collect()] == [0, 4]
     merged = joins.merged_cues(lines(spark, "@JAMES\n- the end. JAMES\n- I met JAMES today\n- my JAMES"))
     assert [(r.line_no, r.cue) for r in merged.collect()] == [(1, "JAMES")]
+    long = joins.merged_cues(lines(spark, "@THE MAN WITH THE HAT\n@HAT\n- it ends. THE MAN WITH THE HAT\n- the end. HAT"))
+    assert {(r.line_no, r.cue, r.speech) for r in long.collect()} == {(2, "THE MAN WITH THE HAT", "- it ends."), (3, "HAT", "- the end.")}
     assert [(r.line_no, r.next_line) for r in windows.close_repeated_cues(lines(spark, "@A\nx\n@A\n" + "y\n" * 9 + "@A")).collect()] == [(0, 2)]
     assert quality.dialogue_floor(lines(spark, "@A\n- x\n@A\n- y\n- z")).first().floor == 2
 
@@ -208,7 +209,3 @@ def test_readers(spark, tmp_path):
     items = readers.feedback(notes).orderBy("item_no").collect()
     assert [(r.scene, r.target, r.edited, len(r.marks)) for r in items] == [("3", "안녕", None, 1), ("4", "가", "나", 0)]
     assert items[0].marks[0].tags == ["톤", "오역"] and items[0].marks[0].memo == "메모"
-
-
-def test_modules_of_sinks_and_streams_are_there():
-    assert writers.__doc__ and logs.__doc__
