@@ -278,7 +278,8 @@ def repeated_ranges(rows: DataFrame, window: int = WINDOW, bucket_bytes: int = 2
         every = np.concatenate([found, *passed])
         return pa.table([every[:, i] for i in range(4)], schema=RANGES)
 
-    return rows.mapInArrow(scatter, "bucket long, packed binary").groupBy("bucket").applyInArrow(resolve, "id long, of_text long, first long, end long")
+    # as many partitions as buckets: few tasks get several of them, and none gets many
+    return rows.mapInArrow(scatter, "bucket long, packed binary").repartition(max(buckets, int(spark.conf.get("spark.sql.shuffle.partitions"))), "bucket").groupBy("bucket").applyInArrow(resolve, "id long, of_text long, first long, end long")
 
 
 def kept_words(words: list[str], first: list[int], end: list[int]) -> list[str]:
