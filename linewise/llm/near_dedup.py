@@ -179,21 +179,22 @@ def stars(members: DataFrame) -> DataFrame:
     """
     degree = members.groupBy("node").agg(F.sum("size").alias("degree"))
     best = members.join(degree, "node").groupBy("key").agg(F.max(F.struct("degree", "node", "component")).alias("hub"))
-    hubs = best.select("key", F.col("hub.node").alias("hub"), F.col("hub.component").alias("of_hub"))
+    # a key may have very many members: as a table of their own, hubs meet them in a join that adaptive execution can split
+    hubs = written(best.select("key", F.col("hub.node").alias("hub"), F.col("hub.component").alias("of_hub")), "near-hubs")
     pairs = members.join(hubs, "key").filter("component <> of_hub")
     return pairs.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
 
 
 def bucketed(rows: DataFrame, name: str) -> DataFrame:
     """rows (key, node, ...) with size, of the keys that more than one node has."""
-    counts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    counts = written(rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), f"{name}-sizes")
     return written(rows.join(counts, "key"), name)
 
 
 def split_buckets(members: DataFrame, linked: DataFrame) -> DataFrame:
     """(key, node, size, component): the members of buckets whose nodes are in more than one component."""
     named = members.join(linked, "node", "left").select("key", "node", "size", F.coalesce("component", "node").alias("component"))
-    split = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key")
+    split = written(named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key"), "near-split")
     return named.join(split, "key", "left_semi")
 
 
