@@ -99,37 +99,48 @@ def regroup(blocks: DataFrame, groups: int, order: str = "block_no") -> DataFram
     return rows.withColumn("group", F.least(group, F.lit(groups - 1))).drop("rn", "n")
 
 
+def _numbered(rows: DataFrame, starts: DataFrame, order: str, name: str) -> DataFrame:
+    """(work, order, name): rows numbered by how many of the starts (work, starts) they have reached, from 0; the first row needs no start."""
+    from pyspark.sql.window import Window as W
+
+    marks = starts.select("work", F.explode("starts").alias(order), F.lit(1).alias("start"))
+    number = F.sum(F.coalesce("start", F.lit(0))).over(W.partitionBy("work").orderBy(order).rowsBetween(W.unboundedPreceding, 0))
+    return rows.join(marks, ["work", order], "left").select("work", order, number.cast("int").alias(name))
+
+
 def pack(sized: DataFrame, short: int = 25, most: int = 3, budget: int = 60, order: str = "scene_no") -> DataFrame:
     """(work, scene_no, batch): scenes in batches, greedily and in order: short ones together, up to `most` and `budget` lines; others alone.
 
-    sized has (work, scene_no, lines, heading). A fold over each work's scenes, inside the engine.
+    sized has (work, scene_no, lines, heading). A fold over each work's scenes, inside the engine, keeps only where batches start.
     """
-    zero = F.struct(F.lit(-1).alias("batch"), F.lit(0).alias("n"), F.lit(0).alias("lines"), F.array().cast("array<struct<scene_no:bigint,batch:int>>").alias("out"))
+    zero = F.struct(F.lit(0).alias("n"), F.lit(0).alias("lines"), F.array().cast("array<bigint>").alias("starts"), F.lit(True).alias("first"))
 
     def step(acc, x):
         fits = x["short"] & (acc["n"] > 0) & (acc["n"] < most) & (acc["lines"] + x["lines"] <= budget)
-        batch = F.when(fits, acc["batch"]).otherwise(acc["batch"] + 1)
         n = F.when(~x["short"], 0).when(fits, acc["n"] + 1).otherwise(1)
         lines = F.when(~x["short"], 0).when(fits, acc["lines"] + x["lines"]).otherwise(x["lines"])
-        return F.struct(batch.alias("batch"), n.alias("n"), lines.alias("lines"), F.array_append(acc["out"], F.struct(x["scene_no"].alias("scene_no"), batch.alias("batch"))).alias("out"))
+        starts = F.when(fits | acc["first"], acc["starts"]).otherwise(F.array_append(acc["starts"], x["scene_no"]))
+        return F.struct(n.alias("n"), lines.alias("lines"), starts.alias("starts"), F.lit(False).alias("first"))
 
-    scenes = F.array_sort(F.collect_list(F.struct(F.col(order).cast("long").alias("scene_no"), F.col("lines").cast("int").alias("lines"), ((F.col("lines") <= short) & F.col("heading")).alias("short"))))
-    packed = sized.groupBy("work").agg(F.aggregate(scenes, zero, step, lambda acc: acc["out"]).alias("out"))
-    return packed.select("work", F.explode("out").alias("o")).select("work", "o.scene_no", "o.batch")
+    rows = sized.withColumn(order, F.col(order).cast("long"))
+    scenes = F.array_sort(F.collect_list(F.struct(F.col(order).alias("scene_no"), F.col("lines").cast("int").alias("lines"), ((F.col("lines") <= short) & F.col("heading")).alias("short"))))
+    starts = rows.groupBy("work").agg(F.aggregate(scenes, zero, step, lambda acc: acc["starts"]).alias("starts"))
+    return _numbered(rows, starts, order, "batch").withColumnRenamed(order, "scene_no")
 
 
 def chunk_by_size(blocks: DataFrame, limit: int = 8000, order: str = "block_no") -> DataFrame:
-    """(work, block_no, chunk): blocks in chunks of under `limit` characters, greedily and in order."""
-    zero = F.struct(F.lit(0).alias("chunk"), F.lit(0).alias("size"), F.array().cast("array<struct<block_no:bigint,chunk:int>>").alias("out"))
+    """(work, block_no, chunk): blocks in chunks of under `limit` characters, greedily and in order. The fold keeps only where chunks start."""
+    zero = F.struct(F.lit(0).alias("size"), F.array().cast("array<bigint>").alias("starts"))
 
     def step(acc, x):
         new = (acc["size"] > 0) & (acc["size"] + x["size"] >= limit)
-        chunk = acc["chunk"] + F.when(new, 1).otherwise(0)
-        return F.struct(chunk.alias("chunk"), F.when(new, x["size"]).otherwise(acc["size"] + x["size"]).alias("size"), F.array_append(acc["out"], F.struct(x["block_no"].alias("block_no"), chunk.alias("chunk"))).alias("out"))
+        starts = F.when(new, F.array_append(acc["starts"], x["block_no"])).otherwise(acc["starts"])
+        return F.struct(F.when(new, x["size"]).otherwise(acc["size"] + x["size"]).alias("size"), starts.alias("starts"))
 
-    ordered = F.array_sort(F.collect_list(F.struct(F.col(order).cast("long").alias("block_no"), F.length("text").alias("size"))))
-    rows = blocks.groupBy("work").agg(F.aggregate(ordered, zero, step, lambda acc: acc["out"]).alias("out"))
-    return rows.select("work", F.explode("out").alias("o")).select("work", "o.block_no", "o.chunk")
+    rows = blocks.withColumn(order, F.col(order).cast("long"))
+    ordered = F.array_sort(F.collect_list(F.struct(F.col(order).alias("block_no"), F.length("text").alias("size"))))
+    starts = rows.groupBy("work").agg(F.aggregate(ordered, zero, step, lambda acc: acc["starts"]).alias("starts"))
+    return _numbered(rows, starts, order, "chunk").withColumnRenamed(order, "block_no")
 
 
 def reading_accuracy(pairs: DataFrame) -> DataFrame:
