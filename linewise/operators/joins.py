@@ -156,16 +156,15 @@ def texts_containing(items: DataFrame, texts: DataFrame, item: str, doc: str, wi
     widths = [1 << k for k in range(widest.bit_length()) if 1 << k <= widest]
     small = small.withColumn("width", F.greatest(*[F.when(F.length("needle") >= 2 * w - 1, w).otherwise(0) for w in widths], F.lit(1)))
     hay = texts.select(F.col(doc).alias("doc"), T.comparable(F.col("text")).alias("hay"))
-    met = None
-    for width in sorted(r.width for r in small.select("width").distinct().collect()):  # a few powers of two
-        pieces = F.array(*[F.substring("needle", k + 1, width) for k in range(width)])
-        own = small.filter(F.col("width") == width).select("item", F.explode(F.array_distinct(pieces)).alias("piece"))
-        cut = hay.select("doc", F.explode(F.array_distinct(F.regexp_extract_all("hay", F.lit(f".{{{width}}}"), F.lit(0)))).alias("piece"))
-        found = cut.join(own, "piece").select("item", "doc")
-        met = found if met is None else met.union(found)
-    if met is None:
+    used = sorted(r.width for r in small.select("width").distinct().collect())  # a few powers of two
+    if not used:
         return small.join(hay, F.lit(False)).select("item", "doc")
-    pairs = met.distinct().join(small.select("item", "needle"), "item")
+    pieces = F.transform(F.sequence(F.lit(1), F.col("width")), lambda k: F.col("needle").substr(k, F.col("width")))
+    own = small.select("item", "width", F.explode(F.array_distinct(pieces)).alias("piece"))
+    blocks = lambda w: F.transform(F.regexp_extract_all("hay", F.lit(f".{{{w}}}"), F.lit(0)), lambda p: F.struct(F.lit(w).alias("width"), p.alias("piece")))
+    cut = hay.select("doc", F.explode(F.array_distinct(F.concat(*map(blocks, used)))).alias("b")).select("doc", "b.width", "b.piece")
+    met = cut.join(own, ["width", "piece"]).select("item", "doc").distinct()
+    pairs = met.join(small.select("item", "needle"), "item")
     return pairs.join(hay, "doc").filter(F.contains("hay", "needle")).select("item", "doc")
 
 

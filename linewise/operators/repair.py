@@ -8,7 +8,7 @@ from pyspark.sql.window import Window as W
 
 from ..functions import shapes as S
 from ..functions import text as T
-from ..functions.rules import TRANSITION_SHAPE
+from ..functions.rules import HEADERS, TRANSITION_SHAPE
 from .align import align_markers
 from .clean import frequent
 from .lines import by_line, so_far
@@ -115,6 +115,22 @@ def url_marks_removed(lines: DataFrame, least: int = 5) -> DataFrame:
     return rows.select("work", "line_no", F.when(F.col("marks").isNotNull(), plain).otherwise(F.col("text")).alias("text"))
 
 
+def without_script_headers(lines: DataFrame) -> DataFrame:
+    """Lines without the headers of revised pages that stand in them; a line of which only a mark is left goes, and runs of blank lines become one.
+
+    Only lines that hold such a header are looked at pattern by pattern.
+    """
+    t = F.col("text")
+    bare = t
+    for pattern in HEADERS:
+        bare = T.sub(bare, pattern.removeprefix("(?i)"), " ", pattern.startswith("(?i)"))
+    bare = T.rtrim(T.sub(F.regexp_replace(bare, r"[ \t]{2,}", " "), r"\s+([,.!?…])", "$1"))
+    rows = lines.withColumn("hit", T.follows(t, "page header")).withColumn("text", F.when(F.col("hit"), bare).otherwise(t))
+    rows = rows.filter(~F.col("hit") | (T.trim(T.sub(F.col("text"), r"^[-#@\s]+")) != ""))
+    twice = T.is_blank(F.col("text")) & F.coalesce(F.lag(T.is_blank(F.col("text"))).over(by_line()), F.lit(False))
+    return _renumbered(rows.withColumn("twice", twice).filter("not twice").select("work", "line_no", "text"), "line_no")
+
+
 def stamps(lines: DataFrame, least: int = 3) -> DataFrame:
     """(work, stamp, n): lines like a publisher's stamp, with how often a work has them, alone or within other lines, from where they first stand alone.
 

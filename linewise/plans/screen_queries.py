@@ -617,3 +617,32 @@ SELECT *, meta + boiler + dupe + repeat + bilingual + headNum AS autofixable, di
 def script_summary(spark, sf_dir):
     """The counts of all eleven categories of findings, a row per script; bilingual ones are counted by block."""
     return clean.summary(summary_lines(spark, sf_dir))
+
+
+def headed_lines(spark, sf_dir) -> DataFrame:
+    """Rendered lines with the header of a revised page after narration, and alone where raw cues stand."""
+    header = F.concat(F.lit("Pink Revised 07/15/2016 "), "line_no", F.lit("A."))
+    text = F.when(F.col("role") == 7, F.concat("text", F.lit(" "), header)).when(F.col("role") == 8, header).otherwise(F.col("text"))
+    return screen_lines(spark, sf_dir).withColumn("text", text).select("work", "line_no", "text")
+
+
+_BARE = "z.text"
+for _p in RULES["page header"].some:
+    _BARE = f"regexp_replace({_BARE}, {_q(_p)}, ' ', 'g')"
+_BARE = rf"regexp_replace(regexp_replace(regexp_replace({_BARE}, '[ \t]{{2,}}', ' ', 'g'), '\s+([,.!?…])', '\1', 'g'), '\s+$', '')"
+
+
+@query(rf"""WITH {_SCREEN}, z AS (SELECT work, line_no, CASE WHEN role = 7 THEN text || ' Pink Revised 07/15/2016 ' || line_no || 'A.' WHEN role = 8 THEN 'Pink Revised 07/15/2016 ' || line_no || 'A.' ELSE text END AS text FROM l),
+h AS (SELECT work, line_no, {_follows('z.text', 'page header')} AS hit, CASE WHEN {_follows('z.text', 'page header')} THEN {_BARE} ELSE z.text END AS text FROM z),
+k AS (SELECT * FROM h WHERE NOT hit OR {_trim("regexp_replace(text, '^[-#@" + chr(92) + "s]+', '')")} <> ''), t AS (SELECT *, {_trim('text')} AS tr FROM k),
+p AS (SELECT *, tr = '' AND coalesce(lag(tr = '') OVER (PARTITION BY work ORDER BY line_no), false) AS twice FROM t)
+SELECT work, CAST(row_number() OVER (PARTITION BY work ORDER BY line_no) - 1 AS INT) AS line_no, text FROM p WHERE NOT twice""")
+def without_script_headers(spark, sf_dir):
+    return repair.without_script_headers(headed_lines(spark, sf_dir))
+
+
+@query()
+def european_pages(spark, sf_dir):
+    """Rendered pages taken for a script in two columns; held against rows by hand."""
+    rows = page_lines(spark, sf_dir).select("work", "page", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), "text")
+    return layout.european_lines(rows)

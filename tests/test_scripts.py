@@ -211,6 +211,11 @@ def test_repairs(spark):
     assert [r[0] for r in spark.createDataFrame([("a", True), ("b", False)], "p string, k boolean").select(repair.first_versions(F.col("p"), F.col("k"))).collect()] == [None, "b.before"]
 
 
+def test_script_headers(spark):
+    text = "10/6/03 MM revs. (pink) 1A.\nHe sits. The Martian Shooting Script 5.\n\nBlue Rev. (mm/dd/yy) 66.\n\n# OMITTED\n- so OMITTED 라고 말했다\nPINK SHOOTING SCRIPT (JUNE 17, 2024) 60DA.\nTan Rev. (Jan 31 '18) - 1518 3bA.\nMOVED TO SC 230A\nHe left, .\nplain"
+    assert texts_of(repair.without_script_headers(lines(spark, text))) == ["He sits.", "", "- so 라고 말했다", "He left, .", "plain"]
+
+
 def test_realignment(spark):
     source = blocks(spark, [("action", "top"), ("scene", "# A"), ("action", "a1"), ("action", "a2"), ("character", "@X"), ("dialogue", "d"), ("scene", "# B")])
     result = blocks(spark, [("action", "위"), ("scene", "# 가"), ("action", "1"), ("action", "2"), ("action", "3"), ("character", "@엑"), ("scene", "# 나"), ("action", "extra")])
