@@ -389,8 +389,9 @@ def classified(docs: DataFrame, id_col: str, text_col: str, threshold: float) ->
         if close.filter("more").isEmpty():
             break
 
-    labels = nodes.join(linked, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
-    labels = sketched.select("id", "of_text", "node").join(labels, "node").select("id", "of_text", "component")
+    # copies of a text may be a third of all rows: two tables meet in a join that adaptive execution can split
+    moved = written(linked.filter("node <> component"), "near-moved")
+    labels = sketched.select("id", "of_text", "node").join(moved, "node", "left").select("id", "of_text", F.coalesce("component", "node").alias("component"))
     labels = written(labels, "near-labels")
     drop_written(docs.sparkSession, since, -1)
     return labels
