@@ -44,11 +44,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
     A table is deleted by drop_written(), by the operator that wrote it where nothing it returns reads it, or with the folder.
     """
+    return written_at(df, name)[0]
+
+
+def written_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """As written(), with the table's folder, for tasks that read a table of bounded size whole."""
     path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
     context = df.sparkSession.sparkContext
     context._linewise_written = [*getattr(context, "_linewise_written", []), path]
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
 def written_so_far(spark: SparkSession) -> int:
