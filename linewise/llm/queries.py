@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, exact_dedup, language_id, mixing, near_dedup, pii, sharding, substring_dedup, token_alignment, token_files, warc
+from . import decontamination, exact_dedup, jaccard_join, language_id, lexical_search, mixing, near_dedup, pii, sharding, substring_dedup, token_alignment, token_files, warc
 from .common import text_or_empty
 
 
@@ -57,11 +57,19 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, language_id.train(docs))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(lexical_search.build_index(_table(spark, sf_dir, "documents")), _table(spark, sf_dir, "benchmark"))
+
+
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = ("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
     return token_alignment.align_tokens(_table(spark, sf_dir, "documents"), groups=False).select(*columns)
 
 
+def op13_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -69,9 +77,9 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    named = (op1_decontamination, op2_exact_dedup, op3_warc, op4_near_dedup, op5_substring_dedup, op6_mixing, op7_sharding, op8_token_files, op9_pii, op10_language_id, op12_token_alignment, pipeline)
+    named = (op1_decontamination, op2_exact_dedup, op3_warc, op4_near_dedup, op5_substring_dedup, op6_mixing, op7_sharding, op8_token_files, op9_pii, op10_language_id, op11_lexical_search, op12_token_alignment, op13_jaccard_join, pipeline)
     return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": exact_dedup.ORACLE_SQL, "op3_warc": warc.ORACLE_SQL, "op6_mixing": mixing.ORACLE_SQL}
+    return {"op2_exact_dedup": exact_dedup.ORACLE_SQL, "op3_warc": warc.ORACLE_SQL, "op6_mixing": mixing.ORACLE_SQL, "op11_lexical_search": lexical_search.ORACLE_SQL}
