@@ -195,33 +195,38 @@ def patched(lines: DataFrame, patches: DataFrame) -> DataFrame:
     return _renumbered(parts, "line_no", "part").select("work", "line_no", "text")
 
 
+ANCHORS = ("scene", "character", "paren")
+
+
 def realigned(source: DataFrame, result: DataFrame) -> DataFrame:
     """(work, block_no, type, source, result): the blocks of a source, each beside the block of its translation, or null; both have (work, block_no, type, text).
 
-    Headings and cues are paired by a longest common subsequence of their types. Blocks between two of them go together in order: where the translation
-    has more than the source, neighbours are joined; where the source has none, they join the block before.
+    Headings, cues and parentheticals are paired by a longest common subsequence of their types; those of the translation that have no pair go, with what
+    follows them. Blocks between two of them go together in order: E blocks of the source cut the K blocks of the translation at the rounded multiples of K / E,
+    and each gets one block at least while there are some left, so neighbours are joined or shared. Without blocks of the source they join the heading or cue before.
     """
-    marks = lambda b: b.filter(F.col("type").isin("scene", "character"))
-    paired = align_markers(marks(source), marks(result)).select("work", F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
+    marks = lambda b: b.filter(F.col("type").isin(*ANCHORS))
+    paired = align_markers(marks(source), marks(result))
 
     def with_anchor(blocks: DataFrame) -> DataFrame:
-        """Each block with the last heading or cue at or before it, -1 before the first."""
-        at = F.last(F.when(F.col("type").isin("scene", "character"), F.col("block_no")), ignorenulls=True).over(W.partitionBy("work").orderBy("block_no").rowsBetween(W.unboundedPreceding, 0))
-        rows = blocks.withColumn("anchor", F.coalesce(at, F.lit(-1)).cast("long"))
-        rows = rows.withColumn("nth", F.row_number().over(W.partitionBy("work", "anchor").orderBy("block_no")) - F.when(F.col("anchor") >= 0, 2).otherwise(1))
-        return rows.withColumn("n", F.max("nth").over(W.partitionBy("work", "anchor")) + 1)
-
-    s, r = with_anchor(source), with_anchor(result)
+        """Each block with the last anchor at or before it, -1 before the first."""
+        at = F.last(F.when(F.col("type").isin(*ANCHORS), F.col("block_no")), ignorenulls=True).over(W.partitionBy("work").orderBy("block_no").rowsBetween(W.unboundedPreceding, 0))
+        return blocks.withColumn("anchor", F.coalesce(at, F.lit(-1)).cast("long"))
+
+    order = W.partitionBy("work", "anchor").orderBy("block_no")
+    s = with_anchor(source).withColumn("nth", F.row_number().over(order) - F.when(F.col("anchor") >= 0, 2).otherwise(1))
+    s = s.withColumn("e", F.max("nth").over(W.partitionBy("work", "anchor")) + 1)
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("block_no", "text"))), lambda x: x["text"])
+    r = with_anchor(result).groupBy("work", F.col("anchor").alias("b")).agg(texts.alias("texts"))
     ends = paired.union(source.select("work").distinct().select("work", F.lit(-1).cast("long"), F.lit(-1).cast("long")))
-    r = r.select("work", F.col("anchor").alias("b"), F.col("nth").alias("r_nth"), F.col("n").alias("r_n"), F.col("text").alias("result")).join(ends, ["work", "b"])
-    sizes = s.filter("nth >= 0").groupBy("work", "anchor").agg(F.count(F.lit(1)).alias("s_n")).select("work", F.col("anchor").alias("a"), "s_n")
-    r = r.join(sizes, ["work", "a"], "left").withColumn("s_n", F.coalesce("s_n", F.lit(0)))
-    # the group of a block of the translation, among as many as the source has: the boundaries are the rounded multiples of r_n / s_n
-    group = F.when((F.col("r_nth") < 0) | (F.col("s_n") == 0), -1).otherwise(F.expr("size(filter(sequence(1, s_n), g -> floor(g * (r_n / double(s_n)) + 0.5D) <= r_nth))"))
-    r = r.withColumn("slot", F.least(group, F.greatest(F.col("s_n") - 1, F.lit(-1))))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r_nth", "result"))), lambda x: x["result"]), " ")
-    r = r.groupBy("work", F.col("a").alias("anchor"), F.col("slot").alias("nth")).agg(joined.alias("result"))
-    return s.join(r, ["work", "anchor", "nth"], "left").select("work", "block_no", "type", F.col("text").alias("source"), "result")
+    own = F.col("b") >= 0  # the anchor itself is the first text
+    r = r.join(ends, ["work", "b"]).withColumn("head", F.when(own, F.col("texts")[0])).withColumn("texts", F.when(own, F.expr("slice(texts, 2, size(texts))")).otherwise(F.col("texts")))
+    rows = s.join(r.select("work", F.col("a").alias("anchor"), "head", "texts"), ["work", "anchor"], "left")
+    cut = lambda g: F.floor(g * (F.size("texts") / F.col("e")) + 0.5)
+    first, end = cut(F.col("nth")), cut(F.col("nth") + 1)
+    share = F.when(F.size("texts") > 0, F.array_join(F.slice("texts", (first + 1).cast("int"), (F.greatest(end, first + 1) - first).cast("int")), " "))
+    found = F.when(F.col("nth") >= 0, share).when(F.col("e") == 0, F.array_join(F.concat(F.array("head"), "texts"), " ")).otherwise(F.col("head"))
+    return rows.select("work", "block_no", "type", F.col("text").alias("source"), found.alias("result"))
 
 
 def gaps(aligned: DataFrame) -> DataFrame:

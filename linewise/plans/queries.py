@@ -541,10 +541,27 @@ def lcs_alignment(spark, sf_dir):
     return align.align_markers(L.typed_blocks(script_lines(spark, sf_dir, "turn % 2 = 0")), L.typed_blocks(script_lines(spark, sf_dir, "turn % 2 = 1")))
 
 
+def turn_narration(spark, sf_dir, rest):
+    """The scenes of every second turn, each under a heading of its own, with the characters of their narration."""
+    turns = table(spark, sf_dir, "conversations").filter(F.col("turn") % 2 == rest)
+    body = F.concat(F.lit("# TURN "), "turn", F.lit("\n"), F.coalesce("text", F.lit("")))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("turn", body.alias("body")))), lambda x: x["body"])
+    scripts = turns.groupBy(F.col("conv_id").alias("work")).agg(F.array_join(ordered, "\n").alias("text"))
+    return align.narration_lengths(L.to_lines(scripts, "work", "text"))
+
+
 @query()
 def length_alignment(spark, sf_dir):
-    scenes = turn_scenes(spark, sf_dir)
-    return align.align_lengths(scenes.filter("scene_no % 2 = 0"), scenes.filter("scene_no % 2 = 1"))
+    """Even turns paired with odd turns by how much narration they have; held against the plain recurrence over whole tables."""
+    return align.align_lengths(turn_narration(spark, sf_dir, 0), turn_narration(spark, sf_dir, 1))
+
+
+@query()
+def unpaired_scenes(spark, sf_dir):
+    """Even and odd turns that no turn of the other side goes with, with their headings."""
+    a, b = turn_narration(spark, sf_dir, 0), turn_narration(spark, sf_dir, 1)
+    headings = a.withColumn("side", F.lit("a")).unionByName(b.withColumn("side", F.lit("b"))).select("work", "side", F.col("scene_no").alias("place"), "heading")
+    return align.unpaired(align.align_lengths(a, b), a, b).join(headings, ["work", "side", "place"])
 
 
 @query(r"""WITH RECURSIVE b AS (SELECT conv_id AS work, turn AS scene_no, len(string_split(coalesce(text, ''), chr(10))) AS lines, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM conversations),
