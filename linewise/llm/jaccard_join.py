@@ -23,8 +23,9 @@ from .near_dedup import block_pairs, bucketed, components, grown, parities, spli
 WORDS, PERCENT = 3, 90
 #: Shingles that tasks hold with a count at most. They only order shingles, so which are held changes no result.
 HELD_SHINGLES = 1 << 20
-#: Shingles that a task sorts together to find those that are repeated.
-AT_ONCE = 4_000_000
+#: Shingles that a task sorts together to find those that are repeated, and bytes of text that it cuts at once.
+AT_ONCE = 2_000_000
+TEXT_BYTES = 1_000_000
 
 
 class Words(CharTable):
@@ -69,8 +70,8 @@ def ordered(values: np.ndarray, held: np.ndarray, counts: np.ndarray) -> np.ndar
     return values[np.lexsort((values, np.where(held[at] == values, counts[at], 0)))]
 
 
-def repeated_shingles(rows: DataFrame, size: int, most: int) -> tuple[str, int]:
-    """(folder of a table (shingle, count), least count of those to be held): shingles met repeatedly, counted where they were met together."""
+def repeated_shingles(rows: DataFrame, size: int, most: int) -> str:
+    """The folder of a table (shingle, n) of at most `most` rows: the shingles met repeatedly most often, counted where they were met together."""
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[np.ndarray] = []
@@ -81,7 +82,7 @@ def repeated_shingles(rows: DataFrame, size: int, most: int) -> tuple[str, int]:
             return pa.RecordBatch.from_arrays([pa.array(keys[n > 1].view(np.int64)), pa.array(n[n > 1])], names=["shingle", "n"])
 
         held = 0
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", TEXT_BYTES):
             own = shingle_sets(batch.column("text").to_pylist(), size)
             waiting += own
             held += sum(map(len, own))
@@ -90,38 +91,38 @@ def repeated_shingles(rows: DataFrame, size: int, most: int) -> tuple[str, int]:
                 held = 0
         yield repeated()
 
-    counts, path = written_at(rows.mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")), "join-shingles")
+    counts = written(rows.mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")), "join-shingles")
     held, least = 0, 1 << 62
     for row in counts.groupBy(F.floor(F.log2("n") * 16).alias("step")).agg(F.count(F.lit(1)).alias("shingles"), F.min("n").alias("least")).orderBy(F.desc("step")).collect():
         held += row.shingles
         if held > most:
             break
         least = row.least
-    return path, least
+    return written_at(counts.filter(F.col("n") >= least), "join-held")[1]
 
 
-_held: dict[tuple[str, int], tuple[np.ndarray, np.ndarray]] = {}
+_held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def held_shingles(path: str, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """(sorted shingles, counts) of at least that count in a table; each worker process keeps those of one table."""
-    if (path, least) not in _held:
+def held_shingles(path: str) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted shingles, counts) of that table; each worker process keeps those of one."""
+    if path not in _held:
         _held.clear()
         fs, at = file_system(path)
-        table = pads.dataset(at, filesystem=fs, format="parquet").to_table(filter=pads.field("n") >= least)
+        table = pads.dataset(at, filesystem=fs, format="parquet").to_table()
         keys = table.column("shingle").to_numpy().view(np.uint64)
         order = np.argsort(keys)
-        _held[path, least] = keys[order], table.column("n").to_numpy()[order]
-    return _held[path, least]
+        _held[path] = keys[order], table.column("n").to_numpy()[order]
+    return _held[path]
 
 
-def with_prefixes(rows: DataFrame, size: int, percent: int, path: str, least: int) -> DataFrame:
+def with_prefixes(rows: DataFrame, size: int, percent: int, path: str) -> DataFrame:
     """(id, of_text, n, d1, d2, p1, p2, prefix, odd): size, digest, prefix with its digest, and parities of each row's set."""
     kind = rows.schema["id"].dataType.simpleString()
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = held_shingles(path, least)
-        for batch in slices(batches, "text"):
+        held = held_shingles(path)
+        for batch in slices(batches, "text", TEXT_BYTES):
             found = []
             for own in shingle_sets(batch.column("text").to_pylist(), size):
                 prefix = ordered(own, *held)[: prefix_length(len(own), percent)]
@@ -164,7 +165,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, size: int, per
     texts = rows.join(wanted, (F.col("of_text") == F.col("of")) & F.col("id").eqNullSafe(F.col("of_id"))).select("node", "d1", "d2", "text")
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", TEXT_BYTES):
             own = shingle_sets(batch.column("text").to_pylist(), size)
             same = [digest(x) == d for x, d in zip(own, zip(batch.column("d1").to_pylist(), batch.column("d2").to_pylist(), strict=True), strict=True)]
             nodes_of = batch.column("node").filter(pa.array(same, pa.bool_()))
@@ -197,7 +198,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     since = written_so_far(spark)
     rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).withColumn("of_text", F.xxhash64("text"))
-    sets = written(with_prefixes(rows, size, percent, *repeated_shingles(rows.select("text"), size, HELD_SHINGLES)), "join-prefixes")
+    sets = written(with_prefixes(rows, size, percent, repeated_shingles(rows.select("text"), size, HELD_SHINGLES)), "join-prefixes")
 
     # equal sets are one node, named by a number of its own; hot ones are aggregated within tasks first
     key = ("n", "d1", "d2")
