@@ -340,7 +340,7 @@ def least_held(pairs: DataFrame, most: int) -> int:
 
 
 _tokenizers: dict[tuple[str, str], Tokenizers] = {}
-_values: dict[tuple[str, int], tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+_values: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
 
 
 def loaded(path_a: str, path_b: str) -> Tokenizers:
@@ -350,16 +350,16 @@ def loaded(path_a: str, path_b: str) -> Tokenizers:
     return _tokenizers[path_a, path_b]
 
 
-def held_pairs(path: str, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The pairs of at least that count in the table of pairs, in order; each worker process keeps those of one table."""
-    if (path, least) not in _values:
+def held_pairs(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sorted pairs, counts, best) of that table; each worker process keeps those of one."""
+    if path not in _values:
         _values.clear()
         fs, at = file_system(path)
-        rows = pads.dataset(at, filesystem=fs, format="parquet").to_table(filter=pads.field("count") >= least)
+        rows = pads.dataset(at, filesystem=fs, format="parquet").to_table()
         keys = rows.column("pair").to_numpy()
         order = np.argsort(keys)
-        _values[path, least] = keys[order], rows.column("count").to_numpy()[order], rows.column("best").to_numpy()[order]
-    return _values[path, least]
+        _values[path] = keys[order], rows.column("count").to_numpy()[order], rows.column("best").to_numpy()[order]
+    return _values[path]
 
 
 def align_tokens(
@@ -378,13 +378,14 @@ def align_tokens(
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("text"))
     aligned = written(aligned_slices(rows, paths, groups), "aligned-slices")
-    pairs, path = written_at(valued_pairs(written(count_pairs(aligned), "pair-counts"), loaded(*paths).size_b), "pair-values")
+    pairs = written(valued_pairs(written(count_pairs(aligned), "pair-counts"), loaded(*paths).size_b), "pair-values")
     least = least_held(pairs, held)
+    _, path = written_at(pairs.filter(F.col("count") >= least), "pair-held")
 
     def value(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        row, values = TaskContext.get().partitionId() << 40, held_pairs(path, least)
+        row, values = TaskContext.get().partitionId() << 40, held_pairs(path)
         for batch in batches:
             for k in range(batch.num_rows):
                 docs = batch.column("docs")[k].values
