@@ -38,12 +38,6 @@ def running_foreign_lines(lines: DataFrame, least: int = LINE_REPEATS) -> DataFr
     return rows.join(frequent(lines, key, least), ["work", "key"], "left_semi").select("work", "line_no", "text")
 
 
-def repeated_url_prefixes(lines: DataFrame, least: int = URL_REPEATS) -> DataFrame:
-    """(work, key, n): the first forty characters of addresses that return."""
-    urls = lines.select("work", F.explode(F.regexp_extract_all("text", F.lit(r"https?://\S+"), F.lit(0))).alias("url"))
-    return frequent(urls, F.substring("url", 1, 40), least)
-
-
 def edge_headers(lines: DataFrame, depth: int = 2, share: float = 0.2) -> DataFrame:
     """(work, key, pages): signatures that return at the top or bottom of pages; lines have a page column.
 

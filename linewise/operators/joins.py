@@ -11,6 +11,7 @@ from pyspark.sql.window import Window as W
 
 from ..functions import text as T
 from .lines import scene_kinds, with_segments, words
+from .names import merged_cues  # noqa: F401  (a join of lines with the names of their work)
 
 
 def by_position(a: DataFrame, b: DataFrame, key: str = "work", order: str = "line_no", value: str = "text") -> DataFrame:
@@ -77,21 +78,6 @@ def aligned_cues(a: DataFrame, b: DataFrame) -> DataFrame:
     return ca.join(cb, ["work", "scene_no", "nth"]).join(same, ["work", "scene_no"], "left_semi")
 
 
-def merged_cues(lines: DataFrame) -> DataFrame:
-    """(work, line_no, speech, cue): dialogue that ends in the name of a speaker of the work, after the end of a sentence; the longest name wins.
-
-    Lines and names meet on their last word, however many words a name has.
-    """
-    last = lambda c: F.element_at(F.split(c, " "), -1)
-    t = T.trim(F.col("text"))
-    names = lines.filter(t.startswith("@")).select("work", T.cue_name(F.col("text")).alias("cue")).filter(F.length("cue") > 1).distinct().withColumn("last", last(F.col("cue")))
-    said = lines.select("work", "line_no", T.sub(t, r"\s+", " ").alias("t")).filter(F.col("t").startswith("- ")).withColumn("last", last(F.col("t")))
-    met = said.join(names, ["work", "last"]).filter(F.endswith("t", F.concat(F.lit(" "), F.col("cue"))))
-    cut = met.withColumn("speech", T.trim(F.col("t").substr(F.lit(1), F.length("t") - F.length("cue")))).filter(T.has(F.col("speech"), "[.!?…\"”]$"))
-    best = cut.groupBy("work", "line_no").agg(F.max_by(F.struct("speech", "cue"), F.length("cue")).alias("b"))
-    return best.select("work", "line_no", "b.speech", "b.cue")
-
-
 def one_letter_variants(counts: DataFrame, rare: int = 3, often: int = 5, by: tuple[str, ...] = ()) -> DataFrame:
     """(by, word, n, partner, partner_n): rare words that differ from frequent ones in one letter, digits aside.
 

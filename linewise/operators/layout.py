@@ -9,6 +9,7 @@ from pyspark.sql.window import Window as W
 from ..functions import shapes as S
 from ..functions import text as T
 from ..functions.rules import RULES
+from .builders import IndentBuilder, PageBuilder, built, flags
 
 #: Headings with a number, alone on a line or with the narration after it.
 NUMBERED_HEAD = r"^(\d{1,3}[A-Za-z]?\.\s+)([A-Z][A-Z0-9 ,.'’\/&()-]{4,})$"
@@ -155,82 +156,22 @@ def page_blocks(lines: DataFrame, columns: DataFrame | None = None) -> DataFrame
     they follow each other on a page without a gap of over 1.7 lines; before the first scene also while they fill their column. A
     speaker at the end of a page whose next line is no speech is a leftover. Headings that end in a dash go on in the next. What comes before the first
     scene is a title page, of which cards and transitions stay, if it is no more than 40 blocks and a twentieth of all.
+
+    The lines of a work go through one ordered pass, with one shuffle (builders.PageBuilder); columns may be given, as bands() has them.
     """
-    columns = bands(lines) if columns is None else columns
-    order = W.partitionBy("work").orderBy("page", "line_no")
     t = T.trim(F.col("text"))
-    rows = page_types(lines, columns).withColumn("t", t)
-    same_page = F.col("page") == F.lag("page").over(order)
-    rows = rows.withColumn("gap", F.when(same_page, T.round_half_up(F.lag("y").over(order) - F.col("y"))))
-    # the usual distance of lines: the element at half the number of all gaps among those of over two points in order
-    wide = rows.filter("gap > 2").groupBy("work", "gap").agg(F.count(F.lit(1)).alias("c"))
-    middle = rows.groupBy("work").agg(F.floor(F.count("gap") / 2).alias("at"))
-    wide = wide.withColumn("upto", F.sum("c").over(W.partitionBy("work").orderBy("gap"))).join(middle, "work").filter(F.col("upto") > F.col("at"))
-    height = wide.groupBy("work").agg(F.min("gap").alias("height"))
-    in_speech = F.col("x") >= F.col("dialogue")
-    narrow = rows.filter(F.col("x") < F.col("character"))
-    full_speech = nearest_rank(narrow.filter(in_speech), F.length("text"), 0.92, "full_speech")
-    full_action = nearest_rank(narrow.filter(~in_speech), F.length("text"), 0.92, "full_action")
-    numbered = rows.groupBy("work").agg((F.sum((T.has(F.col("t"), NUMBERED_HEAD) | F.col("t").rlike(T.rx(NUMBERED_SPLIT))).cast("int")) >= 10).alias("by_number"))
-    rows = rows.withColumns({"next_page": F.lead("page").over(order), "next_type": F.lead("type").over(order)})
-    for part in (height, full_speech, full_action, numbered):
-        rows = rows.join(part, "work", "left")
-
-    roman = (F.col("page") <= 8) & F.col("t").rlike(ROMAN)
-    rows = rows.filter((F.col("t") != "") & ~T.follows(F.col("t"), "page furniture") & ~roman)
-    by_number = F.coalesce("by_number", F.lit(False))
-    alone = by_number & T.has(F.col("t"), NUMBERED_HEAD)
-    split = by_number & ~alone & F.col("t").rlike(T.rx(NUMBERED_SPLIT))
-    head = T.sub(T.trim(F.regexp_extract("t", T.rx(NUMBERED_SPLIT), 2)), r"[.,\s]+$")
-    whole_head = T.sub(T.trim(F.regexp_extract("t", T.rx(NUMBERED_HEAD), 2)), r"[.,\s]+$")
-    rest = T.trim(F.regexp_replace("t", T.rx(NUMBERED_SPLIT), ""))
-    piece = lambda kind, text: F.struct(kind.alias("type"), text.alias("t"))
-    pieces = (
-        F.when(alone, F.array(piece(F.lit("scene"), whole_head))).when(split, F.array(piece(F.lit("scene"), head), piece(F.lit("action"), rest)))
-        .when(F.col("type") == "scene", F.array(piece(F.lit("scene"), page_heading_text(F.col("t"))))).otherwise(F.array(piece(F.col("type"), F.col("t"))))
-    )
-    rows = rows.withColumn("length", F.length("text")).select("*", F.posexplode(pieces).alias("part", "p")).withColumns({"type": F.col("p.type"), "t": F.col("p.t")}).drop("p")
-    rows = rows.filter(~((F.col("type") == "scene") & ((F.col("t") == "") | T.follows(F.col("t"), "omitted"))))
-
-    order = W.partitionBy("work").orderBy("page", "line_no", "part")
-    before = order.rowsBetween(W.unboundedPreceding, -1)
-    last_spoken = F.last(F.when(F.col("type") != "paren", F.col("type")), ignorenulls=True).over(before)
-    rows = rows.withColumn("raw", F.col("type")).withColumn("type", F.when((F.col("type") == "action") & last_spoken.eqNullSafe("character"), "dialogue").otherwise(F.col("type")))
-    rows = rows.withColumn("seen", F.coalesce(F.max((F.col("type") == "scene").cast("int")).over(before), F.lit(0)) == 1)
-    prev = lambda c: F.lag(c).over(order)
-    far = (prev("page") != F.col("page")) | (prev("y") - F.col("y") > F.coalesce("height", F.lit(14)) * 1.7)
-    full = F.when(F.col("type") == "dialogue", F.col("full_speech")).otherwise(F.col("full_action"))
-    short = ~F.col("seen") & F.coalesce(full - prev("length") > 20, F.lit(False))
-    goes_on = F.col("type").isin("dialogue", "action") & prev("type").eqNullSafe(F.col("type")) & ~F.coalesce(far, F.lit(False)) & ~short
-    rows = rows.withColumn("goes_on", F.coalesce(goes_on, F.lit(False)))
-    leftover = (F.col("raw") == "character") & (F.col("next_page").isNull() | ((F.col("next_page") != F.col("page")) & (F.col("next_type") != "dialogue")))
-    rows = rows.withColumn("block", F.sum((~F.col("goes_on")).cast("int")).over(order.rowsBetween(W.unboundedPreceding, 0))).filter(~leftover)
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "line_no", "part", "t"))), lambda x: x["t"]), " ")
-    blocks = rows.groupBy("work", "block").agg(F.first("type").alias("type"), joined.alias("t"))
-    return without_title_page(marked_blocks(dangling_joined(blocks)))
-
-
-def dangling_joined(blocks: DataFrame) -> DataFrame:
-    """Blocks whose headings that end in a dash are one with the headings after them; blocks have (work, block, type, t)."""
-    order = W.partitionBy("work").orderBy("block")
-    open_end = (F.col("type") == "scene") & T.has(F.col("t"), r"[-–—]\s*$")
-    joins = F.coalesce(F.lag(open_end).over(order), F.lit(False)) & (F.col("type") == "scene")
-    rows = blocks.withColumn("joins", joins).withColumn("island", F.sum((~F.col("joins")).cast("int")).over(order.rowsBetween(W.unboundedPreceding, 0)))
-    rows = rows.withColumn("more", F.coalesce(F.lead("joins").over(order), F.lit(False)))
-    piece = F.when(F.col("joins"), T.sub(F.col("t"), r"^\s*[-–—]\s*")).otherwise(F.col("t"))
-    piece = F.when(F.col("more"), T.sub(piece, r"\s*[-–—]\s*$")).otherwise(piece)
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("block", piece.alias("p")))), lambda x: x["p"])
-    return rows.groupBy("work", "island").agg(F.first("type").alias("type"), F.array_join(ordered, " - ").alias("t")).withColumnRenamed("island", "block")
-
-
-def marked_blocks(blocks: DataFrame) -> DataFrame:
-    """(work, block_no, type, text): blocks with the marks of their types, numbered without gaps."""
-    t = F.col("t")
-    text = (
-        F.when(F.col("type") == "scene", F.concat(F.lit("# "), t)).when(F.col("type") == "character", F.concat(F.lit("@"), T.trim(T.sub(t, r"[:：]\s*$"))))
-        .when(F.col("type") == "transition", F.concat(F.lit("("), T.trim(F.regexp_replace(t, r"^\(+|\)+$", "")), F.lit(")"))).when(F.col("type") == "dialogue", F.concat(F.lit("- "), t)).otherwise(t)
+    alone, split = T.has(t, NUMBERED_HEAD), t.rlike(T.rx(NUMBERED_SPLIT))
+    title = lambda pattern: T.sub(T.trim(F.regexp_extract(t, T.rx(pattern), 2)), r"[.,\s]+$")
+    roman = (F.col("page") <= 8) & t.rlike(ROMAN)
+    given = ("dialogue", "character", "transition")
+    rows = lines.join(columns.select("work", *given), "work") if columns is not None else lines.withColumns({c: F.lit(None).cast("double") for c in given})
+    rows = rows.select(
+        "work", "page", "line_no", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), *(F.col(c).cast("double").alias(c) for c in given), t.alias("t"), F.length("text").alias("length"),
+        page_heading_text(t).alias("heading_text"), F.when(alone, title(NUMBERED_HEAD)).when(split, title(NUMBERED_SPLIT)).alias("number_head"),
+        F.when(~alone & split, T.trim(F.regexp_replace(t, T.rx(NUMBERED_SPLIT), ""))).alias("number_rest"),
+        *flags(heading=S.is_page_heading(t), change=S.is_transition(t), cue=S.is_page_cue(t), paren=T.has(t, r"^\(.*\)$"), skipped=F.coalesce(t == "", F.lit(True)) | T.follows(t, "page furniture") | roman),
     )
-    return blocks.select("work", (F.row_number().over(W.partitionBy("work").orderBy("block")) - 1).alias("block_no"), "type", text.alias("text"))
+    return built(rows, PageBuilder, "page", "line_no")
 
 
 def without_title_page(blocks: DataFrame, most: int = 40, share: float = 0.05, shortest: int = 0) -> DataFrame:
@@ -250,47 +191,14 @@ def indented_blocks(lines: DataFrame) -> DataFrame:
     """(work, block_no, type, text): the typed blocks of a script whose indentation stands for columns; lines have (work, line_no, text).
 
     Speakers start where a quarter of twenty or more lines that name some do, or at 30 blanks; speech starts at 0.45 of that. A line after a speaker is
-    speech, and so is one that starts within two blanks of the last speech.
+    speech, and so is one that starts within two blanks of the last speech. One ordered pass, with one shuffle (builders.IndentBuilder).
     """
-    t, ind = T.trim(F.col("text")), T.indent(F.col("text"))
-    rows = lines.select("work", "line_no", t.alias("t"), ind.alias("ind"))
-    named = rows.filter((F.col("t") != "") & S.is_page_cue(F.col("t")))
-    enough = named.groupBy("work").agg(F.count(F.lit(1)).alias("cues"))
-    at = enough.join(nearest_rank(named, F.col("ind"), 0.25, "quarter"), "work")
-    rows = rows.join(at, "work", "left").withColumn("cue_at", F.when(F.col("cues") >= 20, F.col("quarter")).otherwise(30))
-    rows = rows.withColumn("speech_at", F.greatest(F.lit(4), T.round_half_up(F.col("cue_at") * 0.45)))
-    rows = rows.filter(~T.has(F.col("t"), r"^\*?\s*[A-Z]{0,2}\d{1,4}[A-Z]?\.?\*?$") & ~T.has(F.col("t"), r"^\(?(CONTINUED|CONT'D|MORE)\)?\s*:?\s*(\(\d+\))?\s*\d{0,4}[A-Za-z]?\.?$", True))
-    kind = (
-        F.when(F.col("t") == "", "blank").when(T.has(F.col("t"), RULES["page heading"].some[0][4:], True) | T.is_slug_line(F.col("t"), S.TIMES_ON_PAGES, False, 1), "scene")
-        .when(S.is_transition(F.col("t")), "transition").when(T.has(F.col("t"), r"^\(.*\)$"), "paren")
-        .when((F.col("ind") >= F.col("cue_at") - 2) & S.is_page_cue(F.col("t")), "character").when(F.col("ind") >= F.col("speech_at"), "dialogue").otherwise("action")
-    )
-    order = W.partitionBy("work").orderBy("line_no")
-    before = order.rowsBetween(W.unboundedPreceding, -1)
-    rows = rows.withColumn("raw", kind)
-    ahead = F.last(F.when(~F.col("raw").isin("paren", "blank"), F.col("raw")), ignorenulls=True).over(before)
-    rows = rows.withColumn("spoken", (F.col("raw") == "dialogue") | ((F.col("raw") == "action") & ahead.eqNullSafe("character")))
-    # a scene, transition or speaker forgets where speech stood; narration near it goes on as speech, each line by the one before
-    rows = rows.withColumn("stretch", F.sum(F.col("raw").isin("scene", "transition", "character").cast("int")).over(order.rowsBetween(W.unboundedPreceding, 0)))
-    rows = rows.withColumn("spoken", F.col("spoken") | near_speech(F.col("raw"), F.col("ind"), F.col("spoken")))
-    rows = rows.withColumn("type", F.when(F.col("spoken"), "dialogue").otherwise(F.col("raw")))
-    goes_on = F.col("type").isin("dialogue", "action") & F.lag("type").over(order).eqNullSafe(F.col("type"))
-    rows = rows.withColumn("goes_on", F.coalesce(goes_on, F.lit(False))).withColumn("block", F.sum((~F.col("goes_on")).cast("int")).over(order.rowsBetween(W.unboundedPreceding, 0)))
-    rows = rows.filter("type <> 'blank'").withColumn("t", F.when(F.col("type") == "scene", page_heading_text(F.col("t"))).otherwise(F.col("t")))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "t"))), lambda x: x["t"]), " ")
-    blocks = rows.groupBy("work", "block").agg(F.first("type").alias("type"), joined.alias("t"))
-    return without_title_page(marked_blocks(blocks), share=1, shortest=45)
-
-
-def near_speech(raw: Column, ind: Column, spoken: Column) -> Column:
-    """Narration that starts within two blanks of the last line of speech of its stretch, where each such line becomes the last itself: a fold over the stretch."""
-    whole = W.partitionBy("work", "stretch").orderBy("line_no").rowsBetween(W.unboundedPreceding, 0)
-    seen = F.collect_list(F.struct(raw.alias("raw"), ind.alias("ind"), spoken.alias("spoken"))).over(whole)
-    last = F.aggregate(seen, F.struct(F.lit(None).cast("int").alias("at"), F.lit(False).alias("hit")), lambda acc, x: F.struct(
-        F.when(x["spoken"] | ((x["raw"] == "action") & F.coalesce(F.abs(x["ind"] - acc["at"]) <= 2, F.lit(False))), x["ind"]).otherwise(acc["at"]).alias("at"),
-        (~x["spoken"] & (x["raw"] == "action") & F.coalesce(F.abs(x["ind"] - acc["at"]) <= 2, F.lit(False))).alias("hit"),
-    ))
-    return last["hit"]
+    t = F.coalesce(T.trim(F.col("text")), F.lit(""))
+    skipped = T.has(t, r"^\*?\s*[A-Z]{0,2}\d{1,4}[A-Z]?\.?\*?$") | T.has(t, r"^\(?(CONTINUED|CONT'D|MORE)\)?\s*:?\s*(\(\d+\))?\s*\d{0,4}[A-Za-z]?\.?$", True)
+    heading = T.has(t, RULES["page heading"].some[0][4:], True) | T.is_slug_line(t, S.TIMES_ON_PAGES, False, 1)
+    marks = flags(heading=heading, change=S.is_transition(t), cue=S.is_page_cue(t), paren=T.has(t, r"^\(.*\)$"), skipped=skipped)
+    rows = lines.select("work", "line_no", t.alias("t"), F.coalesce(T.indent(F.col("text")), F.lit(0)).alias("ind"), page_heading_text(t).alias("heading_text"), *marks)
+    return built(rows, IndentBuilder, "line_no")
 
 
 def european_lines(rows: DataFrame, tolerance: int = 12) -> DataFrame:

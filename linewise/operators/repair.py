@@ -10,8 +10,8 @@ from ..functions import shapes as S
 from ..functions import text as T
 from ..functions.rules import HEADERS, TRANSITION_SHAPE
 from .align import align_markers
-from .clean import frequent
 from .lines import by_line, so_far
+from .names import stamps, url_marks_removed  # noqa: F401  (repairs by the patterns of a work)
 from .windows import next_matching
 
 #: Fixed value: words by which prose is known to be English.
@@ -102,19 +102,6 @@ def trapped_cues(lines: DataFrame) -> DataFrame:
     return rows.select("work", "line_no", fixed.alias("text"))
 
 
-def url_marks_removed(lines: DataFrame, least: int = 5) -> DataFrame:
-    """Lines without the addresses that return `least` times in a work, by their first forty characters."""
-    token = r"\S*https?:\/\/\S+"
-    parts = F.regexp_extract_all("text", F.lit(rf"{token}|\s+|\S+"), F.lit(0))
-    key = lambda x: F.substring(F.regexp_extract(x, r"(https?:\/\/\S+)", 1), 1, 40)
-    urls = lines.select("work", F.explode(F.filter(F.transform(parts, key), lambda k: k != "")).alias("url"))
-    marks = frequent(urls, F.col("url"), least).groupBy("work").agg(F.collect_set("key").alias("marks"))  # few a work
-    rows = lines.join(marks, "work", "left")
-    kept = F.array_join(F.filter(parts, lambda x: ~F.coalesce(F.array_contains("marks", key(x)), F.lit(False))), "")
-    plain = T.rtrim(F.regexp_replace(kept, r"[ \t]{2,}", " "))
-    return rows.select("work", "line_no", F.when(F.col("marks").isNotNull(), plain).otherwise(F.col("text")).alias("text"))
-
-
 def without_script_headers(lines: DataFrame) -> DataFrame:
     """Lines without the headers of revised pages that stand in them; a line of which only a mark is left goes, and runs of blank lines become one.
 
@@ -131,23 +118,6 @@ def without_script_headers(lines: DataFrame) -> DataFrame:
     return _renumbered(rows.withColumn("twice", twice).filter("not twice").select("work", "line_no", "text"), "line_no")
 
 
-def stamps(lines: DataFrame, least: int = 3) -> DataFrame:
-    """(work, stamp, n): lines like a publisher's stamp, with how often a work has them, alone or within other lines, from where they first stand alone.
-
-    A line is looked up for a stamp by the pieces between its dashes: no line meets all stamps.
-    """
-    t = T.trim(F.col("text"))
-    rows = lines.select("work", "line_no", t.alias("t")).withColumn("is_stamp", T.follows(F.col("t"), "stamp"))
-    own = rows.filter("is_stamp").groupBy("work", F.col("t").alias("stamp")).agg(F.min("line_no").alias("first"), F.count(F.lit(1)).alias("alone"))
-    # a stamp has a dash; the word before it and the word after it stand in every line that holds the stamp
-    pair = lambda c: F.regexp_extract_all(c, F.lit(r"[^\s–—-]+\s*[-–—]\s*[A-Z]"), F.lit(0))
-    keyed = own.select("work", "stamp", "first", F.try_element_at(pair(F.col("stamp")), F.lit(1)).alias("pair"))
-    held = rows.filter("not is_stamp").select("work", "line_no", "t", F.explode(F.array_distinct(pair(F.col("t")))).alias("pair"))
-    held = held.join(keyed, ["work", "pair"]).filter(F.contains("t", "stamp") & (F.col("line_no") > F.col("first"))).groupBy("work", "stamp").agg(F.count(F.lit(1)).alias("held"))
-    n = F.col("alone") + F.coalesce("held", F.lit(0))
-    return own.join(held, ["work", "stamp"], "left").select("work", "stamp", n.alias("n")).filter(F.col("n") >= least)
-
-
 def without_echo(lines: DataFrame) -> DataFrame:
     """Lines without the labels of the task and blank lines that an answer starts with, and the fences and blank lines that it ends with."""
     t = T.trim(F.col("text"))

@@ -13,7 +13,7 @@ from pyspark.sql.window import Window as W
 from ..functions import shapes as S
 from ..functions import text as T
 from ..functions.rules import RULES
-from ..operators import align, clean, joins, korean, layout, quality, repair, scenes, selection, windows
+from ..operators import align, clean, joins, korean, layout, names, quality, repair, scenes, selection, windows
 from ..operators import lines as L
 from .queries import _KIND, _T, _trim, _words, document_lines, query, scripts, table, turn_scenes
 
@@ -218,6 +218,52 @@ def stamps(spark, sf_dir):
     return repair.stamps(rows.select("work", "line_no", "text"), 1)
 
 
+def named_lines(spark, sf_dir) -> DataFrame:
+    """Scripts of two speakers, whose names stand in some lines of speech: alone, after a sentence, or within one."""
+    s, n = F.substring("text", 3, 60), F.col("line_no") % 5
+    cue = F.when(F.col("line_no") % 2 == 0, "@ANN").otherwise("@DE ANN (V.O.)")
+    said = F.concat(F.lit("- "), F.when(n == 0, "ANN").when(n == 1, F.concat(s, F.lit(". ANN"))).when(n == 2, F.concat(s, F.lit("!  DE ANN"))).when(n == 3, F.concat(s, F.lit(" ANN"))).otherwise(s))
+    rows = screen_lines(spark, sf_dir)
+    return rows.select("work", "line_no", F.when(F.col("role") == 2, cue).when(F.col("role") == 3, said).otherwise(F.col("text")).alias("text"))
+
+
+_NAMED = f"""{_SCREEN}, q AS (SELECT work, line_no, CASE role WHEN 2 THEN CASE WHEN line_no % 2 = 0 THEN '@ANN' ELSE '@DE ANN (V.O.)' END
+  WHEN 3 THEN '- ' || CASE line_no % 5 WHEN 0 THEN 'ANN' WHEN 1 THEN substr(text, 3, 60) || '. ANN' WHEN 2 THEN substr(text, 3, 60) || '!  DE ANN' WHEN 3 THEN substr(text, 3, 60) || ' ANN' ELSE substr(text, 3, 60) END ELSE text END AS text FROM l),
+names AS (SELECT DISTINCT work, trim(split_part(substr(text, 2), '(', 1)) AS name FROM q WHERE text LIKE '@%' AND length(trim(split_part(substr(text, 2), '(', 1))) >= 2),
+said AS (SELECT work, line_no, {_trim("substr(tr, 3)")} AS body FROM (SELECT *, {_trim("text")} AS tr FROM q) WHERE tr LIKE '- %'),
+met AS (SELECT s.work, s.line_no, body, name, body = name AS whole FROM said s JOIN names n ON s.work = n.work AND (body = name OR ends_with(body, ' ' || name))),
+best AS (SELECT work, line_no, any_value(body) AS body, bool_or(whole) AS whole, arg_max(name, length(name)) AS name FROM met GROUP BY 1, 2),
+cut AS (SELECT work, line_no, whole, CASE WHEN whole THEN body ELSE name END AS cue, {_trim("left(body, length(body) - length(name) - 1)")} AS head FROM best)"""
+
+
+@query(f"""WITH {_NAMED} SELECT work, line_no, CASE WHEN NOT whole THEN '- ' || head END AS speech, cue FROM cut WHERE whole OR regexp_matches(head, '[.!?…"”''’)\\]]$')""")
+def merged_cues(spark, sf_dir):
+    """Speech that is a speaker's name, or ends in one after a sentence."""
+    return names.merged_cues(named_lines(spark, sf_dir))
+
+
+@query(f"""WITH {_NAMED}, f AS (SELECT work, line_no, CASE WHEN NOT whole THEN '- ' || head END AS speech, cue FROM cut WHERE whole OR regexp_matches(head, '[.!?…"”''’)\\]]$')),
+p AS (SELECT q.work, q.line_no, unnest(CASE WHEN cue IS NULL THEN [q.text] WHEN speech IS NULL THEN ['@' || cue] ELSE [speech, '', '@' || cue] END) AS text, unnest([1, 2, 3][:CASE WHEN speech IS NULL THEN 1 ELSE 3 END]) AS part FROM q LEFT JOIN f USING (work, line_no))
+SELECT work, row_number() OVER (PARTITION BY work ORDER BY line_no, part) - 1 AS line_no, text FROM p""")
+def cues_split_off(spark, sf_dir):
+    """Scripts whose speakers stand on lines of their own."""
+    return names.with_cues_split(named_lines(spark, sf_dir))
+
+
+def watermarked_lines(spark, sf_dir) -> DataFrame:
+    """Scripts with a stamp and an address on some lines: alone, within speech, before a line that begins anew."""
+    stamp, address, s = "© 2013 Fine Books - A GREAT TITLE", "/12https://site.example/some/very/long/path/to/a/script/page", F.col("text")
+    rows = screen_lines(spark, sf_dir)
+    text = F.when(F.col("role") == 1, stamp).when(F.col("role") == 3, F.concat(s, F.lit(f" {stamp} so"))).when(F.col("role") == 7, F.concat(s, F.lit(f" {address}"), "line_no", F.lit(" "), s))
+    return rows.select("work", "line_no", text.when((F.col("role") == 9) & (F.col("line_no") % 2 == 0), F.concat(F.lit("@ "), F.lit(address), F.lit("x"))).otherwise(s).alias("text"))
+
+
+@query()
+def without_watermarks(spark, sf_dir):
+    """Scripts without the stamps and addresses that return in them; held against a line by line version over whole tables."""
+    return names.without_watermarks(watermarked_lines(spark, sf_dir))
+
+
 @query(f"""WITH {_ST}, e AS (SELECT *, min(CASE WHEN NOT (tr = '' OR {_follows('tr', 'echoed label')}) THEN line_no END) OVER (PARTITION BY work) AS low,
   max(CASE WHEN NOT (tr = '' OR tr = '```') THEN line_no END) OVER (PARTITION BY work) AS high FROM t) SELECT work, line_no FROM e WHERE line_no BETWEEN low AND high""")
 def without_echo(spark, sf_dir):
