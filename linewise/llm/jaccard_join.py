@@ -2,8 +2,9 @@
 
 Shingles have one order for all documents: those that were met repeatedly come last, by how often. Two sets that are similar enough share one of their first
 shingles, their prefixes (any order is right; rare shingles first keep buckets small). Equal sets are one node, nodes of equal prefix and size one group. Groups meet in
-the buckets of their prefixes' shingles: first each with its bucket's hub and each member with its group, then, in buckets and groups that are still in several components,
-all members of different components. Pairs are filtered by size and by parities of their shingles; what is left is verified on the sets themselves.
+the buckets of their prefixes' shingles, and a pair stays only where sizes and the places of the shared shingle allow enough others; it is then expanded to its members.
+In buckets of over `FEW` nodes each group meets the bucket's hub, and then, where several components are left, all members of different components meet in blocks.
+Pairs are filtered by parities of their shingles; what is left is verified on the sets themselves.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ HELD_SHINGLES = 1 << 20
 #: Shingles that a task sorts together to find those that are repeated, and bytes of text that it cuts at once.
 AT_ONCE = 2_000_000
 TEXT_BYTES = 1_000_000
+#: Nodes of a bucket whose groups all meet at once.
+FEW = 64
 
 
 class Words(CharTable):
@@ -134,6 +137,24 @@ def with_prefixes(rows: DataFrame, size: int, percent: int, path: str) -> DataFr
     return rows.mapInArrow(cut, f"id {kind}, of_text long, n int, d1 long, d2 long, p1 long, p2 long, prefix array<long>, odd binary")
 
 
+def met_in_small_buckets(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """(a, b): pairs of nodes that buckets (key, node, group, n, pos) of few nodes allow: groups are paired and filtered, then expanded to their members.
+
+    At the first shingle that two sets share, at places i and j of their orders, they share no more than the lesser of n_a - i and n_b - j shingles.
+    """
+    rows = members.filter("node = group").select("key", "group", "n", "pos")
+    a, b = (rows.select("key", *(F.col(c).alias(f"{c}_{x}") for c in ("group", "n", "pos"))) for x in "ab")
+    sizes = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
+    places = (100 + percent) * F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b")) >= percent * (F.col("n_a") + F.col("n_b"))
+    met = a.join(b, (a.key == b.key) & (F.col("group_a") < F.col("group_b")) & sizes & places).select("group_a", "group_b").distinct()
+    large = nodes.groupBy("group").agg(F.count(F.lit(1)).alias("nodes")).filter("nodes > 1").join(members.select("group").distinct(), "group", "left_semi")
+    several = written(nodes.select("group", "node").join(large, "group", "left_semi"), "join-several")
+    of = lambda x: several.select(F.col("group").alias(f"group_{x}"), F.col("node").alias(f"node_{x}"))
+    expanded = met.join(of("a"), "group_a", "left").join(of("b"), "group_b", "left").select(F.coalesce("node_a", "group_a").alias("x"), F.coalesce("node_b", "group_b").alias("y"))
+    within = of("a").join(of("b"), (F.col("group_a") == F.col("group_b")) & (F.col("node_a") < F.col("node_b"))).select(F.col("node_a").alias("x"), F.col("node_b").alias("y"))
+    return expanded.union(within).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def may_link(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sizes and parities allow that they are similar."""
     own = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("odd").alias(f"odd_{x}"))
@@ -206,17 +227,17 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     nodes = written(first.withColumn("node", F.monotonically_increasing_id()), "join-nodes")
     groups = written(nodes.groupBy("n", "p1", "p2").agg(F.min("node").alias("group")), "join-groups")
     nodes = written(nodes.join(groups, ["n", "p1", "p2"]), "join-grouped")
-    members = bucketed(nodes.select("node", "group", F.explode("prefix").alias("key")), "join-members")
-
-    of_hubs = stars(members.filter("node = group").select("key", "node", "size", F.col("node").alias("component")))
+    members = bucketed(nodes.select("node", "group", "n", F.posexplode("prefix").alias("pos", "key")), "join-members")
+    few, many = members.filter(F.col("size") <= FEW), members.filter(F.col("size") > FEW)
+    of_hubs = stars(many.filter("node = group").select("key", "node", "size", F.col("node").alias("component")))
     of_groups = nodes.filter("node <> group").select(F.col("group").alias("a"), F.col("node").alias("b"))
     light = written(nodes.select("node", "n", "odd"), "join-parities")
-    pairs = written(may_link(of_hubs.union(of_groups).distinct(), light, percent), "join-pairs")
+    pairs = written(may_link(met_in_small_buckets(few, nodes, percent).union(of_hubs).union(of_groups).distinct(), light, percent), "join-pairs")
     linked = components(written(verified(pairs, nodes, rows, size, percent), "join-links"), "join-components")
 
     seen, every = pairs, False
     while True:
-        still_open = split_buckets(members.select("key", "node", "size"), linked).join(light, "node")
+        still_open = split_buckets(many.select("key", "node", "size"), linked).join(light, "node")
         close = written(block_pairs(still_open, percent / 100, every), "join-close")
         new = written(close.select("a", "b").join(seen, ["a", "b"], "left_anti"), "join-more-pairs")
         if new.isEmpty():

@@ -226,9 +226,10 @@ def varied(seed=5):
     return texts
 
 
-@pytest.mark.parametrize("held, seed", [(1 << 20, 5), (0, 6), (50, 7)])
-def test_jaccard_join_is_brute_force(spark, monkeypatch, held, seed):
+@pytest.mark.parametrize("held, seed, few", [(1 << 20, 5, 64), (0, 6, 64), (50, 7, 4), (1 << 20, 8, 0)])
+def test_jaccard_join_is_brute_force(spark, monkeypatch, held, seed, few):
     monkeypatch.setattr(jaccard_join, "HELD_SHINGLES", held)
+    monkeypatch.setattr(jaccard_join, "FEW", few)
     texts = varied(seed)
     got = sorted((tuple(x) for x in jaccard_join.jaccard_components(frame(spark, texts)).collect()), key=str)
     want = brute_components(list(range(len(texts))), texts)
