@@ -26,8 +26,9 @@ from .common import file_system, slices, written, written_at
 
 #: Pairs of ids that every task holds with their counts; counts of the other, rarer pairs are joined.
 HELD_PAIRS = 1 << 21
-#: Pieces of text kept by a task before it starts anew.
-KEPT = 400_000
+#: Pieces of text kept by a task before it starts anew, and bytes of text taken at once.
+KEPT = 150_000
+TEXT_BYTES = 2_000_000
 #: Pieces encoded at once.
 AT_ONCE = 2000
 #: A group with more links than this is counted by different ids instead of link by link.
@@ -272,7 +273,7 @@ def aligned_slices(rows: DataFrame, paths: tuple[str, str], groups: bool) -> Dat
 
     def align(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces(loaded(*paths))
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", TEXT_BYTES):
             number, lengths = pieces.of_texts(batch.column("text").to_pylist())
             table = sums(pieces.table[number], lengths)
             texts, edges = list(map(pieces.texts.__getitem__, number.tolist())), np.cumsum([0, *lengths.tolist()]).tolist()
