@@ -9,20 +9,45 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.shapes import VOICE_MARKS
 from .quality import structure_agrees
 
 
-def fully_translated(source: Column, result: Column) -> Column:
-    """Whether no line of a result is left in the source's language, cues, addresses and headings aside, and nothing leaks."""
-    lines = F.filter(F.transform(F.split(result, "\n"), T.trim), lambda x: x != "")
-    left = F.exists(lines, lambda x: (T.is_untranslated(x) & ~T.is_marker(x) & ~T.is_structural(x) & ~T.has(x, "https?://")) | T.is_leak(x))
-    return F.coalesce(structure_agrees(source, result) & ~left, F.lit(False)) | T.nothing_to_translate(source)
+def left_in_english(lines: Column) -> Column:
+    """Of the trimmed lines of a translated scene, whether each is left in English where it should not be.
 
+    Lines with Hangul are done. A cue is left unless its name has under two letters or is initials, a short form with dots or slashes, or a known one. Other lines
+    are left if they have twelve characters and ten letters, and a word of four letters or a heading's mark; but not up to two lines after a remark that names a language, nor
+    addresses and transitions.
+    """
 
-def plan_work(scenes: DataFrame, previous: DataFrame) -> DataFrame:
-    """Scenes (work, scene_no, scene) with previous and reusable: those that need no work are known before any is done."""
+    def left(x: Column, i: Column) -> Column:
+        name = T.trim(T.sub(T.sub(x, r"^@"), VOICE_MARKS, "", True))
+        cue = (T.latin(name) >= 2) & ~T.follows(name, "kept name")
+        near = F.slice(lines, F.greatest(i - 1, F.lit(1)), F.least(i, F.lit(2)))
+        spared = F.exists(near, lambda p: T.follows(p, "language cue")) | T.follows(x, "address") | T.follows(x, "kept transition") | T.follows(x, "plain transition")
+        other = (F.length(x) >= 12) & ~spared & (T.has(x, "[A-Za-z]{4,}") | x.startswith("#")) & (T.latin(x) >= 10)
+        return ~T.has(x, "[가-힣]") & F.when(x.startswith("@"), cue).otherwise(other)
+
+    return F.transform(lines, left)
+
+
+def fully_translated(result: Column) -> Column:
+    """Whether a scene's result is a finished translation: some of it in Korean, nothing left in English that should not be, and no remark of the translator."""
+    lines = F.transform(F.split(result, "\n"), T.trim)
+    done = T.has(result, "[가-힣]") & ~F.exists(left_in_english(lines), lambda x: x) & ~F.exists(lines, T.is_leak)
+    return F.coalesce(done, F.lit(False))
+
+
+def plan_work(scenes: DataFrame, previous: DataFrame, same_structure: bool = False) -> DataFrame:
+    """Scenes (work, scene_no, scene) with previous and reusable: those that need no work are known before any is done.
+
+    A previous result that is finished is reused, with `same_structure` only if it has the scenes, speakers and about the lines of its source; so is a scene with nothing to translate.
+    """
     old = previous.select("work", "scene_no", F.col("translated").alias("previous"))
-    return scenes.join(old, ["work", "scene_no"], "left").withColumn("reusable", F.coalesce(fully_translated(F.col("scene"), F.col("previous")), F.lit(False)))
+    done = fully_translated(F.col("previous"))
+    done = done & structure_agrees(F.col("scene"), F.col("previous")) if same_structure else done
+    return scenes.join(old, ["work", "scene_no"], "left").withColumn("reusable", F.coalesce(done | T.nothing_to_translate(F.col("scene")), F.lit(False)))
 
 
 def wasteful(planned: DataFrame, least: int = 20, share: float = 0.5) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions import text as T
+from .coverage import contained_lines  # noqa: F401  (a join of lines with the text of their work)
 from .lines import scene_kinds, with_segments, words
 from .names import merged_cues  # noqa: F401  (a join of lines with the names of their work)
 
@@ -117,20 +118,6 @@ def single_substitutions(pairs: DataFrame, a: str, b: str, allowed: list[tuple[s
     return pairs.filter((F.length(a) == F.length(b)) & (F.size(differing) == 1) & F.array_contains(known, F.element_at(differing, 1)))
 
 
-def contained_lines(needles: DataFrame, texts: DataFrame, on: str = "work") -> DataFrame:
-    """needles (on, line_no, text) with `covered`: whether the comparable form of the line is part of the work's text, whole or in two halves.
-
-    The lines of a work go to its text as one array, so each text is held once.
-    """
-    n = F.struct("line_no", "text", T.comparable(F.col("text")).alias("needle"))
-    rows = needles.groupBy(on).agg(F.collect_list(n).alias("needles")).join(texts.select(on, T.comparable(F.col("text")).alias("hay")), on, "left")
-    rest = lambda c, k: c.substr(k + 1, F.length(c))
-    halves = lambda c: F.exists(F.sequence(F.lit(6), F.length(c) - 6), lambda k: F.contains("hay", F.substring(c, F.lit(1), k)) & F.contains("hay", rest(c, k)))
-    covered = lambda c: F.coalesce(F.contains(F.col("hay"), c) | F.when(F.length(c) >= 12, halves(c)).otherwise(False), F.lit(False))
-    found = F.transform("needles", lambda x: F.struct(x["line_no"].alias("line_no"), x["text"].alias("text"), covered(x["needle"]).alias("covered")))
-    return rows.select(on, F.explode(found).alias("f")).select(on, "f.line_no", "f.text", "f.covered")
-
-
 def texts_containing(items: DataFrame, texts: DataFrame, item: str, doc: str, widest: int = 16) -> DataFrame:
     """(item, doc): which texts contain which items, blanks and marks aside.
 

@@ -36,7 +36,7 @@ def trailing_actions(blocks: DataFrame) -> DataFrame:
     A block that starts with narration stays whole.
     """
     ls = F.split("text", "\n")
-    at = F.array_position(F.transform(ls, S.is_english_narration), F.lit(True))
+    at = F.array_position(F.transform(ls, lambda x: S.is_english_narration(x)), F.lit(True))
     cut = (F.col("type") == "dialogue") & (at > 1)
     said, told = F.array_join(F.slice(ls, F.lit(1), at - 1), "\n"), F.array_join(F.slice(ls, at, F.size(ls)), "\n")
     piece = lambda kind, text: F.struct(F.lit(kind).alias("type"), T.trim(text).alias("text"))

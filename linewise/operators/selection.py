@@ -55,6 +55,21 @@ def latest(rows: DataFrame, key: str, *order: Column) -> DataFrame:
     return best.select(key, "b.*")
 
 
+def latest_n(rows: DataFrame, n: int, by: list[str], *order: Column, parts: int = 64) -> DataFrame:
+    """The first n rows of each key in an order, with their rank: the last n of a log where the order is descending.
+
+    A bounded top-n that merges: each task keeps n rows of a key, then each of `parts` shares of a key, then the key. So a key with any part of all rows never has more than
+    parts x n rows in one task. Rows that the order leaves equal are ranked by all their columns.
+    """
+    ties = [F.col(c) for c in rows.columns if not rows.schema[c].dataType.simpleString().startswith("map")]
+    share = F.pmod(F.xxhash64(*ties), F.lit(parts))
+    for own in ([*by, share], by):
+        rows = rows.withColumn("rank", F.row_number().over(W.partitionBy(*own).orderBy(*order, *ties))).filter(F.col("rank") <= n)
+        if own is not by:
+            rows = rows.drop("rank")
+    return rows
+
+
 def upsert(old: DataFrame, new: DataFrame, key: str, *order: Column) -> DataFrame:
     return latest(old.unionByName(new), key, *order)
 

@@ -593,6 +593,13 @@ def reading_accuracy(spark, sf_dir):
     return align.reading_accuracy(rows.filter("reading IS NOT NULL").select("work", F.col("scene").alias("reference"), "reading"))
 
 
+@query("""SELECT event_type, event_id, rank FROM (SELECT event_type, event_id, CAST(row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS INT) AS rank FROM events) WHERE rank <= 50""")
+def latest_events(spark, sf_dir):
+    """The last fifty events of each type: a log's window, whatever share of the log a type has."""
+    rows = table(spark, sf_dir, "events").select("event_type", "ts", "event_id")
+    return selection.latest_n(rows, 50, ["event_type"], F.desc("ts"), F.desc("event_id")).select("event_type", "event_id", "rank")
+
+
 @query()
 def reuse_plan(spark, sf_dir):
     """Turns that could be reused: the next turns are taken for their previous results."""

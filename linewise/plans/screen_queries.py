@@ -13,7 +13,7 @@ from pyspark.sql.window import Window as W
 from ..functions import shapes as S
 from ..functions import text as T
 from ..functions.rules import RULES
-from ..operators import align, clean, joins, korean, layout, names, quality, repair, scenes, selection, windows
+from ..operators import align, clean, coverage, incremental, joins, korean, layout, names, quality, repair, scenes, selection, windows
 from ..operators import lines as L
 from .queries import _KIND, _T, _trim, _words, document_lines, query, scripts, table, turn_scenes
 
@@ -692,3 +692,56 @@ def european_pages(spark, sf_dir):
     """Rendered pages taken for a script in two columns; held against rows by hand."""
     rows = page_lines(spark, sf_dir).select("work", "page", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), "text")
     return layout.european_lines(rows)
+
+
+def half_translated(spark, sf_dir) -> DataFrame:
+    """(work, line_no, text): the rendered scripts as translations: in Korean but for lines that may stay in English, and, in some works, one kind of line that may not."""
+    w, rest = F.col("work") % 8, F.col("role")
+    kinds = {0: "# 내부. 집 - 낮", 2: "@존 (V.O.)", 3: "- 안녕하세요 여러분", 4: "(이탈리아어로)", 5: "- Arrivederci amici miei", 7: "그가 방으로 들어온다.", 8: "@H.W.", 9: "(SMASH CUT TO:)", 10: "www.example.org/page", 11: "@FBI"}
+    text = F.when(rest.isin(1, 6), "")
+    for kind, line in kinds.items():
+        text = text.when(rest == kind, line)
+    odd = F.when((w == 1) & (rest == 8), "@BOB").when((w == 2) & (rest == 7), F.col("text")).when((w == 3) & (rest == 0), "# INT. HOUSE - DAY").when((w == 4) & (rest == 4), "(beat)").when((w == 5) & (rest == 9), "CUT TO BLACK AND THEN SILENCE")
+    return screen_lines(spark, sf_dir).select("work", "line_no", F.coalesce(odd, text).alias("text"))
+
+
+_KOREAN = f"""{_SCREEN}, k AS (SELECT work, line_no, {_trim("x")} AS x FROM (SELECT work, line_no, CASE WHEN work % 8 = 1 AND role = 8 THEN '@BOB' WHEN work % 8 = 2 AND role = 7 THEN text WHEN work % 8 = 3 AND role = 0 THEN '# INT. HOUSE - DAY'
+  WHEN work % 8 = 4 AND role = 4 THEN '(beat)' WHEN work % 8 = 5 AND role = 9 THEN 'CUT TO BLACK AND THEN SILENCE' ELSE CASE role WHEN 0 THEN '# 내부. 집 - 낮' WHEN 2 THEN '@존 (V.O.)' WHEN 3 THEN '- 안녕하세요 여러분' WHEN 4 THEN '(이탈리아어로)'
+  WHEN 5 THEN '- Arrivederci amici miei' WHEN 7 THEN '그가 방으로 들어온다.' WHEN 8 THEN '@H.W.' WHEN 9 THEN '(SMASH CUT TO:)' WHEN 10 THEN 'www.example.org/page' WHEN 11 THEN '@FBI' ELSE '' END END AS x FROM l)),
+n AS (SELECT *, coalesce(lag(x, 1) OVER w, '') AS p1, coalesce(lag(x, 2) OVER w, '') AS p2, {_trim(f"regexp_replace(regexp_replace(x, '^@', ''), {_q('(?i)' + S.VOICE_MARKS)}, '')")} AS nm FROM k WINDOW w AS (PARTITION BY work ORDER BY line_no)),
+f AS (SELECT work, regexp_matches(x, '[가-힣]') AS korean, x <> '' AND ({_follows('x', 'leak')} OR {_follows('x', 'leak outside speech')}) AS leak,
+  CASE WHEN x LIKE '@%' THEN {_n('nm', '[A-Za-z]')} >= 2 AND NOT {_follows('nm', 'kept name')} ELSE length(x) >= 12 AND NOT ({_follows('p1', 'language cue')} OR {_follows('p2', 'language cue')} OR {_follows('x', 'address')}
+    OR {_follows('x', 'kept transition')} OR {_follows('x', 'plain transition')}) AND (regexp_matches(x, '[A-Za-z]{{4,}}') OR x LIKE '#%') AND {_n('x', '[A-Za-z]')} >= 10 END AS english FROM n)"""
+
+
+@query(f"""WITH {_KOREAN} SELECT work, bool_or(korean) AND NOT bool_or(leak) AND NOT bool_or(english AND NOT korean) AS done FROM f GROUP BY work""")
+def finished_translations(spark, sf_dir):
+    """Which translations are finished, of some that leave nothing, a cue, narration, a heading, a remark's line or a transition in English."""
+    texts = half_translated(spark, sf_dir).groupBy("work").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"]), "\n").alias("text"))
+    return texts.select("work", incremental.fully_translated(F.col("text")).alias("done"))
+
+
+def lossy_texts(spark, sf_dir) -> DataFrame:
+    """(work, text): the rendered scripts without some lines, and without the numbers of others."""
+    kept = screen_lines(spark, sf_dir).filter((F.col("line_no") % 7 != 3) & (F.col("role") != 0)).withColumn("text", F.when(F.col("role") == 10, F.regexp_replace("text", r"^\d+\. ", "")).otherwise(F.substring("text", 1, 40)))
+    return kept.groupBy("work").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"]), " ").alias("text"))
+
+
+_COMPARED = lambda x: f"lower(regexp_replace({x}, '[^\\p{{L}}\\p{{N}}]', '', 'g'))"
+_LOSSY = f"""{_SCREEN}, hay AS (SELECT work, {_COMPARED("string_agg(CASE WHEN role = 10 THEN regexp_replace(text, '^[0-9]+. ', '') ELSE substr(text, 1, 40) END, ' ' ORDER BY line_no)")} AS hay FROM l WHERE line_no % 7 <> 3 AND role <> 0 GROUP BY work),
+t AS (SELECT work, line_no, text, {_trim('text')} AS tr FROM l), b AS (SELECT *, {_COMPARED('tr')} AS key, {_COMPARED(_trim(r"regexp_replace(regexp_replace(tr, '^\s*\d{1,4}[A-Z]?\.?\s+', ''), '\s*\d{1,4}[A-Z]?\.?\s*\*?\s*$', '')"))} AS bare,
+  min(CASE WHEN {_follows('tr', 'first scene')} THEN line_no END) OVER (PARTITION BY work) AS first FROM t), c AS (SELECT *, count(*) OVER (PARTITION BY work, key) AS times FROM b WHERE length(key) >= 6),
+j AS (SELECT c.*, CASE WHEN contains(coalesce(hay, ''), key) OR len(list_filter(range(6, length(key) - 5), lambda k: contains(coalesce(hay, ''), left(key, k)) AND contains(coalesce(hay, ''), substr(key, k + 1)))) > 0 THEN 'kept'
+  WHEN line_no < first THEN 'title' WHEN times >= 3 THEN 'header' WHEN length(bare) >= 6 AND contains(coalesce(hay, ''), bare) THEN 'number' ELSE 'body' END AS category FROM c LEFT JOIN hay USING (work) WHERE NOT {_follows('tr', 'furniture of a source')})"""
+
+
+@query(f"WITH {_LOSSY} SELECT work, line_no, category FROM j")
+def covered_lines(spark, sf_dir):
+    """Where the lines of scripts are in versions that have lost some: kept, whole or in halves, or by what kind of loss."""
+    return coverage.coverage(screen_lines(spark, sf_dir), lossy_texts(spark, sf_dir)).select("work", "line_no", "category")
+
+
+@query(f"""WITH {_LOSSY}, r AS (SELECT work, count(*) AS checked, CAST(sum((category = 'body')::INT) AS BIGINT) AS body, CAST(sum((category = 'title')::INT) AS BIGINT) AS title, CAST(sum((category = 'header')::INT) AS BIGINT) AS header,
+  CAST(sum((category = 'number')::INT) AS BIGINT) AS number FROM j GROUP BY work) SELECT *, 100 * (checked - body) / checked AS percent FROM r""")
+def coverage_report(spark, sf_dir):
+    return coverage.coverage_report(coverage.coverage(screen_lines(spark, sf_dir), lossy_texts(spark, sf_dir)))

@@ -241,3 +241,26 @@ def test_file_layers(spark):
     rows = [("a", p, 100, False, ["Courier"]) for p in range(1, 11)] + [("b", p, 2, True, []) for p in range(1, 11)] + [("c", p, 90, True, ["Arial"]) for p in range(1, 11)] + [("d", p, 90, False, ["GlyphLessFont"]) for p in range(1, 3)]
     pages = spark.createDataFrame(rows, "work string, page int, items int, image boolean, fonts array<string>")
     assert {(r.work, r.verdict) for r in layout.layer_kinds(pages).collect()} == {("a", "text"), ("b", "none"), ("c", "scan"), ("d", "read")}
+
+
+def test_headers_of_revised_pages_by_hand(spark):
+    headers = [
+        "10/6/03 MM revs. (pink) 1A.", "The Red Planet Shooting Script 5.", "화성인 촬영 대본 13.", "SALMON #2 XX/XX/07 6A.", "MEMORY Blue Revisions – 8/27/99", "MEMORY - Green Revisions 10-4-99 12 CONTINUED: (2)",
+        "기억 블루 리비전 – 8/27/9", "Blue Rev. (mm/dd/yy) 66.", "Blue Rev. (June 11, 17) 7.", '"BLUE SKY" CONFORMED SCRIPT 1.9.2025 Pg. 11', "PINK SHOOTING SCRIPT (JUNE 17, 2024) 60DA.", "COLD BAY - Ep. 210 - Full Goldenrod - 02/03/24 10.",
+        "THE QUEEN SHOOTING SCRIPT 6 MAR 17 (BLUE REVISIONS 14 MAR 17) 20.", "2. blue rev. 3-10-21 3. blue rev. 3-10-21", "Tan Rev. (Jan 31 '18) - 1518 3bA.", "MOVED TO SC 230A", "MERGED INTO SC 281256", "KOTM - Final Shooting Script - August 10, 2022 143.",
+        "THE MATTER - May 3rd 2022 - 2 - ...sc", "Blue Pictures 43-45 Some Street London W1T 1RS", 'CALL HIM #613 "All Gone" FINAL 1/19/22 9.', "Pink Revised 07/15/2016 39A.", "BLUE WIP REVISIONS SZ EPISODE 1 19.", "SCENE MOVED AND RE-NUMBERED TO SCENE 162",
+        "Sc.66D Full Pink 11.16.2023", "Sc. Full Pink 11.16.2023", "BUFF REVISED, MAY 11, 2015 88-89A.", "Goldenrod Pages - 8.29.2016 47-47A.", "GOLDENROD REVISIONS (11/17/21) 68-69.", "GG - Pink Revised 9/.15/13 96A.", "Some Figures - 5/9/2016 - Shooting Draft - 68 .",
+        "1/24/13 FINAL SHOOTING SCRIPT 121.", "FILMHOUSE.COM/AWARDS Released by Some Century House © 2013 Some Century House", "OMITTED85-89A 85-89A", "OMITTED (NOW SC. 110A) 108", "OMITTEDMOVED TO 65A",
+    ]
+    plain = ["He paints it blue and leaves.", "She reads the script on May 3.", "OMITTING nothing, he goes.", "They moved to Scotland.", "The Shooting starts at 5.", "PINK FLOYD plays.", "Draft beer, 3 glasses.", "12. EXT. ROAD - NIGHT", "Revisions are due in March."]
+    rows = spark.createDataFrame([("h", i, x) for i, x in enumerate(headers)] + [("p", i, x) for i, x in enumerate(plain)] + [("m", 0, f"- so it goes. {headers[0]}")], "work string, line_no int, text string")
+    got = {}
+    for x in repair.without_script_headers(rows).orderBy("work", "line_no").collect():
+        got.setdefault(x.work, []).append(x.text)
+    assert got.get("h", []) == [] and got["p"] == plain and got["m"] == ["- so it goes."]
+
+
+def test_narration_about_named_people(spark):
+    rows = spark.createDataFrame([("Willa opens the door.",), ("He opens the door.",), ("Willa and I go.",)], "t string")
+    assert [x[0] for x in rows.select(S.is_english_narration(F.col("t"))).collect()] == [False, True, False]
+    assert [x[0] for x in rows.select(S.is_english_narration(F.col("t"), ("Willa",))).collect()] == [True, True, False]
