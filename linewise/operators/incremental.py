@@ -95,3 +95,74 @@ def accepted(old: DataFrame, new: DataFrame) -> DataFrame:
     o = old.select("work", F.col("leaks").alias("l0"), F.col("percent").alias("p0"), F.col("residue").alias("r0"))
     ok = (F.col("leaks") <= F.col("l0")) & (F.col("percent") >= F.col("p0")) & (F.col("residue") <= F.col("r0") + 3)
     return new.join(o, "work").select("work", ok.alias("accept"))
+
+
+def without_echo(answer: Column) -> Column:
+    """An answer without the labels of the task and blank lines it starts with, and the fences and blank lines it ends with."""
+    lines = F.split(answer, "\n")
+    blank = lambda x: T.trim(x) == ""
+    first = F.array_position(F.transform(lines, lambda x: ~(blank(x) | T.follows(T.trim(x), "echoed label"))), F.lit(True)).cast("int")
+    last = F.array_position(F.transform(F.reverse(lines), lambda x: ~(blank(x) | T.has(T.trim(x), "^```$"))), F.lit(True)).cast("int")
+    kept = F.slice(lines, first, F.greatest(F.lit(0), F.size(lines) - last - first + 2))
+    return F.when((first > 0) & (last > 0), F.array_join(kept, "\n")).otherwise("")
+
+
+def asked(rows: DataFrame, provider: Callable[[list[str]], list[str | None]], attempts: int = 3) -> DataFrame:
+    """(id, source, result, error) for rows (id, source): what a provider makes of each text, asked again where an answer does not hold.
+
+    Each attempt is a round over what the rounds before left: answers that refuse give the source back; remarks of the translator are asked again each time, and another number of lines than the
+    source has only after the first attempt. What still has remarks in the end has the error META_LEAK, and null for a text that the provider failed on. A text with nothing to translate is not asked.
+    Answers are kept by checkpoint(), so no text is asked twice for one attempt.
+    """
+    kind = rows.schema["id"].dataType.simpleString()
+
+    def answers(batches):
+        for pdf in batches:
+            yield pd.DataFrame({"id": pdf["id"], "source": pdf["source"], "answer": provider(pdf["source"].tolist())})
+
+    full = lambda c: F.size(F.filter(F.split(c, "\n"), lambda x: ~T.is_blank(x)))
+    idle = T.nothing_to_translate(F.col("source"))
+    final = [rows.filter(idle).select("id", "source", F.col("source").alias("result"), F.lit(None).cast("string").alias("error"))]
+    left = rows.filter(~idle).select("id", "source")
+    for attempt in range(attempts):
+        got = left.mapInPandas(answers, f"id {kind}, source string, answer string").withColumn("answer", F.when(F.col("answer").isNotNull(), without_echo(F.col("answer")))).checkpoint()
+        refused, none = F.coalesce(T.is_refusal(F.col("answer")), F.lit(False)), F.col("answer").isNull()
+        leaks = F.coalesce(F.exists(F.split("answer", "\n"), T.is_leak), F.lit(False))
+        holds = ~none & (refused | (~leaks & ((full(F.col("answer")) == full(F.col("source"))) | F.lit(attempt > 0))))
+        final.append(got.filter(holds).select("id", "source", F.when(refused, F.col("source")).otherwise(F.col("answer")).alias("result"), F.lit(None).cast("string").alias("error")))
+        left = got.filter(~holds)
+        if attempt == attempts - 1:
+            final.append(left.select("id", "source", F.lit(None).cast("string").alias("result"), F.when(none, "NO_ANSWER").otherwise("META_LEAK").alias("error")))
+        left = left.select("id", "source")
+    out = final[0]
+    for part in final[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def scenes_of(text: Column) -> Column:
+    """The scenes of an answer, cut at its headings; what stands before the first is its own part."""
+    return F.filter(F.transform(F.split(text, r"(?m)^(?=#)"), T.trim), lambda x: x != "")
+
+
+def translated_in_batches(scenes: DataFrame, provider: Callable[[list[str]], list[str | None]]) -> DataFrame:
+    """(work, scene_no, result, status, error, batched) for scenes (work, scene_no, scene, batch): each batch is asked for as one text, and its answer divided again.
+
+    An answer is taken if it has as many scenes as the batch and each agrees with its source in structure. All scenes of other batches, and those alone in theirs, are asked for one by one; there an answer
+    of another structure is an error, and the scene keeps it for a later run.
+    """
+    key = F.struct("work", "batch")
+    ordered = F.array_sort(F.collect_list(F.struct("scene_no", "scene")))
+    batches = scenes.groupBy("work", "batch").agg(ordered.alias("own")).withColumn("n", F.size("own"))
+    combined = batches.filter("n > 1").select(key.alias("id"), F.array_join(F.transform("own", lambda x: x["scene"]), "\n\n").alias("source"))
+    answers = asked(combined, provider).select("id.work", "id.batch", scenes_of(F.col("result")).alias("parts"))
+    both = batches.join(answers, ["work", "batch"]).filter(F.size("parts") == F.col("n")).select("work", "batch", F.explode(F.arrays_zip("own", "parts")).alias("x"))
+    both = both.select("work", "batch", "x.own.scene_no", "x.own.scene", F.col("x.parts").alias("result")).withColumn("good", structure_agrees(F.col("scene"), F.col("result")))
+    whole = both.groupBy("work", "batch").agg(F.min(F.col("good").cast("int")).alias("all_good")).filter("all_good = 1").select("work", "batch")
+    together = both.join(whole, ["work", "batch"], "left_semi").select("work", "scene_no", "result", F.lit("done").alias("status"), F.lit(None).cast("string").alias("error"), F.lit(True).alias("batched")).checkpoint()
+
+    alone = scenes.join(together, ["work", "scene_no"], "left_anti").select(F.struct("work", "scene_no").alias("id"), F.col("scene").alias("source"))
+    one = asked(alone, provider).withColumn("good", structure_agrees(F.col("source"), F.col("result")) | F.coalesce(F.col("result") == F.col("source"), F.lit(False)))
+    failed = F.when(F.col("error").isNull() & ~F.coalesce("good", F.lit(False)), "STRUCTURE").otherwise(F.col("error"))
+    one = one.select("id.work", "id.scene_no", "result", F.when(failed.isNull(), "done").otherwise("error_translate").alias("status"), failed.alias("error"), F.lit(False).alias("batched"))
+    return together.unionByName(one)

@@ -93,23 +93,56 @@ def one_letter_variants(counts: DataFrame, rare: int = 3, often: int = 5, by: tu
     return found.filter(F.regexp_replace("word", "[0-9]", "0") != F.regexp_replace("partner", "[0-9]", "0"))
 
 
-def vocabulary_corrections(tokens: DataFrame, by: tuple[str, ...] = ("work",), least: int = 3, times: int = 3) -> DataFrame:
-    """(by, word, n, correction, correction_n): misread tokens with a known word one edit away that is more than `times` as frequent.
+def shortened(word: Column, deletions: int) -> Column:
+    """The different forms of a word without up to that many characters, itself included."""
+    forms = F.array(word)
+    for _ in range(deletions):
+        cut = F.flatten(F.transform(forms, lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w), F.lit(1))), lambda i: F.concat(F.substring(w, F.lit(1), i - 1), w.substr(i + 1, F.length(w))))))
+        forms = F.array_distinct(F.concat(forms, cut))
+    return forms
 
-    tokens has (by, word). Known words occur `least` times and do not look misread; the most frequent one wins, then the first in order. Words
-    meet on themselves or on what is left without one character, which any two words one edit apart have in common.
+
+def near_words(a: DataFrame, b: DataFrame, distance: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """Rows of a (by, word, ...) beside those of b (by, known, ...) with distance: all pairs at most `distance` edits apart.
+
+    Two such words have a form in common that lacks up to `distance` characters of each: only words that share one are compared.
+    """
+    left = a.withColumn("__part", F.explode(shortened(F.col("word"), distance)))
+    right = b.withColumn("__part", F.explode(shortened(F.col("known"), distance)))
+    met = left.join(right, [*by, "__part"]).filter(F.abs(F.length("word") - F.length("known")) <= distance).drop("__part").distinct()
+    return met.withColumn("distance", F.levenshtein("word", "known")).filter(F.col("distance") <= distance)
+
+
+def vocabulary_corrections(tokens: DataFrame, by: tuple[str, ...] = ("work",), least: int = 3, times: int = 3, distance: int = 1, first: str | None = None) -> DataFrame:
+    """(by, word, n, correction, correction_n): misread tokens with a known word, up to `distance` edits away, that is more than `times` as frequent.
+
+    tokens has (by, word). Known words occur `least` times and do not look misread; the most frequent one wins, then the one nearest, then the one whose column `first` of tokens is
+    least (where it appears first), then the first in order.
     """
-    counts = tokens.groupBy(*by, F.lower("word").alias("word")).agg(F.count(F.lit(1)).alias("n"), F.max(T.looks_misread(F.col("word")).cast("int")).alias("odd"))
-    left = F.transform(F.sequence(F.lit(1), F.length("word")), lambda i: F.concat(F.substring("word", F.lit(1), i - 1), F.col("word").substr(i + 1, F.length("word"))))
-    near = counts.filter(F.length("word") >= 3).withColumn("part", F.explode(F.array_distinct(F.array_append(left, F.col("word")))))
-    odd = near.filter("odd = 1").select(*by, "word", "n", "part")
-    known = near.filter((F.col("odd") == 0) & (F.col("n") >= least)).select(*by, F.col("word").alias("known"), F.col("n").alias("known_n"), "part")
-    pairs = odd.join(known, [*by, "part"]).filter((F.col("known_n") > times * F.col("n")) & (F.levenshtein("word", "known") == 1)).drop("part").distinct()
-    order = W.partitionBy(*by, "word").orderBy(F.desc("known_n"), "known")
+    seen = F.min(F.col(first) if first else F.lit(0))
+    counts = tokens.groupBy(*by, F.lower("word").alias("word")).agg(F.count(F.lit(1)).alias("n"), F.max(T.looks_misread(F.col("word")).cast("int")).alias("odd"), seen.alias("first"))
+    words = counts.filter(F.length("word") >= 3)
+    odd = words.filter("odd = 1").select(*by, "word", "n")
+    known = words.filter((F.col("odd") == 0) & (F.col("n") >= least)).select(*by, F.col("word").alias("known"), F.col("n").alias("known_n"), "first")
+    pairs = near_words(odd, known, distance, by).filter((F.col("known_n") > times * F.col("n")) & (F.col("distance") > 0))
+    order = W.partitionBy(*by, "word").orderBy(F.desc("known_n"), "distance", "first", "known")
     best = pairs.withColumn("rn", F.row_number().over(order)).filter("rn = 1")
     return best.select(*by, "word", "n", F.col("known").alias("correction"), F.col("known_n").alias("correction_n"))
 
 
+def cue_corrections(cues: DataFrame, rare: int = 3, times: int = 3) -> DataFrame:
+    """(work, name, n, correction, correction_n): cues (work, line_no, name) that stand `rare` times or less and differ in one letter from one of `times` as many or more.
+
+    Of several such names the one that appears first in the work counts.
+    """
+    counts = cues.groupBy("work", "name").agg(F.count(F.lit(1)).alias("n"), F.min("line_no").alias("first"))
+    few = counts.filter(F.col("n") <= rare).select("work", F.lower("name").alias("word"), "name", "n")
+    other = counts.select("work", F.lower("name").alias("known"), F.col("name").alias("correction"), F.col("n").alias("correction_n"), "first")
+    pairs = near_words(few, other, 1, ("work",)).filter((F.col("distance") == 1) & (F.length("name") == F.length("correction")) & (F.col("correction_n") >= times * F.col("n")))
+    best = pairs.groupBy("work", "name", "n").agg(F.min_by(F.struct("correction", "correction_n"), "first").alias("b"))
+    return best.select("work", "name", "n", "b.correction", "b.correction_n")
+
+
 def single_substitutions(pairs: DataFrame, a: str, b: str, allowed: list[tuple[str, str]]) -> DataFrame:
     """Pairs of words of one length that differ in one place, by one of the allowed pairs of characters."""
     la, lb = F.split(F.lower(F.col(a)), ""), F.split(F.lower(F.col(b)), "")

@@ -291,6 +291,14 @@ def vocab_correction(spark, sf_dir):
     return joins.vocabulary_corrections(tokens, by=("source",))
 
 
+@query(r"""WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{3,}')) AS word FROM benchmark)
+SELECT a.word, b.word AS known, levenshtein(a.word, b.word) AS distance FROM w a JOIN w b ON levenshtein(a.word, b.word) BETWEEN 1 AND 2""")
+def words_two_edits_apart(spark, sf_dir):
+    """Words of the benchmark that are one or two edits apart."""
+    words = L.words(table(spark, sf_dir, "benchmark").withColumn("text", F.lower("text")), "item_id", "text", "[a-z]{3,}").select("word").distinct()
+    return joins.near_words(words, words.select(F.col("word").alias("known")), 2).filter("distance > 0")
+
+
 @query("""WITH v AS (SELECT source AS key, lang AS value, count(*) AS votes, min(doc_id) AS f FROM documents GROUP BY 1, 2),
 r AS (SELECT *, row_number() OVER w AS rn, lead(votes) OVER w AS second FROM v WINDOW w AS (PARTITION BY key ORDER BY votes DESC, f, value))
 SELECT key, value, votes FROM r WHERE rn = 1 AND (second IS NULL OR (votes >= 2 AND votes >= 3 * second))""")
