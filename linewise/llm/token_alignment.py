@@ -26,8 +26,8 @@ from .common import file_system, slices, written, written_at
 
 #: Pairs of ids that every task holds with their counts; counts of the other, rarer pairs are joined.
 HELD_PAIRS = 1 << 21
-#: Pieces of text kept by a task before it starts anew, and bytes of text taken at once.
-KEPT = 150_000
+#: Pieces of text that a task keeps before it drops all but the third of them that were met most, and bytes of text taken at once.
+KEPT = 180_000
 TEXT_BYTES = 2_000_000
 #: Pieces encoded at once.
 AT_ONCE = 2000
@@ -122,13 +122,14 @@ class Pieces:
     def clear(self) -> None:
         self.number: dict[str, int] = {}
         self.texts: list[str] = []
+        self.met = np.empty(0, np.int64)
         self.parts = [(np.zeros((0, 6), np.int64), np.empty(0, np.int64), np.empty(0, np.int64))]
         self._gather()
 
     def numbers(self, pieces: list[str]) -> np.ndarray:
         """The number of each piece, after learning those not yet known."""
         if len(self.number) > KEPT:
-            self.clear()
+            self._drop_rare()
         new = list(set(pieces) - self.number.keys())
         plain = [p for p in new if p and not p[0].isspace() and not p[-1].isspace()]
         for at in range(0, len(plain), AT_ONCE):
@@ -136,7 +137,16 @@ class Pieces:
         for piece in set(new) - set(plain):  # blanks at an end would meet those between pieces
             self._learn([piece])
         self._gather()
-        return np.fromiter(map(self.number.__getitem__, pieces), np.int64, len(pieces))
+        numbers = np.fromiter(map(self.number.__getitem__, pieces), np.int64, len(pieces))
+        self.met = np.concatenate((self.met, np.zeros(len(self.number) - len(self.met), np.int64))) + np.bincount(numbers, minlength=len(self.number))
+        return numbers
+
+    def _drop_rare(self) -> None:
+        kept = np.sort(np.argsort(-self.met, kind="stable")[: KEPT // 3])
+        at = stretches(self.first[kept], self.table[kept, 4])
+        self.parts = [(self.table[kept], self.keys[at], self.links[at])]
+        pieces, texts = list(self.number), self.texts
+        self.number, self.texts, self.met = {pieces[i]: n for n, i in enumerate(kept.tolist())}, [texts[i] for i in kept.tolist()], self.met[kept]
 
     def _gather(self) -> None:
         self.table, self.keys, self.links = (np.concatenate(x, axis=0) for x in zip(*self.parts, strict=True))
