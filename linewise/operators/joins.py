@@ -79,6 +79,34 @@ def aligned_cues(a: DataFrame, b: DataFrame) -> DataFrame:
     return ca.join(cb, ["work", "scene_no", "nth"]).join(same, ["work", "scene_no"], "left_semi")
 
 
+def cues_by_count(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(work, scene_no, nth, a, b): speakers of two versions side by side in the scenes that have as many cues in both, whatever else differs."""
+    name = T.trim(T.sub(T.sub(T.sub(T.trim(F.col("text")), r"^@"), r"\([^)]*\)"), r"\*"))
+
+    def cues(v: DataFrame, side: str) -> DataFrame:
+        rows = with_segments(v, T.trim(F.col("text")).startswith("#")).filter(T.trim(F.col("text")).startswith("@"))
+        scene = W.partitionBy("work", "scene_no")
+        return rows.select("work", "scene_no", F.row_number().over(scene.orderBy("line_no")).alias("nth"), F.count(F.lit(1)).over(scene).alias("n"), name.alias(side))
+
+    return cues(a, "a").join(cues(b, "b"), ["work", "scene_no", "nth", "n"]).drop("n")
+
+
+def speakers_agree(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(work, scene_no, agree): whether no speaker of a scene has another speaker's usual name of the same scene in the other version.
+
+    The usual name of a speaker is the one it has most often in the work, in scenes with as many cues; a scene with another number of cues does not agree.
+    """
+    pairs = cues_by_count(a, b)
+    usual = pairs.groupBy("work", "a", "b").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("scene_no", "nth")).alias("first"))
+    usual = usual.withColumn("rn", F.row_number().over(W.partitionBy("work", "a").orderBy(F.desc("n"), "first"))).filter("rn = 1").select("work", "a", F.col("b").alias("usual"))
+    named = pairs.join(usual, ["work", "a"])
+    others = named.groupBy("work", "scene_no").agg(F.collect_set("usual").alias("names"))  # the speakers of one scene
+    wrong = named.join(others, ["work", "scene_no"]).withColumn("wrong", (F.col("b") != F.col("usual")) & F.array_contains("names", F.col("b")))
+    count = lambda v, c: with_segments(v, T.trim(F.col("text")).startswith("#")).groupBy("work", "scene_no").agg(F.sum(T.trim(F.col("text")).startswith("@").cast("int")).alias(c))
+    rows = count(a, "na").join(count(b, "nb"), ["work", "scene_no"]).join(wrong.groupBy("work", "scene_no").agg(F.max(F.col("wrong").cast("int")).alias("wrong")), ["work", "scene_no"], "left")
+    return rows.select("work", "scene_no", ((F.col("na") == F.col("nb")) & (F.coalesce("wrong", F.lit(0)) == 0)).alias("agree"))
+
+
 def one_letter_variants(counts: DataFrame, rare: int = 3, often: int = 5, by: tuple[str, ...] = ()) -> DataFrame:
     """(by, word, n, partner, partner_n): rare words that differ from frequent ones in one letter, digits aside.
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..functions import shapes as S
 from ..functions import text as T
 
 
@@ -108,6 +109,13 @@ def words(texts: DataFrame, work: str, text: str, pattern: str = r"[A-Za-z][A-Za
 LONG_WORD = r"[\p{L}][\p{L}'’-]{3,}"
 
 
+def without_fake_cues(lines: DataFrame) -> DataFrame:
+    """Lines whose cues that name no speaker have lost their mark: they are narration, and what follows them no speech."""
+    t = T.trim(F.col("text"))
+    fake = t.startswith("@") & ~S.is_marked_cue(t)
+    return lines.withColumn("text", F.when(fake, T.trim(T.sub(t, r"^@\s*"))).otherwise(F.col("text")))
+
+
 def typed_blocks(lines: DataFrame) -> DataFrame:
     """(work, block_no, type, text): scene, character, paren, dialogue and action blocks of marked text.
 

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..functions import shapes as S
 from ..functions import text as T
+from .joins import one_letter_variants
 from ..functions.rules import PLACES
 from .lines import typed_blocks
 from .windows import close_repeated_cues, dialogue_measures, empty_cues, next_matching
@@ -70,6 +72,25 @@ def text_classes(lines: DataFrame, texts: DataFrame) -> DataFrame:
     return rows.select("work", "actions", "avg_action_words", "long_action_pct", "dialogues", "long_dialogue_pct", "garbage_pct", cls.alias("cls"))
 
 
+def missed_headings(lines: DataFrame) -> DataFrame:
+    """(work, candidates): short lines in capitals, unmarked, within a marked script: headings that were not seen as such."""
+    t = T.trim(F.col("text"))
+    alone = (t != "") & ~T.has(t, r"^([#@(]|- )") & (F.length(t) <= 70) & T.capitals(t, 4, 0.85)
+    return lines.groupBy("work").agg(F.sum(alone.cast("long")).alias("candidates"))
+
+
+def scene_flags(lines: DataFrame) -> DataFrame:
+    """(work, scenes, avg_len, max_len, candidates, flags) of marked scripts: scene_lengths, and more missed headings than scenes; a work with under two scenes has but the flag `no scenes`."""
+    ordered = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"]), "\n")
+    texts = lines.groupBy("work").agg(ordered.alias("text"))
+    own = F.filter(F.split("text", r"(?m)^(?=# )"), lambda x: ~T.is_blank(x))
+    rows = texts.select("work", F.length("text").alias("size"), F.size(own).alias("scenes"), F.array_max(F.transform(own, F.length)).alias("max_len")).join(missed_headings(lines), "work")
+    mean = T.round_half_up(F.col("size") / F.greatest("scenes", F.lit(1)))
+    rows = rows.withColumn("avg_len", mean)
+    found = F.array_compact(F.array(F.when(F.col("avg_len") > 3200, "long mean"), F.when(F.col("max_len") > 20000, "long scene"), F.when(F.col("candidates") > F.col("scenes"), "missed headings")))
+    return rows.select("work", "scenes", "avg_len", "max_len", "candidates", F.when(F.col("scenes") < 2, F.array(F.lit("no scenes"))).otherwise(found).alias("flags"))
+
+
 def scene_lengths(scenes: DataFrame) -> DataFrame:
     """(work, scenes, avg_len, max_len, flags): mean over 3,200 or longest over 20,000 characters are flagged."""
     rows = scenes.groupBy("work").agg(F.count(F.lit(1)).alias("scenes"), F.avg(F.length("scene")).alias("avg_len"), F.max(F.length("scene")).alias("max_len"))
@@ -148,6 +169,45 @@ def verification(lines: DataFrame) -> DataFrame:
     return rows.select("work", "cues", "scenes", "empty_ratio", "long_dialogue", level.alias("level"))
 
 
+def source_issues(lines: DataFrame) -> DataFrame:
+    """(work, level, code, value): what makes a source unfit, by six tests; warn, or bad where there is much of it.
+
+    empty_cues: cues without speech, over 3 % (bad over 8 %); junk: lines of four words or more of which over half look misread (bad over 5); heading: headings that start one letter from INT or EXT (bad over 3);
+    variants: rare names one letter from frequent ones (bad over 5); long_dialogue: speech of over 600 characters (bad over 10); few_scenes, few_cues, little_dialogue: under five headings, under ten cues, under 0.6 lines of
+    speech a cue (always bad).
+    """
+    t = T.trim(F.col("text"))
+    rows = lines.select("work", "line_no", t.alias("t"))
+    words = F.filter(F.split(T.sub(F.col("t"), r"^[-@#]\s*"), T.rx(r"\s+")), lambda w: T.has(w, "[A-Za-z]"))
+    fake = F.size(F.filter(words, S.looks_fake))
+    head = F.regexp_extract("t", T.rx(r"^#\s+([A-Z0-9]{3})\b"), 1)
+    near = lambda place: (head != "") & (F.levenshtein(head, F.lit(place)) == 1)
+    one = lambda c: F.sum(F.coalesce(c, F.lit(False)).cast("long"))
+    counts = rows.groupBy("work").agg(
+        one(F.col("t").startswith("#")).alias("scenes"), one(F.col("t").startswith("@")).alias("cues"), one(F.col("t").startswith("- ")).alias("said"), one((F.size(words) >= 4) & (fake > F.size(words) * 0.5)).alias("junk"),
+        one((near("INT") | near("EXT")) & ~head.isin("INT", "EXT")).alias("heading"), one(F.col("t").startswith("- ") & (F.length("t") > 602)).alias("long_dialogue"),
+    )
+    names = rows.filter(F.col("t").startswith("@")).groupBy("work", T.trim(F.element_at(F.split(F.substring("t", 2, 1 << 20), r"\("), 1)).alias("word")).agg(F.count(F.lit(1)).alias("n"))
+    variants = one_letter_variants(names.filter("word <> ''"), by=("work",)).select("work", "word").distinct().groupBy("work").agg(F.count(F.lit(1)).alias("variants"))
+    empty = empty_cues(lines).groupBy("work").agg(F.count(F.lit(1)).alias("empty"))
+    all_ = counts.join(variants, "work", "left").join(empty, "work", "left").fillna(0).withColumn("ratio", _ratio(F.col("empty"), F.col("cues")))
+    told = lambda when, bad, code, value: F.when(when, F.struct(F.when(bad, "bad").otherwise("warn").alias("level"), F.lit(code).alias("code"), value.cast("double").alias("value")))
+    many = lambda c, most: told(F.col(c) > 0, F.col(c) > most, c, F.col(c))
+    sure = lambda when, code, value: told(when, F.lit(True), code, value)
+    issues = F.array_compact(F.array(
+        told(F.col("ratio") > 0.03, F.col("ratio") > 0.08, "empty_cues", F.col("ratio")), many("junk", 5), many("heading", 3), many("variants", 5), many("long_dialogue", 10), sure(F.col("scenes") < 5, "few_scenes", F.col("scenes")),
+        sure(F.col("cues") < 10, "few_cues", F.col("cues")), sure((F.col("cues") > 0) & (F.col("said") < F.col("cues") * 0.6), "little_dialogue", _ratio(F.col("said"), F.col("cues"))),
+    ))
+    return all_.select("work", F.explode(issues).alias("i")).select("work", "i.*")
+
+
+def fitness(issues: DataFrame, works: DataFrame, strict: bool = False) -> DataFrame:
+    """(work, fit): whether work on a source may begin: nothing bad, and, if strict, nothing at all; works have (work)."""
+    worst = issues.groupBy("work").agg(F.max((F.col("level") == "bad").cast("int")).alias("bad"))
+    stopped = F.coalesce(F.col("bad") == 1, F.lit(False)) | (F.col("bad").isNotNull() & F.lit(strict))
+    return works.select("work").distinct().join(worst, "work", "left").select("work", (~stopped).alias("fit"))
+
+
 def dialogue_floor(lines: DataFrame) -> DataFrame:
     """(work, dialogue, close, floor): the least dialogue that a shorter version must keep: pairs of one speaker close by may be joined."""
     said = lines.groupBy("work").agg(F.sum(T.trim(F.col("text")).startswith("- ").cast("long")).alias("dialogue"))
@@ -188,6 +248,26 @@ def offset_drift(anchors: DataFrame) -> DataFrame:
     return rows.filter(F.col("before").isNotNull() & (F.col("offset") != F.col("before"))).select("work", "nth", "offset")
 
 
+def number_anchors(source: DataFrame, result: DataFrame) -> DataFrame:
+    """(work, nth, a, b): the scenes of two versions whose headings have the same numbers of two to four digits, in order; both are lines (work, line_no, text).
+
+    Headings of the source with nothing below them do not count. Works whose numbers differ anywhere, as far as both versions go, give nothing: their numbers are no anchors.
+    """
+    order = W.partitionBy("work").orderBy("line_no")
+
+    def numbered(lines: DataFrame, skip_empty: bool) -> DataFrame:
+        full = lines.filter(~T.is_blank(F.col("text"))).withColumn("next", F.lead("text").over(order))
+        heads = full.filter(F.col("text").startswith("# ") & ~(F.lit(skip_empty) & F.coalesce(F.col("next").startswith("# "), F.lit(False))))
+        heads = heads.withColumn("scene", F.row_number().over(order) - 1)
+        numbers = F.array_join(F.regexp_extract_all(T.sub(T.trim(F.col("text")), r"\s"), F.lit(r"[0-9]{2,4}"), F.lit(0)), ",")
+        return heads.withColumn("numbers", numbers).filter("numbers <> ''").withColumn("nth", F.row_number().over(order) - 1).select("work", "nth", "scene", "numbers")
+
+    a, b = numbered(source, True), numbered(result, False)
+    both = a.join(b.select("work", "nth", F.col("scene").alias("b"), F.col("numbers").alias("other")), ["work", "nth"]).withColumnRenamed("scene", "a")
+    unequal = both.filter("numbers <> other").select("work").distinct()
+    return both.join(unequal, "work", "left_anti").select("work", "nth", "a", "b")
+
+
 def trapped_names(lines: DataFrame, least: int = 5) -> DataFrame:
     """(work, name, n): names that stand in brackets, with speech after them, where a cue should: `least` times or more."""
     rows = lines.withColumn("t", T.trim(F.col("text")))

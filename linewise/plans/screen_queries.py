@@ -745,3 +745,23 @@ def covered_lines(spark, sf_dir):
   CAST(sum((category = 'number')::INT) AS BIGINT) AS number FROM j GROUP BY work) SELECT *, 100 * (checked - body) / checked AS percent FROM r""")
 def coverage_report(spark, sf_dir):
     return coverage.coverage_report(coverage.coverage(screen_lines(spark, sf_dir), lossy_texts(spark, sf_dir)))
+
+
+_FAKE = lambda w: f"(length(regexp_replace({w}, '[^A-Za-z]', '', 'g')) >= 3 AND NOT {_has(f'regexp_replace({w}, {_q("[^A-Za-z]")}, {_q("")}, {_q("g")})', '(?i)' + S.DRAWN_OUT)} AND (NOT {_has(w, '[aeiouAEIOU]')} OR {_has(f'regexp_replace({w}, {_q("[^A-Za-z]")}, {_q("")}, {_q("g")})', '(?i)[bcdfghjklmnpqrstvwxz]{4,}')} OR {_has(w, '[A-Za-z][0-9]|[0-9][A-Za-z]')}))"
+
+
+@query(f"""WITH {_ST}, e AS (SELECT work, line_no, tr, list_filter(regexp_split_to_array(regexp_replace(tr, '^[-@#]\\s*', ''), '\\s+'), lambda w: regexp_matches(w, '[A-Za-z]')) AS ws, regexp_extract(tr, '^#\\s+([A-Z0-9]{{3}})\\b', 1) AS h,
+  first_value(CASE WHEN tr <> '' AND tr NOT LIKE '(%' THEN tr END IGNORE NULLS) OVER (PARTITION BY work ORDER BY line_no ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS nx FROM t),
+c AS (SELECT work, count(*) FILTER (tr LIKE '#%') AS scenes, count(*) FILTER (tr LIKE '@%') AS cues, count(*) FILTER (tr LIKE '- %') AS said, count(*) FILTER (len(ws) >= 4 AND len(list_filter(ws, lambda w: {_FAKE('w')})) > len(ws) * 0.5) AS junk,
+  count(*) FILTER (h <> '' AND least(hamming(CASE WHEN h = '' THEN 'INT' ELSE h END, 'INT'), hamming(CASE WHEN h = '' THEN 'EXT' ELSE h END, 'EXT')) = 1) AS heading, count(*) FILTER (tr LIKE '- %' AND length(tr) > 602) AS long_dialogue,
+  count(*) FILTER (tr LIKE '@%' AND (nx IS NULL OR regexp_matches(nx, '^[@#]'))) AS empty FROM e GROUP BY work),
+n AS (SELECT work, trim(split_part(substr(tr, 2), '(', 1)) AS word, count(*) AS n FROM t WHERE tr LIKE '@%' GROUP BY 1, 2), v AS (SELECT a.work, count(DISTINCT a.word) AS variants FROM n a JOIN n b ON a.work = b.work AND length(a.word) = length(b.word) AND length(a.word) >= 4 AND a.n <= 3 AND b.n >= 5
+  WHERE hamming(a.word, b.word) = 1 AND regexp_replace(a.word, '[0-9]', '0', 'g') <> regexp_replace(b.word, '[0-9]', '0', 'g') GROUP BY 1),
+r AS (SELECT c.*, coalesce(variants, 0) AS variants, coalesce(empty / nullif(cues, 0), 0.0) AS ratio FROM c LEFT JOIN v USING (work))
+SELECT work, CASE WHEN ratio > 0.08 THEN 'bad' ELSE 'warn' END AS level, 'empty_cues' AS code, CAST(ratio AS DOUBLE) AS value FROM r WHERE ratio > 0.03
+UNION ALL SELECT work, CASE WHEN junk > 5 THEN 'bad' ELSE 'warn' END, 'junk', junk FROM r WHERE junk > 0 UNION ALL SELECT work, CASE WHEN heading > 3 THEN 'bad' ELSE 'warn' END, 'heading', heading FROM r WHERE heading > 0
+UNION ALL SELECT work, CASE WHEN variants > 5 THEN 'bad' ELSE 'warn' END, 'variants', variants FROM r WHERE variants > 0 UNION ALL SELECT work, CASE WHEN long_dialogue > 10 THEN 'bad' ELSE 'warn' END, 'long_dialogue', long_dialogue FROM r WHERE long_dialogue > 0
+UNION ALL SELECT work, 'bad', 'few_scenes', scenes FROM r WHERE scenes < 5 UNION ALL SELECT work, 'bad', 'few_cues', cues FROM r WHERE cues < 10 UNION ALL SELECT work, 'bad', 'little_dialogue', said / cues FROM r WHERE cues > 0 AND said < cues * 0.6""")
+def source_issues(spark, sf_dir):
+    """What makes the rendered scripts unfit as sources, by six tests."""
+    return quality.source_issues(screen_lines(spark, sf_dir))
