@@ -5,14 +5,16 @@ Joins on likeness always have an equality as well: a work, a length, or a common
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window as W
 
 from ..functions import text as T
 from .coverage import contained_lines  # noqa: F401  (a join of lines with the text of their work)
 from .lines import scene_kinds, with_segments, words
-from .names import merged_cues  # noqa: F401  (a join of lines with the names of their work)
+from .names import Patterns, merged_cues  # noqa: F401  (merged_cues is a join of lines with the names of their work)
 
 
 def by_position(a: DataFrame, b: DataFrame, key: str = "work", order: str = "line_no", value: str = "text") -> DataFrame:
@@ -179,17 +181,43 @@ def single_substitutions(pairs: DataFrame, a: str, b: str, allowed: list[tuple[s
     return pairs.filter((F.length(a) == F.length(b)) & (F.size(differing) == 1) & F.array_contains(known, F.element_at(differing, 1)))
 
 
+#: Characters of items that are looked up by one automaton in every task (some 100 bytes each there).
+SCANNED = 1 << 20
+
+
+def _scanned(items: DataFrame, texts: DataFrame) -> DataFrame:
+    """(item, doc) for items (item, needle) that were counted to be few, and texts (doc, hay)."""
+    kinds = {c: df.schema[c].dataType.simpleString() for df, c in ((items, "item"), (texts, "doc"))}
+    owners: dict[str, list] = {}
+    for row in items.select("item", "needle").collect():
+        owners.setdefault(row.needle, []).append(row["item"])
+    sent = items.sparkSession.sparkContext.broadcast(owners)
+
+    def look_up(batches):
+        found = Patterns(sent.value)
+        for batch in batches:
+            out = [(item, doc) for doc, hay in zip(batch.column("doc").to_pylist(), batch.column("hay").to_pylist(), strict=True) if hay for needle in found.within(hay) for item in sent.value[needle]]
+            columns = list(zip(*out, strict=True)) or [(), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], item_type), pa.array(columns[1], batch.schema.field("doc").type)], names=["item", "doc"])
+
+    item_type = to_arrow_type(items.schema["item"].dataType)
+    return texts.mapInArrow(look_up, f"item {kinds['item']}, doc {kinds['doc']}").distinct()
+
+
 def texts_containing(items: DataFrame, texts: DataFrame, item: str, doc: str, widest: int = 16) -> DataFrame:
     """(item, doc): which texts contain which items, blanks and marks aside.
 
-    Texts are cut into blocks of `width` characters side by side. An item of 2 x width - 1 characters or more, wherever it stands in a
+    Items of `SCANNED` characters in all at most go to every task as one automaton, which reads each text once. More items are joined:
+    texts are cut into blocks of `width` characters side by side. An item of 2 x width - 1 characters or more, wherever it stands in a
     text, covers a whole block, which is one of the item's own pieces at the first `width` offsets: item and text meet on
     such a piece, and only pairs that do are searched. Work on a text is linear in its length.
     """
     small = items.select(F.col(item).alias("item"), T.comparable(F.col("text")).alias("needle")).filter(F.length("needle") > 0)
+    hay = texts.select(F.col(doc).alias("doc"), T.comparable(F.col("text")).alias("hay"))
+    if (small.agg(F.sum(F.length("needle"))).first()[0] or 0) <= SCANNED:
+        return _scanned(small, hay)
     widths = [1 << k for k in range(widest.bit_length()) if 1 << k <= widest]
     small = small.withColumn("width", F.greatest(*[F.when(F.length("needle") >= 2 * w - 1, w).otherwise(0) for w in widths], F.lit(1)))
-    hay = texts.select(F.col(doc).alias("doc"), T.comparable(F.col("text")).alias("hay"))
     used = sorted(r.width for r in small.select("width").distinct().collect())  # a few powers of two
     if not used:
         return small.join(hay, F.lit(False)).select("item", "doc")

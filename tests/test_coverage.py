@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from linewise.operators import coverage, incremental, selection
+from linewise.operators import coverage, incremental, joins, selection
 
 
 def test_suffixes_are_in_order():
@@ -71,3 +71,13 @@ def test_the_last_rows_of_a_hot_key(spark):
     assert found == best and None in best
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") >= 2
+
+
+def test_few_and_many_items_are_found_alike(spark, monkeypatch):
+    r = random.Random(5)
+    items = spark.createDataFrame([(i, "".join(r.choice("ab c") for _ in range(r.randrange(0, 9)))) for i in range(60)] + [(99, None)], "item long, text string")
+    texts = spark.createDataFrame([(i, "".join(r.choice("ab c,") for _ in range(r.randrange(0, 40)))) for i in range(80)] + [(99, None), (99, "abc")], "doc long, text string")
+    found = lambda: sorted(tuple(x) for x in joins.texts_containing(items, texts, "item", "doc").collect())
+    scanned = found()
+    monkeypatch.setattr(joins, "SCANNED", -1)
+    assert scanned == found() and len(scanned) > 500
