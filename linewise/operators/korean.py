@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from ..functions import shapes as S
 from ..functions import text as T
+from .builders import compiled, flags
 from .clean import frequent
+from .names import Patterns
 
 #: Endings and particles.
 TOLD = r"(다|었다|한다|된다|든다|온다|간다|난다|린다|킨다|친다|뜬다)$"
@@ -52,64 +57,103 @@ def _bare(name: Column) -> Column:
 
 def names_by_endings(lines: DataFrame, least: int = 2) -> DataFrame:
     """(work, name, n): first words of lines that end like speech, `least` times; those that end in a particle are no names."""
-    t = T.trim(F.col("text"))
-    first, rest = (F.regexp_extract(t, r"^([가-힣A-Za-z0-9]{2,8})\s+(\S.*)$", k) for k in (1, 2))
-    tail = T.sub(T.sub(rest, r"\([^)]*\)\s*$"), CLOSING)
-    rows = lines.select("work", first.alias("name"), rest.alias("rest"), tail.alias("tail")).filter("name <> ''")
-    rows = rows.filter(~T.has(F.col("rest"), PARTICLE_START) & ~F.col("rest").startswith(",") & ~T.has(F.col("tail"), TOLD) & T.has(F.col("tail"), SAID))
+    rows = lines.select("work", _first_word(T.trim(F.col("text"))).alias("name")).filter("name IS NOT NULL")
     return rows.groupBy("work", "name").agg(F.count(F.lit(1)).alias("n")).filter((F.col("n") >= least) & ~T.has(F.col("name"), PARTICLE_END))
 
 
-def names(lines: DataFrame) -> DataFrame:
-    """(work, name, listed): the speakers of scripts: of the cast list before the first scene, of remarks on voices, and by how lines end."""
-    t = T.trim(F.col("text"))
-    first = F.min(F.when(T.has(t, SCENE), F.col("line_no"))).over(W.partitionBy("work"))
-    rows = lines.withColumns({"t": t, "first": first}).filter("first IS NOT NULL")
-    front, body = rows.filter("line_no < first"), rows.filter("line_no >= first")
-    cast = front.select("work", T.trim(F.regexp_extract("t", r"^([가-힣A-Za-z0-9 ]{1,12}?)\s*[-–]\s*\S", 1)).alias("name")).filter("name <> ''")
-    cast = cast.select("work", F.explode(F.array_distinct(F.array("name", F.split("name", " ").getItem(0)))).alias("name"), F.lit(True).alias("listed"))
-    remarked = F.regexp_extract("t", rf"(?i)^([가-힣A-Za-z0-9]{{2,10}})\s*{SOUND}", 1)
-    voiced = F.coalesce(S.voice_name(F.col("t")), F.lit(""))
-    heard = body.select("work", _bare(F.when(remarked != "", remarked).otherwise(voiced)).alias("name"), F.lit(False).alias("listed")).filter("name <> ''")
-    guessed = names_by_endings(body.select("work", "text")).select("work", "name", F.lit(False).alias("listed"))
-    every = cast.unionByName(heard).unionByName(guessed).filter(F.length("name") >= 2)
-    return every.groupBy("work", "name").agg(F.max("listed").alias("listed"))
+def _first_word(text: Column) -> Column:
+    """The first word of a line that ends like speech and goes on like it, or null."""
+    first, rest = (F.regexp_extract(text, r"^([가-힣A-Za-z0-9]{2,8})\s+(\S.*)$", k) for k in (1, 2))
+    tail = T.sub(T.sub(rest, r"\([^)]*\)\s*$"), CLOSING)
+    return F.when((first != "") & ~T.has(rest, PARTICLE_START) & ~rest.startswith(",") & ~T.has(tail, TOLD) & T.has(tail, SAID), first)
+
+
+class ScriptReader:
+    """A table function: the lines of a work in order to (work, line_no, kind, speaker, said, text), from the first scene on.
+
+    First the names are gathered from all lines: of the cast list before the first scene, of remarks on voices, and first words that often go before speech. Then one pass types the lines: those that start with the longest
+    name that fits, and those that go on as a voice until something else begins.
+    """
+
+    def __init__(self):
+        self.lines: list = []
+
+    def eval(self, line) -> None:
+        self.lines.append(line)
+
+    def names(self, first: int) -> tuple[Patterns, Patterns]:
+        """(all names, those of the cast list)."""
+        cast = {n for r in self.lines[:first] if r.cast for n in (r.cast, r.cast.split(" ")[0]) if len(n) >= 2}
+        body = self.lines[first:]
+        often = Counter(r.first_word for r in body if r.first_word)
+        guessed = {n for n, times in often.items() if times >= 2 and not _NO_NAME.search(n)}
+        return Patterns(cast | {r.heard for r in body if r.heard and len(r.heard) >= 2} | guessed), Patterns(cast)
+
+    def terminate(self) -> Iterator[tuple]:
+        first = next((i for i, r in enumerate(self.lines) if r.scene), None)
+        if first is None:
+            return
+        names, cast = self.names(first)
+        voice, on = None, False  # whose voice the lines since the last heading, blank or speaker have, and whether it still goes on
+        for r in self.lines[first:]:
+            speaker, said = (None, None) if r.t == "" or r.scene or r.voice is not None else spoken_by(r.t, names.at_start(r.t))
+            if r.t == "" or r.scene or r.voice is not None or speaker:
+                voice, on = r.voice if r.t != "" and not r.scene else None, True
+                kind = "blank" if r.t == "" else "scene" if r.scene else "voice" if r.voice is not None else "speech"
+                if kind == "voice":
+                    speaker, said = f"{r.voice} (소리)", r.words
+                if kind != "blank":
+                    yield r.work, r.line_no, kind, speaker, said, r.heading if r.scene else r.t
+                continue
+            on = on and not r.stops and not r.told and (r.asks or not any(n != voice and _about(n, r.t) for n in cast.within(r.t)))
+            yield (r.work, r.line_no, "voiced", None, r.t, r.t) if voice is not None and on else (r.work, r.line_no, "other", None, None, r.t)
+
+
+_NO_NAME, _PARTICLES, _AGE, _CLOSING, _TOLD, _POLITE = (compiled(p) for p in (PARTICLE_END, PARTICLES, r"^\(\s*\d{1,2}\s*(세|살)", CLOSING, TOLD, POLITE))
+_OF_VOICE, _REMARK = re.compile(r"(?:의\s*)?(?:더빙)?(?:목)?소리(?![가-힣A-Za-z0-9_])", re.A), re.compile(SOUND, re.I | re.A)
+
+
+def spoken_by(text: str, name: str | None) -> tuple[str | None, str | None]:
+    """(speaker, what is said) of a line that starts with a name, or two nulls where neither speech follows."""
+    if name is None:
+        return None, None
+    after = text[len(name) :]
+    rest = after.strip(T.BLANKS)
+    sound = m[0] if (m := _OF_VOICE.match(rest)) else ""
+    rest_of = rest[len(sound) :].strip(T.BLANKS)
+    remark = m[0] if (m := _REMARK.match(rest_of)) else ""
+    said = rest_of[len(remark) :].strip(T.BLANKS)
+    end = _CLOSING.sub("", said)
+    told = _TOLD.search(end) and not _POLITE.search(end)
+    if after == "" or after.startswith(",") or _PARTICLES.search(after) or _AGE.search(rest) or said == "" or told:
+        return None, None
+    return name + (f" {remark}" if remark else " (소리)" if sound else ""), said
+
+
+def _about(name: str, text: str) -> bool:
+    """Whether a text says something about a name, not to it."""
+    return re.search(re.escape(name) + r"(?:[의이가은는을를]|\s+[가-힣]|\.$)", text, re.A) is not None
 
 
 def korean_lines(lines: DataFrame) -> DataFrame:
     """(work, line_no, part, type, text): scenes, speakers, speech, remarks and narration of Korean scripts from the first scene on.
 
     A line is speech if it starts with a speaker's name (the longest that fits) and neither a particle follows nor narration. After a `…소리>` line the lines go
-    on as that voice until a blank line or one that reads like narration or speaks about another of the cast.
+    on as that voice until a blank line or one that reads like narration or speaks about another of the cast. The lines of a work go through one ordered pass, with one shuffle.
     """
-    t = T.trim(F.col("text"))
-    known = names(lines).groupBy("work").agg(F.collect_set("name").alias("names"), F.collect_set(F.when(F.col("listed"), F.col("name"))).alias("cast"))
-    first = F.min(F.when(T.has(t, SCENE), F.col("line_no"))).over(W.partitionBy("work"))
-    rows = lines.withColumns({"t": t, "first": first}).filter("line_no >= first").join(known, "work", "left")
-    rows = rows.withColumns({"names": F.coalesce("names", F.array().cast("array<string>")), "cast": F.coalesce("cast", F.array().cast("array<string>"))})
-    fits = F.filter("names", lambda n: F.startswith(F.col("t"), n))
-    rows = rows.withColumn("name", F.try_element_at(F.array_sort(fits, lambda a, b: F.length(b) - F.length(a)), F.lit(1)))
-    after = F.substring(F.col("t"), F.length("name") + 1, F.lit(1 << 20))
-    rest = T.trim(after)
-    sound = F.regexp_extract(rest, r"^(?:의\s*)?(?:더빙)?(?:목)?소리(?![가-힣A-Za-z0-9_])", 0)
-    unsound = T.trim(rest.substr(F.length(sound) + 1, F.length(rest)))
-    remark = F.regexp_extract(unsound, "(?i)^" + SOUND, 0)
-    said = T.trim(unsound.substr(F.length(remark) + 1, F.length(unsound)))
-    tag = F.when(remark != "", F.concat(F.lit(" "), remark)).when(sound != "", " (소리)").otherwise("")
-    speaks = F.col("name").isNotNull() & (after != "") & ~after.startswith(",") & ~T.has(after, PARTICLES) & ~T.has(rest, r"^\(\s*\d{1,2}\s*(세|살)") & (said != "") & ~is_told(said)
-    voice, words = S.voice_name(F.col("t")), F.regexp_extract("t", T.rx(VOICE), 2)
-    rows = rows.withColumns({"speaks": F.coalesce(speaks, F.lit(False)), "said": said, "tag": tag, "voice": voice, "words": words})
-    kind = F.when(F.col("t") == "", "blank").when(T.has(F.col("t"), SCENE), "scene").when(F.col("voice").isNotNull(), "voice").when(F.col("speaks"), "speech").otherwise("other")
-    order = W.partitionBy("work").orderBy("line_no")
-    rows = rows.withColumn("kind", kind)
-    rows = rows.withColumn("stretch", F.sum((F.col("kind") != "other").cast("int")).over(order.rowsBetween(W.unboundedPreceding, 0)))
-    part = W.partitionBy("work", "stretch").orderBy("line_no").rowsBetween(W.unboundedPreceding, 0)
-    rows = rows.withColumn("of_voice", F.first("voice").over(part))
-    others = F.filter("cast", lambda n: (n != F.col("of_voice")) & F.contains("t", n))
-    about = F.exists(others, lambda n: F.regexp_like("t", F.concat(F.lit(r"\Q"), n, F.lit(r"\E(?:[의이가은는을를]|\s+[가-힣]|\.$)"))))
-    goes_on = ~T.has(F.col("t"), DIRECTION, True) & ~T.has(F.col("t"), r"^[<\[]") & ~is_told(F.col("t")) & (~about | T.has(F.col("t"), "[?!~]$"))
-    rows = rows.withColumn("goes_on", F.when(F.col("kind") == "other", F.coalesce(goes_on, F.lit(False))).otherwise(True))
-    rows = rows.withColumn("as_voice", F.col("of_voice").isNotNull() & (F.col("kind") == "other") & (F.min(F.col("goes_on").cast("int")).over(part) == 1))
+    t = F.coalesce(T.trim(F.col("text")), F.lit(""))
+    remarked = F.regexp_extract(t, rf"(?i)^([가-힣A-Za-z0-9]{{2,10}})\s*{SOUND}", 1)
+    heard = _bare(F.when(remarked != "", remarked).otherwise(F.coalesce(S.voice_name(t), F.lit(""))))
+    heading = F.concat(F.lit("# "), F.regexp_extract(t, T.rx(SCENE), 1), F.lit(". "), T.trim(F.regexp_extract(t, T.rx(SCENE), 2)))
+    cast = T.trim(F.regexp_extract(t, r"^([가-힣A-Za-z0-9 ]{1,12}?)\s*[-–]\s*\S", 1))
+    rows = lines.select(
+        "work", F.col("line_no").cast("long").alias("line_no"), t.alias("t"), cast.alias("cast"), heard.alias("heard"), _first_word(t).alias("first_word"), S.voice_name(t).alias("voice"),
+        F.regexp_extract(t, T.rx(VOICE), 2).alias("words"), heading.alias("heading"),
+        *flags(scene=T.has(t, SCENE), told=is_told(t), stops=T.has(t, DIRECTION, True) | T.has(t, r"^[<\[]"), asks=T.has(t, "[?!~]$")),
+    )
+    kind = lines.schema["work"].dataType.simpleString()
+    read = F.udtf(ScriptReader, returnType=f"work {kind}, line_no long, kind string, speaker string, said string, text string")
+    rows = read(rows.asTable().partitionBy("work").orderBy("line_no"))
 
     piece = lambda kind, text: F.struct(F.lit(kind).alias("type"), text.alias("text"))
 
@@ -119,12 +163,12 @@ def korean_lines(lines: DataFrame) -> DataFrame:
         one = lambda kind, c, before, after: F.when(c.isNotNull(), piece(kind, F.concat(F.lit(before), T.trim(c), F.lit(after))))
         return F.array_compact(F.array(one("paren", parts["before"], "(", ")"), one("dialogue", parts["said"], "- ", ""), one("paren", parts["after"], "(", ")")))
 
-    heading = F.concat(F.lit("# "), F.regexp_extract("t", T.rx(SCENE), 1), F.lit(". "), T.trim(F.regexp_extract("t", T.rx(SCENE), 2)))
     none = F.array().cast("array<struct<type:string,text:string>>")
+    speaker = F.array(piece("character", F.concat(F.lit("@"), "speaker")))
+    said = F.when(T.trim(F.col("said")) != "", spoken(F.col("said"))).otherwise(none)
     pieces = (
-        F.when(F.col("kind") == "scene", F.array(piece("scene", heading)))
-        .when(F.col("kind") == "voice", F.concat(F.array(piece("character", F.concat(F.lit("@"), "voice", F.lit(" (소리)")))), F.when(T.trim(F.col("words")) != "", spoken(F.col("words"))).otherwise(none)))
-        .when(F.col("kind") == "speech", F.concat(F.array(piece("character", F.concat(F.lit("@"), "name", "tag"))), spoken(F.col("said"))))
-        .when(F.col("as_voice"), spoken(F.col("t"))).when(F.col("kind") == "other", F.array(piece("action", F.col("t")))).otherwise(none)
+        F.when(F.col("kind") == "scene", F.array(piece("scene", F.col("text")))).when(F.col("speaker").isNotNull(), F.concat(speaker, said))
+        .when(F.col("kind") == "voiced", spoken(F.col("said"))).otherwise(F.array(piece("action", F.col("text"))))
     )
-    return rows.select("work", "line_no", F.posexplode(pieces).alias("part", "p")).select("work", "line_no", "part", "p.type", "p.text")
+    number = lines.schema["line_no"].dataType.simpleString()
+    return rows.select("work", F.col("line_no").cast(number).alias("line_no"), F.posexplode(pieces).alias("part", "p")).select("work", "line_no", "part", "p.type", "p.text")

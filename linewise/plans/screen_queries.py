@@ -705,7 +705,7 @@ def half_translated(spark, sf_dir) -> DataFrame:
     return screen_lines(spark, sf_dir).select("work", "line_no", F.coalesce(odd, text).alias("text"))
 
 
-_KOREAN = f"""{_SCREEN}, k AS (SELECT work, line_no, {_trim("x")} AS x FROM (SELECT work, line_no, CASE WHEN work % 8 = 1 AND role = 8 THEN '@BOB' WHEN work % 8 = 2 AND role = 7 THEN text WHEN work % 8 = 3 AND role = 0 THEN '# INT. HOUSE - DAY'
+_TRANSLATED = f"""{_SCREEN}, k AS (SELECT work, line_no, {_trim("x")} AS x FROM (SELECT work, line_no, CASE WHEN work % 8 = 1 AND role = 8 THEN '@BOB' WHEN work % 8 = 2 AND role = 7 THEN text WHEN work % 8 = 3 AND role = 0 THEN '# INT. HOUSE - DAY'
   WHEN work % 8 = 4 AND role = 4 THEN '(beat)' WHEN work % 8 = 5 AND role = 9 THEN 'CUT TO BLACK AND THEN SILENCE' ELSE CASE role WHEN 0 THEN '# 내부. 집 - 낮' WHEN 2 THEN '@존 (V.O.)' WHEN 3 THEN '- 안녕하세요 여러분' WHEN 4 THEN '(이탈리아어로)'
   WHEN 5 THEN '- Arrivederci amici miei' WHEN 7 THEN '그가 방으로 들어온다.' WHEN 8 THEN '@H.W.' WHEN 9 THEN '(SMASH CUT TO:)' WHEN 10 THEN 'www.example.org/page' WHEN 11 THEN '@FBI' ELSE '' END END AS x FROM l)),
 n AS (SELECT *, coalesce(lag(x, 1) OVER w, '') AS p1, coalesce(lag(x, 2) OVER w, '') AS p2, {_trim(f"regexp_replace(regexp_replace(x, '^@', ''), {_q('(?i)' + S.VOICE_MARKS)}, '')")} AS nm FROM k WINDOW w AS (PARTITION BY work ORDER BY line_no)),
@@ -714,7 +714,7 @@ f AS (SELECT work, regexp_matches(x, '[가-힣]') AS korean, x <> '' AND ({_foll
     OR {_follows('x', 'kept transition')} OR {_follows('x', 'plain transition')}) AND (regexp_matches(x, '[A-Za-z]{{4,}}') OR x LIKE '#%') AND {_n('x', '[A-Za-z]')} >= 10 END AS english FROM n)"""
 
 
-@query(f"""WITH {_KOREAN} SELECT work, bool_or(korean) AND NOT bool_or(leak) AND NOT bool_or(english AND NOT korean) AS done FROM f GROUP BY work""")
+@query(f"""WITH {_TRANSLATED} SELECT work, bool_or(korean) AND NOT bool_or(leak) AND NOT bool_or(english AND NOT korean) AS done FROM f GROUP BY work""")
 def finished_translations(spark, sf_dir):
     """Which translations are finished, of some that leave nothing, a cue, narration, a heading, a remark's line or a transition in English."""
     texts = half_translated(spark, sf_dir).groupBy("work").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"]), "\n").alias("text"))
