@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import pandas as pd
 
 #: Copies that the engine's own pattern looks for have up to this many characters; a line of under three times more has no longer ones.
 SHORT, LEAST = 120, 6
@@ -76,3 +77,8 @@ def folded(text: str | None, short: bool | None) -> str | None:
         return None
     parts[::2] = map(fold_line, parts[::2])
     return "".join(parts)
+
+
+def folded_all(texts: pd.Series, short: pd.Series) -> pd.Series:
+    """folded() of a batch; most rows are null, as the pattern has folded them."""
+    return pd.Series([None if t is None else folded(t, None if s is None else bool(s)) for t, s in zip(texts, short, strict=True)], dtype=object)

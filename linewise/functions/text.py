@@ -140,7 +140,7 @@ def collapse_repeats(text: Column, rounds: int = 4, longest: int = folding.SHORT
     for _ in range(rounds):
         out = F.regexp_replace(out, run, "$1")
     rest = text.rlike(rf".{{{3 * folding.SHORT + 1},}}") | out.rlike(run)
-    out = F.coalesce(F.udf(folding.folded, "string")(F.when(rest, text), text.rlike(run)), out)
+    out = F.coalesce(F.pandas_udf(folding.folded_all, "string")(F.when(rest, text), text.rlike(run)), out)
     return F.when(out != text, F.regexp_replace(out, rx(r"(\d)\1{2,}\s*$"), "$1")).otherwise(text)
 
 
