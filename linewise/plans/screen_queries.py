@@ -15,7 +15,7 @@ from ..functions import text as T
 from ..functions.rules import RULES
 from ..operators import align, clean, coverage, incremental, joins, korean, layout, names, quality, repair, scenes, selection, windows
 from ..operators import lines as L
-from .queries import _KIND, _T, _trim, _words, document_lines, query, scripts, table, turn_scenes
+from .queries import _KIND, _T, ORACLES, _trim, _words, document_lines, query, scripts, table, turn_scenes
 
 
 def screen_lines(spark, sf_dir) -> DataFrame:
@@ -765,3 +765,11 @@ UNION ALL SELECT work, 'bad', 'few_scenes', scenes FROM r WHERE scenes < 5 UNION
 def source_issues(spark, sf_dir):
     """What makes the rendered scripts unfit as sources, by six tests."""
     return quality.source_issues(screen_lines(spark, sf_dir))
+
+
+# the same SQL says it of documents as they are
+_SUMMARY = ORACLES["script_summary"]
+ORACLES["lint_summary"] = (
+    "WITH l AS (SELECT doc_id AS work, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no, unnest(string_split(text, chr(10))) AS text FROM documents), z AS (SELECT * FROM l)"
+    + _SUMMARY[_SUMMARY.index(", t AS (SELECT *, ", _SUMMARY.index(" z AS (")) :]
+)
