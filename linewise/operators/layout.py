@@ -30,12 +30,12 @@ def nearest_rank(rows: DataFrame, value: Column, share: float, name: str, by: st
     return counts.filter(F.col("upto") > at).groupBy(by).agg(F.min("v").alias(name))
 
 
-def rows_by_height(items: DataFrame) -> DataFrame:
-    """(work, page, y, x, text): items of one rounded height as a line, from left to right."""
-    rows = items.filter(~T.is_blank(F.col("str"))).withColumn("row", T.round_half_up(F.col("y")))
+def rows_by_height(items: DataFrame, keep_blank: bool = False) -> DataFrame:
+    """(work, page, y, x, text): items of one rounded height as a line, from left to right; blank items and the lines they leave empty go unless kept."""
+    rows = (items if keep_blank else items.filter(~T.is_blank(F.col("str")))).withColumn("row", T.round_half_up(F.col("y")))
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("x", "seq", "str"))), lambda i: i["str"])
     lines = rows.groupBy("work", "page", "row").agg(T.round_half_up(F.min("x")).alias("x"), T.trim(T.sub(F.array_join(ordered, ""), r"\s+", " ")).alias("text"))
-    return lines.filter("text <> ''").select("work", "page", F.col("row").alias("y"), "x", "text")
+    return (lines if keep_blank else lines.filter("text <> ''")).select("work", "page", F.col("row").alias("y"), "x", "text")
 
 
 def layer_kinds(pages: DataFrame) -> DataFrame:

@@ -27,3 +27,7 @@ NO_LETTERS = {1: "a line\n7 8 9\nan other", 2: "...\nb", 12: "x y\n\n\u4e2d"}
 
 def test_a_cue_without_a_name_stays(agrees):
     assert agrees("cleaned_reading", NO_LETTERS)
+
+
+def test_an_item_without_text_keeps_its_line(agrees):
+    assert agrees("rows_by_height", NO_LETTERS)
