@@ -1,84 +1,125 @@
-"""Runs of copies in long lines, for text.collapse_repeats: without a limit to the length of a copy, where the engine's pattern would take too long."""
+"""Runs of copies in lines, for text.collapse_repeats: without a limit to the length of a copy, for many texts at once."""
 
 from __future__ import annotations
 
-import re
+import heapq
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 
-#: Copies that the engine's own pattern looks for have up to this many characters; a line of under three times more has no longer ones.
-SHORT, LEAST = 120, 6
-_END = re.compile("([\n\r\x85\u2028\u2029])")
-_RUN = re.compile(r"(.{6,}?)\1{2,}", re.DOTALL)  # in one line
+#: A copy has at least this many characters.
+LEAST = 6
+#: What ends a line, and the first of the numbers that stand for line ends: each has its own, so no run goes over one.
+ENDS, END = np.array([0x0A, 0x0D, 0x85, 0x2028, 0x2029], np.uint32), 0x110000
+#: Texts are taken together up to this many characters.
+TOGETHER = 2_000_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
-def runs(line: str, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, period, end) of the stretches where each character equals the one a period later, of two periods at least.
+def _agreeing(a: np.ndarray, b: np.ndarray) -> int:
+    """How many values agree from the start on."""
+    n, at, size = min(len(a), len(b)), 0, 64
+    while at < n:
+        differs = a[at : min(n, at + size)] != b[at : min(n, at + size)]
+        if differs.any():
+            return at + int(differs.argmax())
+        at, size = at + size, size * 2
+    return n
 
-    Such a stretch holds a block that starts at a multiple of the period and equals the next block: only these are compared, n / period for
-    each period, so n log n in all.
-    """
-    codes = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), "<u4")
-    n = len(codes)
-    powers = np.full(n + 1, _BASE, np.uint64)
-    powers[0] = 1
-    powers = np.multiply.accumulate(powers)
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * powers[:n])))
-    found = [np.empty((3, 0), np.int64)]
-    for p in range(least, n // 3 + 1):
-        block = np.diff(sums[::p])
-        if (block[:-1] * powers[p] == block[1:]).any():
-            edge = np.diff((codes[:-p] == codes[p:]).astype(np.int8), prepend=0, append=0)
-            start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-            long = end - start >= 2 * p
-            found.append(np.stack([start[long], np.full(long.sum(), p), end[long]]))
-    return tuple(np.concatenate(found, axis=1))
 
+def runs(codes: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(start, period, end) of the stretches where each code equals the one a period later, of two periods at least: three copies or more.
 
-def fold_line(line: str) -> str:
-    """Three or more copies of six characters or more become one, until nothing changes: leftmost first, the shortest copy at each place."""
-    before = None
-    while line != before:
-        before = line
-        if len(line) <= 3 * SHORT:
-            line = _RUN.sub(r"\1", line)
-            continue
-        start, period, end = runs(line)
-        out, at = [], 0
-        while True:
-            first = np.maximum(start, at)
-            fits = np.flatnonzero(first <= end - 2 * period)
-            if not len(fits):
-                break
-            best = fits[np.lexsort((period[fits], first[fits]))[0]]
-            i, p = int(first[best]), int(period[best])
-            out.append(line[at : i + p])
-            at = i + (1 + (int(end[best]) - i) // p) * p
-        line = "".join(out) + line[at:]
-    return line
+    Such a stretch holds a block that starts at a multiple of the period and equals the next block: only these are compared, n / period for
+    each period, so n log n in all. Two blocks inside a run of a shorter period are part of that run and no more: they are passed over, as
+    the shorter one is taken wherever they fit. Lines of under three periods are left out as periods grow.
+    """
+    place, low = np.arange(len(codes)), LEAST
+    reach = np.zeros(len(codes), np.int64)  # the furthest end of a run that starts here or before
+    while len(codes):
+        lengths = np.diff(np.flatnonzero(codes >= END), prepend=-1)
+        long = lengths > 3 * low
+        if not long.any():
+            return
+        keep = np.repeat(long, lengths)
+        codes, place, reach = codes[keep], place[keep], reach[keep]
+        n, high = len(codes), min(4 * low, (int(lengths.max()) - 1) // 3 + 1)
+        powers = np.full(n + 1, _BASE, np.uint64)
+        powers[0] = 1
+        np.multiply.accumulate(powers, out=powers)
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * powers[:n], out=sums[1:])
+        for p in range(low, high):
+            marks = sums[::p]
+            block = marks[1:] - marks[:-1]
+            at = np.flatnonzero(block[:-1] * powers[p] == block[1:]) * p
+            done = 0
+            for b in at[reach[at] < place[at] + 2 * p].tolist():
+                if b < done:
+                    continue
+                end = b + _agreeing(codes[b:], codes[b + p :])
+                start = b - _agreeing(codes[:b][::-1], codes[p : b + p][::-1])
+                done = end
+                if end - start >= 2 * p:
+                    first = int(place[start])
+                    yield first, p, first + end - start
+                    reach[start : end + p] = np.maximum(reach[start : end + p], first + end + p - start)
+        low = high
 
 
-def has_long_copies(line: str) -> bool:
-    """Whether a copy of more than SHORT characters stands three times in a row; most lines show by their runs of 32 characters that none does."""
-    if len(line) <= 3 * SHORT:
-        return False
-    grams = [line[i : i + 32] for i in range(len(line) - 31)]
-    return len(grams) - len(set(grams)) >= SHORT and len(runs(line, SHORT + 1)[0]) > 0
+def cuts(found: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
+    """(from, to) of the copies that go: leftmost first, the shortest copy at each place."""
+    found, fitting, k, at = sorted(found), [], 0, 0
+    while True:
+        while k < len(found) and found[k][0] <= at:
+            heapq.heappush(fitting, found[k][1:])
+            k += 1
+        while fitting and at > fitting[0][1] - 2 * fitting[0][0]:
+            heapq.heappop(fitting)
+        if fitting:
+            p, end = fitting[0]
+            to = at + (1 + (end - at) // p) * p
+            yield at + p, to
+            at = to
+        elif k < len(found):
+            at = found[k][0]
+        else:
+            return
 
 
-def folded(text: str | None, short: bool | None) -> str | None:
-    """The text folded; null where the engine's pattern has said all there is: no short copies and no long ones."""
-    if text is None:
-        return None
-    parts = _END.split(text)
-    if not short and not any(map(has_long_copies, parts[::2])):
-        return None
-    parts[::2] = map(fold_line, parts[::2])
-    return "".join(parts)
+def folded(texts: list[str]) -> list[str | None]:
+    """Each text with three or more copies of six characters or more made one, until nothing changes; None where nothing does."""
+    out: list[str | None] = [None] * len(texts)
+    now = dict(enumerate(texts))
+    while now:
+        codes = np.frombuffer(("\n".join(now.values()) + "\n").encode("utf-32-le", "surrogatepass"), "<u4")
+        marked = np.where(np.isin(codes, ENDS), np.arange(END, END + len(codes), dtype=np.uint32), codes)
+        gone = list(cuts(list(runs(marked))))
+        ends = np.cumsum([len(t) + 1 for t in now.values()])
+        keep = np.ones(len(codes), bool)
+        for a, b in gone:
+            keep[a:b] = False
+        changed = {}
+        numbers = list(now)
+        for i in np.unique(np.searchsorted(ends, [a for a, _ in gone], "right")).tolist():
+            a, b = int(ends[i - 1]) if i else 0, int(ends[i]) - 1
+            changed[numbers[i]] = out[numbers[i]] = codes[a:b][keep[a:b]].tobytes().decode("utf-32-le", "surrogatepass")
+        now = changed
+    return out
 
 
-def folded_all(texts: pd.Series, short: pd.Series) -> pd.Series:
-    """folded() of a batch; most rows are null, as the pattern has folded them."""
-    return pd.Series([None if t is None else folded(t, None if s is None else bool(s)) for t, s in zip(texts, short, strict=True)], dtype=object)
+def folded_all(texts: pd.Series) -> pd.Series:
+    """folded() of a batch, so many texts at a time that arrays stay small; null where nothing changes."""
+    out: list[str | None] = [None] * len(texts)
+    part, size = [], 0
+    last = len(texts) - 1
+    for i, text in enumerate(texts):
+        if text and len(text) >= 3 * LEAST:
+            part.append(i)
+            size += len(text)
+        if part and (size >= TOGETHER or i == last):
+            for k, t in zip(part, folded([texts.iloc[k] for k in part]), strict=True):
+                out[k] = t
+            part, size = [], 0
+    return pd.Series(out, dtype=object)

@@ -1,8 +1,10 @@
 """Queries against their SQL over made-up documents, for lines that the small tables do not hold."""
 
 import duckdb
+import numpy as np
 import pytest
 
+from linewise.functions import folding
 from linewise.plans.queries import ORACLES, QUERIES
 
 
@@ -31,3 +33,9 @@ def test_a_cue_without_a_name_stays(agrees):
 
 def test_an_item_without_text_keeps_its_line(agrees):
     assert agrees("rows_by_height", NO_LETTERS)
+
+
+def test_a_line_of_one_letter_holds_one_run():
+    codes = np.array([ord("a")] * 3000 + [folding.END] + [ord(c) for c in "abcdefgh" * 4] + [folding.END + 1], np.uint32)
+    assert list(folding.runs(codes)) == [(0, 6, 2994), (3001, 8, 3025)]
+    assert folding.folded(["a" * 20 + "\r\n" + "abcdefgh" * 4, "abcdef" * 2, ""]) == ["a" * 8 + "\r\nabcdefgh", None, None]
