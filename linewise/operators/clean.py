@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..functions import patterns as P
 from ..functions import text as T
 from .lines import by_line, to_blocks, to_text
 from .windows import normal_spacing, reflow, repeated_blocks
@@ -79,7 +80,8 @@ def bilingual_blocks(lines: DataFrame) -> DataFrame:
     other = F.exists("lines", T.is_transitionish) | T.looks_foreign(F.col("body")) | T.looks_like_title(F.col("body")) | F.element_at("lines", 1).startswith("[")
     prose = T.has(F.col("body"), "[a-z]") & (T.word_count(F.col("body")) >= 3)
     same = F.coalesce(F.col("cue") == F.col("next_cue"), F.lit(False)) | (F.col("cue").isNull() & F.col("next_cue").isNull() & prose)
-    return rows.filter(F.col("next_body").isNotNull() & foreign & ~other & same).select("work", "first_line", "last_line")
+    korean = F.coalesce(F.col("next_body").rlike("[가-힣]"), F.lit(False))  # few have a Korean one after them: the rest is not looked at any closer
+    return rows.filter(korean & foreign & ~other & same).select("work", "first_line", "last_line")
 
 
 CATEGORIES = ("meta", "boiler", "dupe", "headNum", "dialog", "struct", "miscue", "glued", "repeat", "bilingual", "spacing")
@@ -101,29 +103,32 @@ def findings(lines: DataFrame, categories: tuple[str, ...] = CATEGORIES) -> Data
     return found
 
 
+#: What line_findings asks of a line, in one pass over the lines.
+LINE_RULES = ("marker", "header", "sure header", "meta", "untranslated", "shot or title", "page number at the end", "mistagged cue", "narration", "set off")
+
+
 def line_findings(lines: DataFrame, categories: tuple[str, ...] = CATEGORIES) -> DataFrame:
     """The findings that a line, its neighbours and the first line of its block decide."""
-    t, order = F.col("t"), by_line()
-    rows = lines.select("work", "line_no", T.trim(F.col("text")).alias("t"))
+    t, order, is_ = F.col("t"), by_line(), lambda name: P.holds("marks", LINE_RULES, name)
+    rows = lines.select("work", "line_no", T.trim(F.col("text")).alias("t")).withColumn("marks", P.marks(t, LINE_RULES))
     rows = rows.withColumns({"prev": F.lag("t").over(order), "prev_blank": F.coalesce(F.lag(t == "").over(order), F.lit(True))})
     if "glued" in categories:  # the first line of a block says whether a cue opens it
         rows = rows.withColumn("block", F.sum((F.col("prev_blank") & (t != "")).cast("int")).over(order.rowsBetween(W.unboundedPreceding, 0)))
         rows = rows.withColumn("head", F.last(F.when(F.col("prev_blank") & (t != ""), t), ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, 0)))
-    rows = rows.filter(t != "").withColumn("marker", T.is_marker(t))
+    rows = rows.filter(t != "").withColumn("marker", is_("marker"))
     if "boiler" in categories:
         # a header's shape needs a digit or one of a few words: other lines are not looked at any closer
-        rows = rows.withColumn("sig", F.when(T.is_header_shape(t), T.signature(t)))
+        rows = rows.withColumn("sig", F.when(is_("header"), T.signature(t)))
         rows = rows.withColumn("often", F.count(F.when(~F.col("marker") & (F.length("sig") >= 2), 1)).over(W.partitionBy("work", "sig")))
     else:
         rows = rows.withColumns({"sig": F.lit(None).cast("string"), "often": F.lit(0)})
-    rows = rows.withColumn("meta", T.is_meta(t) if {"meta", "boiler"} & set(categories) else F.lit(False))
-    rows = rows.withColumn("left", ~F.col("marker") & T.is_untranslated(t))
+    rows = rows.withColumns({"meta": is_("meta"), "left": ~F.col("marker") & is_("untranslated")})
     head = F.col("head") if "glued" in categories else F.lit("")
     tests = {
-        "meta": F.col("meta"), "boiler": ~F.col("meta") & (T.is_sure_boilerplate(t) | (F.col("sig").isNotNull() & (F.col("often") >= HEADER_REPEATS))),
-        "dupe": t == F.col("prev"), "headNum": T.has_page_number(t), "struct": F.col("left") & T.is_structural(t), "dialog": F.col("left") & ~T.is_structural(t),
-        "miscue": T.is_suspicious_cue(t), "glued": head.startswith("@") & ~F.col("prev_blank") & ~T.has(t, "^[#@]") & T.looks_like_action(t),
-        "spacing": T.has(t, "^[#@]") & (F.col("prev") != ""),
+        "meta": F.col("meta"), "boiler": ~F.col("meta") & (is_("sure header") | (F.col("sig").isNotNull() & (F.col("often") >= HEADER_REPEATS))),
+        "dupe": t == F.col("prev"), "headNum": is_("page number at the end"), "struct": F.col("left") & is_("shot or title"), "dialog": F.col("left") & ~is_("shot or title"),
+        "miscue": is_("mistagged cue"), "glued": head.startswith("@") & ~F.col("prev_blank") & ~is_("set off") & is_("narration"),
+        "spacing": is_("set off") & (F.col("prev") != ""),
     }
     names = F.array_compact(F.array(*[F.when(test, name) for name, test in tests.items() if name in categories]))
     return rows.select("work", "line_no", names.alias("names")).filter(F.size("names") > 0).select("work", F.explode("names").alias("category"), "line_no")
