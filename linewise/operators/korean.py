@@ -6,9 +6,12 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import patterns as P
 from ..functions import shapes as S
 from ..functions import text as T
 from .builders import compiled, flags
@@ -27,6 +30,10 @@ VOICE = r"^(.{1,12}?)\s*(?:더빙)?\s*(?:목)?소리\s*>\s*(.*)$"
 SOUND_END = r"\s*(?:의)?\s*(?:더빙)?\s*(?:목)?소리$"
 DIRECTION = r"^(INSERT|CUT TO|FADE (IN|OUT)|DISSOLVE|F\.?O\.?|F\.?I\.?|C\.?U\.?|O\.?L\.?|MONTAGE|TITLE|CREDIT)\b"
 SCENE = r"^#\s*(\d{1,3})\.?\s*(.*)$"
+#: A first word with something after it, in one line; its blanks are those of ASCII.
+WORD = r"^[가-힣A-Za-z0-9]{2,8}"
+LEAD = WORD + r"[ \t\n\x0B\f\r]+"
+FIRST = LEAD + r"[^ \t\n\x0B\f\r].*$"
 CLOSING = r"[\s.!?…\"'’”)~]+$"
 
 
@@ -62,10 +69,23 @@ def names_by_endings(lines: DataFrame, least: int = 2) -> DataFrame:
 
 
 def _first_word(text: Column) -> Column:
-    """The first word of a line that ends like speech and goes on like it, or null."""
-    first, rest = (F.regexp_extract(text, r"^([가-힣A-Za-z0-9]{2,8})\s+(\S.*)$", k) for k in (1, 2))
-    tail = T.sub(T.sub(rest, r"\([^)]*\)\s*$"), CLOSING)
-    return F.when((first != "") & ~T.has(rest, PARTICLE_START) & ~rest.startswith(",") & ~T.has(tail, TOLD) & T.has(tail, SAID), first)
+    """The first word of a line that ends like speech and goes on like it, or null; the lines of a batch together."""
+    shape, start, told, said = (P.rx(p) for p in (FIRST, PARTICLE_START, TOLD, SAID))
+    closing = [P.rx(p) for p in (r"\([^)]*\)\s*$", CLOSING)]
+
+    def of(texts: pa.Array) -> pa.Array:
+        asked = pc.fill_null(pc.match_substring_regex(texts, shape), False)
+        own = texts.filter(asked)
+        rest = pc.replace_substring_regex(own, LEAD, "", max_replacements=1)
+        tail = rest
+        for pattern in closing:
+            tail = pc.replace_substring_regex(tail, pattern, "")
+        other = pc.or_(pc.or_(pc.match_substring_regex(rest, start), pc.starts_with(rest, ",")), pc.match_substring_regex(tail, told))
+        speech = pc.and_not(pc.match_substring_regex(tail, said), other)
+        first = pc.struct_field(pc.extract_regex(own, f"(?P<first>{WORD})"), "first")
+        return pc.replace_with_mask(pa.nulls(len(texts), pa.string()), asked, pc.if_else(speech, first, None).cast(pa.string()))
+
+    return F.arrow_udf(of, "string")(text)
 
 
 class ScriptReader:
