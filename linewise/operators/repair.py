@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..functions import patterns as P
 from ..functions import shapes as S
 from ..functions import text as T
 from ..functions.rules import HEADERS, TRANSITION_SHAPE
@@ -107,12 +108,9 @@ def without_script_headers(lines: DataFrame) -> DataFrame:
 
     Only lines that hold such a header are looked at pattern by pattern.
     """
-    t = F.col("text")
-    bare = t
-    for pattern in HEADERS:
-        bare = T.sub(bare, pattern.removeprefix("(?i)"), " ", pattern.startswith("(?i)"))
-    bare = T.rtrim(T.sub(F.regexp_replace(bare, r"[ \t]{2,}", " "), r"\s+([,.!?…])", "$1"))
-    rows = lines.withColumn("hit", T.follows(t, "page header")).withColumn("text", F.when(F.col("hit"), bare).otherwise(t))
+    rows = lines.withColumn("bare", P.replaced(F.col("text"), HEADERS))
+    bare = T.rtrim(T.sub(F.regexp_replace("bare", r"[ \t]{2,}", " "), r"\s+([,.!?…])", "$1"))
+    rows = rows.select("work", "line_no", F.col("bare").isNotNull().alias("hit"), F.coalesce(bare, F.col("text")).alias("text"))
     rows = rows.filter(~F.col("hit") | (T.trim(T.sub(F.col("text"), r"^[-#@\s]+")) != ""))
     twice = T.is_blank(F.col("text")) & F.coalesce(F.lag(T.is_blank(F.col("text"))).over(by_line()), F.lit(False))
     return _renumbered(rows.withColumn("twice", twice).filter("not twice").select("work", "line_no", "text"), "line_no")
