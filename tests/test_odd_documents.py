@@ -73,3 +73,8 @@ def test_lines_are_not_asked_pattern_by_pattern(spark, name, least):
     """The patterns of a query that are left to the engine: those of lines go through one function (ten of blocks before a Korean one stay)."""
     plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "ArrowEvalPython" in plan and plan.count("RLIKE") <= least
+
+
+def test_shapes_ask_the_rules_of_a_line_together(spark):
+    plan = QUERIES["line_shapes"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "ArrowEvalPython" in plan
