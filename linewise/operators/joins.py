@@ -13,6 +13,7 @@ from pyspark.sql.window import Window as W
 
 from ..functions import text as T
 from .coverage import contained_lines  # noqa: F401  (a join of lines with the text of their work)
+from .likeness import nearest_lines
 from .lines import scene_kinds, with_segments, words
 from .names import Patterns, merged_cues  # noqa: F401  (merged_cues is a join of lines with the names of their work)
 
@@ -234,27 +235,12 @@ def fuzzy_lines(wanted: DataFrame, lines: DataFrame, least: float = 0.7, on: str
     """(on, item, line_no, similarity): for each wanted text the line of the work that is it, or else the most alike by pairs of characters.
 
     Different texts meet on rare pairs. With the pairs of a text in one order for all, the rarest first, two texts of n pairs or fewer that are alike at
-    `least` share one of the first n - ceil(least x n) + 1 pairs of each: only those are joined. A text that is a line meets it as a whole.
+    `least` share one of the first n - ceil(least x n) + 1 pairs of each: only those are compared. All that is shuffled are the texts and lines, by work.
     """
-    w = wanted.select(on, "item", T.trim(F.col("text")).alias("w"))
-    own = lines.select(on, "line_no", T.trim(F.col("text")).alias("t")).filter("t <> ''")
-    equal = w.join(own, (w[on] == own[on]) & (F.col("w") == F.col("t"))).groupBy(w[on].alias(on), "item").agg(F.min("line_no").alias("line_no")).withColumn("similarity", F.lit(1.0))
-    left = w.join(equal, [on, "item"], "left_anti").withColumn("wb", T.bigrams(F.col("w")))
-    own = own.withColumn("tb", T.bigrams(F.col("t")))
-    counts = own.select(F.explode("tb").alias("pair")).groupBy("pair").agg(F.count(F.lit(1)).alias("n"))
-
-    def rarest(rows: DataFrame, pairs: str, *keys: str) -> DataFrame:
-        """(keys, pair): the pairs of the prefix of each row."""
-        ranked = rows.select(*keys, F.size(pairs).alias("size"), F.explode(pairs).alias("pair")).join(counts, "pair", "left")
-        order = F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "pair")))
-        cut = ranked.groupBy(*keys).agg(order.alias("pairs"), F.first("size").alias("size"))
-        kept = F.slice("pairs", F.lit(1), F.col("size") - F.ceil(F.col("size") * least - 1e-9).cast("int") + 1)
-        return cut.select(*keys, F.explode(F.transform(kept, lambda p: p["pair"])).alias("pair"))
-
-    met = rarest(left, "wb", on, "item").join(rarest(own, "tb", on, "line_no"), [on, "pair"]).select(on, "item", "line_no").distinct()
-    pairs = met.join(left, [on, "item"]).join(own, [on, "line_no"]).withColumn("similarity", T.jaccard(F.col("wb"), F.col("tb"))).filter(F.col("similarity") >= least)
-    best = pairs.groupBy(on, "item").agg(F.max_by(F.struct("line_no", "similarity"), F.struct("similarity", -F.col("line_no"))).alias("b"))
-    return equal.select(on, "item", "line_no", "similarity").unionByName(best.select(on, "item", "b.line_no", F.least(F.lit(1.0), F.col("b.similarity")).alias("similarity")))
+    trimmed = lambda rows, number: rows.filter(F.col(on).isNotNull()).select(on, number, T.trim(F.coalesce("text", F.lit(""))).alias("text"))
+    near = nearest_lines(trimmed(wanted, "item"), trimmed(lines, "line_no").filter("text <> ''"), least, on)
+    best = near.groupBy(on, "item").agg(F.max_by(F.struct("line_no", "similarity"), F.struct("similarity", -F.col("line_no"))).alias("b"))
+    return best.select(on, "item", "b.line_no", F.least(F.lit(1.0), F.col("b.similarity")).alias("similarity"))
 
 
 def replace_once(text: Column, old: Column, new: Column) -> Column:
