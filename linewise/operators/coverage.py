@@ -1,6 +1,6 @@
 """What of a source is in a result: lines looked up in a text whole, in two halves, or without their numbers.
 
-A text is held with the order of its suffixes, so the longest beginning of a line that occurs anywhere in it takes one search among these; the longest ending takes one in the
+A text in which many lines are looked up is held with the order of its suffixes, so the longest beginning of a line that occurs anywhere in it takes one search among these; the longest ending takes one in the
 text turned round. A line stands in two halves if beginning and ending together cover it: no cut is tried. A text and its suffixes (about 30 bytes a character) are in one task.
 """
 
@@ -10,13 +10,15 @@ from bisect import bisect_left
 from functools import cached_property
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions import text as T
+from .together import met
 
+#: How often a text is searched from its start before the order of its suffixes is made, which takes as long as about so many searches.
+SCANS = 500
 #: The shortest line and half that is looked up, and how often a line is in a source that is a running header.
 SHORTEST, HEADER_TIMES = 6, 3
 
@@ -46,7 +48,7 @@ class Text:
     """A text in which lines are looked up."""
 
     def __init__(self, text: str):
-        self.text = text
+        self.text, self.scans = text, 0
 
     @cached_property
     def order(self) -> np.ndarray:
@@ -60,9 +62,22 @@ class Text:
         """How many first characters of the line occur together."""
         if not self.text:
             return 0
+        if self.scans < SCANS:
+            return self._scanned(line)
         at = bisect_left(self.order, line, key=lambda i: self.text[i : i + len(line)])
         return max(self._common(line, int(i)) for i in self.order[max(0, at - 1) : at + 1])
 
+    def _scanned(self, line: str) -> int:
+        low, high = 0, len(line)
+        if self.holds(line):
+            return high
+        high -= 1
+        while low < high:  # if a beginning occurs, so do those shorter than it
+            middle = (low + high + 1) // 2
+            self.scans += 1
+            low, high = (middle, high) if line[:middle] in self.text else (low, middle - 1)
+        return low
+
     def _common(self, line: str, i: int) -> int:
         own = self.text[i : i + len(line)]
         low, high = 0, len(own)
@@ -72,6 +87,9 @@ class Text:
         return low
 
     def holds(self, line: str) -> bool:
+        if self.scans < SCANS:
+            self.scans += 1
+            return line in self.text
         return self.beginning(line) == len(line)
 
     def holds_halves(self, line: str, shortest: int = SHORTEST) -> bool:
@@ -85,14 +103,14 @@ def contained_lines(needles: DataFrame, texts: DataFrame, on: str = "work") -> D
     number = needles.schema["line_no"].dataType.simpleString()
     kind = needles.schema[on].dataType.simpleString()
     rows = needles.select(on, "line_no", "text", T.comparable(F.col("text")).alias("needle"))
-    own = texts.select(F.col(on).alias("of"), T.comparable(F.col("text")).alias("hay"))
+    own = texts.select(on, T.comparable(F.col("text")).alias("hay"))
 
-    def look_up(left: pa.Table, right: pa.Table) -> pa.Table:
-        texts = [Text(x) for x in right.column("hay").to_pylist() if x is not None]
-        covered = [n is not None and any(t.holds(n) or (len(n) >= 2 * SHORTEST and t.holds_halves(n)) for t in texts) for n in left.column("needle").to_pylist()]
-        return pa.table([*(left.column(c) for c in (on, "line_no", "text")), pa.array(covered, pa.bool_())], names=[on, "line_no", "text", "covered"])
+    def look_up(texts: list[Text], row: tuple) -> list[tuple]:
+        needle = row[3]
+        return [(*row[:3], needle is not None and any(t.holds(needle) or (len(needle) >= 2 * SHORTEST and t.holds_halves(needle)) for t in texts))]
 
-    return rows.groupBy(on).cogroup(own.groupBy("of")).applyInArrow(look_up, f"{on} {kind}, line_no {number}, text string, covered boolean")
+    begin = lambda own: [Text(hay) for _, hay in own if hay is not None]
+    return met(own, rows, (on,), begin, look_up, f"{on} {kind}, line_no {number}, text string, covered boolean")
 
 
 def coverage(lines: DataFrame, texts: DataFrame) -> DataFrame:
@@ -110,23 +128,23 @@ def coverage(lines: DataFrame, texts: DataFrame) -> DataFrame:
     rows = rows.withColumn("title", F.coalesce(F.col("line_no") < F.col("first"), F.lit(False)))
     rows = rows.filter(F.length("key") >= SHORTEST).withColumn("times", F.count(F.lit(1)).over(W.partitionBy("work", "key"))).filter("not furniture")
     kind, number = (lines.schema[c].dataType.simpleString() for c in ("work", "line_no"))
-    own = texts.select(F.col("work").alias("of"), T.comparable(F.col("text")).alias("hay"))
-
-    def judge(left: pa.Table, right: pa.Table) -> pa.Table:
-        text = Text("".join(x or "" for x in right.column("hay").to_pylist()))
-        out = []
-        for key, bare, title, times in zip(*(left.column(c).to_pylist() for c in ("key", "bare", "title", "times")), strict=True):
-            if text.holds(key) or text.holds_halves(key):
-                out.append("kept")
-            elif title:
-                out.append("title")
-            elif times >= HEADER_TIMES:
-                out.append("header")
-            else:
-                out.append("number" if len(bare) >= SHORTEST and text.holds(bare) else "body")
-        return pa.table([*(left.column(c) for c in ("work", "line_no", "text")), pa.array(out, pa.string())], names=["work", "line_no", "text", "category"])
-
-    return rows.groupBy("work").cogroup(own.groupBy("of")).applyInArrow(judge, f"work {kind}, line_no {number}, text string, category string")
+    own = texts.select("work", T.comparable(F.col("text")).alias("hay"))
+    rows = rows.select("work", "line_no", "text", "key", "bare", "title", "times")
+
+    def judge(text: Text, row: tuple) -> list[tuple]:
+        work, line_no, line, key, bare, title, times = row
+        if text.holds(key) or text.holds_halves(key):
+            category = "kept"
+        elif title:
+            category = "title"
+        elif times >= HEADER_TIMES:
+            category = "header"
+        else:
+            category = "number" if len(bare) >= SHORTEST and text.holds(bare) else "body"
+        return [(work, line_no, line, category)]
+
+    begin = lambda own: Text("".join(hay or "" for _, hay in own))
+    return met(own, rows, ("work",), begin, judge, f"work {kind}, line_no {number}, text string, category string")
 
 
 def coverage_report(judged: DataFrame) -> DataFrame:
