@@ -8,8 +8,8 @@ from pyspark.sql.window import Window as W
 
 from ..functions import patterns as P
 from ..functions import text as T
-from .lines import by_line, to_blocks, to_text
-from .windows import normal_spacing, reflow, repeated_blocks
+from .lines import by_line, so_far, to_text
+from .windows import in_runs, is_repeat, normal_spacing, reflow
 
 #: Counts from which a repeated thing is boilerplate.
 HEADER_REPEATS, LINE_REPEATS, URL_REPEATS = 4, 3, 5
@@ -70,18 +70,7 @@ def bilingual_blocks(lines: DataFrame) -> DataFrame:
 
     The next block must be Korean of 0.4 to 3 times the letters, and both have the same cue, or none and the first is prose.
     """
-    order = W.partitionBy("work").orderBy("block_no")
-    cue = lambda b: F.when(F.element_at(b, 1).startswith("@"), T.sub(F.element_at(b, 1), r"\s"))
-    body = lambda b: F.array_join(F.filter(b, lambda x: ~x.startswith("@")), " ")
-    rows = to_blocks(lines).withColumn("body", body(F.col("lines"))).withColumn("cue", cue(F.col("lines")))
-    rows = rows.withColumn("next_body", F.lead("body").over(order)).withColumn("next_cue", F.lead("cue").over(order))
-    ratio = T.hangul(F.col("next_body")) / F.greatest(F.lit(1), T.latin(F.col("body")))
-    foreign = (T.hangul(F.col("body")) == 0) & (T.latin(F.col("body")) >= 8) & (T.hangul(F.col("next_body")) >= 2) & ratio.between(0.4, 3)
-    other = F.exists("lines", T.is_transitionish) | T.looks_foreign(F.col("body")) | T.looks_like_title(F.col("body")) | F.element_at("lines", 1).startswith("[")
-    prose = T.has(F.col("body"), "[a-z]") & (T.word_count(F.col("body")) >= 3)
-    same = F.coalesce(F.col("cue") == F.col("next_cue"), F.lit(False)) | (F.col("cue").isNull() & F.col("next_cue").isNull() & prose)
-    korean = F.coalesce(F.col("next_body").rlike("[가-힣]"), F.lit(False))  # few have a Korean one after them: the rest is not looked at any closer
-    return rows.filter(korean & foreign & ~other & same).select("work", "first_line", "last_line")
+    return block_defects(asked(lines)).filter(F.array_contains("names", "bilingual")).select("work", "first_line", "last_line")
 
 
 CATEGORIES = ("meta", "boiler", "dupe", "headNum", "dialog", "struct", "miscue", "glued", "repeat", "bilingual", "spacing")
@@ -91,31 +80,45 @@ def findings(lines: DataFrame, categories: tuple[str, ...] = CATEGORIES) -> Data
     """(work, category, line_no): the defects of texts of the wanted categories, a row for each line and category.
 
     meta, boiler (not both), dupe, headNum, dialog, struct, miscue, glued, repeat, bilingual, spacing. What lines say of themselves and their
-    neighbours is one pass over the lines of a work; repeats and doubles of whole blocks are one over its blocks each.
+    neighbours is one pass over the lines of a work, and what blocks say one over its blocks, after one shuffle of the lines.
     """
-    found = None
-    if set(categories) - {"repeat", "bilingual"}:
-        found = line_findings(lines, categories)
-    for name, spans in (("repeat", repeated_blocks), ("bilingual", bilingual_blocks)):
-        if name in categories:
-            part = spans(lines).select("work", F.lit(name).alias("category"), F.explode(F.sequence("first_line", "last_line")).alias("line_no"))
-            found = part if found is None else found.union(part)
+    rows, found = asked(lines), None
+    if set(categories) - set(OF_BLOCKS):
+        found = _exploded(line_defects(rows, categories))
+    if wanted := [c for c in OF_BLOCKS if c in categories]:
+        part = block_defects(rows).select("work", F.explode("names").alias("category"), "first_line", "last_line").filter(F.col("category").isin(wanted))
+        part = part.select("work", "category", F.explode(F.sequence("first_line", "last_line")).alias("line_no"))
+        found = part if found is None else found.union(part)
     return found
 
 
-#: What line_findings asks of a line, in one pass over the lines.
-LINE_RULES = ("marker", "header", "sure header", "meta", "untranslated", "shot or title", "page number at the end", "mistagged cue", "narration", "set off")
+#: What is asked of a line, in one pass over the lines; defects that blocks have.
+LINE_RULES = ("marker", "header", "sure header", "meta", "untranslated", "shot or title", "page number at the end", "mistagged cue", "narration", "set off", "korean")
+OF_BLOCKS = ("repeat", "bilingual")
+
+
+def asked(lines: DataFrame, *keep: str) -> DataFrame:
+    """(work, line_no, t, marks, keep): trimmed lines with what LINE_RULES say of them. Defects of lines and of blocks read all four columns, so they share a shuffle by work."""
+    return lines.select("work", "line_no", T.trim(F.col("text")).alias("t"), *keep).withColumn("marks", P.marks(F.col("t"), LINE_RULES))
 
 
 def line_findings(lines: DataFrame, categories: tuple[str, ...] = CATEGORIES) -> DataFrame:
     """The findings that a line, its neighbours and the first line of its block decide."""
+    return _exploded(line_defects(asked(lines), categories))
+
+
+def _exploded(rows: DataFrame) -> DataFrame:
+    return rows.filter(F.size("names") > 0).select("work", F.explode("names").alias("category"), "line_no")
+
+
+def line_defects(rows: DataFrame, categories: tuple[str, ...] = CATEGORIES) -> DataFrame:
+    """The rows of asked(), all of them, with the `names` of their own defects of the wanted categories; blank lines have none."""
     t, order, is_ = F.col("t"), by_line(), lambda name: P.holds("marks", LINE_RULES, name)
-    rows = lines.select("work", "line_no", T.trim(F.col("text")).alias("t")).withColumn("marks", P.marks(t, LINE_RULES))
+    columns = rows.columns
     rows = rows.withColumns({"prev": F.lag("t").over(order), "prev_blank": F.coalesce(F.lag(t == "").over(order), F.lit(True))})
     if "glued" in categories:  # the first line of a block says whether a cue opens it
-        rows = rows.withColumn("block", F.sum((F.col("prev_blank") & (t != "")).cast("int")).over(order.rowsBetween(W.unboundedPreceding, 0)))
-        rows = rows.withColumn("head", F.last(F.when(F.col("prev_blank") & (t != ""), t), ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, 0)))
-    rows = rows.filter(t != "").withColumn("marker", is_("marker"))
+        rows = rows.withColumn("head", F.last(F.when(F.col("prev_blank") & (t != ""), t), ignorenulls=True).over(so_far()))
+    rows = rows.withColumn("marker", is_("marker"))
     if "boiler" in categories:
         # a header's shape needs a digit or one of a few words: other lines are not looked at any closer
         rows = rows.withColumn("sig", F.when(is_("header"), T.signature(t)))
@@ -130,8 +133,36 @@ def line_findings(lines: DataFrame, categories: tuple[str, ...] = CATEGORIES) ->
         "miscue": is_("mistagged cue"), "glued": head.startswith("@") & ~F.col("prev_blank") & ~is_("set off") & is_("narration"),
         "spacing": is_("set off") & (F.col("prev") != ""),
     }
-    names = F.array_compact(F.array(*[F.when(test, name) for name, test in tests.items() if name in categories]))
-    return rows.select("work", "line_no", names.alias("names")).filter(F.size("names") > 0).select("work", F.explode("names").alias("category"), "line_no")
+    names = F.array_compact(F.array(*[F.when((t != "") & test, name) for name, test in tests.items() if name in categories]))
+    return rows.select(*columns, names.alias("names"))
+
+
+def block_defects(rows: DataFrame) -> DataFrame:
+    """(work, first_line, last_line, names): blocks of the rows of asked(), with their defects; see repeated_blocks and bilingual_blocks. Some that have none are not among them.
+
+    Works of one block have neither: their lines are not put together. Blocks are looked at closely where a Korean one follows.
+    """
+    t, order, korean = F.col("t"), W.partitionBy("work").orderBy("block_no"), P.holds("marks", LINE_RULES, "korean")
+    starts = (t != "") & F.coalesce(F.lag(t == "").over(by_line()), F.lit(True))
+    rows = rows.withColumn("block_no", F.sum(starts.cast("int")).over(so_far())).filter(t != "")
+    rows = rows.withColumn("blocks", F.max("block_no").over(W.partitionBy("work"))).filter("blocks > 1")
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("line_no", "t"))), lambda x: x["t"])
+    blocks = rows.groupBy("work", "block_no").agg(F.min("line_no").alias("first_line"), F.max("line_no").alias("last_line"), ordered.alias("lines"), F.max(korean).alias("korean"))
+    ahead = {"next_korean": F.coalesce(F.lead("korean").over(order), F.lit(False)), "next_lines": F.lead("lines").over(order)}
+    blocks = in_runs(blocks, order).withColumns(ahead).filter(is_repeat() | F.col("next_korean"))
+    # null where no Korean block follows: patterns find nothing in it, also where the engine asks all of them before it combines the answers
+    lines, after = (F.when(F.col("next_korean"), F.col(c)) for c in ("lines", "next_lines"))
+    cue = lambda b: F.when(F.element_at(b, 1).startswith("@"), T.sub(F.element_at(b, 1), r"\s"))
+    told = lambda b: F.array_join(F.filter(b, lambda x: ~x.startswith("@")), " ")
+    body, following, own_cue, next_cue = told(lines), told(after), cue(lines), cue(after)
+    letters, syllables = T.latin(body), T.hangul(following)
+    foreign = (T.hangul(body) == 0) & (letters >= 8) & (syllables >= 2) & (syllables / F.greatest(F.lit(1), letters)).between(0.4, 3)
+    other = F.exists(lines, T.is_transitionish) | T.looks_foreign(body) | T.looks_like_title(body) | F.element_at(lines, 1).startswith("[")
+    prose = T.has(body, "[a-z]") & (T.word_count(body) >= 3)
+    same = F.coalesce(own_cue == next_cue, F.lit(False)) | (own_cue.isNull() & next_cue.isNull() & prose)
+    bilingual = F.col("next_korean") & foreign & ~other & same
+    names = F.array_compact(F.array(F.when(is_repeat(), "repeat"), F.when(bilingual, "bilingual")))
+    return blocks.select("work", "first_line", "last_line", names.alias("names"))
 
 
 def glued_actions(lines: DataFrame) -> DataFrame:
@@ -153,13 +184,21 @@ def _renumbered(rows: DataFrame) -> DataFrame:
 
 
 def summary(lines: DataFrame) -> DataFrame:
-    """One row per work with a count per category; spacing counts only beyond 15 % of the lines; autofixable and review are totals."""
-    names = list(CATEGORIES)
-    blocks = bilingual_blocks(lines).groupBy("work").agg(F.count(F.lit(1)).alias("pairs"))
-    counts = findings(lines, tuple(c for c in CATEGORIES if c != "bilingual")).groupBy("work").pivot("category", names).agg(F.count(F.lit(1)))
-    total = lines.groupBy("work").agg(F.count(F.lit(1)).alias("lines"))
-    rows = total.join(counts, "work", "left").join(blocks, "work", "left").fillna(0)
-    rows = rows.withColumn("bilingual", F.coalesce("pairs", F.lit(0).cast("long"))).withColumn("spacing", F.when(F.col("spacing") > F.col("lines") * 0.15, F.col("spacing")).otherwise(0))
+    """One row per work with a count per category; spacing counts only beyond 15 % of the lines; autofixable and review are totals. Of a null work the lines alone are counted.
+
+    Bilingual doubles are counted by block, all others by line.
+    """
+    rows, names = asked(lines), list(CATEGORIES)
+    known = F.col("work").isNotNull()
+    own = [F.count_if(known & F.array_contains("names", name)).alias(name) for name in names if name not in OF_BLOCKS]
+    counts = line_defects(rows).groupBy("work").agg(F.count(F.lit(1)).alias("lines"), *own)
+    has = lambda name: known & F.array_contains("names", name)
+    repeats = F.sum(F.when(has("repeat"), F.col("last_line") - F.col("first_line") + 1)).alias("repeat")
+    blocks = block_defects(rows).groupBy("work").agg(repeats, F.count_if(has("bilingual")).alias("bilingual"))
+    # no join: it would ask one side for known works, and the two would no longer share their shuffle
+    parts = counts.unionByName(blocks, allowMissingColumns=True).groupBy("work")
+    rows = parts.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("lines", *names)])
+    rows = rows.withColumn("spacing", F.when(F.col("spacing") > F.col("lines") * 0.15, F.col("spacing")).otherwise(0))
     fixable = F.col("meta") + F.col("boiler") + F.col("dupe") + F.col("repeat") + F.col("bilingual") + F.col("headNum")
     return rows.select("work", "lines", *names, fixable.alias("autofixable"), F.col("dialog").alias("review"))
 

@@ -118,14 +118,22 @@ def repeated_blocks(lines: DataFrame, least: int = 3) -> DataFrame:
 
     Blocks of one line of under 20 characters, as in a chorus, do not count.
     """
-    order = W.partitionBy("work").orderBy("block_no")
-    blocks = to_blocks(lines).withColumn("body", F.array_join("lines", "\n"))
-    blocks = blocks.filter((F.size("lines") >= 2) | (F.length(T.sub(F.col("body"), r"\s")) >= 20))
-    new = ~(F.col("body").eqNullSafe(F.lag("body").over(order)) & (F.col("block_no") - F.lag("block_no").over(order) == 1))
+    blocks = in_runs(to_blocks(lines), W.partitionBy("work").orderBy("block_no"))
+    return blocks.filter(is_repeat(least)).select("work", "block_no", "first_line", "last_line")
+
+
+def in_runs(blocks: DataFrame, order) -> DataFrame:
+    """All blocks with the length of the `run` of repeats that they are in and their place `rn` there; blocks that do not count are runs of their own."""
+    counts = (F.size("lines") >= 2) | (F.length(T.sub(F.element_at("lines", 1), r"\s")) >= 20)
+    new = ~(F.col("lines").eqNullSafe(F.lag("lines").over(order)) & counts)
     blocks = blocks.withColumn("island", F.sum(F.coalesce(new, F.lit(True)).cast("int")).over(order.rowsBetween(W.unboundedPreceding, 0)))
     run = W.partitionBy("work", "island")
-    blocks = blocks.withColumn("run", F.count(F.lit(1)).over(run)).withColumn("rn", F.row_number().over(run.orderBy("block_no")))
-    return blocks.filter((F.col("run") >= least) & (F.col("rn") > 1)).select("work", "block_no", "first_line", "last_line")
+    return blocks.withColumn("run", F.count(F.lit(1)).over(run)).withColumn("rn", F.row_number().over(run.orderBy("block_no")))
+
+
+def is_repeat(least: int = 3) -> Column:
+    """Whether a block of in_runs is to go."""
+    return (F.col("run") >= least) & (F.col("rn") > 1)
 
 
 def close_repeated_cues(lines: DataFrame, within: int = 6) -> DataFrame:

@@ -78,3 +78,25 @@ def test_lines_are_not_asked_pattern_by_pattern(spark, name, least):
 def test_shapes_ask_the_rules_of_a_line_together(spark):
     plan = QUERIES["line_shapes"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "ArrowEvalPython" in plan
+
+
+DEFECTS = {
+    1: "one two three four\nand five\n\n그는 집으로 걸어 들어가서 오래오래 앉아 있었다\n\nten",
+    2: "chorus\n\nchorus\n\nchorus\n\nA line that is long enough.\n\nA line that is long enough.\n \n\nA line that is long enough.\n\nx",
+    3: "@MARY\nwhere are you going now\n\n@M ARY\n너는 지금 어디로 가고 있는 거니\n\n@TOM\nwhere are you going now\n\n@MARY\n너는 지금 어디로 가고 있는 거니",
+    4: "\n\n@TOM\nwent home and slept\n\n\n다음 날 아침 일찍 그는 다시 나갔다\n\n한국어\n\nanother line of words here", 5: None, 6: "", None: "two\ntwo\n\na b\nc\n\na b\nc\n\na b\nc",
+}
+
+
+def test_defects_of_lines_and_blocks_are_counted_as_sql_does(agrees):
+    assert agrees("lint_summary", DEFECTS)
+
+
+def test_defects_of_lines_and_blocks_share_a_shuffle(spark):
+    """Texts are moved once, and bodies of blocks are there for patterns only where a Korean one follows."""
+    rows = QUERIES["lint_summary"](spark, "/root/testdata/sf0.001")
+    rows.collect()
+    done = rows._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert done.count("ReusedExchange") == 1 and done.count("Exchange hashpartitioning") == 2  # one, and where it is used again
+    optimized = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_join" in optimized and optimized.count("array_join") == optimized.count("array_join(filter(CASE WHEN next_korean")
