@@ -35,6 +35,8 @@ WORD = r"^[가-힣A-Za-z0-9]{2,8}"
 LEAD = WORD + r"[ \t\n\x0B\f\r]+"
 FIRST = LEAD + r"[^ \t\n\x0B\f\r].*$"
 CLOSING = r"[\s.!?…\"'’”)~]+$"
+#: The characters of CLOSING and what may stand after it for Java's engine; so many characters are looked at for them first.
+CLOSING_MARKS, TAIL = T.BLANKS + "\x85.!?…\"'’”)~", 40
 
 
 def title_runs(lines: DataFrame, least: int = 3) -> DataFrame:
@@ -52,9 +54,10 @@ def without_title_runs(lines: DataFrame, least: int = 3) -> DataFrame:
 
 
 def is_told(text: Column) -> Column:
-    """Whether a line ends like narration."""
-    t = T.sub(text, CLOSING)
-    return T.has(t, TOLD) & ~T.has(t, POLITE)
+    """Whether a line ends like narration. Only a line that ends in 다, closing marks aside, can: others are not asked."""
+    tail = F.rtrim(F.substring(text, -TAIL, TAIL), F.lit(CLOSING_MARKS))
+    t = T.sub(F.when((tail == "") | tail.endswith("다"), text), CLOSING)  # a tail of marks alone does not say
+    return F.coalesce(T.has(t, TOLD) & ~T.has(t, POLITE), F.when(text.isNotNull(), False))
 
 
 def _bare(name: Column) -> Column:
@@ -161,15 +164,20 @@ def korean_lines(lines: DataFrame) -> DataFrame:
     A line is speech if it starts with a speaker's name (the longest that fits) and neither a particle follows nor narration. After a `…소리>` line the lines go
     on as that voice until a blank line or one that reads like narration or speaks about another of the cast. The lines of a work go through one ordered pass, with one shuffle.
     """
-    t = F.coalesce(T.trim(F.col("text")), F.lit(""))
-    remarked = F.regexp_extract(t, rf"(?i)^([가-힣A-Za-z0-9]{{2,10}})\s*{SOUND}", 1)
-    heard = _bare(F.when(remarked != "", remarked).otherwise(F.coalesce(S.voice_name(t), F.lit(""))))
-    heading = F.concat(F.lit("# "), F.regexp_extract(t, T.rx(SCENE), 1), F.lit(". "), T.trim(F.regexp_extract(t, T.rx(SCENE), 2)))
-    cast = T.trim(F.regexp_extract(t, r"^([가-힣A-Za-z0-9 ]{1,12}?)\s*[-–]\s*\S", 1))
+    # a pattern is asked where the signs are that it needs
+    lines, t = lines.select("work", "line_no", F.coalesce(T.trim(F.col("text")), F.lit("")).alias("t")), F.col("t")
+    number = lines.schema["line_no"].dataType.simpleString()
+    voiced = F.when(F.contains(t, F.lit("소리")) & F.contains(t, F.lit(">")), t)
+    remarked = F.regexp_extract(F.when(F.contains(t, F.lit("(")), t), rf"(?i)^([가-힣A-Za-z0-9]{{2,10}})\s*{SOUND}", 1)
+    heard = F.when(F.coalesce(remarked, F.lit("")) != "", remarked).otherwise(S.voice_name(voiced))
+    scene = F.when(t.startswith("#"), t)
+    heading = F.concat(F.lit("# "), F.regexp_extract(scene, T.rx(SCENE), 1), F.lit(". "), T.trim(F.regexp_extract(scene, T.rx(SCENE), 2)))
+    dashed = F.when(F.contains(t, F.lit("-")) | F.contains(t, F.lit("–")), t)
+    cast = T.trim(F.regexp_extract(dashed, r"^([가-힣A-Za-z0-9 ]{1,12}?)\s*[-–]\s*\S", 1))
     rows = lines.select(
-        "work", F.col("line_no").cast("long").alias("line_no"), t.alias("t"), cast.alias("cast"), heard.alias("heard"), _first_word(t).alias("first_word"), S.voice_name(t).alias("voice"),
-        F.regexp_extract(t, T.rx(VOICE), 2).alias("words"), heading.alias("heading"),
-        *flags(scene=T.has(t, SCENE), told=is_told(t), stops=T.has(t, DIRECTION, True) | T.has(t, r"^[<\[]"), asks=T.has(t, "[?!~]$")),
+        "work", F.col("line_no").cast("long").alias("line_no"), t.alias("t"), cast.alias("cast"), _bare(heard).alias("heard"), _first_word(t).alias("first_word"), S.voice_name(voiced).alias("voice"),
+        F.regexp_extract(voiced, T.rx(VOICE), 2).alias("words"), heading.alias("heading"),
+        *flags(scene=T.has(scene, SCENE), told=is_told(t), stops=T.has(t, DIRECTION, True) | T.has(t, r"^[<\[]"), asks=T.has(F.substring(t, -3, 3), "[?!~]$")),
     )
     kind = lines.schema["work"].dataType.simpleString()
     read = F.udtf(ScriptReader, returnType=f"work {kind}, line_no long, kind string, speaker string, said string, text string")
@@ -190,5 +198,4 @@ def korean_lines(lines: DataFrame) -> DataFrame:
         F.when(F.col("kind") == "scene", F.array(piece("scene", F.col("text")))).when(F.col("speaker").isNotNull(), F.concat(speaker, said))
         .when(F.col("kind") == "voiced", spoken(F.col("said"))).otherwise(F.array(piece("action", F.col("text"))))
     )
-    number = lines.schema["line_no"].dataType.simpleString()
     return rows.select("work", F.col("line_no").cast(number).alias("line_no"), F.posexplode(pieces).alias("part", "p")).select("work", "line_no", "part", "p.type", "p.text")

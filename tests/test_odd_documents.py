@@ -9,6 +9,7 @@ from linewise.functions import folding
 from linewise.functions import patterns as P
 from linewise.functions import text as T
 from linewise.functions.rules import HEADERS, RULES
+from linewise.operators import korean
 from linewise.plans.queries import ORACLES, QUERIES
 
 
@@ -100,3 +101,13 @@ def test_defects_of_lines_and_blocks_share_a_shuffle(spark):
     assert done.count("ReusedExchange") == 1 and done.count("Exchange hashpartitioning") == 2  # one, and where it is used again
     optimized = rows._jdf.queryExecution().optimizedPlan().toString()
     assert "array_join" in optimized and optimized.count("array_join") == optimized.count("array_join(filter(CASE WHEN next_korean")
+
+
+def test_endings_are_looked_for_only_where_a_line_may_be_told(spark):
+    ends = ["", "다", "간다.", "간다. \x85", "간다\x85\x85", "간다. ", "갑니다!", "다 아", "한다" + "." * 60, "." * 60, "한다" + " \r" * 3, "한다　~", "한다\n", "가요", None]
+    rows = spark.createDataFrame([(t,) for t in ends], "t string")
+    plain = T.sub(F.col("t"), korean.CLOSING)
+    got = rows.select("t", korean.is_told(F.col("t")).alias("got"), (T.has(plain, korean.TOLD) & ~T.has(plain, korean.POLITE)).alias("want")).collect()
+    assert [r.t for r in got if r.got != r.want] == [] and {r.want for r in got} == {True, False, None}
+    plan = QUERIES["korean_script"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace(CASE WHEN ((rtrim(" in plan and plan.count("trim(text#") <= 1  # a line is trimmed once, not for each pattern
