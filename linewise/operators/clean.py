@@ -205,11 +205,16 @@ def summary(lines: DataFrame) -> DataFrame:
 
 def head_junk(lines: DataFrame) -> DataFrame:
     """Unmarked lines before the first heading of works that have a copyright or title mark there."""
-    t = T.trim(F.col("text"))
-    whole = W.partitionBy("work")
-    rows = lines.withColumn("t", t).withColumn("first_head", F.min(F.when(T.has(F.col("t"), r"^#\s"), F.col("line_no"))).over(whole))
-    rows = rows.filter(F.col("line_no") < F.col("first_head")).withColumn("junk", F.max(T.has(F.col("text"), HEAD_SIGNAL, True).cast("int")).over(whole))
-    return rows.filter((F.col("junk") == 1) & (F.col("t") != "") & ~T.has(F.col("t"), r"^(FADE|\[|@|#)", True)).select("work", "line_no")
+    return with_head_junk(lines.select("work", "line_no", T.trim(F.col("text")).alias("t"))).filter("head_junk").select("work", "line_no")
+
+
+def with_head_junk(rows: DataFrame) -> DataFrame:
+    """Rows of trimmed lines `t`, all of them, with head_junk; see there."""
+    t, whole, before = F.col("t"), W.partitionBy("work"), F.coalesce(F.col("line_no") < F.col("first_head"), F.lit(False))
+    rows = rows.withColumn("first_head", F.min(F.when(t.startswith("#") & T.has(t, r"^#\s"), F.col("line_no"))).over(whole))
+    rows = rows.withColumn("signed", F.max(T.has(F.when(before, t), HEAD_SIGNAL, True)).over(whole))
+    unmarked = (t != "") & ~T.has(F.when(before, t), r"^(FADE|\[|@|#)", True)
+    return rows.withColumn("head_junk", F.coalesce(before & F.col("signed") & unmarked, F.lit(False))).drop("first_head", "signed")
 
 
 def autofix(lines: DataFrame) -> DataFrame:
@@ -218,11 +223,16 @@ def autofix(lines: DataFrame) -> DataFrame:
     Remarks, boilerplate, repeats, bilingual doubles and title pages go; headings lose repeats and page numbers; captions become marked lines
     between blank ones; spacing is made even; broken sentences are joined.
     """
-    safe = findings(lines, ("meta", "boiler", "dupe", "repeat", "bilingual")).select("work", "line_no")
-    kept = lines.join(safe.union(head_junk(lines)).distinct(), ["work", "line_no"], "left_anti")
-    korean = lines.groupBy("work").agg(F.max(T.has(F.col("text"), "[가-힣]").cast("int")).alias("korean"))
+    rows = with_head_junk(line_defects(asked(lines, "text"), ("meta", "boiler", "dupe")))
+    rows = rows.withColumn("korean", F.max(P.holds("marks", LINE_RULES, "korean").cast("int")).over(W.partitionBy("work")))
+    rows = rows.filter((F.size("names") == 0) & ~F.col("head_junk")).select("work", "line_no", "text", "korean", F.lit(False).alias("gone"))
+    blocks = block_defects(asked(lines)).filter(F.size("names") > 0)
+    gone = blocks.select("work", F.explode(F.sequence("first_line", "last_line")).alias("line_no"), F.lit(True).alias("gone"))
+    # lines and what goes of them are dealt by work already: they meet in a window, which a join by work and line would deal anew
+    met = rows.unionByName(gone, allowMissingColumns=True).withColumn("gone", F.max("gone").over(W.partitionBy("work", "line_no")))
+    kept = met.filter(~F.col("gone")).drop("gone")
     t = T.trim(F.col("text"))
-    kept = kept.join(korean, "work").withColumn("head", F.when(t.startswith("#"), t)).withColumn("folded", T.collapse_repeats(F.col("head")))
+    kept = kept.withColumn("head", F.when(t.startswith("#"), t)).withColumn("folded", T.collapse_repeats(F.col("head")))
     kept = kept.withColumn("text", F.when(F.col("folded") != F.col("head"), F.col("folded")).otherwise(F.col("text"))).drop("head", "folded")
     kept = kept.withColumn("text", F.when(T.has_page_number(T.trim(F.col("text"))), T.rtrim(T.sub(F.col("text"), r"\d{1,3}\s*$"))).otherwise(F.col("text")))
     caption = T.has(T.trim(F.col("text")), r"^(TITLE|SUPER|CHYRON)\s*[:：]", True)
@@ -231,7 +241,6 @@ def autofix(lines: DataFrame) -> DataFrame:
     pieces = F.when(caption, F.array(F.lit(""), marked, F.lit(""))).otherwise(F.array("text"))
     rows = _renumbered(kept.select("work", "line_no", F.posexplode(pieces).alias("part", "text")))
 
-
     spaced = normal_spacing(rows)
     spaced = _renumbered(spaced.select("work", "line_no", F.posexplode(F.when(F.col("gap"), F.array(F.lit(""), F.col("text"))).otherwise(F.array("text"))).alias("part", "text")))
     return to_text(reflow(spaced))

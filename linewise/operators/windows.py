@@ -38,9 +38,9 @@ def reflow(lines: DataFrame) -> DataFrame:
     A line joins the one before if both are body text, that one has no closing mark, and this one starts no list. Only two neighbouring
     lines decide, so runs of joining lines are islands.
     """
-    t = T.trim(F.col("text"))
-    body = (t != "") & ~T.has(t, "^[#@(-]")
-    rows = lines.withColumns({"t": t, "body": body, "open": body & ~T.has(t, "[.!?…:;\"'’”)\\]]$"), "goes_on": body & ~T.has(t, "^[-•*]")})
+    t, last = F.col("t"), F.substring("t", -3, 3)  # for Java's engine two characters may end a text after its mark
+    rows = lines.withColumn("t", T.trim(F.col("text"))).withColumn("body", (t != "") & ~T.has(t, "^[#@(-]"))
+    rows = rows.withColumns({"open": F.col("body") & ~T.has(last, "[.!?…:;\"'’”)\\]]$"), "goes_on": F.col("body") & ~T.has(t, "^[-•*]")})
     joins = F.coalesce(F.lag("open").over(by_line()), F.lit(False)) & F.col("goes_on")
     rows = rows.withColumn("joins", joins).withColumn("island", F.sum((~F.col("joins")).cast("int")).over(so_far()))
     rows = rows.withColumn("joined_by_next", F.coalesce(F.lead("joins").over(by_line()), F.lit(False)))

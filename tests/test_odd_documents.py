@@ -9,7 +9,7 @@ from linewise.functions import folding
 from linewise.functions import patterns as P
 from linewise.functions import text as T
 from linewise.functions.rules import HEADERS, RULES
-from linewise.operators import korean
+from linewise.operators import clean, korean
 from linewise.plans.queries import ORACLES, QUERIES
 
 
@@ -111,3 +111,11 @@ def test_endings_are_looked_for_only_where_a_line_may_be_told(spark):
     assert [r.t for r in got if r.got != r.want] == [] and {r.want for r in got} == {True, False, None}
     plan = QUERIES["korean_script"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "regexp_replace(CASE WHEN ((rtrim(" in plan and plan.count("trim(text#") <= 1  # a line is trimmed once, not for each pattern
+
+
+def test_a_text_without_an_id_is_mended_too_and_lines_are_dealt_by_work(spark):
+    rows = spark.createDataFrame([(w, n, t) for w, text in DEFECTS.items() if text is not None for n, t in enumerate(text.split("\n"))], "work long, line_no int, text string")
+    got = {r.work: r.text for r in clean.autofix(rows).collect()}
+    assert got[None] == "two\n\na b c" and set(got) == {1, 2, 3, 4, None}
+    plan = clean.autofix(rows)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 3 and "Join" not in plan
