@@ -93,9 +93,10 @@ def test_defects_of_lines_and_blocks_are_counted_as_sql_does(agrees):
     assert agrees("lint_summary", DEFECTS)
 
 
-def test_defects_of_lines_and_blocks_share_a_shuffle(spark):
+@pytest.mark.parametrize("name", ["lint_summary", "script_summary"])
+def test_defects_of_lines_and_blocks_share_a_shuffle(spark, name):
     """Texts are moved once, and bodies of blocks are there for patterns only where a Korean one follows."""
-    rows = QUERIES["lint_summary"](spark, "/root/testdata/sf0.001")
+    rows = QUERIES[name](spark, "/root/testdata/sf0.001")
     rows.collect()
     done = rows._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     assert done.count("ReusedExchange") == 1 and done.count("Exchange hashpartitioning") == 2  # one, and where it is used again
