@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -108,33 +110,39 @@ def line_findings(lines: DataFrame, categories: tuple[str, ...] = CATEGORIES) ->
 
 
 def _exploded(rows: DataFrame) -> DataFrame:
-    return rows.filter(F.size("names") > 0).select("work", F.explode("names").alias("category"), "line_no")
+    names = F.array_compact(F.array(*[F.when(has_defect(name), name) for name in CATEGORIES]))
+    return rows.filter("defects != 0").select("work", F.explode(names).alias("category"), "line_no")
+
+
+def has_defect(name: str) -> Column:
+    """Whether a line of line_defects() has that defect."""
+    return P.holds("defects", CATEGORIES, name)
 
 
 def line_defects(rows: DataFrame, categories: tuple[str, ...] = CATEGORIES) -> DataFrame:
-    """The rows of asked(), all of them, with the `names` of their own defects of the wanted categories; blank lines have none."""
+    """The rows of asked(), all of them, with their own `defects` of the wanted categories, a bit for each (has_defect()); blank lines have none."""
     t, order, is_ = F.col("t"), by_line(), lambda name: P.holds("marks", LINE_RULES, name)
     columns = rows.columns
     rows = rows.withColumns({"prev": F.lag("t").over(order), "prev_blank": F.coalesce(F.lag(t == "").over(order), F.lit(True))})
     if "glued" in categories:  # the first line of a block says whether a cue opens it
         rows = rows.withColumn("head", F.last(F.when(F.col("prev_blank") & (t != ""), t), ignorenulls=True).over(so_far()))
-    rows = rows.withColumn("marker", is_("marker"))
-    if "boiler" in categories:
-        # a header's shape needs a digit or one of a few words: other lines are not looked at any closer
-        rows = rows.withColumn("sig", F.when(is_("header"), T.signature(t)))
-        rows = rows.withColumn("often", F.count(F.when(~F.col("marker") & (F.length("sig") >= 2), 1)).over(W.partitionBy("work", "sig")))
-    else:
-        rows = rows.withColumns({"sig": F.lit(None).cast("string"), "often": F.lit(0)})
-    rows = rows.withColumns({"meta": is_("meta"), "left": ~F.col("marker") & is_("untranslated")})
-    head = F.col("head") if "glued" in categories else F.lit("")
+    head, left = F.col("head") if "glued" in categories else F.lit(""), ~is_("marker") & is_("untranslated")
     tests = {
-        "meta": F.col("meta"), "boiler": ~F.col("meta") & (is_("sure header") | (F.col("sig").isNotNull() & (F.col("often") >= HEADER_REPEATS))),
-        "dupe": t == F.col("prev"), "headNum": is_("page number at the end"), "struct": F.col("left") & is_("shot or title"), "dialog": F.col("left") & ~is_("shot or title"),
-        "miscue": is_("mistagged cue"), "glued": head.startswith("@") & ~F.col("prev_blank") & ~is_("set off") & is_("narration"),
-        "spacing": is_("set off") & (F.col("prev") != ""),
+        "meta": is_("meta"), "boiler": ~is_("meta") & is_("sure header"), "dupe": t == F.col("prev"), "headNum": is_("page number at the end"),
+        "struct": left & is_("shot or title"), "dialog": left & ~is_("shot or title"), "miscue": is_("mistagged cue"),
+        "glued": head.startswith("@") & ~F.col("prev_blank") & ~is_("set off") & is_("narration"), "spacing": is_("set off") & (F.col("prev") != ""),
     }
-    names = F.array_compact(F.array(*[F.when((t != "") & test, name) for name, test in tests.items() if name in categories]))
-    return rows.select(*columns, names.alias("names"))
+    bit = {name: F.lit(1 << k) for k, name in enumerate(CATEGORIES)}
+    found = reduce(Column.bitwiseOR, [F.when((t != "") & test, bit[name]).otherwise(0) for name, test in tests.items() if name in categories], F.lit(0))
+    if "boiler" not in categories:
+        return rows.select(*columns, found.alias("defects"))
+    # a header's shape needs a digit or one of a few words: other lines are not looked at any closer.
+    # All else is decided before headers are counted: lines are ordered anew for that, and their texts and neighbours need not come along
+    sig = F.when(is_("header"), T.signature(t))
+    rows = rows.select(*columns, found.alias("defects"), sig.alias("sig"), (~is_("marker")).alias("plain"), ((t != "") & ~is_("meta")).alias("may"))
+    often = F.count(F.when(F.col("plain") & (F.length("sig") >= 2), 1)).over(W.partitionBy("work", "sig"))
+    boiler = F.col("may") & F.col("sig").isNotNull() & (F.col("often") >= HEADER_REPEATS)
+    return rows.withColumn("often", often).select(*columns, F.when(boiler, F.col("defects").bitwiseOR(bit["boiler"])).otherwise(F.col("defects")).alias("defects"))
 
 
 def block_defects(rows: DataFrame) -> DataFrame:
@@ -154,7 +162,9 @@ def block_defects(rows: DataFrame) -> DataFrame:
     lines, after = (F.when(F.col("next_korean"), F.col(c)) for c in ("lines", "next_lines"))
     cue = lambda b: F.when(F.element_at(b, 1).startswith("@"), T.sub(F.element_at(b, 1), r"\s"))
     told = lambda b: F.array_join(F.filter(b, lambda x: ~x.startswith("@")), " ")
-    body, following, own_cue, next_cue = told(lines), told(after), cue(lines), cue(after)
+    # columns of their own: many tests ask for a body, which is put together once
+    blocks = blocks.withColumns({"body": told(lines), "following": told(after)})
+    body, following, own_cue, next_cue = F.col("body"), F.col("following"), cue(lines), cue(after)
     letters, syllables = T.latin(body), T.hangul(following)
     foreign = (T.hangul(body) == 0) & (letters >= 8) & (syllables >= 2) & (syllables / F.greatest(F.lit(1), letters)).between(0.4, 3)
     other = F.exists(lines, T.is_transitionish) | T.looks_foreign(body) | T.looks_like_title(body) | F.element_at(lines, 1).startswith("[")
@@ -190,7 +200,7 @@ def summary(lines: DataFrame) -> DataFrame:
     """
     rows, names = asked(lines), list(CATEGORIES)
     known = F.col("work").isNotNull()
-    own = [F.count_if(known & F.array_contains("names", name)).alias(name) for name in names if name not in OF_BLOCKS]
+    own = [F.count_if(known & has_defect(name)).alias(name) for name in names if name not in OF_BLOCKS]
     counts = line_defects(rows).groupBy("work").agg(F.count(F.lit(1)).alias("lines"), *own)
     has = lambda name: known & F.array_contains("names", name)
     repeats = F.sum(F.when(has("repeat"), F.col("last_line") - F.col("first_line") + 1)).alias("repeat")
@@ -225,7 +235,7 @@ def autofix(lines: DataFrame) -> DataFrame:
     """
     rows = with_head_junk(line_defects(asked(lines, "text"), ("meta", "boiler", "dupe")))
     rows = rows.withColumn("korean", F.max(P.holds("marks", LINE_RULES, "korean").cast("int")).over(W.partitionBy("work")))
-    rows = rows.filter((F.size("names") == 0) & ~F.col("head_junk")).select("work", "line_no", "text", "korean", F.lit(False).alias("gone"))
+    rows = rows.filter((F.col("defects") == 0) & ~F.col("head_junk")).select("work", "line_no", "text", "korean", F.lit(False).alias("gone"))
     blocks = block_defects(asked(lines)).filter(F.size("names") > 0)
     gone = blocks.select("work", F.explode(F.sequence("first_line", "last_line")).alias("line_no"), F.lit(True).alias("gone"))
     # lines and what goes of them are dealt by work already: they meet in a window, which a join by work and line would deal anew

@@ -127,8 +127,9 @@ def in_runs(blocks: DataFrame, order) -> DataFrame:
     counts = (F.size("lines") >= 2) | (F.length(T.sub(F.element_at("lines", 1), r"\s")) >= 20)
     new = ~(F.col("lines").eqNullSafe(F.lag("lines").over(order)) & counts)
     blocks = blocks.withColumn("island", F.sum(F.coalesce(new, F.lit(True)).cast("int")).over(order.rowsBetween(W.unboundedPreceding, 0)))
-    run = W.partitionBy("work", "island")
-    return blocks.withColumn("run", F.count(F.lit(1)).over(run)).withColumn("rn", F.row_number().over(run.orderBy("block_no")))
+    run = W.partitionBy("work", "island").orderBy("block_no")
+    # one order for both, also for the length, which needs none
+    return blocks.withColumns({"run": F.count(F.lit(1)).over(run.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)), "rn": F.row_number().over(run)})
 
 
 def is_repeat(least: int = 3) -> Column:

@@ -104,6 +104,20 @@ def test_defects_of_lines_and_blocks_share_a_shuffle(spark, name):
     assert "array_join" in optimized and optimized.count("array_join") == optimized.count("array_join(filter(CASE WHEN next_korean")
 
 
+def test_defects_of_scripts_are_counted_as_sql_does(agrees):
+    assert agrees("script_summary", DEFECTS)
+
+
+@pytest.mark.parametrize("name", ["lint_summary", "script_summary"])
+def test_texts_do_not_come_along_where_headers_are_counted(spark, name):
+    """What is ordered by header has no text of a line, its neighbours or its block; blocks are ordered twice, and a body is put together once."""
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString().split("\n")
+    at = [k for k, line in enumerate(plan) if "Sort [work#" in line and ", sig#" in line]
+    assert len(at) == 1 and not any(f" {c}#" in plan[at[0] + 1].split(" AS _w0#")[0] for c in ("t", "prev", "head", "marks"))
+    assert sum("Sort [work#" in line and ("island#" in line or "block_no#" in line) for line in plan) == 2
+    assert QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().count("array_join") == 2  # of a block and of the next
+
+
 def test_endings_are_looked_for_only_where_a_line_may_be_told(spark):
     ends = ["", "다", "간다.", "간다. \x85", "간다\x85\x85", "간다. ", "갑니다!", "다 아", "한다" + "." * 60, "." * 60, "한다" + " \r" * 3, "한다　~", "한다\n", "가요", None]
     rows = spark.createDataFrame([(t,) for t in ends], "t string")
