@@ -39,23 +39,29 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/linewise-{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, at_once: int | None = None) -> DataFrame:
     """The rows of df as a table in the shared folder: lineage ends here, and a lost executor costs no recomputation.
 
-    A table is deleted by drop_written(), by the operator that wrote it where nothing it returns reads it, or with the folder.
+    at_once: for rows of megabytes, the bytes of a row group, measured after each row. Otherwise the writer measures after 100 rows at first, and a task that
+    reads such a group has all its rows in memory. A table is deleted by drop_written(), by the operator that wrote it where nothing it returns reads it, or with
+    the folder.
     """
-    return written_at(df, name)[0]
+    return written_at(df, name, at_once)[0]
 
 
-def written_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+def written_at(df: DataFrame, name: str, at_once: int | None = None) -> tuple[DataFrame, str]:
     """As written(), with the table's folder, for tasks that read a table of bounded size whole."""
     path = new_folder(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**_row_groups(at_once) if at_once else {}).parquet(path)
     context = df.sparkSession.sparkContext
     context._linewise_written = [*getattr(context, "_linewise_written", []), path]
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
+def _row_groups(size: int) -> dict[str, int]:
+    return {"parquet.block.size": size, "parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": 1}
+
+
 def written_so_far(spark: SparkSession) -> int:
     return len(getattr(spark.sparkContext, "_linewise_written", []))
 

@@ -29,6 +29,10 @@ HELD_PAIRS = 1 << 21
 #: Pieces of text that a task keeps before it drops all but the third of them that were met most, and bytes of text taken at once.
 KEPT = 180_000
 TEXT_BYTES = 2_000_000
+#: About the bytes of the pieces, their groups as text and their pairs that a task keeps; 180,000 words have some 25 MB, as many lines without blanks would have gigabytes.
+KEPT_BYTES = 64_000_000
+#: Bytes of slices that a task writes, and later reads, at once.
+SLICE_BYTES = 16_000_000
 #: Pieces encoded at once.
 AT_ONCE = 2000
 #: A group with more links than this is counted by different ids instead of link by link.
@@ -112,6 +116,10 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
+def _size(pieces: list[str], texts: list[str], pairs: int) -> int:
+    return sum(map(len, pieces)) + sum(map(len, texts)) + 16 * pairs
+
+
 class Pieces:
     """What the pieces met so far give: numbers of tokens, groups, links and pairs of ids (columns of `table`), the pairs, and the groups as text."""
 
@@ -123,12 +131,13 @@ class Pieces:
         self.number: dict[str, int] = {}
         self.texts: list[str] = []
         self.met = np.empty(0, np.int64)
+        self.bytes = 0
         self.parts = [(np.zeros((0, 6), np.int64), np.empty(0, np.int64), np.empty(0, np.int64))]
         self._gather()
 
     def numbers(self, pieces: list[str]) -> np.ndarray:
         """The number of each piece, after learning those not yet known."""
-        if len(self.number) > KEPT:
+        if len(self.number) > KEPT or self.bytes > KEPT_BYTES:
             self._drop_rare()
         new = list(set(pieces) - self.number.keys())
         plain = [p for p in new if p and not p[0].isspace() and not p[-1].isspace()]
@@ -142,10 +151,13 @@ class Pieces:
         return numbers
 
     def _drop_rare(self) -> None:
-        kept = np.sort(np.argsort(-self.met, kind="stable")[: KEPT // 3])
+        pieces, texts = list(self.number), self.texts
+        kept = np.argsort(-self.met, kind="stable")[: KEPT // 3]
+        sizes = np.cumsum([_size([pieces[i]], [texts[i]], n) for i, n in zip(kept.tolist(), self.table[kept, 4].tolist(), strict=True)])
+        kept = np.sort(kept[: int(np.searchsorted(sizes, KEPT_BYTES // 3, "right"))])
+        self.bytes = int(sizes[len(kept) - 1]) if len(kept) else 0
         at = stretches(self.first[kept], self.table[kept, 4])
         self.parts = [(self.table[kept], self.keys[at], self.links[at])]
-        pieces, texts = list(self.number), self.texts
         self.number, self.texts, self.met = {pieces[i]: n for n, i in enumerate(kept.tolist())}, [texts[i] for i in kept.tolist()], self.met[kept]
 
     def _gather(self) -> None:
@@ -203,6 +215,7 @@ class Pieces:
             self.number[piece] = len(self.number)
         self.parts.append((rows, keys, n))
         self.texts += texts
+        self.bytes += _size(pieces, texts, len(keys))
 
     def of_texts(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(numbers of all pieces, how many of them each text has): none for texts without tokens."""
@@ -256,6 +269,11 @@ class Slice:
         self.first = np.cumsum(self.counts) - self.counts
         self.doc = np.repeat(np.arange(n_docs), self.lengths)
 
+    @classmethod
+    def row(cls, batch: pa.RecordBatch, k: int) -> Slice:
+        """That of one row: the others' columns stay as Arrow has them."""
+        return cls(*(batch.column(c)[k].as_py() for c in cls.FIELDS))
+
     def by_document(self) -> np.ndarray:
         """The pairs of every document, each once a document."""
         times = self.counts[self.own]
@@ -317,8 +335,8 @@ def count_pairs(aligned: DataFrame) -> DataFrame:
             first = np.flatnonzero(np.append(True, every[1:] != every[:-1])[: len(every)])
             return (every[first], np.add.reduceat(times, first)) if len(first) else (every, times)
 
-        for row in (r for batch in batches for r in zip(*(batch.column(c).to_pylist() for c in Slice.FIELDS), strict=True)):
-            waiting.append(Slice(*row).by_document())
+        for row in (Slice.row(batch, k) for batch in batches for k in range(batch.num_rows)):
+            waiting.append(row.by_document())
             if sum(map(len, waiting)) > 4_000_000:
                 keys, counts = merged()
                 if len(keys) > 4_000_000:
@@ -388,7 +406,7 @@ def align_tokens(
     paths = tokenizers or default_tokenizers()
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("text"))
-    aligned = written(aligned_slices(rows, paths, groups), "aligned-slices")
+    aligned = written(aligned_slices(rows, paths, groups), "aligned-slices", SLICE_BYTES)
     pairs = written(valued_pairs(written(count_pairs(aligned), "pair-counts"), loaded(*paths).size_b), "pair-values")
     least = least_held(pairs, held)
     _, path = written_at(pairs.filter(F.col("count") >= least), "pair-held")
@@ -400,7 +418,7 @@ def align_tokens(
         for batch in batches:
             for k in range(batch.num_rows):
                 docs = batch.column("docs")[k].values
-                found, (doc, pair, links) = Slice(*(batch.column(c)[k].as_py() for c in Slice.FIELDS)).valued(*values)
+                found, (doc, pair, links) = Slice.row(batch, k).valued(*values)
                 offsets = np.searchsorted(doc, np.arange(len(docs) + 1)).astype(np.int32)
                 rare = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(pair), pa.array(links)], names=["pair", "links"]))
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + len(docs))), *docs.flatten(), *(pa.array(x) for x in found.T), rare], names=["row", *DOC, "n_best", "count_sum", "rare"])

@@ -1,5 +1,6 @@
 """Search, alignment of tokenizers and the Jaccard join against brute force, with their defined cases."""
 
+import glob
 import hashlib
 import math
 import random
@@ -8,7 +9,9 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from linewise.llm import jaccard_join, lexical_search, queries, token_alignment
 from tests.llm.test_llm_operators import ODD, SF, frame, rng_texts
@@ -159,6 +162,33 @@ def test_alignment_of_large_groups_and_small_caches(spark, pair_of_tokenizers, m
         assert ";".join(pieces.texts[i] for i in number) == own[7]
 
 
+def test_alignment_keeps_few_slices_in_memory(spark):
+    """Slices have megabytes each; all those of a task in one row group filled an executor that read them."""
+    texts = spark.range(0, 300_000, 1, 1).select(F.col("id").alias("doc_id"), F.expr("concat_ws(' ', transform(sequence(1, 6), x -> concat('word', pmod(xxhash64(id, x), 3000))))").alias("text"))
+    since = len(getattr(spark.sparkContext, "_linewise_written", []))
+    assert token_alignment.align_tokens(texts, groups=False).count() == 300_000
+    path = next(x for x in spark.sparkContext._linewise_written[since:] if "aligned-slices" in x).removeprefix("file://")
+    parts = [pq.ParquetFile(x).metadata for x in glob.glob(f"{path}/part-*.parquet")]
+    sizes = [m.row_group(i).total_byte_size for m in parts for i in range(m.num_row_groups)]
+    assert sum(m.num_rows for m in parts) > 5 and sum(sizes) > 20_000_000 and max(sizes) <= 17_000_000
+
+
+def test_pieces_kept_are_bounded_by_bytes(pair_of_tokenizers, monkeypatch):
+    """Texts without blanks are pieces as long as they are, so their number alone bounds nothing."""
+    monkeypatch.setattr(token_alignment, "KEPT_BYTES", 200_000, raising=False)
+    r = random.Random(6)
+    texts = ["".join(r.choice("aeiourstln") for _ in range(2000)) for _ in range(60)]
+    want = brute_alignment(pair_of_tokenizers, texts)
+    pieces, most = token_alignment.Pieces(pair_of_tokenizers), 0
+    for text, own in zip(texts, want):
+        number, _ = pieces.of_texts([text, "of all"])
+        assert ";".join(pieces.texts[i] for i in number[:1]) == own[7]
+        kept = sum(map(len, pieces.number)) + sum(map(len, pieces.texts)) + pieces.keys.nbytes + pieces.links.nbytes
+        assert kept < 300_000
+        most = max(most, kept)
+    assert most > 200_000 and kept == pieces.bytes and {"of", "all"} <= pieces.number.keys()
+
+
 def test_alignment_of_nothing_and_of_repeated_rows(spark):
     assert token_alignment.align_tokens(frame(spark, []).limit(0)).count() == 0
     rows = token_alignment.align_tokens(frame(spark, ["one two", "one two", None], ids=[None, None, 5])).collect()
